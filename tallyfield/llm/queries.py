@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import secrets, sharding, token_counts
+from . import decontaminate, language_id, secrets, sharding, token_counts
 from .common import table
 
 
@@ -19,9 +19,23 @@ def op3_secret_scans(spark, sf_dir):
     return found.select("doc_id", *[of(k) for k in secrets.KINDS], F.sha2(text.cast("binary"), 256).alias("base_sha256"), text.alias("spans"))
 
 
+def op5_benchmark_decontamination(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = decontaminate.benchmark_hits(docs, table(spark, sf_dir, "benchmark"), keep_text=False)
+    items = F.array_join(F.array_sort(F.transform("items", lambda i: i.cast("string"))), ",")
+    hit = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"])
+    return found.select("doc_id", "n_words", hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"), F.sha2(items.cast("binary"), 256).alias("items_sha256"), (F.size("spans") > 0).alias("contaminated"))
+
+
+def op6_language_id(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    found = language_id.identify(docs.select("doc_id", "text"), language_id.train(docs), keep_text=False)
+    return found.select("doc_id", language_id.held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
+
+
 def op10_feistel_shards(spark, sf_dir):
     return sharding.feistel_shards(table(spark, sf_dir, "documents"), 16).drop("row_number")
 
 
-QUERIES = {f.__name__: f for f in (op2_token_counts, op3_secret_scans, op10_feistel_shards)}
+QUERIES = {f.__name__: f for f in (op2_token_counts, op3_secret_scans, op5_benchmark_decontamination, op6_language_id, op10_feistel_shards)}
 ORACLE_SQL: dict[str, str] = {}
