@@ -4,10 +4,15 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import decontaminate, language_id, secrets, sharding, token_counts
+from . import decontaminate, language_id, secrets, sharding, simhash, token_counts
 from .common import table
 
 
+def op1_simhash_near_dedup(spark, sf_dir):
+    found = simhash.simhash_components(table(spark, sf_dir, "documents"), width=3, distance=2)
+    return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
 def op2_token_counts(spark, sf_dir):
     return token_counts.token_counts(table(spark, sf_dir, "documents"), "piece_bpe_32k.model")
 
@@ -37,5 +42,5 @@ def op10_feistel_shards(spark, sf_dir):
     return sharding.feistel_shards(table(spark, sf_dir, "documents"), 16).drop("row_number")
 
 
-QUERIES = {f.__name__: f for f in (op2_token_counts, op3_secret_scans, op5_benchmark_decontamination, op6_language_id, op10_feistel_shards)}
+QUERIES = {f.__name__: f for f in (op1_simhash_near_dedup, op2_token_counts, op3_secret_scans, op5_benchmark_decontamination, op6_language_id, op10_feistel_shards)}
 ORACLE_SQL: dict[str, str] = {}
