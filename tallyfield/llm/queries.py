@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import decontaminate, language_id, secrets, sharding, simhash, token_counts
+from . import decontaminate, language_id, lm_scoring, secrets, sharding, simhash, token_counts
 from .common import table
 
 
@@ -38,9 +38,14 @@ def op6_language_id(spark, sf_dir):
     return found.select("doc_id", language_id.held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
 
 
+def op8_lm_scoring(spark, sf_dir):
+    held_out = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 2
+    return lm_scoring.lm_scores(table(spark, sf_dir, "documents"), held_out)
+
+
 def op10_feistel_shards(spark, sf_dir):
     return sharding.feistel_shards(table(spark, sf_dir, "documents"), 16).drop("row_number")
 
 
-QUERIES = {f.__name__: f for f in (op1_simhash_near_dedup, op2_token_counts, op3_secret_scans, op5_benchmark_decontamination, op6_language_id, op10_feistel_shards)}
+QUERIES = {f.__name__: f for f in (op1_simhash_near_dedup, op2_token_counts, op3_secret_scans, op5_benchmark_decontamination, op6_language_id, op8_lm_scoring, op10_feistel_shards)}
 ORACLE_SQL: dict[str, str] = {}
