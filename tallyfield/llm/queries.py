@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import decontaminate, language_id, lm_scoring, secrets, sharding, simhash, token_counts
+from . import decontaminate, language_id, lm_scoring, secrets, sharding, simhash, token_counts, vector_graph
 from .common import table
 
 
@@ -43,9 +43,13 @@ def op8_lm_scoring(spark, sf_dir):
     return lm_scoring.lm_scores(table(spark, sf_dir, "documents"), held_out)
 
 
+def op9_nearest_neighbours(spark, sf_dir):
+    return vector_graph.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
 def op10_feistel_shards(spark, sf_dir):
     return sharding.feistel_shards(table(spark, sf_dir, "documents"), 16).drop("row_number")
 
 
-QUERIES = {f.__name__: f for f in (op1_simhash_near_dedup, op2_token_counts, op3_secret_scans, op5_benchmark_decontamination, op6_language_id, op8_lm_scoring, op10_feistel_shards)}
+QUERIES = {f.__name__: f for f in (op1_simhash_near_dedup, op2_token_counts, op3_secret_scans, op5_benchmark_decontamination, op6_language_id, op8_lm_scoring, op9_nearest_neighbours, op10_feistel_shards)}
 ORACLE_SQL: dict[str, str] = {}
