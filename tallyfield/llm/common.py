@@ -8,6 +8,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tallyfield.session import prepare
+
 #: Bytes of an Arrow batch: texts can be long, so batches stay small in memory.
 BATCH_BYTES = 4 << 20
 
@@ -17,7 +19,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Bound the bytes of an Arrow batch, unless the user's own bound is lower."""
+    """Bound the bytes of an Arrow batch, unless the user's own bound is lower, and let tasks import this package."""
+    prepare(spark)
     name = "spark.sql.execution.arrow.maxBytesPerBatch"
     if int(spark.conf.get(name).rstrip("b")) > BATCH_BYTES:
         spark.conf.set(name, f"{BATCH_BYTES}b")

@@ -18,7 +18,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import small_batches, stored
 
 SHARD_ROWS, BLOCK_ROWS = 8192, 8192
 DEGREE, BEAM, ALPHA, BATCH = 32, 64, 1.2, 256
@@ -187,6 +187,7 @@ def searcher(k: int):
 
 def nearest(df: DataFrame, queries, k: int = 5, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """(query_id, rank, id, score): the k nearest rows found for each row for which the column queries is true."""
+    small_batches(df.sparkSession)
     v = F.col(vector_col).cast("array<double>")
     sound = F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists(v, lambda x: x != 0)
     rows = df.filter(sound & F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), v.alias("v"), F.coalesce(queries, F.lit(False)).alias("asks"))
