@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import decontaminate, language_id, lm_scoring, secrets, sharding, simhash, token_counts, vector_graph
+from . import decontaminate, language_id, lm_scoring, secrets, sharding, simhash, suffix_dedup, token_counts, vector_graph
 from .common import table
 
 
@@ -38,6 +38,12 @@ def op6_language_id(spark, sf_dir):
     return found.select("doc_id", language_id.held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
 
 
+def op7_suffix_dedup(spark, sf_dir):
+    found = suffix_dedup.repeated_spans(table(spark, sf_dir, "documents"))
+    removed = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"])
+    return found.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), "kept_sha256")
+
+
 def op8_lm_scoring(spark, sf_dir):
     held_out = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 2
     return lm_scoring.lm_scores(table(spark, sf_dir, "documents"), held_out)
@@ -51,5 +57,5 @@ def op10_feistel_shards(spark, sf_dir):
     return sharding.feistel_shards(table(spark, sf_dir, "documents"), 16).drop("row_number")
 
 
-QUERIES = {f.__name__: f for f in (op1_simhash_near_dedup, op2_token_counts, op3_secret_scans, op5_benchmark_decontamination, op6_language_id, op8_lm_scoring, op9_nearest_neighbours, op10_feistel_shards)}
+QUERIES = {f.__name__: f for f in (op1_simhash_near_dedup, op2_token_counts, op3_secret_scans, op5_benchmark_decontamination, op6_language_id, op7_suffix_dedup, op8_lm_scoring, op9_nearest_neighbours, op10_feistel_shards)}
 ORACLE_SQL: dict[str, str] = {}
