@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import decontaminate, language_id, lm_scoring, secrets, sharding, simhash, suffix_dedup, token_counts, vector_graph
+from . import decontaminate, language_id, lm_scoring, packing, secrets, sharding, simhash, suffix_dedup, token_counts, vector_graph
 from .common import table
 
 
@@ -24,6 +24,11 @@ def op3_secret_scans(spark, sf_dir):
     return found.select("doc_id", *[of(k) for k in secrets.KINDS], F.sha2(text.cast("binary"), 256).alias("base_sha256"), text.alias("spans"))
 
 
+def op4_best_fit_packing(spark, sf_dir):
+    counted = token_counts.token_counts(table(spark, sf_dir, "documents"), "piece_bpe_32k.model")
+    return packing.best_fit_packing(counted, F.col("n_tokens"))
+
+
 def op5_benchmark_decontamination(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     found = decontaminate.benchmark_hits(docs, table(spark, sf_dir, "benchmark"), keep_text=False)
@@ -57,5 +62,5 @@ def op10_feistel_shards(spark, sf_dir):
     return sharding.feistel_shards(table(spark, sf_dir, "documents"), 16).drop("row_number")
 
 
-QUERIES = {f.__name__: f for f in (op1_simhash_near_dedup, op2_token_counts, op3_secret_scans, op5_benchmark_decontamination, op6_language_id, op7_suffix_dedup, op8_lm_scoring, op9_nearest_neighbours, op10_feistel_shards)}
+QUERIES = {f.__name__: f for f in (op1_simhash_near_dedup, op2_token_counts, op3_secret_scans, op4_best_fit_packing, op5_benchmark_decontamination, op6_language_id, op7_suffix_dedup, op8_lm_scoring, op9_nearest_neighbours, op10_feistel_shards)}
 ORACLE_SQL: dict[str, str] = {}
