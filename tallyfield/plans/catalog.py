@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-FLAGSHIP = "funnel_summary"
+from . import aggregates, alignment, changes, extracts, filters, joins, scalars, sequences, sources, windows  # noqa: F401
+from .registry import ORACLE_SQL, QUERIES
+
+FLAGSHIP = "agg_pivot_counts"
 
 
 def queries() -> dict:
-    return {}
+    return QUERIES
 
 
 def oracle_sql() -> dict:
-    return {}
+    return ORACLE_SQL
