@@ -123,7 +123,7 @@ def jaro_similarity(a: str, b: str) -> float:
     if not matched:
         return 0.0
     m = len(matched)
-    swaps = sum(x != y for x, y in zip(matched, (ch for ch, t in zip(b, taken, strict=True) if t), strict=True)) / 2
+    swaps = sum(x != y for x, y in zip(matched, (ch for ch, t in zip(b, taken, strict=True) if t), strict=True)) // 2
     return (m / len(a) + m / len(b) + (m - swaps) / m) / 3
 
 

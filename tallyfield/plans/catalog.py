@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import aggregates, filters, joins  # noqa: F401
+from . import aggregates, changes, filters, joins, scalars, windows  # noqa: F401
 from .registry import ORACLE_SQL, QUERIES
 
 FLAGSHIP = "agg_pivot_counts"
