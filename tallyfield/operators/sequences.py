@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Callable
+
+import pandas as pd
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -13,3 +16,90 @@ def sliding_spans(df: DataFrame, duration: str, width: float, hop: float) -> Dat
     ks = F.when(d <= width, F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), steps))
     rows = df.withColumn("__k", F.explode(ks)).withColumn("start_s", F.col("__k") * hop)
     return rows.withColumn("end_s", F.least(F.col("start_s") + width, d)).drop("__k")
+
+
+def find_run(df: DataFrame, keys: list[str], pos: str, coverage: str, least: float, total: float) -> DataFrame:
+    """The best run of positions per key: rows covered by `least` or more, at most one uncovered row between them, the greatest sum of coverage, `total` or more; the first one on ties."""
+    hits = df.filter(F.col(coverage) >= least)
+    w = Window.partitionBy(*keys).orderBy(pos)
+    new = F.coalesce(F.col(pos) - F.lag(pos).over(w) > 2, F.lit(True))
+    runs = hits.withColumn("__run", F.sum(new.cast("int")).over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    per = runs.groupBy(*keys, "__run").agg(F.min(pos).alias("first_pos"), F.max(pos).alias("last_pos"), F.round(F.sum(coverage), 9).alias("score"))
+    best = Window.partitionBy(*keys).orderBy(F.desc("score"), "first_pos")
+    return per.filter(F.col("score") >= total).withColumn("__rn", F.row_number().over(best)).filter("__rn = 1").drop("__rn", "__run")
+
+
+def grouped(df: DataFrame, keys: list[str], fn: Callable[[pd.DataFrame], pd.DataFrame], schema: str) -> DataFrame:
+    """fn over the rows of each key, one source or document at a time: its rows must fit a task."""
+    return df.groupBy(*keys).applyInPandas(fn, schema)
+
+
+def smooth_labels(labels: list, most: int) -> list:
+    """Runs of up to `most` rows between two runs of one equal label take that label; repeated until nothing changes."""
+    while True:
+        runs: list[list] = []
+        for k, x in enumerate(labels):
+            if runs and runs[-1][0] == x:
+                runs[-1][2] = k + 1
+            else:
+                runs.append([x, k, k + 1])
+        short = next((k for k in range(1, len(runs) - 1) if runs[k][2] - runs[k][1] <= most and runs[k - 1][0] == runs[k + 1][0] != runs[k][0]), None)
+        if short is None:
+            return labels
+        _, a, b = runs[short]
+        labels = labels[:a] + [runs[short - 1][0]] * (b - a) + labels[b:]
+
+
+def smooth_spans(spans: list[tuple], short: float, gap: float) -> list[tuple]:
+    """A-B-A of (label, start, end, text) becomes one A if B is shorter than `short` and both gaps are at most `gap`; texts are joined."""
+    out = list(spans)
+    k = 1
+    while k < len(out) - 1:
+        a, b, c = out[k - 1 : k + 2]
+        if a[0] == c[0] != b[0] and b[2] - b[1] < short and b[1] - a[2] <= gap and c[1] - b[2] <= gap:
+            out[k - 1 : k + 2] = [(a[0], a[1], c[2], " ".join(x[3] for x in (a, b, c) if x[3]))]
+            k = max(1, k - 1)
+        else:
+            k += 1
+    return out
+
+
+def thin_boundaries(scored: list[tuple[int, float]], least_block: int, n: int) -> list[int]:
+    """Boundary positions in order, each at least `least_block` after the one before and before the end; of two too near the higher score stays."""
+    kept: list[tuple[int, float]] = []
+    for pos, score in scored:
+        if pos < least_block or n - pos < least_block:
+            continue
+        if kept and pos - kept[-1][0] < least_block:
+            if score > kept[-1][1]:
+                kept[-1] = (pos, score)
+            continue
+        kept.append((pos, score))
+    return [p for p, _ in kept]
+
+
+def merge_blocks(blocks: list[tuple], shared: int = 1) -> list[tuple]:
+    """Adjacent (kind, first, last, topics) of one kind that share topics, or any one without topics, become one; repeated until nothing changes."""
+    out = list(blocks)
+    k = 0
+    while k < len(out) - 1:
+        a, b = out[k], out[k + 1]
+        if a[0] == b[0] and (len(a[3] & b[3]) >= shared or not a[3] or not b[3]):
+            out[k : k + 2] = [(a[0], a[1], b[2], a[3] | b[3])]
+            k = max(0, k - 1)
+        else:
+            k += 1
+    return out
+
+
+def keep_longer(rows: list[tuple]) -> list[tuple]:
+    """Of (group, key, text) in order: for each key the longest text, every row of its first group of that length; and the other groups seen."""
+    longest: dict = {}
+    for g, k, text in rows:
+        if k not in longest or len(text) > longest[k][1]:
+            longest[k] = (g, len(text))
+    others: dict = {}
+    for g, k, _ in rows:
+        if g != longest[k][0]:
+            others.setdefault(k, []).append(g)
+    return [(g, k, text, sorted(set(others.get(k, [])))) for g, k, text in rows if g == longest[k][0] and len(text) == longest[k][1]]
