@@ -8,7 +8,8 @@ suffix positions, and the words that they cover are merged to removal spans.
 
 The benchmark is read in chunks of bounded bytes; each chunk is one pass over the documents, so what is sent to a task is bounded
 whatever the benchmark's size. Null and empty texts have no words. Items with the same id count as one; items without
-words or with a null id never match. Documents with null ids and repeated rows each give a row; other columns pass through.
+words or with a null id never match. Documents with null ids and repeated rows each give a row; other columns pass through,
+but for those named like the results, which these replace.
 """
 
 from __future__ import annotations
@@ -166,7 +167,7 @@ def chunks(items: DataFrame, item_col: str, text_col: str):
 def benchmark_hits(df: DataFrame, benchmark: DataFrame, window: int = 10, text_col: str = "text", item_col: str = "item_id", item_text: str = "text", keep_text: bool = True) -> DataFrame:
     """df with n_words, spans (merged, in words, end exclusive) and items that occur; without text_col unless keep_text."""
     small_batches(df.sparkSession)
-    kept = [c for c in df.columns if keep_text or c != text_col]
+    kept = [c for c in df.columns if (keep_text or c != text_col) and c.lower() not in ("n_words", "spans", "items")]
     item_type = benchmark.schema[item_col].dataType.simpleString()
     now = df.select(F.struct(*[F.col(f"`{c}`") for c in kept]).alias("row"), text_bytes(text_col).alias("data"), F.lit(0).cast("long").alias("n_words"), F.array().cast("array<struct<start:int,end:int>>").alias("spans"), F.array().cast(f"array<{item_type}>").alias("items"))
     for items in chunks(benchmark, item_col, item_text):
