@@ -16,10 +16,11 @@ def keys_under(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:
 
 def read_json(spark: SparkSession, path, schema: str) -> tuple[DataFrame, DataFrame]:
     """Good rows with their file, and the text of bad ones: a record that can't be read is a row, not a failure."""
-    rows = spark.read.schema(f"{schema}, _corrupt_record string").option("mode", "PERMISSIVE").option("recursiveFileLookup", "true").json(path)
-    rows = rows.withColumn("file", F.col("_metadata.file_path"))
-    # the reader refuses queries on the corrupt column alone, so the split keeps another one
-    return rows.filter("_corrupt_record IS NULL").drop("_corrupt_record"), rows.filter("_corrupt_record IS NOT NULL").select("file", "_corrupt_record")
+    lines = spark.read.option("recursiveFileLookup", "true").text(path).select("value", F.col("_metadata.file_path").alias("file"))
+    options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt_record"}
+    rows = lines.filter(F.trim("value") != "").select("value", "file", F.from_json("value", f"{schema}, _corrupt_record string", options).alias("r"))
+    bad = F.col("r._corrupt_record").isNotNull()
+    return rows.filter(~bad).select("r.*", "file").drop("_corrupt_record"), rows.filter(bad).select("file", F.col("value").alias("record"))
 
 
 def from_key(df: DataFrame, file: str, patterns: dict[str, tuple[str, str]]) -> DataFrame:
