@@ -74,7 +74,7 @@ def snapshot_intervals(rows: DataFrame, snapshots: DataFrame, key: str, day: str
     """
     w = Window.orderBy(day)
     days = snapshots.select(day).distinct().withColumn("__n", F.row_number().over(w)).withColumn("__next", F.lead(day).over(w))
-    seen = rows.select(key, day).distinct().join(F.broadcast(days), day)
+    seen = rows.select(key, day).distinct().join(days, day)
     own = Window.partitionBy(key).orderBy("__n")
     runs = seen.withColumn("__run", F.col("__n") - F.row_number().over(own))
     return runs.groupBy(key, "__run").agg(F.min(day).alias("reported"), F.max_by("__next", "__n").alias("resolved")).drop("__run")

@@ -65,7 +65,7 @@ def clu_sampled(t, spark):
 def clu_assign(t, spark):
     rows = t("embeddings").select(F.lit(0).alias("g"), "vec_id", "label", V.doubles("embedding").alias("v"))
     means = V.centroids(rows.filter("vec_id % 2 = 0"), ["g", "label"], "v").withColumnRenamed("label", "cluster")
-    return C.assign(rows.filter("vec_id % 2 = 1"), F.broadcast(means), ["g"], "vec_id", 0.25).select("vec_id", "cluster")
+    return C.assign(rows.filter("vec_id % 2 = 1"), means, ["g"], "vec_id", 0.25).select("vec_id", "cluster")
 
 
 def online_2d(rows: pd.DataFrame) -> pd.DataFrame:
