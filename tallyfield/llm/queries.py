@@ -63,4 +63,43 @@ def op10_feistel_shards(spark, sf_dir):
 
 
 QUERIES = {f.__name__: f for f in (op1_simhash_near_dedup, op2_token_counts, op3_secret_scans, op4_best_fit_packing, op5_benchmark_decontamination, op6_language_id, op7_suffix_dedup, op8_lm_scoring, op9_nearest_neighbours, op10_feistel_shards)}
-ORACLE_SQL: dict[str, str] = {}
+#: Words of a text, as lists, in DuckDB.
+WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+
+ASSIGN = r"""([Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)"""
+
+#: The others need a tokenizer, a given hash function, a trained model, a best fit or a graph; tests hold them against brute force.
+ORACLE_SQL: dict[str, str] = {
+    # a match begins after the pieces and matches before it
+    "op3_secret_scans": f"""
+    WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t FROM documents),
+    m AS (SELECT r, 0 AS k, 'assign' AS kind, 6 AS least, string_split_regex(t, '{ASSIGN}') AS p, regexp_extract_all(t, '{ASSIGN}') AS m, regexp_extract_all(t, '{ASSIGN}', 2) AS g FROM d
+      UNION ALL SELECT r, 1, 'access', 20, string_split_regex(t, 'AKIA[A-Z0-9]+'), regexp_extract_all(t, 'AKIA[A-Z0-9]+'), regexp_extract_all(t, 'AKIA[A-Z0-9]+') FROM d
+      UNION ALL SELECT r, 2, 'hex', 24, string_split_regex(t, '[0-9a-f]+'), regexp_extract_all(t, '[0-9a-f]+'), regexp_extract_all(t, '[0-9a-f]+') FROM d),
+    l AS (SELECT r, k, kind, least, list_transform(p, lambda y: length(y)) AS p, list_transform(m, lambda y: length(y)) AS m, list_transform(g, lambda y: length(y)) AS g FROM m WHERE len(list_filter(g, lambda y: length(y) >= least)) > 0),
+    s AS (SELECT r, k, kind, least, p, m, unnest(g) AS n, unnest(range(1, len(m) + 1)) AS i FROM l),
+    e AS (SELECT r, k, kind, list_sum(p[1:i]) + coalesce(list_sum(m[1 : i - 1]), 0) AS a, m[i] AS size FROM s WHERE n >= least),
+    j AS (SELECT r, count(*) FILTER (WHERE k = 0) AS n_assign, count(*) FILTER (WHERE k = 1) AS n_access, count(*) FILTER (WHERE k = 2) AS n_hex, string_agg(kind || ':' || a || ':' || (a + size), ',' ORDER BY a, k) AS spans FROM e GROUP BY r)
+    SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex, sha256(coalesce(spans, '')) AS base_sha256, coalesce(spans, '') AS spans FROM d LEFT JOIN j USING (r)""",
+    "op5_benchmark_decontamination": f"""
+    WITH d AS (SELECT row_number() OVER () AS r, doc_id, {WORDS} AS w FROM documents),
+    b AS (SELECT item_id, {WORDS} AS w FROM benchmark WHERE item_id IS NOT NULL),
+    p AS (SELECT DISTINCT item_id, least(len(w), 10) AS n, array_to_string(w[k : k + least(len(w), 10) - 1], ' ') AS s FROM (SELECT item_id, w, unnest(range(1, greatest(1, len(w) - 9) + 1)) AS k FROM b WHERE len(w) > 0)),
+    x AS (SELECT r, w, n, unnest(range(1, len(w) - n + 2)) AS k FROM d, (SELECT DISTINCT n FROM p) WHERE len(w) >= n),
+    o AS (SELECT r, k, p.n, p.item_id FROM x JOIN p ON p.n = x.n AND array_to_string(w[k : k + x.n - 1], ' ') = p.s),
+    h AS (SELECT r, count(DISTINCT j) AS n_hit FROM (SELECT r, unnest(range(k, k + n)) AS j FROM o) GROUP BY 1),
+    i AS (SELECT r, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS s FROM (SELECT DISTINCT r, item_id::VARCHAR AS item FROM o) GROUP BY 1)
+    SELECT doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(s, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+    FROM d LEFT JOIN h USING (r) LEFT JOIN i USING (r)""",
+    # windows by their digest; the bytes between removed runs are put together in hexadecimal
+    "op7_suffix_dedup": """
+    WITH d AS (SELECT row_number() OVER () AS r, doc_id, encode(coalesce(text, '')) AS b, octet_length(encode(coalesce(text, ''))) AS n FROM documents),
+    w AS (SELECT r, s, md5(array_slice(b, s + 1, s + 400)) AS h FROM (SELECT r, b, unnest(range(0, n - 399)) AS s FROM d WHERE n >= 400)),
+    t AS (SELECT r, s, lag(s) OVER (PARTITION BY r ORDER BY s) AS p FROM w WHERE h IN (SELECT h FROM w GROUP BY h HAVING count(*) > 1)),
+    i AS (SELECT r, s, sum(CASE WHEN s - p <= 400 THEN 0 ELSE 1 END) OVER (PARTITION BY r ORDER BY s) AS run FROM t),
+    g AS (SELECT r, run, min(s) AS a, max(s) + 400 AS e FROM i GROUP BY r, run),
+    k AS (SELECT r, list(a ORDER BY a) AS a, list(e ORDER BY a) AS e, CAST(sum(e - a) AS BIGINT) AS n_removed, count(*) AS n_spans FROM g GROUP BY r),
+    x AS (SELECT d.r, b, unnest(list_append(a, n)) AS z, unnest(list_prepend(0, e)) AS y FROM d JOIN k ON d.r = k.r),
+    q AS (SELECT r, sha256(unhex(string_agg(CASE WHEN z > y THEN hex(array_slice(b, y + 1, z)) ELSE '' END, '' ORDER BY y))) AS kept FROM x GROUP BY r)
+    SELECT doc_id, CAST(n AS BIGINT) AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans, coalesce(kept, sha256(b)) AS kept_sha256 FROM d LEFT JOIN k USING (r) LEFT JOIN q USING (r)""",
+}
