@@ -6,7 +6,8 @@ labelled rows at most in expectation, shared evenly by the languages and chosen
 the text only. Everything else runs in tasks over Arrow batches.
 
 A text that is null or has no letters is `und` with score 0, as is every text if there is no labelled row to learn from. Null ids
-are never held out. Repeated rows each give a row; other columns pass through.
+are never held out. Repeated rows each give a row; other columns pass through, but for
+those named like the results, which these replace.
 """
 
 from __future__ import annotations
@@ -56,13 +57,12 @@ def features(text: str) -> np.ndarray:
 
 
 def svm(x: np.ndarray, y: np.ndarray, cost: float = 20.0, steps: int = 120) -> np.ndarray:
-    """Weights, the bias last, of a linear support vector machine with squared hinge loss, by accelerated gradient descent; y is 1 or -1."""
-    x = np.hstack([x, np.ones((len(x), 1), np.float32)])
-    share = np.where(y > 0, 0.5 / max((y > 0).sum(), 1), 0.5 / max((y < 0).sum(), 1)).astype(np.float32)
-    w, v, rate = np.zeros(x.shape[1], np.float32), np.zeros(x.shape[1], np.float32), 1 / (1 + 4 * cost)
+    """Weights, the bias last, of a linear support vector machine with squared hinge loss, by accelerated gradient descent; y is 1 or -1, or 0 for rows left out."""
+    share = np.where(y > 0, 0.5 / max((y > 0).sum(), 1), np.where(y < 0, 0.5 / max((y < 0).sum(), 1), 0)).astype(np.float32)
+    w, v, rate = np.zeros(x.shape[1] + 1, np.float32), np.zeros(x.shape[1] + 1, np.float32), 1 / (1 + 4 * cost)
     for k in range(steps):
-        slack = np.maximum(0, 1 - y * (x @ v))
-        new = v - rate * (v / 10 - 2 * cost * (x.T @ (share * slack * y)))
+        pull = share * np.maximum(0, 1 - y * (x @ v[:-1] + v[-1])) * y
+        new = v - rate * (v / 10 - 2 * cost * np.append(pull @ x, pull.sum()))
         v, w = new + k / (k + 3) * (new - w), new
     return w
 
@@ -79,10 +79,9 @@ class Hierarchy:
         self.pairs, weights = [], []
         for k, (a, b) in enumerate(pairs):
             of = family if k < len(self.families) * (len(self.families) - 1) // 2 else lang
-            rows = (of == a) | (of == b)
-            weights.append(svm(x[rows], np.where(of[rows] == a, 1, -1).astype(np.float32)))
+            weights.append(svm(x, np.where(of == a, 1, np.where(of == b, -1, 0)).astype(np.float32)))
             self.pairs.append((of is family, a, b))
-        self.weights = np.array(weights, np.float32).reshape(len(pairs), -1).T
+        self.weights = np.array(weights, np.float32).reshape(len(pairs), x.shape[1] + 1).T
 
     def vote(self, margins: dict, names: list[str]) -> tuple[str, float]:
         """The name that wins most duels, then by margin; its score is the mean certainty of its duels."""
@@ -109,7 +108,7 @@ def held_out(id_col: Column) -> Column:
     return F.coalesce(F.crc32(id_col.cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
 
-def train(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", rows: int = 2400) -> Hierarchy:
+def train(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", rows: int = 1200) -> Hierarchy:
     """Fit on labelled rows that are not held out; about `rows` of them, evenly by language, go to the driver as features."""
     learn = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).filter(~held_out(F.col("id")) & F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
     sizes = {r["lang"]: r["count"] for r in learn.groupBy("lang").count().collect()}
@@ -125,16 +124,19 @@ def train(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
 
     got = chosen.select("lang", "text").mapInArrow(extract, "lang string, x binary").toArrow()
     # in the order of their values, so the fit doesn't depend on the order in which tasks end
-    both = sorted(zip(got.column("lang").to_pylist(), got.column("x").to_pylist(), strict=True))
-    x = np.frombuffer(b"".join(v for _, v in both), np.float32).reshape(-1, 1 << BITS)
-    return Hierarchy(x, [lang for lang, _ in both])
+    langs, vectors = got.column("lang").to_pylist(), got.column("x")
+    order = sorted(range(len(langs)), key=lambda k: (langs[k], vectors[k].as_py()))
+    x = np.empty((len(langs), 1 << BITS), np.float32)
+    for row, k in zip(x, order, strict=True):
+        row[:] = np.frombuffer(vectors[k].as_py(), np.float32)
+    return Hierarchy(x, [langs[k] for k in order])
 
 
 def identify(df: DataFrame, model: Hierarchy, text_col: str = "text", keep_text: bool = True) -> DataFrame:
     """df with lang_pred and score; without text_col unless keep_text."""
     small_batches(df.sparkSession)
     sent = df.sparkSession.sparkContext.broadcast(model)
-    kept = [c for c in df.columns if keep_text or c != text_col]
+    kept = [c for c in df.columns if (keep_text or c != text_col) and c.lower() not in ("lang_pred", "score")]
 
     def predict(batches):
         for b in batches:
