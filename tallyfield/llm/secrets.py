@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fresh_path, small_batches, text_bytes
+from .common import fresh_path, small_batches, stored, text_bytes
 
 RULE_VERSION = "base-1"
 KINDS = ("assign", "access", "hex")
@@ -79,7 +79,8 @@ def _ledger(spark, path: str) -> DataFrame | None:
 
 def secret_spans(df: DataFrame, ledger: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, blob, spans) for every row of df; spans is empty where nothing was found. Without ledger, a new one is made in the shared folder."""
-    found = update_ledger(df, ledger or fresh_path(df.sparkSession, "blob-ledger"), id_col, text_col).filter(F.size("spans") > 0)
+    # stored, so that both sides of the join are dealt for it and a blob with many paths can be split
+    found = stored(update_ledger(df, ledger or fresh_path(df.sparkSession, "blob-ledger"), id_col, text_col).filter(F.size("spans") > 0), "findings")
     paths = df.select(F.col(id_col), F.unhex(F.sha2(text_bytes(text_col), 256)).alias("blob"))
     none = F.array().cast("array<struct<kind:string,start:int,end:int>>")
     return paths.join(found, "blob", "left").select(id_col, "blob", F.coalesce("spans", none).alias("spans"))
@@ -93,7 +94,7 @@ def redact(df: DataFrame, ledger: str | None = None, id_col: str = "doc_id", tex
     """df with every found span replaced by `[kind]`, overlapping spans as one; other rows and columns stay as they are."""
     small_batches(df.sparkSession)
     found = update_ledger(df, ledger or fresh_path(df.sparkSession, "blob-ledger"), id_col, text_col).filter(F.size("spans") > 0)
-    found = found.select(F.col("blob").alias("__blob"), F.col("spans").alias("__spans"))
+    found = stored(found.select(F.col("blob").alias("__blob"), F.col("spans").alias("__spans")), "findings")
     joined_rows = df.withColumn("__blob", F.unhex(F.sha2(text_bytes(text_col), 256))).join(found, "__blob", "left")
 
     @F.pandas_udf("string")
@@ -102,7 +103,7 @@ def redact(df: DataFrame, ledger: str | None = None, id_col: str = "doc_id", tex
 
     cleaned = joined_rows.filter("__spans is not null").withColumn(text_col, cut(F.col(text_col), F.col("__spans")))
     same = joined_rows.filter("__spans is null")
-    return same.unionByName(cleaned).select(*df.columns)
+    return same.unionByName(cleaned).select(*[f"`{c}`" for c in df.columns])
 
 
 def _cut(text: str, spans) -> str:

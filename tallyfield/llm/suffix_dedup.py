@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from .common import small_batches, stored, tasks, text_bytes
 
-GRAM, BLOCK, GROUP = 100, 32, 100_000
+GRAM, BLOCK, GROUP = 100, 32, 50_000
 BITS = 20
 PIECE = 1 << BITS
 MULTIPLIER = 0x9E3779B97F4A7C15
@@ -157,16 +157,20 @@ def repeated_starts(rows: list[tuple]) -> list[tuple[int, int, int]]:
         return []
     if len({r[2:] for r in rows}) == 1:
         return [(rid, at - high, at - low) for rid, at, low, high, _, _ in rows]
-    windows: dict[tuple, int] = {}
-    for _, _, low, high, left, right in rows:
-        for j in range(low, high + 1):
-            w = (j, left[len(left) - j :], right[: BLOCK - 1 - j])
-            windows[w] = windows.get(w, 0) + 1
+    # one offset after another, so that a large group holds its windows once
+    again = np.zeros((len(rows), BLOCK), bool)
+    for j in range(BLOCK):
+        first: dict[bytes, int] = {}
+        for k, (_, _, low, high, left, right) in enumerate(rows):
+            if low <= j <= high:
+                other = first.setdefault(left[len(left) - j :] + right[: BLOCK - 1 - j], k)
+                if other != k:
+                    again[k, j] = again[other, j] = True
     out = []
-    for rid, at, low, high, left, right in rows:
+    for (rid, at, low, high, _, _), hits in zip(rows, again.tolist(), strict=True):
         run = None
         for j in range(high, low - 1, -1):
-            if windows[j, left[len(left) - j :], right[: BLOCK - 1 - j]] > 1:
+            if hits[j]:
                 run = (rid, run[1] if run else at - j, at - j)
             elif run:
                 out.append(run)
@@ -256,7 +260,8 @@ def repeated_spans(df: DataFrame, length: int = 400, id_col: str = "doc_id", tex
     ones = distinct.select(F.col("one.rid").alias("rid"), F.col("one.id").alias("one_id"), F.col("digest").alias("one_digest"), "copies")
     # first pass: grams that stand twice among distinct texts
     runs = scanned.join(ones.select("rid"), "rid", "left_semi").select("rid", F.explode("runs").alias("r")).select("rid", "r.*")
-    twice = runs.groupBy("h").agg(F.count("*").alias("n")).filter("n > 1").select("h")
+    # stored, so that both sides of the join are dealt for it and a gram with many rows can be split
+    twice = stored(runs.groupBy("h").agg(F.count("*").alias("n")).filter("n > 1").select("h"), "twice")
     again = runs.join(twice, "h", "left_semi").groupBy("rid").agg(F.collect_list(F.struct("h", "at", "a", "b")).alias("runs"))
     # second pass: blocks of neighbouring windows, by their common core
     wanted = again.join(ones, "rid")
