@@ -10,7 +10,8 @@ windows. Each pass names a digit and goes on with groups of two or more:
 3. In a group of equal cores the rest, fewer than BLOCK bytes at both ends, is compared as it is.
 
 Equal texts are one suffix set: a text with copies is removed whole if it holds a window at all, and takes part once. Groups of the third
-pass are streamed in order; one of more than GROUP rows goes through a grouping by single windows instead.
+pass are streamed in order. A gram that stands more than GROUP times may lead to a group of more rows: what comes from it is dealt by single
+windows instead, whose counts are aggregated before the shuffle.
 
 Null and empty texts have no bytes. Matches never cross documents. Repeated rows are copies of each other. Null ids are
 ordinary values. Texts of any length are read whole, in pieces that overlap. Extra columns stay out.
@@ -22,6 +23,7 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -107,6 +109,8 @@ class Grams:
 
 
 RUNS = "array<struct<h:long,at:int,a:int,b:int>>"
+#: Parts of a window: its core's key, then its bytes beside the core.
+WINDOW = ["k1", "k2", "j", "edge"]
 RUN_TYPE = pa.list_(pa.struct([("h", pa.int64()), ("at", pa.int32()), ("a", pa.int32()), ("b", pa.int32())]))
 
 
@@ -121,12 +125,13 @@ def chosen_grams(length: int):
 
 
 BLOCKS = "k1 long, k2 long, rid long, at int, low int, high int, left binary, right binary"
+DEALT = f"{BLOCKS}, often boolean"
 
 
 def blocks(length: int):
-    """Arrow batches of (rid, data, runs) to the blocks of their runs: starts at - high to at - low, a core from at on."""
-    core, names = length - BLOCK + 1, [c.split()[0] for c in BLOCKS.split(", ")]
-    types = [pa.int64()] * 3 + [pa.int32()] * 3 + [pa.binary()] * 2
+    """Arrow batches of (rid, data, runs) to the blocks of their runs: starts at - high to at - low, a core from at on; often is the run's."""
+    core, names = length - BLOCK + 1, [c.split()[0] for c in DEALT.split(", ")]
+    types = [pa.int64()] * 3 + [pa.int32()] * 3 + [pa.binary()] * 2 + [pa.bool_()]
 
     def over(batches):
         for b in batches:
@@ -138,7 +143,7 @@ def blocks(length: int):
                         at = r["at"] - x * BLOCK
                         lo, hi = max(low - x * BLOCK, 0), min(high - x * BLOCK, BLOCK - 1)
                         d = xxhash.xxh3_128_digest(data[at : at + core], seed=x)
-                        out.append((int.from_bytes(d[:8], "little", signed=True), int.from_bytes(d[8:], "little", signed=True), rid, at, lo, hi, data[at - hi : at], data[at + core : at + core + BLOCK - 1 - lo]))
+                        out.append((int.from_bytes(d[:8], "little", signed=True), int.from_bytes(d[8:], "little", signed=True), rid, at, lo, hi, data[at - hi : at], data[at + core : at + core + BLOCK - 1 - lo], r["often"]))
                 if len(out) > 20_000:
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], names=names)
                     out = []
@@ -181,7 +186,7 @@ def repeated_starts(rows: list[tuple]) -> list[tuple[int, int, int]]:
 
 
 def equal_groups(batches):
-    """Arrow batches of BLOCKS, ordered by k1 and k2, to repeated starts; the rows of a group of over GROUP rows come back as they are."""
+    """Arrow batches of DEALT, ordered by k1 and k2, to repeated starts; frequent rows and those of a group of over GROUP rows come back as they are."""
     names = [c.split()[0] for c in STARTS.split(", ")]
     types = [pa.int64()] * 3 + [pa.int32()] * 3 + [pa.binary()] * 2 + [pa.int32()] * 2
     key, group, given_up, out = None, [], False, []
@@ -190,6 +195,12 @@ def equal_groups(batches):
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=names)
 
     for b in batches:
+        if (frequent := b.filter(b.column("often"))).num_rows:
+            none = pa.nulls(frequent.num_rows, pa.int32())
+            yield pa.RecordBatch.from_arrays([*frequent.columns[:8], none, none], names=names)
+            b = b.filter(pc.invert(b.column("often")))
+        if not b.num_rows:
+            continue
         k1, k2 = b.column(0).to_numpy(), b.column(1).to_numpy()
         new = np.flatnonzero(np.concatenate([[True], (k1[1:] != k1[:-1]) | (k2[1:] != k2[:-1])]))
         columns = list(zip(*(b.column(c).to_pylist() for c in range(2, 8)), strict=True))
@@ -215,8 +226,9 @@ def single_windows(rows: DataFrame) -> DataFrame:
     w = rows.select("k1", "k2", "rid", "at", F.explode(F.sequence("low", "high")).alias("j"), "left", "right")
     bytes_of = F.expr(f"concat(substring(left, length(left) - j + 1, j), substring(right, 1, {BLOCK - 1} - j))")
     w = w.select("k1", "k2", "rid", (F.col("at") - F.col("j")).alias("start"), "j", bytes_of.alias("edge"))
-    often = w.groupBy("k1", "k2", "j", "edge").agg(F.count("*").alias("n")).filter("n > 1")
-    return w.join(often, ["k1", "k2", "j", "edge"], "left_semi").select("rid", F.col("start").alias("first"), F.col("start").alias("last"))
+    # stored, so that a window with many rows can be split in the join
+    often = stored(w.groupBy(*WINDOW).agg(F.count("*").alias("n")).filter("n > 1").select(*WINDOW), "windows")
+    return w.join(often, WINDOW, "left_semi").select("rid", F.col("start").alias("first"), F.col("start").alias("last"))
 
 
 def spans_of(starts, length: int) -> list[tuple[int, int]]:
@@ -261,13 +273,14 @@ def repeated_spans(df: DataFrame, length: int = 400, id_col: str = "doc_id", tex
     # first pass: grams that stand twice among distinct texts
     runs = scanned.join(ones.select("rid"), "rid", "left_semi").select("rid", F.explode("runs").alias("r")).select("rid", "r.*")
     # stored, so that both sides of the join are dealt for it and a gram with many rows can be split
-    twice = stored(runs.groupBy("h").agg(F.count("*").alias("n")).filter("n > 1").select("h"), "twice")
-    again = runs.join(twice, "h", "left_semi").groupBy("rid").agg(F.collect_list(F.struct("h", "at", "a", "b")).alias("runs"))
+    twice = stored(runs.groupBy("h").agg(F.count("*").alias("n")).filter("n > 1").select("h", (F.col("n") > GROUP).alias("often")), "twice")
+    again = runs.join(twice, "h").groupBy("rid").agg(F.collect_list(F.struct("at", "a", "b", "often")).alias("runs"))
     # second pass: blocks of neighbouring windows, by their common core
     wanted = again.join(ones, "rid")
     same = (F.col("id").eqNullSafe(F.col("one_id"))) & (F.col("digest") == F.col("one_digest"))
     fetched = texts.join(wanted.hint("shuffle_hash"), same).select("rid", "data", "runs")
-    dealt = fetched.mapInArrow(blocks(length), BLOCKS).repartition(tasks(df), "k1", "k2").sortWithinPartitions("k1", "k2")
+    salt = F.when(F.col("often"), F.xxhash64("rid", "at"))  # frequent rows aren't grouped here
+    dealt = fetched.mapInArrow(blocks(length), DEALT).repartition(tasks(df), "k1", "k2", salt).sortWithinPartitions("k1", "k2")
     # third pass: windows of equal cores
     found = stored(dealt.mapInArrow(equal_groups, STARTS).select("rid", "first", "last", *[c.split()[0] for c in BLOCKS.split(", ") if not c.startswith("rid")]), "starts")
     starts, large = found.filter("first is not null").select("rid", "first", "last"), found.filter("first is null")
