@@ -300,7 +300,7 @@ def test_class_model_sums_to_one():
     t = np.append(rng.integers(0, 2**63, 500).astype(np.uint64), lm_scoring.END)
     model = lm_scoring.Weights()
     model.w = rng.normal(size=model.w.shape).astype(np.float32)
-    assert np.allclose(np.exp(model.log_probs(lm_scoring.feature_rows(t))).sum(axis=1), 1, atol=1e-4)
+    assert np.allclose(model.probs(lm_scoring.feature_rows(t)).sum(axis=1), 1, atol=1e-4)
 
 
 def test_lm_odd(spark):
