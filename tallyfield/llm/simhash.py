@@ -12,7 +12,8 @@ larger bucket go to a second index, by all pairs of wildcard bits, whose buckets
 near_duplicates works on the Jaccard similarity of word shingles. SimHash bits cannot reach 0.8 there (about 10 of 64 bits differ),
 so its signature has min-wise hashes for places: SEGMENTS of PLACES, one place wildcarded. At similarity 0.8 a pair is missed with a
 chance of (1 - 0.8**5 - 5*0.2*0.8**4)**6 = 0.0003. Candidates are verified on the texts' whole shingle sets. In each bucket every
-member is a candidate with a leader, and with every member in buckets up to SMALL; leaders differ by segment.
+member is a candidate with a leader, and with every member in buckets up to SMALL; leaders differ by segment. Members of larger
+buckets that are not of their leader's component then are joined exactly, by common shingles in their prefixes, rare ones first.
 
 Texts: ASCII letters lower-cased, words between ASCII white space, fewer words than a shingle make one shingle; null and empty
 texts have no words, fingerprint 0, and are copies of one another. Null ids never name a component while another id is there;
@@ -32,6 +33,8 @@ from pyspark.sql import functions as F
 from .common import components, small_batches, stored, tasks, text_bytes
 
 BUCKET = 8192
+#: Members of a common shingle that are compared at once.
+BLOCK = 256
 SEGMENTS, PLACES, SMALL = 6, 5, 8
 #: Shingles hashed at once.
 PIECE = 1 << 16
@@ -230,20 +233,108 @@ def signatures(df: DataFrame, id_col: str, text_col: str, width: int) -> DataFra
 
 
 def bucket_candidates(batches):
-    """Arrow batches of (key, place, turn, node), ordered by key and turn, to candidates (a, b): each member with its bucket's first, and with all before it in small buckets."""
+    """Arrow batches of (key, place, turn, node), ordered by key and turn, to candidates (a, b): each member with its bucket's first, and with all before it in small buckets.
+
+    shared is 1 once for each bucket; hot marks the pairs with the first of a larger bucket, whose other pairs are left open.
+    """
     key, first, place = None, [], 0
     for b in batches:
-        out_a, out_b = [], []
+        out_a, out_b, shared, hot = [], [], [], []
         for k, node in zip(b.column(0).to_pylist(), b.column(2).to_pylist(), strict=True):
             if k != key:
                 key, first, place = k, [], 0
+            if place == SMALL:  # only now it is known that the bucket is a larger one
+                for other in first[1:]:
+                    out_a.append(other)
+                    out_b.append(first[0])
+                    shared.append(0)
+                    hot.append(True)
             for other in first[: 1 if place >= SMALL else SMALL]:
                 out_a.append(node)
                 out_b.append(other)
+                shared.append(1)
+                hot.append(place >= SMALL)
             if place < SMALL:
                 first.append(node)
             place += 1
-        yield pa.RecordBatch.from_arrays([pa.array(out_a, pa.int64()), pa.array(out_b, pa.int64())], names=["a", "b"])
+        yield pa.RecordBatch.from_arrays([pa.array(out_a, pa.int64()), pa.array(out_b, pa.int64()), pa.array(shared, pa.int64()), pa.array(hot, pa.bool_())], names=["a", "b", "shared", "hot"])
+
+
+def open_nodes(pairs: DataFrame, roots: DataFrame) -> DataFrame:
+    """(node, root) of the members of larger buckets that are not yet of one component, and of few others: two nodes whose pair was left open are both here."""
+    a, b = (roots.select(F.col("node").alias(c), F.col("component").alias(f"root_{c}")) for c in "ab")
+    hot = pairs.filter("hot").join(a, "a", "left").join(b, "b", "left").select("a", "b", F.coalesce("root_a", "a").alias("root_a"), F.coalesce("root_b", "b").alias("root_b"))
+    hot = stored(hot, "hot")
+    apart = hot.filter("root_a <> root_b")
+    hubs = apart.select(F.col("a").alias("hub")).unionAll(apart.select(F.col("b").alias("hub"))).distinct()
+    both = hot.select(F.col("a").alias("hub"), F.col("b").alias("node"), F.col("root_b").alias("root")).unionAll(hot.select(F.col("b").alias("hub"), F.col("a").alias("node"), F.col("root_a").alias("root")))
+    ends = apart.select(F.col("a").alias("node"), F.col("root_a").alias("root")).unionAll(apart.select(F.col("b").alias("node"), F.col("root_b").alias("root")))
+    return both.join(hubs, "hub", "left_semi").select("node", "root").unionAll(ends).distinct()
+
+
+def prefix_candidates(similarity: float):
+    """Arrow batches of (token, i, j, block, node, root, size, pos), ordered by the first three, to candidates (a, b) of different roots.
+
+    A common token at places pos of two ordered sets, the first one they share, leaves size - pos common ones at most.
+    """
+
+    def found(block, node, root, size, pos, i, j):
+        x, y = (np.flatnonzero(block == k) for k in (i, j))
+        left = np.minimum((size - pos)[x][:, None], (size - pos)[y])
+        keep = (root[x][:, None] != root[y]) & ((1 + similarity) * left >= similarity * (size[x][:, None] + size[y]) - 1e-6)
+        if i == j:
+            keep = np.triu(keep, 1)
+        p, q = np.nonzero(keep)
+        return node[x[p]], node[y[q]]
+
+    def over(batches):
+        held = None
+        for b in batches:
+            now = np.stack([c.to_numpy() for c in b.columns], 1).astype(np.int64)
+            held = now if held is None else np.concatenate([held, now])
+            if not len(held):
+                continue
+            at = np.flatnonzero(np.concatenate([[True], (held[1:, :3] != held[:-1, :3]).any(axis=1)]))
+            yield from groups(held[: at[-1]], at)
+            held = held[at[-1] :]
+        if held is not None and len(held):
+            yield from groups(held, np.array([0, len(held)]))
+
+    def groups(rows, at):
+        for m, n in zip(at[:-1], at[1:], strict=True):
+            a, b = found(*rows[m:n, 3:].T, rows[m, 1], rows[m, 2])
+            if len(a):
+                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
+    return over
+
+
+def prefix_pairs(nodes: DataFrame, texts: DataFrame, width: int, similarity: float) -> DataFrame:
+    """Candidates (a, b, shared) among all nodes (node, root) of different roots, every similar pair being one.
+
+    Sets are put in one order, rare shingles first; similar ones share a shingle in their prefixes. Common shingles are dealt out by pairs of blocks.
+    """
+
+    def compute(batches):
+        for b in batches:
+            for node, root, data in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                s = shingles(data, width).view(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(s), v), pa.int64()) for v in (node, root, len(s))] + [pa.array(s, pa.int64())], names=["node", "root", "size", "token"])
+
+    rows = stored(nodes.join(texts, "node").select("node", "root", "data").mapInArrow(compute, "node long, root long, size long, token long"), "shingles")
+    counts = rows.groupBy("token").agg(F.count("*").alias("n"))
+    ranked = rows.join(counts, "token").groupBy("node", "root", "size").agg(F.array_sort(F.collect_list(F.struct("n", "token"))).alias("all"))
+    prefix = (F.col("size") - F.ceil(F.col("size") * similarity - 1e-6) + 1).cast("int")
+    tokens = ranked.select("node", "root", "size", F.posexplode(F.slice("all", F.lit(1), prefix)).alias("pos", "at")).filter("at.n > 1")
+    tokens = stored(tokens.select(F.col("at.token").alias("token"), "node", "root", "size", F.col("pos").cast("long").alias("pos")), "prefixes")
+    buckets = tokens.groupBy("token").agg(F.count("*").alias("n"), F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo <> hi")
+    blocks = F.ceil(F.col("n") / BLOCK)
+    dealt = tokens.join(buckets.select("token", blocks.alias("blocks")), "token").withColumn("block", F.pmod(F.xxhash64("node"), "blocks"))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    keys = ["token", "i", "j"]
+    dealt = dealt.select("token", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "node", "root", "size", "pos")
+    found = dealt.repartition(tasks(nodes), *keys).sortWithinPartitions(*keys).mapInArrow(prefix_candidates(similarity), "a long, b long")
+    return found.groupBy(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).agg(F.count("*").alias("shared"))
 
 
 def verified(pairs: DataFrame, texts: DataFrame, width: int, similarity: float) -> DataFrame:
@@ -264,6 +355,19 @@ def verified(pairs: DataFrame, texts: DataFrame, width: int, similarity: float)
     return rows.mapInArrow(check, "a long, b long")
 
 
+def joined_by(pairs: DataFrame, texts: DataFrame, width: int, similarity: float, known: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """The links (a, b) of `known` and enough similar ones of `pairs` (a, b, shared) for the components, and these."""
+    # first each node with the partner that it shares most keys with; then what the components so far leave open
+    best = pairs.groupBy("a").agg(F.max(F.struct("shared", "b")).alias("best")).select("a", F.col("best.b").alias("b"))
+    first = stored(verified(best, texts, width, similarity), "verified")
+    first = first if known is None else first.unionAll(known)
+    roots = components(first)
+    a, b = (roots.select(F.col("node").alias(c), F.col("component").alias(f"root_{c}")) for c in "ab")
+    rest = pairs.join(best, ["a", "b"], "left_anti").join(a, "a", "left").join(b, "b", "left").filter("root_a is null or root_b is null or root_a <> root_b").select("a", "b")
+    links = first.unionAll(stored(verified(rest, texts, width, similarity), "verified"))
+    return links, components(links)
+
+
 def near_duplicates(df: DataFrame, width: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, component_id) of each row: components of texts whose sets of word shingles have a Jaccard similarity of `similarity` or more."""
     rows = stored(signatures(df, id_col, text_col, width), "signatures")
@@ -271,8 +375,8 @@ def near_duplicates(df: DataFrame, width: int = 5, similarity: float = 0.8, id_c
     keyed = nodes.select(F.posexplode("keys").alias("place", "key"), "node")
     turn = F.xxhash64("node", (F.col("place") / PLACES).cast("int"))
     ordered = keyed.select("key", turn.alias("turn"), "node").repartition(tasks(df), "key").sortWithinPartitions("key", "turn", "node")
-    pairs = ordered.mapInArrow(bucket_candidates, "a long, b long")
-    pairs = stored(pairs.groupBy(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).agg(F.count("*").alias("shared")), "candidates")
+    pairs = ordered.mapInArrow(bucket_candidates, "a long, b long, shared long, hot boolean")
+    pairs = stored(pairs.groupBy(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).agg(F.sum("shared").alias("shared"), F.bool_or("hot").alias("hot")), "candidates")
     # the texts of nodes in any pair, fetched once by the least id of each
     used = pairs.select(F.col("a").alias("node")).unionAll(pairs.select(F.col("b").alias("node"))).distinct()
     wanted = used.join(nodes.select("node", "least"), "node").select(F.col("least").alias("wanted_id"), F.col("node").alias("wanted"))
@@ -286,13 +390,12 @@ def near_duplicates(df: DataFrame, width: int = 5, similarity: float = 0.8, id_c
     texts = stored(fetched.select(F.col("wanted").alias("node"), "data").mapInArrow(right_ones, "node long, data binary"), "texts")
     if rows.groupBy("id").count().filter("count > 1").limit(1).count():
         texts = texts.groupBy("node").agg(F.first("data").alias("data"))
-    # first each node with the partner that it shares most keys with; then what the components so far leave open
-    best = pairs.groupBy("a").agg(F.max(F.struct("shared", "b")).alias("best")).select("a", F.col("best.b").alias("b"))
-    first = stored(verified(best, texts, width, similarity), "verified")
-    roots = components(first)
-    a, b = (roots.select(F.col("node").alias(c), F.col("component").alias(f"root_{c}")) for c in "ab")
-    rest = pairs.join(best, ["a", "b"], "left_anti").join(a, "a", "left").join(b, "b", "left").filter("root_a is null or root_b is null or root_a <> root_b").select("a", "b")
-    joined = components(first.unionAll(stored(verified(rest, texts, width, similarity), "verified")))
+    links, joined = joined_by(pairs, texts, width, similarity)
+    # members of larger buckets that their leaders leave apart
+    apart = stored(open_nodes(pairs, joined), "open")
+    if not apart.isEmpty():
+        more = stored(prefix_pairs(apart, texts, width, similarity).join(pairs, ["a", "b"], "left_anti"), "candidates")
+        links, joined = joined_by(more, texts, width, similarity, links)
     named = nodes.select("node", "least").join(joined, "node", "left").withColumn("root", F.coalesce("component", "node"))
     named = named.join(named.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("node", "component_id")
     return rows.select("id", "node").join(named, "node").select(F.col("id").alias(id_col), "component_id")

@@ -135,6 +135,32 @@ def test_near_duplicates(spark):
     assert sorted(kept) == sorted(set(want))
 
 
+def family(n, edits, seed=9):
+    """Noisy copies of one text, similar to each other to about 0.8."""
+    rng = random.Random(seed)
+    base, out = word_text(rng, 150).split(), []
+    for k in range(n):
+        x = list(base)
+        for _ in range(edits[k % len(edits)]):
+            at = rng.randrange(len(x))
+            x[at] = f"e{rng.randrange(10**6)}"
+        out.append(" ".join(x))
+    return out
+
+
+@pytest.mark.parametrize("block", [simhash.BLOCK, 16])
+def test_near_duplicates_of_large_buckets(spark, monkeypatch, block):
+    # most of the members are too far from any leader of a bucket, and close to some others
+    monkeypatch.setattr(simhash, "BLOCK", block)
+    texts = family(400, (2, 3, 4))
+    sets = [shingle_set(t) for t in texts]
+    want = find_components(len(texts), [(a, b) for a in range(len(texts)) for b in range(a) if similar(sets[a], sets[b])])
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    got = {r.doc_id: r.component_id for r in simhash.near_duplicates(df).collect()}
+    assert [got[k] for k in range(len(texts))] == want
+    assert 1 < len(set(want)) < len(texts)
+
+
 def test_first_of_each_odd(spark):
     kept = simhash.first_of_each(odd(spark))
     assert kept.columns == odd(spark).columns
