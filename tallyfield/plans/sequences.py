@@ -135,7 +135,7 @@ def seg_smooth_text(t, spark):
 
 def boundary_scores(t):
     # a row a sentence: new words and a change of length score as a boundary
-    s = t("documents").filter("doc_id < 200").select("doc_id", F.posexplode(F.split("text", r"\.\s")).alias("pos", "s")).withColumn("w", X.tokens("s"))
+    s = t("documents").select("doc_id", F.posexplode(F.split("text", r"\.\s")).alias("pos", "s")).withColumn("w", X.tokens("s"))
     w = Window.partitionBy("doc_id").orderBy("pos")
     fresh = F.size(F.array_except("w", F.flatten(F.collect_list("w").over(w.rowsBetween(-20, -1)))))
     scored = s.withColumn("score", fresh / F.greatest(F.lit(1), F.size("w")) + F.when(F.lag(F.length("s")).over(w) > 2 * F.length("s"), 1.0).otherwise(0.0))
@@ -159,15 +159,16 @@ def seg_boundaries(t, spark):
 def seg_blocks(t, spark):
     def merge(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values("first_pos", kind="stable")
-        out = Q.merge_blocks([(k, a, b, set(x)) for k, a, b, x in zip(rows["kind"], rows["first_pos"], rows["last_pos"], rows["topics"], strict=True)])
+        out = Q.topic_blocks([(a, b, {r["w"]: r["n"] for r in x}) for a, b, x in zip(rows["first_pos"], rows["last_pos"], rows["topics"], strict=True)])
         return pd.DataFrame([(rows["doc_id"].iloc[0], k, a, b, len(x)) for k, a, b, x in out], columns=["doc_id", "kind", "first_pos", "last_pos", "topics"])
 
     blocks = seg_boundaries(t, spark)
-    lines = boundary_scores(t).select(F.col("doc_id").alias("d"), "pos", "w")
-    # a key per document, then positions inside the block
+    lines = boundary_scores(t).select(F.col("doc_id").alias("d"), "pos", F.explode_outer(F.array_distinct("w")).alias("w"))
+    # a key per document, then positions inside the block; a topic counts once a sentence
     held = blocks.join(lines, (F.col("doc_id") == F.col("d")) & F.col("pos").between(F.col("first_pos"), F.col("last_pos")))
-    per = held.groupBy("doc_id", "first_pos", "last_pos").agg(F.slice(F.array_sort(F.array_distinct(F.flatten(F.collect_list("w")))), 1, 20).alias("topics"), F.count("*").alias("n"))
-    return Q.grouped(per.withColumn("kind", F.when(F.col("n") >= 12, "long").otherwise("short")), ["doc_id"], merge, "doc_id long, kind string, first_pos long, last_pos long, topics long")
+    counts = held.groupBy("doc_id", "first_pos", "last_pos", "w").agg(F.count("*").alias("n"))
+    per = counts.groupBy("doc_id", "first_pos", "last_pos").agg(F.collect_list(F.when(F.col("w").isNotNull(), F.struct("w", "n"))).alias("topics"))
+    return Q.grouped(per, ["doc_id"], merge, "doc_id long, kind string, first_pos long, last_pos long, topics long")
 
 
 @query("""SELECT e.event_id, v.event_id AS frame_id, CASE WHEN v.value >= 4.5 THEN v.event_type END AS speaker FROM (SELECT * FROM events WHERE event_id % 4 = 0) e ASOF LEFT JOIN (SELECT * FROM events WHERE event_id % 4 <> 0) v ON e.user_id = v.user_id AND e.ts >= v.ts""")

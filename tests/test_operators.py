@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import random
+import re
+from collections import Counter
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -17,6 +21,7 @@ from tallyfield.operators import clustering as C
 from tallyfield.operators import joins, mutations, paging
 from tallyfield.operators import sequences as Q
 from tallyfield.operators import windows as W
+from tallyfield.plans import sequences as plans
 from tallyfield.sources import files
 from tallyfield.streaming import jobs
 
@@ -186,6 +191,68 @@ def test_smoothing():
     assert Q.keep_longer([(0, "p", "ab"), (0, "p", "cd"), (1, "p", "x"), (1, "q", "y")]) == [(0, "p", "ab", [1]), (0, "p", "cd", [1]), (1, "q", "y", [])]
 
 
+def topic_texts():
+    """Long texts of sections, each with words of its own or those of a section before."""
+    rng = random.Random(3)
+    out = {}
+    for doc in (5, 200, 100_000):
+        text = []
+        for part in range(6):
+            words = [f"{chr(97 + k)}word{part // 2}" for k in range(26)] + [f"only{doc}x{part}x{k}" for k in range(5)]
+            for k in range(rng.randrange(5, 60)):
+                text.append(" ".join(rng.choices(words, k=rng.randrange(1, 12))) if rng.random() < 0.9 else f"once{part}y{k} twice{part}y{k}")
+        out[doc] = ". ".join(text)
+    return out
+
+
+def brute_blocks(text):
+    sentences = re.split(r"\.\s", text)
+    words = [[w for w in re.sub("[^a-z0-9]+", " ", x.lower()).split(" ") if len(w) >= 3] for x in sentences]
+    score = []
+    for k, w in enumerate(words):
+        recent = {x for v in words[max(0, k - 20) : k] for x in v}
+        score.append(len(set(w) - recent) / max(1, len(w)) + (k > 0 and len(sentences[k - 1]) > 2 * len(sentences[k])))
+    peaks = [(k, x) for k, x in enumerate(score) if x >= 1 and x == max(score[max(0, k - 10) : k + 11])]
+    cuts = [0, *Q.thin_boundaries(peaks, 8, len(score)), len(score)]
+    bounds = list(zip(cuts, [x - 1 for x in cuts[1:]], strict=False))
+    named = lambda a, b: Counter(x for w in words[a : b + 1] for x in set(w))
+    often = lambda a, b, least: {x for x, n in named(a, b).items() if n >= least}
+    blocks, before = list(bounds), None
+    while blocks != before:
+        before, kept = blocks, []
+        for a, b in blocks:
+            if kept:
+                p, q = kept[-1]
+                n, m = q - p + 1, b - a + 1
+                shared = len(often(p, q, 1 if n < 50 else 2) & often(a, b, 1 if m < 50 else 2))
+                if min(n, m) < 80 and (shared > 1 or shared == 1 and (often(p, q, 2) or often(a, b, 2))):
+                    kept[-1] = (p, b)
+                    continue
+            kept.append((a, b))
+        blocks = kept
+    return bounds, [("focused" if often(a, b, 2) else "general", a, b, len(often(a, b, 2))) for a, b in blocks]
+
+
+def test_segments_of_all_documents(spark):
+    texts = topic_texts()
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    bounds, blocks = (sorted(map(tuple, f(lambda name: df, spark).collect())) for f in (plans.seg_boundaries, plans.seg_blocks))
+    want = {doc: brute_blocks(text) for doc, text in texts.items()}
+    assert bounds == sorted((doc, a, b) for doc, (x, _) in want.items() for a, b in x)
+    assert len(bounds) > 2 * len(texts)
+    assert blocks == sorted((doc, *x) for doc, (_, y) in want.items() for x in y)
+    assert len(texts) < len(blocks) < len(bounds)
+
+
+def test_topic_blocks():
+    many = {f"a{k:02}": 1 for k in range(30)}  # shared words may come late in the alphabet
+    assert Q.topic_blocks([(0, 9, many | {"x": 2}), (10, 19, {"b": 2, "x": 1}), (20, 29, {"c": 1}), (30, 39, {"c": 1, "d": 1})]) == [("focused", 0, 19, ["x", "b"]), ("general", 20, 29, []), ("general", 30, 39, [])]
+    # two long blocks stay apart, whatever they share; in those of 50 sentences a topic needs two
+    assert len(Q.topic_blocks([(0, 79, {"x": 9, "y": 9}), (80, 159, {"x": 9, "y": 9})])) == 2
+    assert len(Q.topic_blocks([(0, 49, {"x": 1, "y": 1}), (50, 99, {"x": 9, "y": 9})])) == 2
+    assert Q.topic_blocks([]) == []
+
+
 def test_sliding_spans(spark):
     rows = spark.createDataFrame([(1, 1.0), (2, 2.0), (3, 3.2)], "id long, d double")
     got = sorted((r.id, r.start_s, r.end_s) for r in Q.sliding_spans(rows, "d", 2.0, 0.5).collect())
