@@ -321,12 +321,100 @@ def test_lm_learns_order(spark):
     assert sum(r.score for r in rows) > sum(r.base_score for r in rows)
 
 
-def test_class_model_sums_to_one():
-    rng = np.random.default_rng(0)
-    t = np.append(rng.integers(0, 2**63, 500).astype(np.uint64), lm_scoring.END)
-    model = lm_scoring.Weights()
-    model.w = rng.normal(size=model.w.shape).astype(np.float32)
-    assert np.allclose(model.probs(lm_scoring.feature_rows(t)).sum(axis=1), 1, atol=1e-4)
+def lm_fixture(spark, parts=3):
+    rng = random.Random(12)
+    chains = {w: rng.sample(range(60), 5) for w in range(60)}
+
+    def text():
+        w, out = rng.randrange(60), []
+        for _ in range(rng.randrange(0, 80)):
+            out.append(f"w{w}" if rng.random() < 0.95 else f"once{rng.randrange(10**6)}")
+            w = rng.choice(chains[w]) if rng.random() < 0.8 else rng.randrange(60)
+        return " ".join(out)
+
+    docs = [(k, text()) for k in range(300)] + [(900, "Unknown words HERE")]
+    return docs, spark.createDataFrame(docs, "doc_id long, text string").repartition(parts)
+
+
+@pytest.mark.parametrize("head", [lm_scoring.HEAD, 40])
+def test_lm_dense_reference(spark, monkeypatch, head):
+    """score against softmaxes over all words, from the counts and the learnt weights; they sum to 1, and the pair weights are at their optimum."""
+    monkeypatch.setattr(lm_scoring, "HEAD", head)
+    docs, df = lm_fixture(spark)
+    out = {k: zlib.crc32(str(k).encode()) % 7 == 2 for k, _ in docs}
+    of_doc = {k: [xxhash.xxh64_intdigest(w) for w in t.encode().lower().split()] + [int(lm_scoring.END)] for k, t in docs}
+    c = collections.Counter(w for k, t in of_doc.items() if not out[k] for w in t)
+    learn = df.filter(~held()).select(F.col("text").cast("binary").alias("data"))
+    counts = spark.createDataFrame([(int(np.uint64(w).view(np.int64)), n) for w, n in c.items()], "hash long, c long")
+    m, _, _ = lm_scoring.train(learn, counts)
+    number = {int(h): k for k, h in enumerate(m.v.known)}
+    assert (len(number) == len(c)) == (head > len(c)) and int(lm_scoring.END) in number
+    weight = {int(k): x for k, x in zip(m.keys, m.values, strict=True) if int(k) & ((1 << lm_scoring.LOW) - 1) < lm_scoring.CLASS}
+    members = collections.defaultdict(list)
+    for h, k in number.items():
+        members[int(m.v.class_of[k])].append(h)
+    rare = len(number)
+    rare_mass = sum(n + 1 for h, n in c.items() if h not in number) + 1
+
+    def place(t, i):
+        end = int(lm_scoring.END)
+        last = t[i - 1] if i else end
+        skip = t[i - 2] if i > 1 else end
+        row = (last * 0x9E3779B97F4A7C15 % 2**64) >> (64 - m.v.bits)
+        context = number[last] if last in number else rare + 1 + number.get(skip, rare)
+        return context, m.classes[row * lm_scoring.CLASSES + int(m.v.class_of[number.get(skip, rare)])]
+
+    def dense(context, logs):
+        """Probability of every known word, and of the unknown one."""
+        p = {}
+        for k, words in members.items():
+            s = {h: (c[h] + 1) * math.exp(weight.get(context << lm_scoring.LOW | number[h], 0.0)) for h in words}
+            p |= {h: math.exp(logs[k]) * x / sum(s.values()) for h, x in s.items()}
+        unknown = math.exp(logs[lm_scoring.RARE]) / rare_mass
+        return p | {h: unknown * (n + 1) for h, n in c.items() if h not in number}, unknown
+
+    got = {r.doc_id: r.score for r in lm_scoring.lm_scores(df, held()).collect()}
+    expected = collections.Counter()
+    seen = collections.Counter()
+    for k, t in of_doc.items():
+        total = 0.0
+        for i, w in enumerate(t):
+            context, logs = place(t, i)
+            p, unknown = dense(context, logs)
+            if i % 7 == 0:
+                assert math.isclose(sum(p.values()) + unknown, 1, abs_tol=1e-5)
+            total += math.log10(p.get(w, unknown))
+            if not out[k] and w in number:
+                of = int(m.v.class_of[number[w]])
+                seen[context, w] += 1
+                for h in members[of]:
+                    expected[context, h] += p[h] / math.exp(logs[of])
+        assert math.isclose(total, got[k], abs_tol=1e-6 * (1 + len(t)))
+    for (context, w), n in seen.items():
+        key = context << lm_scoring.LOW | number[w]
+        if key in weight and context <= 2 * rare:
+            assert math.isclose(expected[context, w], n - lm_scoring.DISCOUNT, abs_tol=1e-6 * n)
+    assert any(x > 0 for x in weight.values())
+
+
+def test_lm_partitions_and_gain(spark, monkeypatch):
+    """Scores don't depend on how rows are dealt, nor on pieces and steps; held-out text gains over the base."""
+    _, df = lm_fixture(spark, 1)
+    one = {r.doc_id: r for r in lm_scoring.lm_scores(df, held()).collect()}
+    for name, small in (("STEP", 7), ("HELD", 50), ("PIECE", 20), ("SHARD", 100)):
+        monkeypatch.setattr(lm_scoring, name, small)
+    other = {r.doc_id: r for r in lm_scoring.lm_scores(df.repartition(5), held()).collect()}
+    assert all(math.isclose(one[k].score, other[k].score, abs_tol=1e-6) and one[k].n_tokens == other[k].n_tokens for k in one)
+    rows = [r for r in one.values() if r.held_out]
+    assert sum(r.score - r.base_score for r in rows) * math.log(10) > 0.3 * sum(r.n_tokens for r in rows)
+
+
+def test_lm_frequent_bounds(spark):
+    df = spark.range(1, 2001).select(F.expr("id % 700 + 1").alias("n"))
+    for most in (0, 1, 50, 300, 1999, 2000, 5000):
+        least = lm_scoring.cut_off(df, "n", F.lit(1), most)
+        assert df.filter(F.col("n") >= least).count() <= most
+    assert lm_scoring.cut_off(df, "n", F.lit(1), 2000) <= 1
 
 
 def test_lm_odd(spark):
