@@ -197,19 +197,60 @@ def test_packing(spark, monkeypatch, group):
     check_packing(packing.best_fit_packing(df, F.col("n"), (16, 64, 128)).collect(), sizes, (16, 64, 128))
 
 
-def test_joint_lengths_beat_each_alone():
+def packed_cost(sizes, lengths, cost):
+    bins, _, capacity = packing.pack(sizes, lengths, cost)
+    return sum(map(cost, {b: capacity[b] for b in bins}.values()))
+
+
+def least_cost(sizes, lengths, cost):
+    """Over all ways to put sizes together."""
+    best = math.inf
+
+    def go(k, fills):
+        nonlocal best
+        if k == len(sizes):
+            best = min(best, sum(cost(next(c for c in lengths if c >= f)) for f in fills))
+            return
+        for i in range(len(fills)):
+            if fills[i] + sizes[k] <= lengths[-1]:
+                go(k + 1, [*fills[:i], fills[i] + sizes[k], *fills[i + 1 :]])
+        go(k + 1, [*fills, sizes[k]])
+
+    go(0, [])
+    return best
+
+
+@pytest.mark.parametrize("cost", [lambda c: 1 + c * (1 + c / 64), lambda c: 3 + c, lambda c: c * c])
+def test_packing_against_all_ways(cost):
+    rng, lengths, ratios, below = random.Random(1), (4, 8, 16), [], 0
+    for _ in range(60):
+        sizes = sorted((rng.randint(1, 16) for _ in range(7)), reverse=True)
+        got = packed_cost(sizes, lengths, cost)
+        ratios.append(got / least_cost(sizes, lengths, cost))
+        fills = [packing.best_fit(sizes, lengths, cost, floor)[2] for floor in lengths]
+        floors = min(sum(cost(next(c for c in lengths if c >= x)) for x in f) for f in fills)
+        assert got <= floors + 1e-9
+        below += got < floors - 1e-9
+    assert min(ratios) >= 1 - 1e-9 and max(ratios) < 1.13 and sum(r < 1 + 1e-9 for r in ratios) >= 50
+
+
+def test_lengths_mix_by_demand():
+    """Nines alone fill a bin of 9 best, fours a bin of 16: no single least length opens both well."""
+    sizes, lengths, cost = [9] * 20 + [4] * 40, (9, 16), lambda c: c
+    floors = [sum(next(c for c in lengths if c >= x) for x in packing.best_fit(sizes, lengths, cost, floor)[2]) for floor in lengths]
+    assert packed_cost(sizes, lengths, cost) == 9 * 20 + 16 * 10 < min(floors)
+
+
+def test_near_lower_bound():
     rng = random.Random(6)
     sizes = sorted((min(8192, int(rng.lognormvariate(6, 1)) + 1) for _ in range(3000)), reverse=True)
-    joint = sum(map(packing.default_cost, packing.pack(sizes)[2]))
-    for floor in packing.LENGTHS:
-        fill = packing.best_fit(sizes, packing.LENGTHS, floor)[2]
-        assert joint <= sum(packing.default_cost(next(c for c in packing.LENGTHS if c >= x)) for x in fill) + 1e-9
-    largest_only = len(packing.best_fit(sizes, (8192,), 8192)[2]) * packing.default_cost(8192)
-    assert joint < largest_only
+    cost = packing.default_cost
+    bound = sum(x * min(cost(c) / c for c in packing.LENGTHS if c >= x) for x in sizes)
+    assert bound <= packed_cost(sizes, packing.LENGTHS, cost) < 1.02 * bound
 
 
 def test_best_fit_takes_the_tightest_bin():
-    bins, offsets, fill = packing.best_fit([60, 50, 40, 30, 10], (100,), 100)
+    bins, offsets, fill = packing.best_fit([60, 50, 40, 30, 10], (100,), packing.default_cost)
     assert (bins, offsets, fill) == ([0, 1, 0, 1, 1], [0, 0, 60, 50, 80], [100, 90])
 
 
@@ -219,6 +260,19 @@ def test_packing_odd(spark):
     assert packing.best_fit_packing(empty(spark), F.length("text")).count() == 0
 
 
+def test_packing_repeats_and_large_ids(spark, monkeypatch):
+    monkeypatch.setattr(packing, "GROUP_ROWS", 50)
+    big = 2**62 + 1
+    rows = [(7, 3)] * 400 + [(None, 5)] * 30 + [(big, 2), (big, 70)]
+    df = spark.createDataFrame(rows, "doc_id long, n long")
+    got = packing.best_fit_packing(df, F.col("n"), (16, 64)).collect()
+    assert collections.Counter((r.doc_id, r["size"]) for r in got) == {(7, 3): 400, (None, 5): 30, (big, 2): 1, (big, 64): 1, (big, 6): 1}
+    dealt = collections.Counter(r.bin_id >> 32 for r in got)
+    assert len(dealt) == 9 and max(dealt.values()) < 100
+    again = packing.best_fit_packing(df.repartition(7), F.col("n"), (16, 64)).collect()
+    assert collections.Counter(map(tuple, again)) == collections.Counter(map(tuple, got))
+
+
 # --- repeated substrings ----------------------------------------------------------------------------------------------
 
 
