@@ -1,7 +1,7 @@
 """Operator 9: approximate nearest neighbours by cosine with a robust-pruned directed graph in each shard.
 
-Equal vectors become one node with its least ids, as many as a result can need, so copies cost nothing. Nodes are dealt to shards of bounded
-size by a hash. A shard's graph is built in one task: points enter in batches, a greedy beam search over the graph so far
+Equal vectors become one node with its least ids, as many as a result can need, so copies cost nothing. Nodes are dealt to shards of SHARD_BYTES
+by a hash. A shard's graph is built in one task: points enter in batches, a greedy beam search over the graph so far
 proposes neighbours, and pruning keeps the nearest ones that no kept neighbour is clearly nearer to (relaxed by ALPHA), so edges
 stay diverse; reverse edges are pruned likewise. Queries come to every shard in blocks of bounded size and search by beam.
 Scores are cosines of the original vectors in double precision.
@@ -20,7 +20,8 @@ from pyspark.sql import functions as F
 
 from .common import small_batches, stored
 
-SHARD_ROWS, BLOCK_ROWS = 8192, 8192
+#: Bytes of a shard's vectors, and queries that search a shard in one task; a query has the size of a node.
+SHARD_BYTES, BLOCK_ROWS = 16 << 20, 1 << 16
 DEGREE, BEAM, ALPHA, BATCH = 32, 64, 1.2, 256
 ENTRIES = 8
 
@@ -195,9 +196,12 @@ def nearest(df: DataFrame, queries, k: int = 5, id_col: str = "vec_id", vector_c
     least = rows.withColumn("turn", F.dense_rank().over(Window.partitionBy("v").orderBy("id"))).filter(F.col("turn") <= k + 1)
     nodes = stored(least.groupBy("v").agg(F.sort_array(F.collect_set("id")).alias("ids")).withColumn("first", F.col("ids")[0]), "vectors")
     asked = stored(rows.filter("asks").select("id", "v").distinct().withColumn("query", F.xxhash64("id", "v")), "queries")
-    n, m = nodes.count(), asked.count()
-    shards, blocks = max(1, -(-n // SHARD_ROWS)), max(1, -(-m // BLOCK_ROWS))
+    # as few shards and blocks as memory allows: every query comes to every shard, and every shard to every block
+    n, size = nodes.agg(F.count("*"), F.max(F.size("v"))).first()
+    m = asked.count()
+    shards, blocks = max(1, -(-n * 8 * (size or 1) // SHARD_BYTES)), max(1, -(-m // BLOCK_ROWS))
     deal = F.pmod(F.xxhash64("v"), F.lit(shards)) * 100_000 + F.size("v")  # vectors of one length
+    # the number of tasks is bounded, not what they do
     graph = nodes.withColumn("shard", deal).repartition(min(4 * shards, 4096), "shard").groupBy("shard").applyInPandas(build, "shard long, node long, ids array<long>, v array<double>, edges array<int>")
     graph = stored(graph, "graph")
     every = graph.select("*", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block")) if blocks > 1 else graph.withColumn("block", F.lit(0))
