@@ -1,6 +1,6 @@
 """Operator 10, native: shards by a keyed Feistel permutation of global row numbers.
 
-Every row gets a gapless row number (its bucket's offset plus its place in the bucket), the permutation of [0, n) sends it
+Every row gets a gapless row number (its bucket's offset plus its place in the bucket; equal rows are counted and dealt in chunks), the permutation of [0, n) sends it
 to another one, and the result modulo the number of shards is the shard, divided by it the slot. Only column expressions
 are used. The permutation is balanced over the least power of two that holds n, and cycle walking (apply it again while
 the image is not below n) restricts it to [0, n). Text isn't shuffled: only the id, size and checksum are.
@@ -19,6 +19,8 @@ ROUNDS = 6
 WALKS = 96
 #: Rows in a numbering bucket, on average.
 BUCKET_ROWS = 20_000
+#: Equal rows that are numbered together.
+CHUNK_ROWS = 4096
 
 
 def feistel(x: Column, n: int, seed: int) -> Column:
@@ -41,12 +43,20 @@ def feistel(x: Column, n: int, seed: int) -> Column:
 
 
 def numbered(rows: DataFrame, keys: list[str], buckets: int) -> DataFrame:
-    """rows with row_number, gapless from 0, fixed by the values of keys: bucketed by their hash, so no task orders the whole table."""
-    rows = rows.withColumn("bucket", F.pmod(F.xxhash64(*keys), F.lit(buckets)))
-    sizes = rows.groupBy("bucket").agg(F.count("*").alias("in_bucket"))
+    """The columns keys of each of rows with row_number, gapless from 0, fixed by their values.
+
+    Equal rows are counted before the shuffle and then stand in chunks of up to CHUNK_ROWS; chunks are bucketed by hash, so neither the
+    whole table nor any number of equal rows is ordered or numbered in one task.
+    """
+    equal = rows.groupBy(*keys).agg(F.count("*").alias("n"))
+    chunks = equal.withColumn("chunk", F.explode(F.sequence(F.lit(0).cast("long"), F.expr(f"(n - 1) div {CHUNK_ROWS}"))))
+    chunks = chunks.withColumn("own", F.least(F.lit(CHUNK_ROWS).cast("long"), F.col("n") - F.col("chunk") * CHUNK_ROWS)).drop("n")
+    chunks = chunks.withColumn("bucket", F.pmod(F.xxhash64(*keys, "chunk"), F.lit(buckets)))
+    sizes = chunks.groupBy("bucket").agg(F.sum("own").alias("in_bucket"))
     ends = sizes.withColumn("offset", F.sum("in_bucket").over(Window.orderBy("bucket")) - F.col("in_bucket")).select("bucket", "offset")
-    place = F.row_number().over(Window.partitionBy("bucket").orderBy(*keys)).cast("long") - 1
-    return rows.withColumn("place", place).join(ends, "bucket").withColumn("row_number", F.col("offset") + F.col("place")).drop("bucket", "place", "offset")
+    before = F.sum("own").over(Window.partitionBy("bucket").orderBy(*keys, "chunk").rowsBetween(Window.unboundedPreceding, 0)) - F.col("own")
+    placed = chunks.withColumn("before", before).join(ends, "bucket")
+    return placed.select(*keys, F.explode(F.sequence(F.lit(0).cast("long"), F.col("own") - 1)).alias("place"), "before", "offset").select(*keys, (F.col("offset") + F.col("before") + F.col("place")).alias("row_number"))
 
 
 def feistel_shards(df: DataFrame, shards: int, id_col: str = "doc_id", text_col: str = "text", seed: int = 7) -> DataFrame:
