@@ -17,9 +17,12 @@ TOKENIZER = "piece_bpe_32k.model"
 
 
 def keep_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drop texts without a language: null or without letters. Short texts with low scores stay, as most of them are clean."""
+    """Drop texts that language ID rejects: null, without letters, or of some length and unlike the language predicted for them.
+
+    Without any labelled row only texts without letters go.
+    """
     found = language_id.identify(docs.select(F.struct(*docs.columns).alias("doc"), "text"), language_id.train(docs), keep_text=False)
-    return found.filter(F.col("lang_pred") != language_id.UNDETERMINED).select("doc.*")
+    return found.filter(~F.col("rejected")).select("doc.*")
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

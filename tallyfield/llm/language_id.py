@@ -5,7 +5,10 @@ the language family first and then the language within it. They are fitted on th
 labelled rows at most in expectation, shared evenly by the languages and chosen by a hash of the id; the prediction reads
 the text only. Everything else runs in tasks over Arrow batches.
 
-A text that is null or has no letters is `und` with score 0, as is every text if there is no labelled row to learn from. Null ids
+A text that is null or has no letters is `und` with score 0, as is every text if there is no labelled row to learn from. Such
+texts without letters are rejected, and texts with LETTERS letters or more that are unlike the language predicted for them: the cosine to the
+mean of its training rows is below the model's floor, FLOOR times the least such cosine of the training rows of LETTERS letters. Shorter
+texts have too few trigrams to tell and are kept, as is every text with letters if there is no labelled row. Null ids
 are never held out. Repeated rows each give a row; other columns pass through, but for
 those named like the results, which these replace.
 """
@@ -42,6 +45,12 @@ SPACED = bytes(b if b >= 128 or 97 <= b <= 122 else 32 for b in range(256))
 BITS = 13
 #: Bytes of a text that are counted at once.
 PIECE = 1 << 20
+LETTERS, FLOOR = 200, 0.6
+
+
+def is_long(text: str) -> bool:
+    """Whether a text has LETTERS letters or more."""
+    return next(itertools.islice(LETTER.finditer(text), LETTERS - 1, None), None) is not None
 
 
 def features(text: str) -> np.ndarray:
@@ -70,9 +79,13 @@ def svm(x: np.ndarray, y: np.ndarray, cost: float = 20.0, steps: int = 120) -> n
 class Hierarchy:
     """Family against family, then language against language within each family."""
 
-    def __init__(self, x: np.ndarray, langs: list[str]):
+    def __init__(self, x: np.ndarray, langs: list[str], long: list[bool] | None = None):
         self.langs = sorted(set(langs))
         lang = np.array(langs)
+        means = {a: x[lang == a].mean(axis=0) for a in self.langs}
+        self.means = {a: m / max(float(np.linalg.norm(m)), 1e-9) for a, m in means.items()}
+        alike = [float(row @ self.means[a]) for row, a, k in zip(x, langs, long or [False] * len(langs), strict=True) if k]
+        self.floor = FLOOR * min(alike, default=0.0)
         family = np.array([FAMILY.get(a, a) for a in langs])
         self.families = {f: sorted({*lang[family == f]}) for f in sorted(set(family))}
         pairs = [*itertools.combinations(self.families, 2), *(p for own in self.families.values() for p in itertools.combinations(own, 2))]
@@ -94,14 +107,18 @@ class Hierarchy:
         sure = [1 / (1 + np.exp(-np.clip(3 * (m if a == best else -m), -30, 30))) for (a, b), m in margins.items() if best in (a, b)]
         return best, float(np.mean(sure)) if sure else 1.0
 
-    def predict(self, text: str | None) -> tuple[str, float]:
-        if not self.langs or not text or not LETTER.search(text):
-            return UNDETERMINED, 0.0
-        m = features(text) @ self.weights[:-1] + self.weights[-1] if self.pairs else []
+    def predict(self, text: str | None) -> tuple[str, float, bool]:
+        """Language, score, and whether the text is rejected."""
+        if not text or not LETTER.search(text):
+            return UNDETERMINED, 0.0, True
+        if not self.langs:
+            return UNDETERMINED, 0.0, False
+        x = features(text)
+        m = x @ self.weights[:-1] + self.weights[-1] if self.pairs else []
         duel = lambda top, names: {(a, b): float(m[k]) for k, (is_top, a, b) in enumerate(self.pairs) if is_top == top and a in names and b in names}
         family, sure = self.vote(duel(True, self.families), list(self.families))
         lang, surer = self.vote(duel(False, self.families[family]), self.families[family])
-        return lang, sure * surer
+        return lang, sure * surer, float(x @ self.means[lang]) < self.floor and is_long(text)
 
 
 def held_out(id_col: Column) -> Column:
@@ -110,6 +127,7 @@ def held_out(id_col: Column) -> Column:
 
 def train(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", rows: int = 1200) -> Hierarchy:
     """Fit on labelled rows that are not held out; about `rows` of them, evenly by language, go to the driver as features."""
+    small_batches(df.sparkSession)
     learn = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).filter(~held_out(F.col("id")) & F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
     sizes = {r["lang"]: r["count"] for r in learn.groupBy("lang").count().collect()}
     if not sizes:
@@ -120,29 +138,30 @@ def train(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
     def extract(batches):
         for b in batches:
             if b.num_rows:
-                yield pa.RecordBatch.from_arrays([b.column(0), pa.array([features(t).tobytes() for t in b.column(1).to_pylist()], pa.binary())], names=["lang", "x"])
+                texts = b.column(1).to_pylist()
+                yield pa.RecordBatch.from_arrays([b.column(0), pa.array([features(t).tobytes() for t in texts], pa.binary()), pa.array([is_long(t) for t in texts], pa.bool_())], names=["lang", "x", "long"])
 
-    got = chosen.select("lang", "text").mapInArrow(extract, "lang string, x binary").toArrow()
+    got = chosen.select("lang", "text").mapInArrow(extract, "lang string, x binary, long boolean").toArrow()
     # in the order of their values, so the fit doesn't depend on the order in which tasks end
-    langs, vectors = got.column("lang").to_pylist(), got.column("x")
+    langs, vectors, long = got.column("lang").to_pylist(), got.column("x"), got.column("long").to_pylist()
     order = sorted(range(len(langs)), key=lambda k: (langs[k], vectors[k].as_py()))
     x = np.empty((len(langs), 1 << BITS), np.float32)
     for row, k in zip(x, order, strict=True):
         row[:] = np.frombuffer(vectors[k].as_py(), np.float32)
-    return Hierarchy(x, [langs[k] for k in order])
+    return Hierarchy(x, [langs[k] for k in order], [long[k] for k in order])
 
 
 def identify(df: DataFrame, model: Hierarchy, text_col: str = "text", keep_text: bool = True) -> DataFrame:
-    """df with lang_pred and score; without text_col unless keep_text."""
+    """df with lang_pred, score and rejected; without text_col unless keep_text."""
     small_batches(df.sparkSession)
     sent = df.sparkSession.sparkContext.broadcast(model)
-    kept = [c for c in df.columns if (keep_text or c != text_col) and c.lower() not in ("lang_pred", "score")]
+    kept = [c for c in df.columns if (keep_text or c != text_col) and c.lower() not in ("lang_pred", "score", "rejected")]
 
     def predict(batches):
         for b in batches:
             found = [sent.value.predict(t) for t in b.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([a for a, _ in found], pa.string()), pa.array([s for _, s in found], pa.float64())], names=["row", "lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64()), pa.array([f[2] for f in found], pa.bool_())], names=["row", "lang_pred", "score", "rejected"])
 
     rows = df.select(F.struct(*[F.col(f"`{c}`") for c in kept]).alias("row"), F.col(text_col).alias("text"))
-    schema = rows.select("row").withColumns({"lang_pred": F.lit(""), "score": F.lit(0.0)}).schema
-    return rows.mapInArrow(predict, schema).select("row.*", "lang_pred", "score")
+    schema = rows.select("row").withColumns({"lang_pred": F.lit(""), "score": F.lit(0.0), "rejected": F.lit(False)}).schema
+    return rows.mapInArrow(predict, schema).select("row.*", "lang_pred", "score", "rejected")

@@ -9,6 +9,7 @@ import random
 import zlib
 
 import numpy as np
+import pandas as pd
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -495,9 +496,10 @@ def brute_nearest(ids, x, q, k=5):
     return [(ids[i], s[i]) for i in order]
 
 
-@pytest.mark.parametrize("shard", [8192, 300])
-def test_nearest_recall(spark, monkeypatch, shard):
-    monkeypatch.setattr(vector_graph, "SHARD_ROWS", shard)
+@pytest.mark.parametrize(("shard", "block"), [(8192, 1 << 16), (300, 7)])
+def test_nearest_recall(spark, monkeypatch, shard, block):
+    monkeypatch.setattr(vector_graph, "SHARD_BYTES", shard * 16 * 8)
+    monkeypatch.setattr(vector_graph, "BLOCK_ROWS", block)
     x = vectors(1500)
     df = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "vec_id long, embedding array<float>")
     rows = vector_graph.nearest(df, F.col("vec_id") % 50 == 0).collect()
@@ -513,6 +515,22 @@ def test_nearest_recall(spark, monkeypatch, shard):
     assert hit / total >= 0.9
 
 
+def test_nearest_recall_of_large_shards(spark, monkeypatch):
+    """40,000 vectors in three shards."""
+    monkeypatch.setattr(vector_graph, "SHARD_BYTES", 14_000 * 16 * 8)
+    x = vectors(40_000, seed=3)
+    df = spark.createDataFrame(pd.DataFrame({"vec_id": range(len(x)), "embedding": x.tolist()}))
+    got = collections.defaultdict(set)
+    for r in vector_graph.nearest(df, F.col("vec_id") % 50 == 0).collect():
+        got[r.query_id].add(r.vec_id)
+    assert len(got) == 800
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    s = u[::50] @ u.T
+    s[np.arange(800), np.arange(0, 40_000, 50)] = -2
+    want = np.argpartition(-s, 5, axis=1)[:, :5]
+    assert np.mean([len(got[50 * k] & set(w.tolist())) / 5 for k, w in enumerate(want)]) >= 0.9
+
+
 def test_nearest_copies_and_odd(spark):
     x = vectors(40)
     data = [(k, v.tolist()) for k, v in enumerate(x)] + [(100 + k, x[0].tolist()) for k in range(200)]
@@ -559,3 +577,21 @@ def test_shards_odd(spark):
     assert len(rows) == len(TEXTS) and {(r["size"], r.text_crc32) for r in rows if r.doc_id in (1, 2)} == {(1, 0)}
     assert len({(r.shard, r.slot) for r in rows}) == len(TEXTS)
     assert sharding.feistel_shards(empty(spark), 4).count() == 0
+
+
+def test_shards_of_equal_rows(spark, monkeypatch):
+    """A third of all rows are equal: they lie in several buckets, and every row has a slot of its own."""
+    monkeypatch.setattr(sharding, "BUCKET_ROWS", 50)
+    monkeypatch.setattr(sharding, "CHUNK_ROWS", 10)
+    df = spark.createDataFrame([(None, None)] * 500 + [(k, "t") for k in range(1000)] + [(3, "t")] * 7, "doc_id long, text string")
+    keys = ["doc_id", "text"]
+    rows = sharding.numbered(df, keys, 30).collect()
+    assert sorted(r.row_number for r in rows) == list(range(1507))
+    assert collections.Counter((r.doc_id, r.text) for r in rows) == collections.Counter(map(tuple, df.collect()))
+    places = sorted(r.row_number for r in rows if r.doc_id is None)
+    assert max(places) - min(places) > 1000
+    out = sharding.feistel_shards(df, 16).collect()
+    by = collections.defaultdict(list)
+    for r in out:
+        by[r.shard].append(r.slot)
+    assert {len(v) for v in by.values()} <= {94, 95} and all(sorted(v) == list(range(len(v))) for v in by.values())

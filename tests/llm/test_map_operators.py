@@ -110,11 +110,24 @@ def test_language_odd(spark):
     assert len(found) == len(TEXTS)
     assert {r.doc_id for r in found if r.lang_pred == "und"} == {1, 2, 3, 7, None} and all(r.score == 0 for r in found if r.lang_pred == "und")
     assert {r.text for r in found if r.doc_id == 6} == {LONG} and {r.row for r in found} == {"extra row"}
-    none = language_id.identify(odd(spark), language_id.train(docs.filter("false")))
-    assert {r.lang_pred for r in none.collect()} == {"und"}
+    assert {r.doc_id for r in found if r.rejected} == {1, 2, 3, 7, None}
+    none = language_id.identify(odd(spark), language_id.train(docs.filter("false"))).collect()
+    assert {r.lang_pred for r in none} == {"und"} and {r.doc_id for r in none if r.rejected} == {1, 2, 3, 7, None}
     assert language_id.identify(empty(spark), language_id.train(docs)).count() == 0
 
 
+def test_language_rejects_what_is_unlike_any(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    model = language_id.train(docs)
+    polish = "Wszyscy ludzie rodzą się wolni i równi pod względem swej godności i swych praw. Są oni obdarzeni rozumem i sumieniem. "
+    rows = [(1, polish * 3), (2, polish[:60]), (3, "xkq zzv wqj kkp " * 40), (4, "あ" * 400), (5, "ok"), (6, "q" * 199), (7, "q" * 200)]
+    got = language_id.identify(spark.createDataFrame(rows, "doc_id long, text string"), model).collect()
+    assert {r.doc_id for r in got if r.rejected} == {1, 3, 4, 7} and all(r.lang_pred in model.langs for r in got)
+    learned = language_id.identify(docs.select("doc_id", "text"), model)
+    letters = F.regexp_replace("text", r"\P{L}", "")
+    assert {r.doc_id for r in learned.filter("rejected").collect()} == {r.doc_id for r in docs.filter(F.coalesce(letters == "", F.lit(True))).select("doc_id").collect()}
+
+
 def test_language_split_is_by_checksum(spark):
     got = spark.range(200).select("id", language_id.held_out(F.col("id")).alias("h")).collect()
     assert all(r.h == (zlib.crc32(str(r.id).encode()) % 5 == 0) for r in got)
