@@ -3,7 +3,8 @@
 Every version of every path is addressed by its content: the SHA-256 of its bytes is the blob. The ledger is a table of
 (blob, rule_version, spans). A run anti-joins the blobs at hand with the ledger, reads the text of one path for each unseen
 blob only, scans it, appends to the ledger, and joins the spans back to all paths. Only ids and digests are grouped; a
-blob with any number of paths is one row of that grouping and is scanned once.
+blob with any number of paths is one row of that grouping and is scanned once. The anti-join takes part from a ledger's second run
+on: runs share one that is given, or named by the setting SETTING; else each has its own and every blob is unseen.
 
 Null texts are the empty blob. Null ids and repeated rows each give a row. Texts are scanned whole. Extra columns stay out.
 """
@@ -19,7 +20,6 @@ from pyspark.sql import functions as F
 
 from .common import fresh_path, small_batches, stored, text_bytes
 
-RULE_VERSION = "base-1"
 KINDS = ("assign", "access", "hex")
 #: (kind, pattern, group whose length counts, least length)
 RULES = (
@@ -27,8 +27,13 @@ RULES = (
     ("access", r"AKIA[A-Z0-9]+", 0, 20),
     ("hex", r"[0-9a-f]{24,}", 0, 24),
 )
+#: Other rules, another version: what older ones found never stands in for it.
+RULE_VERSION = "rules-" + hashlib.sha256(repr(RULES).encode()).hexdigest()[:16]
 COMPILED = [(kind, re.compile(pattern), group, least) for kind, pattern, group, least in RULES]
-LEDGER = "blob binary, rule_version string, spans array<struct<kind:string,start:int,end:int>>"
+SPANS = "array<struct<kind:string,start:int,end:int>>"
+LEDGER = f"blob binary, rule_version string, spans {SPANS}"
+#: Setting of the session that names a lasting ledger; without it a run has one of its own.
+SETTING = "spark.tallyfield.secrets.ledger"
 
 
 def find_secrets(text: str) -> list[tuple[str, int, int]]:
@@ -44,11 +49,11 @@ def joined(spans) -> str:
 
 
 def scan_blobs(batches):
-    """Arrow batches of (blob, text) to batches of (blob, rule_version, spans)."""
+    """Arrow batches of (blob, text) to batches of (blob, spans)."""
     kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32())]))
     for b in batches:
         spans = [[dict(zip(("kind", "start", "end"), s, strict=True)) for s in find_secrets(t or "")] for t in b.column(1).to_pylist()]
-        yield pa.RecordBatch.from_arrays([b.column(0), pa.array([RULE_VERSION] * len(spans), pa.string()), pa.array(spans, kind)], names=["blob", "rule_version", "spans"])
+        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(spans, kind)], names=["blob", "spans"])
 
 
 def update_ledger(versions: DataFrame, ledger: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -64,7 +69,8 @@ def update_ledger(versions: DataFrame, ledger: str, id_col: str = "doc_id", text
     named = addressed.join(first.hint("shuffle_hash"), "path").filter("blob = unseen").select("blob", "text")
     nameless = unseen.filter("first is null").select(F.col("blob").alias("unseen"))
     unnamed = addressed.filter("path is null").join(nameless, F.col("blob") == F.col("unseen")).groupBy("blob").agg(F.first("text").alias("text"))
-    named.unionAll(unnamed).mapInArrow(scan_blobs, LEDGER).write.mode("append").parquet(ledger)
+    scanned = named.unionAll(unnamed).mapInArrow(scan_blobs, f"blob binary, spans {SPANS}").withColumn("rule_version", F.lit(RULE_VERSION))
+    scanned.write.mode("append").partitionBy("rule_version").parquet(ledger)
     return _ledger(spark, ledger)
 
 
@@ -77,12 +83,17 @@ def _ledger(spark, path: str) -> DataFrame | None:
     return rows.groupBy("blob").agg(F.first("spans").alias("spans"))
 
 
+def ledger_of(spark, ledger: str | None) -> str:
+    """The ledger given, else that of the session's setting, else a new one in the shared folder."""
+    return ledger or spark.conf.get(SETTING, None) or fresh_path(spark, "blob-ledger")
+
+
 def secret_spans(df: DataFrame, ledger: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, blob, spans) for every row of df; spans is empty where nothing was found. Without ledger, a new one is made in the shared folder."""
+    """(id, blob, spans) for every row of df; spans is empty where nothing was found."""
     # stored, so that both sides of the join are dealt for it and a blob with many paths can be split
-    found = stored(update_ledger(df, ledger or fresh_path(df.sparkSession, "blob-ledger"), id_col, text_col).filter(F.size("spans") > 0), "findings")
+    found = stored(update_ledger(df, ledger_of(df.sparkSession, ledger), id_col, text_col).filter(F.size("spans") > 0), "findings")
     paths = df.select(F.col(id_col), F.unhex(F.sha2(text_bytes(text_col), 256)).alias("blob"))
-    none = F.array().cast("array<struct<kind:string,start:int,end:int>>")
+    none = F.array().cast(SPANS)
     return paths.join(found, "blob", "left").select(id_col, "blob", F.coalesce("spans", none).alias("spans"))
 
 
@@ -90,31 +101,22 @@ def span_text(spans):
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
 
 
-def redact(df: DataFrame, ledger: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """df with every found span replaced by `[kind]`, overlapping spans as one; other rows and columns stay as they are."""
-    small_batches(df.sparkSession)
-    found = update_ledger(df, ledger or fresh_path(df.sparkSession, "blob-ledger"), id_col, text_col).filter(F.size("spans") > 0)
-    found = stored(found.select(F.col("blob").alias("__blob"), F.col("spans").alias("__spans")), "findings")
-    joined_rows = df.withColumn("__blob", F.unhex(F.sha2(text_bytes(text_col), 256))).join(found, "__blob", "left")
-
-    @F.pandas_udf("string")
-    def cut(texts, spans):
-        return texts.combine(spans, _cut)
-
-    cleaned = joined_rows.filter("__spans is not null").withColumn(text_col, cut(F.col(text_col), F.col("__spans")))
-    same = joined_rows.filter("__spans is null")
-    return same.unionByName(cleaned).select(*[f"`{c}`" for c in df.columns])
+def cut_out(text, spans):
+    """text with [kind] in the place of each span, overlapping ones as one; spans are in order."""
+    start = F.struct(F.lit("").alias("out"), F.lit(0).alias("end"))
+    between = lambda end, a: F.substring(text, end + 1, a - end)
 
+    def step(acc, s):
+        added = F.concat(acc["out"], between(acc["end"], s["start"]), F.lit("["), s["kind"], F.lit("]"))
+        return F.struct(F.when(s["start"] >= acc["end"], added).otherwise(acc["out"]).alias("out"), F.greatest(acc["end"], s["end"]).alias("end"))
 
-def _cut(text: str, spans) -> str:
-    out, end = [], 0
-    for s in spans:
-        kind, a, b = s["kind"], s["start"], s["end"]
-        if a >= end:
-            out += [text[end:a], f"[{kind}]"]
-        end = max(end, b)
-    return "".join(out) + text[end:]
+    return F.aggregate(spans, start, step, lambda acc: F.concat(acc["out"], between(acc["end"], F.length(text))))
 
 
-def sha256_hex(text: str) -> str:
-    return hashlib.sha256(text.encode()).hexdigest()
+def redact(df: DataFrame, ledger: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """df with every found span replaced by `[kind]`, overlapping spans as one; other rows and columns stay as they are."""
+    found = update_ledger(df, ledger_of(df.sparkSession, ledger), id_col, text_col).filter(F.size("spans") > 0)
+    found = stored(found.select(F.col("blob").alias("__blob"), F.col("spans").alias("__spans")), "findings")
+    rows = df.withColumn("__blob", F.unhex(F.sha2(text_bytes(text_col), 256))).join(found, "__blob", "left")
+    text = F.col(f"`{text_col}`")
+    return rows.withColumn(text_col, F.when(F.col("__spans").isNull(), text).otherwise(cut_out(text, F.col("__spans")))).select(*[f"`{c}`" for c in df.columns])
