@@ -2,6 +2,9 @@
 
 A stage takes (spark, docs, sf_dir) and returns a DataFrame; its rows are written as Parquet and read again for the next one. All
 stages but the last return the columns of documents.
+
+Null and empty texts go in the first stage. Repeated rows are copies, of which the second one keeps one. Rows without an id stay only where no
+copy has one. Texts of any length are read whole. Extra columns stay as they are, whatever their names. An empty table gives an empty one.
 """
 
 from __future__ import annotations

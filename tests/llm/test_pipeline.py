@@ -4,8 +4,11 @@ from __future__ import annotations
 
 import random
 
+import pytest
+from pyspark.sql import functions as F
+
 import corpus_pipeline
-from tests.llm.odd import word_text
+from tests.llm.odd import LONG, TEXTS, odd, word_text
 
 
 def test_stages(spark, tmp_path):
@@ -35,6 +38,41 @@ def test_stages(spark, tmp_path):
     assert sorted({r.doc_id for r in got}) == kept and all(r.bin_id is not None for r in got)
 
 
+def odd_documents(spark, path, rows):
+    df = odd(spark, rows).drop("bucket").withColumns({"source": F.lit("s"), "n_chars": F.length("text").cast("long"), "doc": F.lit("d"), "lang_pred": F.lit("l"), "rejected": F.lit(False), "component_id": F.lit(0)})
+    df.write.parquet(f"{path}/documents.parquet")
+    spark.createDataFrame([(1, "some words of a benchmark that no document holds in full here")], "item_id long, text string").write.parquet(f"{path}/benchmark.parquet")
+    return spark.read.parquet(f"{path}/documents.parquet")
+
+
+#: Odd rows, with a null id, and the ids that each stage keeps.
+KEPT = {"language_id": [None, 4, 5, 5, 6, 8, 9], "simhash_near_dedup": [4, 6, 8, 9], "benchmark_decontamination": [4, 6, 8, 9], "secret_scans": [4, 6, 8, 9]}
+
+
+@pytest.mark.parametrize("labelled", [True, False])
+def test_stages_on_odd_rows(spark, tmp_path, labelled):
+    now = odd_documents(spark, tmp_path, TEXTS)
+    now = now if labelled else now.withColumn("lang", F.lit(None).cast("string"))
+    columns = now.columns
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        now = stage(spark, now, str(tmp_path))
+        assert now.columns == columns
+        rows = now.collect()
+        assert sorted((r.doc_id for r in rows), key=lambda k: (k is not None, k)) == KEPT[name]
+        assert {(r.doc, r.score, r.blob) for r in rows} == {("d", "extra score", "extra blob")}
+    assert {r.doc_id: r.text for r in rows} == {4: "Hello there", 6: LONG, 8: "a", 9: "[assign] x"} and all(r.n_chars == len(r.text) for r in rows)
+    packed = corpus_pipeline.STAGES[-1][1](spark, now, str(tmp_path)).collect()
+    assert {r.doc_id for r in packed} == {4, 6, 8, 9} and all(r.bin_id is not None for r in packed)
+
+
+def test_empty_table(spark, tmp_path):
+    now = odd_documents(spark, tmp_path, TEXTS[:0])
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        now = stage(spark, now, str(tmp_path))
+        assert now.count() == 0
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
 def test_entry_registers_all():
     import __spark_entry__ as entry
 
