@@ -145,6 +145,14 @@ def jaro_winkler(a: pd.Series, b: pd.Series) -> pd.Series:
     return a.combine(b, jaro_winkler_of)
 
 
+def jaro_bound(a, b) -> Column:
+    """At least the Jaro similarity, by the characters that each has of the other: native, to drop pairs before they are scored."""
+    a, b = _c(a), _c(b)
+    common = lambda x, y: F.size(F.filter(F.split(x, ""), lambda ch: F.contains(y, ch)))
+    m = F.least(common(a, b), common(b, a))
+    return F.when((F.length(a) == 0) | (F.length(b) == 0), (a == b).cast("double")).otherwise((m / F.length(a) + m / F.length(b) + 1) / 3)
+
+
 VOWELS = set("AEIOU")
 
 

@@ -42,10 +42,30 @@ def is_finite(a) -> Column:
     return F.coalesce(F.size(_c(a)) > 0, F.lit(False)) & F.coalesce(F.forall(_c(a), lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))), F.lit(False))
 
 
+#: References that a registry may hold: it comes to every task as one row.
+MOST_REFERENCES = 10_000
+
+
+def registry(refs: DataFrame, ref_id: str, q: str = "q") -> DataFrame:
+    """One row with all references, array `refs` of (r, q) in the order of ids; more than MOST_REFERENCES raise an error."""
+    rows = refs.select(F.struct(F.col(ref_id).alias("r"), F.col(q).alias("q")).alias("ref")).limit(MOST_REFERENCES + 1)
+    all_refs = F.array_sort(F.collect_list("ref"))
+    return rows.agg(F.when(F.size(all_refs) <= MOST_REFERENCES, all_refs).otherwise(F.raise_error(F.lit("the registry of references is too large")).cast(rows.select(F.array("ref")).schema[0].dataType)).alias("refs"))
+
+
+def best_reference(v, refs) -> Column:
+    """Of an array of references the (c, r) with the greatest cosine c, the least id on ties; null of an empty one."""
+    scored = F.transform(_c(refs), lambda x: F.struct(cosine(_c(v), x["q"]).alias("c"), (-x["r"]).alias("o"), x["r"].alias("r")))
+    return F.array_max(scored)
+
+
 def nearest_of(rows: DataFrame, refs: DataFrame, row_id: str, ref_id: str, least: float, name: str) -> DataFrame:
-    """The reference with the greatest cosine to each row, or null below `least`; columns v of rows and q of refs. refs is a registry of bounded size."""
-    best = rows.crossJoin(refs).groupBy(row_id).agg(F.max(F.struct(cosine("v", "q").alias("c"), (-F.col(ref_id)).alias("r"))).alias("b"))
-    return best.select(row_id, F.when(F.col("b.c") >= least, -F.col("b.r")).alias(name))
+    """The reference with the greatest cosine to each row, or null below `least`; columns v of rows and q of refs.
+
+    refs is a registry of bounded size, which is checked; it meets the rows as one row, so nothing is multiplied or shuffled.
+    """
+    best = rows.join(registry(refs, ref_id)).withColumn("b", best_reference("v", "refs"))
+    return best.select(row_id, F.when(F.col("b.c") >= least, F.col("b.r")).alias(name))
 
 
 def centroids(df: DataFrame, keys: list[str], v: str) -> DataFrame:

@@ -3,31 +3,15 @@
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import DataFrame, Window
+import pandas as pd
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tallyfield.functions import vectors as V
 
 
-def online(points: np.ndarray, eps: float) -> list[int]:
-    """Each point joins the nearest running mean within eps, or begins a cluster; in the order of points."""
-    means: list[np.ndarray] = []
-    sizes: list[int] = []
-    out = []
-    for p in points:
-        d = [float(np.hypot(*(p - m))) for m in means]
-        k = int(np.argmin(d)) if d else -1
-        if k < 0 or d[k] > eps:
-            means.append(p.astype(float))
-            sizes.append(1)
-            out.append(len(means) - 1)
-        else:
-            sizes[k] += 1
-            means[k] = means[k] + (p - means[k]) / sizes[k]
-            out.append(k)
-    return out
-
-
 def merge_close(means: np.ndarray, sizes: np.ndarray, eps: float, least: int) -> list[int]:
     """For each cluster the merged cluster it ends in, or -1 below `least` points: the closest pair within eps merges until none is."""
     groups = [[k] for k in range(len(means))]
@@ -136,6 +120,39 @@ def density_clusters(x: np.ndarray, least: int) -> list[int]:
     return out
 
 
+def cluster_bounded(rows: DataFrame, keys: list[str], point_id: str, least: int, most: int = 5000, noise: float = 0.25, floor: float = 0.35) -> DataFrame:
+    """(keys, id, cluster): density clusters of each key's vectors v, null for noise; no task holds more than about `most` points of a key.
+
+    Keys with up to `most` points are clustered whole. Of larger ones a sample by hash is, about `most` points, and the others go to the
+    nearest centroid in a join, if its cosine is `floor` or more. A member whose cosine to its cluster's mean is below `noise` is noise.
+    """
+    sizes = rows.groupBy(*keys).agg(F.count("*").alias("__n"))
+    share = F.pmod(F.xxhash64(point_id), F.lit(1_000_000)) * F.col("__n") < F.lit(most * 1_000_000)
+    sized = rows.select(*keys, point_id, "v").join(sizes, keys).withColumn("__in", (F.col("__n") <= most) | share)
+    schema = T.StructType([*sized.select(*keys, point_id).schema, T.StructField("cluster", T.LongType())])
+
+    def cluster(group: pd.DataFrame) -> pd.DataFrame:
+        group = group.sort_values(point_id, kind="stable")
+        x = np.stack(group["v"].to_numpy())
+        labels = near_members(x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12), least, noise)
+        return group[[*keys, point_id]].assign(cluster=pd.array([None if k < 0 else k for k in labels], "Int64"))
+
+    fitted = sized.filter("__in").select(*keys, point_id, "v").groupBy(*keys).applyInPandas(cluster, schema)
+    large = sized.filter("NOT __in")
+    means = V.centroids(fitted.filter("cluster IS NOT NULL").join(sized.filter(F.col("__n") > most), [*keys, point_id]), [*keys, "cluster"], "v")
+    return fitted.unionByName(assign(large, means, keys, point_id, floor).select(*keys, point_id, "cluster"))
+
+
+def near_members(x: np.ndarray, least: int, noise: float) -> list[int]:
+    """Density clusters of unit vectors; a member whose cosine to the mean of its cluster is below `noise` is noise, -1."""
+    labels = np.array(density_clusters(x, least), int)
+    out = labels.copy()
+    for k in range(labels.max(initial=-1) + 1):
+        mean = x[labels == k].mean(axis=0)
+        out[(labels == k) & (x @ mean < noise * max(np.linalg.norm(mean), 1e-12))] = -1
+    return out.tolist()
+
+
 def pair_greedy(pairs: list[tuple]) -> list[tuple]:
     """Of (a, b, confidence), one to one, the surest first; ties by names."""
     used_a, used_b, out = set(), set(), []
@@ -148,8 +165,43 @@ def pair_greedy(pairs: list[tuple]) -> list[tuple]:
 
 
 def assign(points: DataFrame, centroids: DataFrame, keys: list[str], point_id: str, floor: float) -> DataFrame:
-    """The centroid nearest by cosine to each point of the same keys, null below the floor; columns v of points, cluster and centroid of centroids."""
-    scored = points.join(centroids, keys).withColumn("sim", V.cosine("v", "centroid"))
-    w = Window.partitionBy(*keys, point_id).orderBy(F.desc("sim"), "cluster")
-    best = scored.withColumn("__rn", F.row_number().over(w)).filter("__rn = 1")
-    return best.select(*keys, point_id, F.when(F.col("sim") >= floor, F.col("cluster")).alias("cluster"), "sim")
+    """The centroid nearest by cosine to each point of the same keys, null below the floor or without a centroid; columns v of points, cluster and centroid of centroids."""
+    refs = centroids.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(F.col("cluster").alias("r"), F.col("centroid").alias("q")))).alias("__refs"))
+    best = points.select(*keys, point_id, "v").join(refs, keys, "left").withColumn("__b", V.best_reference("v", "__refs"))
+    return best.select(*keys, point_id, F.when(F.col("__b.c") >= floor, F.col("__b.r")).alias("cluster"), F.col("__b.c").alias("sim"))
+
+
+class Online:
+    """The running means of one key, for points that come one after another."""
+
+    def __init__(self, eps: float):
+        self.eps, self.means, self.sizes = eps, np.zeros((0, 2)), []
+
+    def place(self, point: np.ndarray) -> int:
+        """The nearest mean within eps, which moves, or a new one."""
+        d = np.hypot(*(self.means - point).T) if len(self.sizes) else np.array([np.inf])
+        k = int(d.argmin())
+        if d[k] > self.eps:
+            self.means = np.concatenate([self.means, [point]])
+            self.sizes.append(1)
+            return len(self.sizes) - 1
+        self.sizes[k] += 1
+        self.means[k] += (point - self.means[k]) / self.sizes[k]
+        return k
+
+
+def online_clusters(df: DataFrame, key: str, order: str, eps: float) -> DataFrame:
+    """(key, order, x, y, cluster) of points x, y: rows are streamed in order, and a task holds the means of one key only."""
+
+    def over(batches):
+        now, means = None, None
+        for b in batches:
+            out = np.empty(b.num_rows, np.int64)
+            for i, (k, x, y) in enumerate(zip(*(b.column(c).to_pylist() for c in (key, "x", "y")), strict=True)):
+                if means is None or k != now:
+                    now, means = k, Online(eps)
+                out[i] = means.place(np.array([x, y]))
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(out)], names=[*b.schema.names, "cluster"])
+
+    rows = df.select(key, order, "x", "y").repartition(key).sortWithinPartitions(key, order)
+    return rows.mapInArrow(over, T.StructType([*rows.schema, T.StructField("cluster", T.LongType())]))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -36,18 +37,77 @@ def grouped(df: DataFrame, keys: list[str], fn: Callable[[pd.DataFrame], pd.Data
 
 def smooth_labels(labels: list, most: int) -> list:
     """Runs of up to `most` rows between two runs of one equal label take that label; repeated until nothing changes."""
-    while True:
-        runs: list[list] = []
-        for k, x in enumerate(labels):
-            if runs and runs[-1][0] == x:
-                runs[-1][2] = k + 1
-            else:
-                runs.append([x, k, k + 1])
-        short = next((k for k in range(1, len(runs) - 1) if runs[k][2] - runs[k][1] <= most and runs[k - 1][0] == runs[k + 1][0] != runs[k][0]), None)
-        if short is None:
-            return labels
-        _, a, b = runs[short]
-        labels = labels[:a] + [runs[short - 1][0]] * (b - a) + labels[b:]
+    return [x for x, n in smooth_runs([(x, 1) for x in labels], most) for _ in range(n)]
+
+
+def smooth_runs(runs: list[tuple], most: int) -> list[tuple]:
+    """smooth_labels on runs (label, rows), the first one that can be absorbed before the others."""
+    out: list[list] = []
+    waiting = [list(r) for r in reversed(runs)]
+    while waiting:
+        x = waiting.pop()
+        if out and out[-1][0] == x[0]:
+            out[-1][1] += x[1]
+        else:
+            out.append(x)
+        if waiting and waiting[-1][0] == out[-1][0]:
+            continue  # the run isn't over
+        while len(out) > 2 and out[-3][0] == out[-1][0] and out[-2][1] <= most:
+            c, b = out.pop(), out.pop()
+            out[-1][1] += b[1] + c[1]
+    return [tuple(r) for r in out]
+
+
+def smoothed(df: DataFrame, key: str, order: list[str], label: str, most: int) -> DataFrame:
+    """(key, order, label): smooth_labels of each key's rows, streamed in order.
+
+    A run of more than `most` rows is never absorbed, so what stands before it is settled and leaves; a task holds the rows since then.
+    """
+    names = [key, *order, label]
+
+    def over(batches):
+        held: list[tuple] = []  # rows not yet settled, of one key
+        runs: list[list] = []  # their runs, the first one perhaps begun before them
+
+        def settled(last: bool):
+            """Rows of the runs before the last long one, and of that; all of them at the end of a key."""
+            nonlocal held, runs
+            at = len(runs) if last else next((k for k in range(len(runs) - 2, -1, -1) if runs[k][1] > most), -1) + 1
+            if not at:
+                return []
+            before = runs[0][1] - runs[0][2]  # rows of the first run that have left
+            labels = [x for x, n in smooth_runs([(r[0], r[1]) for r in runs[:at]], most) for _ in range(n)][before:]
+            out = [(*row[:-1], x) for row, x in zip(held, labels, strict=False)]
+            held = held[len(labels) :]
+            runs = [] if last else [[runs[at - 1][0], runs[at - 1][1], 0], *runs[at:]]
+            return out
+
+        now, first = None, True
+        for b in batches:
+            out = []
+            for row in zip(*(b.column(c).to_pylist() for c in names), strict=True):
+                if first or row[0] != now:
+                    out += settled(True) if held else []
+                    now, first, runs = row[0], False, []
+                if runs and runs[-1][0] == row[-1]:
+                    runs[-1][1] += 1
+                    runs[-1][2] += 1
+                else:
+                    runs.append([row[-1], 1, 1])
+                held.append(row)
+            out += settled(False) if len(held) > 1000 else []
+            yield table(b.schema, out)
+        if held:
+            yield table(schema[0], settled(True))
+
+    schema = [None]
+
+    def table(kind, rows):
+        schema[0] = kind
+        return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True) if rows else [[]] * len(kind), kind, strict=True)], schema=kind)
+
+    rows = df.select(*names).repartition(key).sortWithinPartitions(key, *order)
+    return rows.mapInArrow(over, rows.schema)
 
 
 def smooth_spans(spans: list[tuple], short: float, gap: float) -> list[tuple]:
@@ -126,14 +186,9 @@ def topic_blocks(blocks: list[tuple]) -> list[tuple]:
     return [("focused" if x else "general", a, b, x) for a, b, x in kept]
 
 
-def keep_longer(rows: list[tuple]) -> list[tuple]:
-    """Of (group, key, text) in order: for each key the longest text, every row of its first group of that length; and the other groups seen."""
-    longest: dict = {}
-    for g, k, text in rows:
-        if k not in longest or len(text) > longest[k][1]:
-            longest[k] = (g, len(text))
-    others: dict = {}
-    for g, k, _ in rows:
-        if g != longest[k][0]:
-            others.setdefault(k, []).append(g)
-    return [(g, k, text, sorted(set(others.get(k, [])))) for g, k, text in rows if g == longest[k][0] and len(text) == longest[k][1]]
+def keep_longer(df: DataFrame, keys: list[str], group: str, text: str) -> DataFrame:
+    """df's rows with the longest text of their keys, those of the first group that has one; also_in lists the other groups of the keys."""
+    size = F.length(text)
+    best = df.groupBy(*keys).agg(F.max(F.struct(size.alias("n"), (-F.col(group)).alias("g"))).alias("__b"), F.collect_set(group).alias("__groups"))
+    kept = df.join(best, keys).filter((size == F.col("__b.n")) & (F.col(group) == -F.col("__b.g")))
+    return kept.withColumn("also_in", F.array_sort(F.array_remove("__groups", F.col(group)))).drop("__b", "__groups")

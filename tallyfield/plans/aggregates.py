@@ -124,9 +124,8 @@ def agg_vote(t, spark):
 
 def vote(windows, refs, least: float, agree: float):
     """Each window's nearest reference votes if near enough; the winner by votes, then similarity, needs a share of all windows."""
-    scored = windows.join(F.broadcast(refs)).select("cluster", "vec_id", "ref", V.cosine("v", "q").alias("c"))
-    best = scored.groupBy("cluster", "vec_id").agg(F.max(F.struct("c", "ref")).alias("b"))
-    votes = best.filter(F.col("b.c") >= least).groupBy("cluster", F.col("b.ref").alias("ref")).agg(F.count("*").alias("n"), F.max("b.c").alias("m"))
+    best = windows.join(V.registry(refs, "ref")).select("cluster", "vec_id", V.best_reference("v", "refs").alias("b"))
+    votes = best.filter(F.col("b.c") >= least).groupBy("cluster", F.col("b.r").alias("ref")).agg(F.count("*").alias("n"), F.max("b.c").alias("m"))
     top = votes.groupBy("cluster").agg(F.max(F.struct("n", "m", "ref")).alias("w"))
     total = windows.groupBy("cluster").agg(F.count("*").alias("total"))
     out = total.join(top, "cluster").select("cluster", F.col("w.n").alias("votes"), (F.col("w.n") / F.col("total")).alias("agreement"), F.col("w.ref").alias("ref"))
@@ -213,8 +212,8 @@ def agg_filter(t, spark):
 
 @query("SELECT day, min(iso) AS first_iso, max(iso) AS last_iso, bool_or(iso LIKE '%T23%') AS late FROM (SELECT day(ts) AS day, strftime(ts, '%Y-%m-%dT%H:%M:%SZ') AS iso FROM events) GROUP BY 1")
 def agg_minmax_iso(t, spark):
-    iso = t("events").groupBy(F.dayofmonth("ts").cast("long").alias("day")).agg(F.collect_list(F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss'Z'")).alias("iso"))
-    return iso.select("day", F.array_min("iso").alias("first_iso"), F.array_max("iso").alias("last_iso"), F.exists("iso", lambda x: x.contains("T23")).alias("late"))
+    iso = F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss'Z'")
+    return t("events").groupBy(F.dayofmonth("ts").cast("long").alias("day")).agg(F.min(iso).alias("first_iso"), F.max(iso).alias("last_iso"), F.bool_or(iso.contains("T23")).alias("late"))
 
 
 @query("SELECT user_id, max(ts) AS sampled_at FROM events GROUP BY 1")

@@ -154,9 +154,12 @@ def inc_antijoin(t, spark):
     return t("events").join(done, "event_id", "left_anti").select("event_id")
 
 
-@query("SELECT user_id, max(event_id) AS cursor FROM events WHERE event_id < 5000 GROUP BY 1")
+@query("""SELECT e.event_id, e.user_id FROM events e LEFT JOIN (SELECT user_id, max(event_id) AS last FROM events WHERE event_type = 'purchase' GROUP BY 1) k ON e.user_id = k.user_id WHERE k.last IS NULL OR e.event_id > k.last""")
 def inc_cursor(t, spark):
-    return t("events").filter("event_id < 5000").groupBy("user_id").agg(F.max_by("event_id", "ts").alias("cursor"))
+    # what a user has after the last event known; purchases stand for the known ones
+    known = t("events").filter("event_type = 'purchase'").groupBy("user_id").agg(F.max("event_id").alias("last"))
+    fresh = t("events").select("event_id", "user_id").join(known, "user_id", "left")
+    return fresh.filter("last IS NULL OR event_id > last").select("event_id", "user_id")
 
 
 @query("SELECT page_id FROM pages WHERE page_id % 4 <> 0 AND (page_id % 5 = 0 OR page_id % 3 <> 0)")
@@ -199,9 +202,11 @@ def inc_session(t, spark):
     return out.drop("w")
 
 
-@query("SELECT count(*) AS n FROM events")
+@query("SELECT event_id, CAST(date_trunc('day', ts) AS DATE) AS daily, CAST(date_trunc('week', ts) AS DATE) AS weekly FROM events")
 def inc_schedule(t, spark):
-    return S.run(S.stream(t("events").select("event_id"), spark), fresh_path(spark, "stream")).agg(F.count("*").alias("n"))
+    # a scheduled run takes all that is there since the last one, stamped with the daily and the weekly run that it belongs to
+    due = lambda unit: F.to_date(F.date_trunc(unit, "ts")).alias({"day": "daily", "week": "weekly"}[unit])
+    return S.run(S.stream(t("events").select("event_id", due("day"), due("week")), spark), fresh_path(spark, "stream"))
 
 
 @query("SELECT event_id, CAST(sum(CAST(value AS DECIMAL(18,2))) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS DOUBLE) AS running FROM events")
@@ -233,7 +238,9 @@ def dedup_first_upgrade(t, spark):
     return walk.groupBy("doc_id").agg(first("quality"), first("toxic"))
 
 
-@query("SELECT CAST(sum(CAST(l_extendedprice AS DECIMAL(18,2))) AS DOUBLE) AS total, count(*) AS n FROM lineitem")
+@query("SELECT * FROM orders")
 def copy_reorder(t, spark):
-    rows = t("lineitem")
-    return rows.select(*reversed(rows.columns)).agg(A.exact_sum("l_extendedprice").alias("total"), F.count("*").alias("n"))
+    # into a table whose columns stand in another order
+    rows, path = t("orders"), fresh_path(spark, "reordered")
+    rows.select(*sorted(rows.columns, reverse=True)).write.parquet(path)
+    return spark.read.parquet(path)

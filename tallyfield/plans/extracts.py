@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tallyfield.functions import json_fns as J
 from tallyfield.functions import text as X
-from tallyfield.operators import mutations as M
+from tallyfield.operators import sequences as Q
 from tallyfield.operators.windows import top_per_key
 
 from .registry import query
@@ -123,12 +123,14 @@ def article_context(t, spark):
     return rows.groupBy("o_custkey").agg(F.array_join(F.array_sort(F.collect_list("o_orderkey")).cast("array<string>"), ",").alias("ids"), F.count("*").alias("n"))
 
 
-@query("SELECT doc_id, n_chars FROM documents WHERE doc_id < 300")
+@query("""WITH p AS (SELECT DISTINCT doc_id // 100 AS page FROM documents), e AS (SELECT min(page) + 1 AS gap FROM p WHERE page + 1 NOT IN (SELECT page FROM p))
+    SELECT doc_id, n_chars FROM documents, e WHERE doc_id // 100 < gap""")
 def page_union(t, spark):
-    from functools import reduce
-
-    pages = [t("documents").filter((F.col("doc_id") >= k) & (F.col("doc_id") < k + 100)) for k in range(0, 300, 100)]
-    return reduce(lambda a, b: a.unionByName(b), pages).select("doc_id", "n_chars")
+    # pages of 100 ids, one after another, until the first one without rows
+    rows = t("documents").select("doc_id", "n_chars", F.expr("doc_id div 100").alias("page"))
+    pages = rows.select("page").distinct()
+    gap = pages.join(pages.select((F.col("page") - 1).alias("page")), "page", "left_anti").agg((F.min("page") + 1).alias("gap"))
+    return rows.join(gap, F.col("page") < F.col("gap")).select("doc_id", "n_chars")
 
 
 @query("""SELECT doc_id, turn, chunk FROM (SELECT doc_id, doc_id % 3 AS turn, unnest([doc_id * 10, doc_id * 10 + 1]) AS chunk FROM labels)""")
@@ -181,13 +183,30 @@ def ctx_text(t, spark):
     return per.select("o_custkey", F.concat(F.format_string("Customer %d: %d orders; ", "o_custkey", "n"), quotes).alias("text"))
 
 
-@query("""SELECT o_orderkey, coalesce(c.c_name, s.s_name) AS entity FROM orders LEFT JOIN customer c ON c.c_custkey = o_custkey AND c.c_custkey % 2 = 1 LEFT JOIN supplier s ON s.s_suppkey = o_custkey % 10 WHERE o_orderkey < 2000""")
+CLAIM_TOKENS = "list_filter(string_split(regexp_replace(lower({}), '[^a-z0-9]+', ' ', 'g'), ' '), lambda w: length(w) >= 3)"
+
+
+@query(f"""WITH k AS (SELECT conv_id, {CLAIM_TOKENS.format('arg_max(text, turn)')} AS k FROM conversations GROUP BY 1),
+    c AS (SELECT conv_id, turn, CASE WHEN len(w) = 0 THEN 0 ELSE len(list_filter(w, lambda x: list_contains(k, x))) / len(w) END AS coverage FROM (SELECT conv_id, turn, {CLAIM_TOKENS.format('text')} AS w FROM conversations) JOIN k USING (conv_id)),
+    h AS (SELECT *, sum(CASE WHEN turn - p <= 2 THEN 0 ELSE 1 END) OVER (PARTITION BY conv_id ORDER BY turn) AS run FROM (SELECT *, lag(turn) OVER (PARTITION BY conv_id ORDER BY turn) AS p FROM c WHERE coverage >= 0.4)),
+    r AS (SELECT conv_id, run, min(turn) AS first_pos, max(turn) AS last_pos, round(sum(coverage), 9) AS score FROM h GROUP BY 1, 2),
+    b AS (SELECT conv_id, first_pos, last_pos FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY score DESC, first_pos) AS rn FROM r WHERE score >= 1) WHERE rn = 1),
+    l AS (SELECT v.conv_id, v.turn, row_number() OVER (PARTITION BY v.conv_id ORDER BY v.turn) - 1 AS ordinal, first_pos, last_pos FROM conversations v JOIN b ON v.conv_id = b.conv_id AND v.turn BETWEEN first_pos AND last_pos)
+    SELECT k.conv_id AS claim_id, coalesce(cu.c_name, s.s_name) AS entity, first_pos AS start_pos, last_pos AS end_pos, turn AS chunk, ordinal FROM k LEFT JOIN l ON l.conv_id = k.conv_id
+    LEFT JOIN customer cu ON cu.c_custkey = k.conv_id AND cu.c_custkey % 2 = 1 LEFT JOIN supplier s ON s.s_suppkey = k.conv_id % 10""")
 def ingest_claims(t, spark):
+    """A claim for each conversation, its last turn: its subject, the run of chunks it draws on, their span, and a link to each chunk."""
     from tallyfield.operators.joins import cascade
 
-    claims = t("orders").filter("o_orderkey < 2000").select("o_orderkey", "o_custkey", (F.col("o_custkey") % 10).alias("fallback"))
-    steps = [(t("customer").filter("c_custkey % 2 = 1"), "o_custkey", "c_custkey", "c_name"), (t("supplier"), "fallback", "s_suppkey", "s_name")]
-    return cascade(claims, steps, "entity").select("o_orderkey", "entity")
+    chunks = t("conversations").select("conv_id", "turn", X.tokens("text").alias("w"))
+    claims = t("conversations").groupBy("conv_id").agg(X.tokens(F.max_by("text", "turn")).alias("k"))
+    covered = chunks.join(claims, "conv_id").select("conv_id", "turn", X.coverage(F.col("w"), F.col("k")).alias("coverage"))
+    runs = Q.find_run(covered, ["conv_id"], "turn", "coverage", 0.4, 1.0).select("conv_id", F.col("first_pos").alias("start_pos"), F.col("last_pos").alias("end_pos"))
+    inside = chunks.select("conv_id", "turn").join(runs, "conv_id").filter("turn BETWEEN start_pos AND end_pos")
+    links = inside.groupBy("conv_id", "start_pos", "end_pos").agg(F.array_sort(F.collect_list("turn")).alias("turns")).select("conv_id", "start_pos", "end_pos", F.posexplode("turns").alias("ordinal", "chunk"))
+    steps = [(t("customer").filter("c_custkey % 2 = 1"), "conv_id", "c_custkey", "c_name"), (t("supplier"), "fallback", "s_suppkey", "s_name")]
+    named = cascade(claims.select("conv_id", (F.col("conv_id") % 10).alias("fallback")), steps, "entity")
+    return named.join(links, "conv_id", "left").select(F.col("conv_id").alias("claim_id"), "entity", "start_pos", "end_pos", "chunk", F.col("ordinal").cast("long").alias("ordinal"))
 
 
 @query("SELECT a.turn AS pos, count(*) AS n, count(*) FILTER (WHERE a.text <> b.text) AS differ FROM conversations a JOIN conversations b ON b.conv_id = a.conv_id + 1 AND a.turn = b.turn GROUP BY 1")
@@ -199,5 +218,4 @@ def cmp_transcript_diff(t, spark):
 
 @query("SELECT user_id, d, n FROM (SELECT user_id, CAST(ts AS DATE) AS d, count(*) AS n FROM events GROUP BY 1, 2) WHERE n >= 2")
 def extract_daily(t, spark):
-    rich = t("events").groupBy("user_id", F.to_date("ts").alias("d")).agg(F.count("*").alias("n"))
-    return M.precedence(rich, rich, ["user_id", "d"]).filter("n >= 2")
+    return t("events").groupBy("user_id", F.to_date("ts").alias("d")).agg(F.count("*").alias("n")).filter("n >= 2")

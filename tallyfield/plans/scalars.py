@@ -47,10 +47,10 @@ def str_team_code(t, spark):
     return t("customer").select("c_custkey", X.coded(F.substring("c_mktsegment", 1, 3), CODES).alias("segment"))
 
 
-@query(r"SELECT w, regexp_replace(regexp_replace(lower(w), '''(s|re|ve|ll|d|t|m)$', ''), '[^a-z0-9]', '', 'g') AS norm FROM (SELECT DISTINCT unnest(string_split(text, ' ')) || CASE WHEN doc_id % 2 = 0 THEN '''s' ELSE '' END AS w FROM documents WHERE doc_id < 50)")
+@query(r"SELECT w, regexp_replace(regexp_replace(lower(w), '''(s|re|ve|ll|d|t|m)$', ''), '[^a-z0-9]', '', 'g') AS norm FROM (SELECT DISTINCT unnest(string_split(text, ' ')) || CASE WHEN doc_id % 2 = 0 THEN '''s' ELSE '' END AS w FROM documents)")
 def str_word_norm(t, spark):
     end = F.when(F.col("doc_id") % 2 == 0, "'s").otherwise("")
-    words = t("documents").filter("doc_id < 50").select("doc_id", F.explode(F.split("text", " ", -1)).alias("w")).select(F.concat("w", end).alias("w")).distinct()
+    words = t("documents").select("doc_id", F.explode(F.split("text", " ", -1)).alias("w")).select(F.concat("w", end).alias("w")).distinct()
     return words.select("w", X.word_norm("w").alias("norm"))
 
 
@@ -80,16 +80,20 @@ def str_metaphone(t, spark):
     return t("part").select("p_name").distinct().select("p_name", X.metaphone(F.split("p_name", " ")[0]).alias("code"))
 
 
-@query("SELECT a.p_name AS a, b.p_name AS b, round(jaro_winkler_similarity(a.p_name, b.p_name), 6) AS score FROM (SELECT DISTINCT p_name FROM part) a, (SELECT DISTINCT p_name FROM part WHERE p_partkey < 20) b")
+def neighbour_names(t):
+    """Each part's name beside that of the part with the next key, every pair of names once."""
+    a = t("part").select(F.col("p_name").alias("a"), (F.col("p_partkey") + 1).alias("k"))
+    return a.join(t("part").select(F.col("p_name").alias("b"), F.col("p_partkey").alias("k")), "k").select("a", "b").distinct()
+
+
+@query("SELECT DISTINCT a.p_name AS a, b.p_name AS b, round(jaro_winkler_similarity(a.p_name, b.p_name), 6) AS score FROM part a JOIN part b ON b.p_partkey = a.p_partkey + 1")
 def str_jaro_winkler(t, spark):
-    a, b = t("part").select(F.col("p_name").alias("a")).distinct(), t("part").filter("p_partkey < 20").select(F.col("p_name").alias("b")).distinct()
-    return a.crossJoin(F.broadcast(b)).select("a", "b", F.round(X.jaro_winkler("a", "b"), 6).alias("score"))
+    return neighbour_names(t).select("a", "b", F.round(X.jaro_winkler("a", "b"), 6).alias("score"))
 
 
 @query()
 def str_phonetic_score(t, spark):
-    a, b = t("part").select(F.col("p_name").alias("a")).distinct(), t("part").filter("p_partkey < 20").select(F.col("p_name").alias("b")).distinct()
-    return a.crossJoin(F.broadcast(b)).select("a", "b", F.round(X.phonetic_score("a", "b"), 6).alias("score"))
+    return neighbour_names(t).select("a", "b", F.round(X.phonetic_score("a", "b"), 6).alias("score"))
 
 
 @query("SELECT conv_id, turn, CASE WHEN length(text) > 40 THEN left(text, 40) || '…' ELSE text END AS text FROM conversations")
@@ -166,14 +170,13 @@ def text_wiki_links(t, spark):
     return t("conversations").select("conv_id", "turn", F.array_join(X.wiki_links(linked), ",").alias("links"))
 
 
-PAIR = "FROM embeddings a JOIN embeddings b ON a.label = b.label AND a.vec_id < b.vec_id AND b.vec_id < 120"
-
-
-@query(f"SELECT a.vec_id AS a, b.vec_id AS b, round(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 6) AS cos {PAIR}")
+@query("""SELECT a.vec_id AS a, b.vec_id AS b, round(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 6) AS cos
+    FROM embeddings b JOIN (SELECT label, min(vec_id) AS vec_id, arg_min(embedding, vec_id) AS embedding FROM embeddings GROUP BY 1) a ON a.label = b.label AND a.vec_id < b.vec_id""")
 def math_cosine(t, spark):
-    v = t("embeddings").filter("vec_id < 120").select("vec_id", "label", V.doubles("embedding").alias("v"))
-    a, b = v.select("label", F.col("vec_id").alias("a"), F.col("v").alias("va")), v.select("label", F.col("vec_id").alias("b"), F.col("v").alias("vb"))
-    return a.join(b, "label").filter("a < b").select("a", "b", F.round(V.cosine("va", "vb"), 6).alias("cos"))
+    # each vector with the first one of its label
+    v = t("embeddings").select("vec_id", "label", V.doubles("embedding").alias("v"))
+    first = v.groupBy("label").agg(F.min("vec_id").alias("a"), F.min_by("v", "vec_id").alias("va"))
+    return v.join(first, "label").filter("a < vec_id").select("a", F.col("vec_id").alias("b"), F.round(V.cosine("va", "v"), 6).alias("cos"))
 
 
 @query("SELECT vec_id, round(list_sum(list_transform(e, lambda x: (x / n) * (x / n))), 6) AS unit, round(e[1] / n, 6) AS head FROM (SELECT vec_id, embedding::DOUBLE[] AS e, sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[])) AS n FROM embeddings)")
@@ -324,9 +327,9 @@ def num_unit_value(t, spark):
     return t("part").select("p_partkey", N.unit_value(F.col("p_retailprice").cast("string"), unit, "CMT").alias("v"))
 
 
-@query("SELECT doc_id, regexp_replace(regexp_replace(lower(strip_accents(trim(left(text, 40)))), '[''\".]', '', 'g'), '\\s+', '-', 'g') AS slug FROM documents WHERE lang IN ('fr', 'es')".replace("\\\\", "\\"))
+@query("SELECT doc_id, regexp_replace(regexp_replace(lower(strip_accents(trim(text))), '[''\".]', '', 'g'), '\\s+', '-', 'g') AS slug FROM documents WHERE lang IN ('fr', 'es')".replace("\\\\", "\\"))
 def str_slug_fold(t, spark):
-    return t("documents").filter(F.col("lang").isin("fr", "es")).select("doc_id", X.slug_fold(F.substring("text", 1, 40)).alias("slug"))
+    return t("documents").filter(F.col("lang").isin("fr", "es")).select("doc_id", X.slug_fold("text").alias("slug"))
 
 
 @query("SELECT doc_id, len(list_filter(list_filter(string_split(lower(text), ' ')[1:3], lambda w: length(w) >= 3), lambda w: NOT contains(lower(text), w))) = 0 AS found FROM documents")

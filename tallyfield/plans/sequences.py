@@ -32,31 +32,21 @@ def vec_attrib(t, spark):
     return t("customer").join(ids, "c_custkey", "left_semi").select("c_custkey", "c_name")
 
 
-def density(least):
-    def cluster(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("vec_id", kind="stable")
-        x = np.stack(rows["v"].to_numpy())
-        labels = C.density_clusters(x / np.linalg.norm(x, axis=1, keepdims=True), least)
-        return pd.DataFrame({"grp": rows["grp"], "vec_id": rows["vec_id"], "cluster": [None if k < 0 else k for k in labels]}).astype({"cluster": "Int64"})
-
-    return cluster
+def sources(t):
+    """Vectors in sources of 1,000 consecutive ids."""
+    return t("embeddings").filter(V.is_finite("embedding")).select(F.expr("vec_id div 1000").alias("grp"), "vec_id", V.doubles("embedding").alias("v"))
 
 
 @query()
 def clu_density(t, spark):
-    rows = t("embeddings").filter(V.is_finite("embedding")).select((F.col("vec_id") % 2).alias("grp"), "vec_id", V.doubles("embedding").alias("v"))
-    return Q.grouped(rows, ["grp"], density(8), "grp long, vec_id long, cluster long")
+    return C.cluster_bounded(sources(t), ["grp"], "vec_id", 8)
 
 
 @query()
 def clu_sampled(t, spark):
-    # density clusters of a bounded sample of each group, then the nearest centroid for all its rows
-    rows = t("embeddings").filter(V.is_finite("embedding")).select((F.col("vec_id") % 2).alias("grp"), "vec_id", V.doubles("embedding").alias("v"))
-    turn = F.row_number().over(Window.partitionBy("grp").orderBy(F.xxhash64("vec_id"), "vec_id"))
-    sample = rows.withColumn("turn", turn).filter("turn <= 5000").drop("turn")
-    found = Q.grouped(sample, ["grp"], density(8), "grp long, vec_id long, cluster long").filter("cluster IS NOT NULL")
-    means = V.centroids(sample.join(found, ["grp", "vec_id"]), ["grp", "cluster"], "v")
-    return C.assign(rows, means, ["grp"], "vec_id", 0.35).select("grp", "vec_id", "cluster")
+    # two large sources: density clusters of about 500 points of each, the nearest centroid for the others
+    rows = sources(t).withColumn("grp", F.col("vec_id") % 2)
+    return C.cluster_bounded(rows, ["grp"], "vec_id", 8, most=500)
 
 
 @query("""WITH m AS (SELECT label, k, avg(x) AS x FROM (SELECT label, unnest(embedding::DOUBLE[]) AS x, generate_subscripts(embedding, 1) AS k FROM embeddings WHERE vec_id % 2 = 0) GROUP BY 1, 2),
@@ -68,18 +58,13 @@ def clu_assign(t, spark):
     return C.assign(rows.filter("vec_id % 2 = 1"), means, ["g"], "vec_id", 0.25).select("vec_id", "cluster")
 
 
-def online_2d(rows: pd.DataFrame) -> pd.DataFrame:
-    rows = rows.sort_values("event_id", kind="stable")
-    return rows.assign(cluster=C.online(rows[["x", "y"]].to_numpy(float), 120.0))[["user_id", "event_id", "x", "y", "cluster"]]
-
-
 def points_2d(t):
     return t("events").select("user_id", "event_id", F.col("value").alias("x"), (F.get_json_object("props", "$.k").cast("double") * 4).alias("y"))
 
 
 @query()
 def clu_greedy_online(t, spark):
-    return Q.grouped(points_2d(t), ["user_id"], online_2d, "user_id long, event_id long, x double, y double, cluster long").select("user_id", "event_id", "cluster")
+    return C.online_clusters(points_2d(t), "user_id", "event_id", 120.0).select("user_id", "event_id", "cluster")
 
 
 def merged_2d(rows: pd.DataFrame) -> pd.DataFrame:
@@ -89,35 +74,43 @@ def merged_2d(rows: pd.DataFrame) -> pd.DataFrame:
 
 @query()
 def clu_merge(t, spark):
-    found = Q.grouped(points_2d(t), ["user_id"], online_2d, "user_id long, event_id long, x double, y double, cluster long")
+    found = C.online_clusters(points_2d(t), "user_id", "event_id", 120.0)
     means = found.groupBy("user_id", "cluster").agg(F.avg("x").alias("x"), F.avg("y").alias("y"), F.count("*").alias("n"))
     return Q.grouped(means, ["user_id"], merged_2d, "user_id long, cluster long, merged long")
 
 
+PAIRS = "SELECT user_id, event_type, hour(ts) % 7 AS grp, count(*) AS n FROM events GROUP BY 1, 2, 3"
+
+
 def type_pairs(t):
-    return t("events").groupBy("event_type", (F.col("user_id") % 7).alias("grp")).agg(F.count("*").alias("n"))
+    return t("events").groupBy("user_id", "event_type", (F.hour("ts") % 7).cast("long").alias("grp")).agg(F.count("*").alias("n"))
 
 
-@query()
+@query(f"""WITH RECURSIVE p AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY n DESC, event_type, grp) AS rn FROM ({PAIRS})),
+    r AS (SELECT user_id, event_type, grp, n, rn, true AS taken, [event_type] AS a, [grp] AS b FROM p WHERE rn = 1
+    UNION ALL SELECT p.user_id, p.event_type, p.grp, p.n, p.rn, NOT list_contains(a, p.event_type) AND NOT list_contains(b, p.grp),
+    CASE WHEN list_contains(a, p.event_type) OR list_contains(b, p.grp) THEN a ELSE list_append(a, p.event_type) END, CASE WHEN list_contains(a, p.event_type) OR list_contains(b, p.grp) THEN b ELSE list_append(b, p.grp) END
+    FROM r JOIN p ON p.user_id = r.user_id AND p.rn = r.rn + 1)
+    SELECT user_id, event_type, grp, n FROM r WHERE taken""")
 def pair_greedy(t, spark):
+    # within a user: as many pairs as there are types times hours
     def match(rows: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame(C.pair_greedy(list(zip(rows["event_type"], rows["grp"], rows["n"].astype(float), strict=True))), columns=["event_type", "grp", "n"])
+        found = C.pair_greedy(list(zip(rows["event_type"], rows["grp"], rows["n"], strict=True)))
+        return pd.DataFrame([(rows["user_id"].iloc[0], *x) for x in found], columns=["user_id", "event_type", "grp", "n"])
 
-    return Q.grouped(type_pairs(t).withColumn("one", F.lit(1)), ["one"], match, "event_type string, grp long, n double")
+    return Q.grouped(type_pairs(t), ["user_id"], match, "user_id long, event_type string, grp long, n long")
 
 
 @query("SELECT event_type, arg_max(grp, n * 1000 - grp) AS grp FROM (SELECT event_type, user_id % 7 AS grp, count(*) AS n FROM events GROUP BY 1, 2) GROUP BY 1")
 def pair_argmax(t, spark):
-    return type_pairs(t).groupBy("event_type").agg(F.max_by("grp", F.struct("n", (-F.col("grp")).alias("o"))).alias("grp"))
+    pairs = t("events").groupBy("event_type", (F.col("user_id") % 7).alias("grp")).agg(F.count("*").alias("n"))
+    return pairs.groupBy("event_type").agg(F.max_by("grp", F.struct("n", (-F.col("grp")).alias("o"))).alias("grp"))
 
 
 @query()
 def seg_smooth_runs(t, spark):
-    def smooth(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["ts", "event_id"], kind="stable")
-        return rows.assign(label=Q.smooth_labels(rows["event_type"].tolist(), 1))[["user_id", "event_id", "label"]]
-
-    return Q.grouped(t("events").select("user_id", "event_id", "ts", "event_type"), ["user_id"], smooth, "user_id long, event_id long, label string")
+    rows = t("events").select("user_id", "ts", "event_id", F.col("event_type").alias("label"))
+    return Q.smoothed(rows, "user_id", ["ts", "event_id"], "label", 1).select("user_id", "event_id", "label")
 
 
 @query()
@@ -133,14 +126,26 @@ def seg_smooth_text(t, spark):
     return Q.grouped(rows, ["conv_id"], smooth, "conv_id long, role string, s double, e double, text string")
 
 
+#: Phrases that begin another topic, fixed values.
+TRANSITIONS = (
+    r"\bnext\s+(?:game|up|match|one)\b", r"\bmoving\s+on\b", r"\blet'?s\s+(?:look\s+at|move|go\s+to|talk\s+about|get\s+into)\b", r"\bnow\s+(?:onto|to|for|looking)\b", r"\bonto\s+the\b",
+    r"\ball\s+right\s*,?\s*so\b", r"\bokay\s*,?\s*so\b", r"\banyway\s*,?\s*(?:so|let)\b", r"\bnext\s+(?:team|position|group|segment)\b", r"\bmoving\s+(?:to|into)\b",
+)
+#: Letters of a word that stands for a name here; documents have no list of names.
+NAME = 9
+
+
 def boundary_scores(t):
-    # a row a sentence: new words and a change of length score as a boundary
-    s = t("documents").select("doc_id", F.posexplode(F.split("text", r"\.\s")).alias("pos", "s")).withColumn("w", X.tokens("s"))
+    """A row a sentence. A phrase of transition scores 2, a gap (here a new line) 1.5, and each name not among the last 20 sentences 1; a peak scores 2 or more and the most within 10."""
+    s = t("documents").select("doc_id", F.posexplode(F.split("text", r"(?<=\.)(?=\s)")).alias("pos", "s")).withColumn("w", X.tokens("s"))
     w = Window.partitionBy("doc_id").orderBy("pos")
-    fresh = F.size(F.array_except("w", F.flatten(F.collect_list("w").over(w.rowsBetween(-20, -1)))))
-    scored = s.withColumn("score", fresh / F.greatest(F.lit(1), F.size("w")) + F.when(F.lag(F.length("s")).over(w) > 2 * F.length("s"), 1.0).otherwise(0.0))
+    names = F.array_distinct(X.tokens("s", NAME))
+    s = s.withColumn("names", names)
+    fresh = F.size(F.array_except("names", F.flatten(F.collect_list("names").over(w.rowsBetween(-20, -1)))))
+    moved = F.when(F.col("s").rlike("(?i)" + "|".join(TRANSITIONS)), 2.0).otherwise(0.0)
+    scored = s.withColumn("score", moved + F.when(F.col("s").startswith("\n"), 1.5).otherwise(0.0) + fresh)
     top = scored.withColumn("m", F.max("score").over(w.rowsBetween(-10, 10)))
-    return top.withColumn("peak", (F.col("score") == F.col("m")) & (F.col("score") >= 1.0))
+    return top.withColumn("peak", (F.col("score") == F.col("m")) & (F.col("score") >= 2.0))
 
 
 def split_blocks(rows: pd.DataFrame) -> pd.DataFrame:
@@ -179,25 +184,24 @@ def seg_word_attribution(t, spark):
     return out.select("event_id", "frame_id", F.when(F.col("motion") >= 4.5, F.col("face")).alias("speaker"))
 
 
-@query()
+@query("""WITH m AS (SELECT conv_id, role, max(length(text)) AS n, list(DISTINCT turn) AS turns FROM conversations GROUP BY 1, 2),
+    f AS (SELECT conv_id, role, n, turns, min(turn) AS first FROM conversations JOIN m USING (conv_id, role) WHERE length(text) = n GROUP BY ALL)
+    SELECT conv_id, c.turn, role, text, array_to_string(list_sort(list_filter(turns, lambda x: x <> c.turn)), ',') AS also_in FROM conversations c JOIN f USING (conv_id, role) WHERE c.turn = first AND length(text) = n""")
 def dedup_cross_group(t, spark):
-    def keep(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["turn", "text"], kind="stable")
-        out = Q.keep_longer(list(zip(rows["turn"], rows["role"], rows["text"], strict=True)))
-        return pd.DataFrame([(rows["conv_id"].iloc[0], g, k, x, ",".join(map(str, o))) for g, k, x, o in out], columns=["conv_id", "turn", "role", "text", "also_in"])
-
-    return Q.grouped(t("conversations"), ["conv_id"], keep, "conv_id long, turn long, role string, text string, also_in string")
+    kept = Q.keep_longer(t("conversations").select("conv_id", "turn", "role", "text"), ["conv_id", "role"], "turn", "text")
+    return kept.select("conv_id", "turn", "role", "text", F.array_join(F.col("also_in").cast("array<string>"), ",").alias("also_in"))
 
 
 TOKENS = "list_filter(string_split(regexp_replace(lower({}), '[^a-z0-9]+', ' ', 'g'), ' '), lambda w: length(w) >= 3)"
 
 
-@query(f"""WITH k AS (SELECT {TOKENS.format("string_agg(text, ' ')")} AS k FROM benchmark WHERE item_id < 5),
-    c AS (SELECT conv_id, turn, CASE WHEN len(w) = 0 THEN 0 ELSE len(list_filter(w, lambda x: list_contains(k, x))) / len(w) END AS coverage FROM (SELECT conv_id, turn, {TOKENS.format('text')} AS w FROM conversations), k),
-    h AS (SELECT *, sum(CASE WHEN turn - p <= 2 THEN 0 ELSE 1 END) OVER (PARTITION BY conv_id ORDER BY turn) AS run FROM (SELECT *, lag(turn) OVER (PARTITION BY conv_id ORDER BY turn) AS p FROM c WHERE coverage >= 0.2)),
+@query(f"""WITH k AS (SELECT doc_id, {TOKENS.format('text')} AS k FROM documents),
+    c AS (SELECT conv_id, turn, CASE WHEN len(w) = 0 THEN 0 ELSE len(list_filter(w, lambda x: list_contains(k, x))) / len(w) END AS coverage FROM (SELECT conv_id, turn, {TOKENS.format('text')} AS w FROM conversations) JOIN k ON doc_id = conv_id),
+    h AS (SELECT *, sum(CASE WHEN turn - p <= 2 THEN 0 ELSE 1 END) OVER (PARTITION BY conv_id ORDER BY turn) AS run FROM (SELECT *, lag(turn) OVER (PARTITION BY conv_id ORDER BY turn) AS p FROM c WHERE coverage >= 0.4)),
     r AS (SELECT conv_id, run, min(turn) AS first_pos, max(turn) AS last_pos, round(sum(coverage), 9) AS score FROM h GROUP BY 1, 2)
-    SELECT conv_id, first_pos, last_pos, score FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY score DESC, first_pos) AS rn FROM r WHERE score >= 0.5) WHERE rn = 1""")
+    SELECT conv_id, first_pos, last_pos, score FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY score DESC, first_pos) AS rn FROM r WHERE score >= 1) WHERE rn = 1""")
 def str_find_run(t, spark):
-    known = t("benchmark").filter("item_id < 5").agg(F.array_distinct(F.flatten(F.collect_list(X.tokens("text")))).alias("k"))
-    chunks = t("conversations").crossJoin(F.broadcast(known)).select("conv_id", "turn", X.coverage(X.tokens("text"), F.col("k")).alias("coverage"))
-    return Q.find_run(chunks, ["conv_id"], "turn", "coverage", 0.2, 0.5)
+    # each conversation's chunks against the text of its document
+    known = t("documents").select(F.col("doc_id").alias("conv_id"), F.array_distinct(X.tokens("text")).alias("k"))
+    chunks = t("conversations").join(known, "conv_id").select("conv_id", "turn", X.coverage(X.tokens("text"), F.col("k")).alias("coverage"))
+    return Q.find_run(chunks, ["conv_id"], "turn", "coverage", 0.4, 1.0)

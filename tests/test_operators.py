@@ -45,11 +45,16 @@ def test_flip_name(spark, raw, want):
     assert value(spark, X.flip_name(F.lit(raw).cast("string"))) == want
 
 
-@pytest.mark.parametrize("url,want", [("https://www.youtube.com/watch?v=abcdefghijk&t=1", "abcdefghijk"), ("https://youtu.be/abcdefghijk", "abcdefghijk"), ("https://youtube.com/shorts/abcdefghijk", "abcdefghijk"), ("abcdefghijk", "abcdefghijk"), ("https://example.com", None), (None, None)])
+@pytest.mark.parametrize("url,want", [("https://www.youtube.com/watch?v=abcdefghijk&t=1", "abcdefghijk"), ("https://youtu.be/abcdefghijk", "abcdefghijk"), ("https://youtube.com/shorts/abcdefghijk", "abcdefghijk"), ("https://www.youtube.com/watch?v=too-short", None), ("https://example.com/watch?v=abcdefghijk", None), ("https://m.youtube.com/attribution?a=1&v=abcdefghijk", "abcdefghijk"), ("/x?v=abcdefghijk", "abcdefghijk"), ("https://youtu.be/ABCDEFGHI01?t=10", "ABCDEFGHI01"), ("abcdefghijk", None), ("https://example.com", None), (None, None)])
 def test_video_id(spark, url, want):
     assert value(spark, U.video_id(F.lit(url).cast("string"))) == want
 
 
+@pytest.mark.parametrize("url,want", [("https://www.youtube.com/channel/UCabcdefghijklmnopqrstuv", "UCabcdefghijklmnopqrstuv"), ("https://www.youtube.com/@nrlpod.test", "@nrlpod.test"), ("https://www.youtube.com/c/LegacyName", None), ("https://example.com/@name", None), (None, None)])
+def test_channel_id(spark, url, want):
+    assert value(spark, U.channel_id(F.lit(url).cast("string"))) == want
+
+
 def test_replace_once_is_once(spark):
     assert value(spark, X.replace_once(F.lit("a cat, a Cat"), "Cat", "$1 dog")) == "a cat, a $1 dog"
     assert value(spark, X.replace_once(F.lit("a cat, a cat"), "Cat", "dog")) == "a dog, a cat"
@@ -176,7 +181,8 @@ def test_density_clusters():
 
 def test_online_and_merge():
     points = np.array([[0, 0], [10, 0], [300, 0], [0, 10], [310, 0]], float)
-    assert C.online(points, 120) == [0, 0, 1, 0, 1]
+    clusters = C.Online(120)
+    assert [clusters.place(p) for p in points] == [0, 0, 1, 0, 1]
     assert C.merge_close(np.array([[0, 0], [50, 0], [500, 0]], float), np.array([5, 3, 2]), 100, 5) == [0, 0, -1]
     assert C.pair_greedy([("a", 1, 0.9), ("a", 2, 0.8), ("b", 1, 0.85), ("b", 2, 0.1)]) == [("a", 1, 0.9), ("b", 2, 0.1)]
 
@@ -188,7 +194,119 @@ def test_smoothing():
     assert Q.smooth_spans(spans, 2, 1) == [("A", 0, 20, "x y z"), ("C", 20, 21, None)]
     assert Q.thin_boundaries([(3, 9.0), (10, 1.0), (14, 2.0), (30, 1.0), (38, 5.0)], 8, 40) == [14, 30]
     assert Q.merge_blocks([("a", 0, 1, {1}), ("a", 2, 3, {1, 2}), ("a", 4, 5, {3}), ("b", 6, 7, set())]) == [("a", 0, 3, {1, 2}), ("a", 4, 5, {3}), ("b", 6, 7, set())]
-    assert Q.keep_longer([(0, "p", "ab"), (0, "p", "cd"), (1, "p", "x"), (1, "q", "y")]) == [(0, "p", "ab", [1]), (0, "p", "cd", [1]), (1, "q", "y", [])]
+
+
+def plain_smoothing(labels, most):
+    labels = list(labels)
+    while True:
+        runs = []
+        for k, x in enumerate(labels):
+            if runs and runs[-1][0] == x:
+                runs[-1][2] = k + 1
+            else:
+                runs.append([x, k, k + 1])
+        short = next((k for k in range(1, len(runs) - 1) if runs[k][2] - runs[k][1] <= most and runs[k - 1][0] == runs[k + 1][0]), None)
+        if short is None:
+            return labels
+        _, a, b = runs[short]
+        labels[a:b] = [runs[short - 1][0]] * (b - a)
+
+
+def test_smoothing_in_streams(spark):
+    rng = random.Random(2)
+    for most in (0, 1, 2, 3):
+        for _ in range(200):
+            labels = rng.choices("ABC", k=rng.randrange(30))
+            assert Q.smooth_labels(labels, most) == plain_smoothing(labels, most), (labels, most)
+    labels = {k: rng.choices("AABBC", k=n) for k, n in ((1, 0), (2, 1), (3, 3000), (4, 5000), (None, 40))}
+    df = spark.createDataFrame([(k, i, x) for k, v in labels.items() for i, x in enumerate(v)], "k long, i long, x string")
+    got = {}
+    for r in Q.smoothed(df.repartition(5), "k", ["i"], "x", 2).collect():
+        got.setdefault(r.k, {})[r.i] = r.x
+    assert {k: [v[i] for i in range(len(v))] for k, v in got.items()} == {k: plain_smoothing(v, 2) for k, v in labels.items() if v}
+
+
+def test_keep_longer(spark):
+    df = spark.createDataFrame([(1, 0, "p", "ab"), (1, 0, "p", "cd"), (1, 1, "p", "x"), (1, 1, "q", "y"), (1, 2, "p", "ef")], "c long, g long, k string, text string")
+    got = sorted((r.c, r.g, r.k, r.text, r.also_in) for r in Q.keep_longer(df, ["c", "k"], "g", "text").collect())
+    assert got == [(1, 0, "p", "ab", [1, 2]), (1, 0, "p", "cd", [1, 2]), (1, 1, "q", "y", [])]
+
+
+def test_online_clusters_in_streams(spark):
+    rng = random.Random(4)
+    points = {k: [(rng.uniform(0, 900), rng.uniform(0, 900)) for _ in range(n)] for k, n in ((1, 500), (2, 3), (None, 20))}
+    df = spark.createDataFrame([(k, i, *p) for k, v in points.items() for i, p in enumerate(v)], "k long, i long, x double, y double").repartition(4)
+    got = {(r.k, r.i): r.cluster for r in C.online_clusters(df, "k", "i", 120.0).collect()}
+    for k, v in points.items():
+        means, sizes = [], []
+        for i, p in enumerate(v):
+            d = [((p[0] - m[0]) ** 2 + (p[1] - m[1]) ** 2) ** 0.5 for m in means]
+            c = d.index(min(d)) if d and min(d) <= 120 else len(means)
+            if c == len(means):
+                means.append(list(p))
+                sizes.append(1)
+            else:
+                sizes[c] += 1
+                means[c] = [m + (x - m) / sizes[c] for m, x in zip(means[c], p, strict=True)]
+            assert got[k, i] == c
+
+
+def test_cluster_bounded(spark):
+    x = np.concatenate([blobs([40, 25, 15]), -np.eye(8)[:2]])
+    rows = [("whole", i, v.tolist()) for i, v in enumerate(x)] + [("noise", i, v.tolist()) for i, v in enumerate(x[:5])] + [("large", 100 + i, v.tolist()) for i, v in enumerate(np.concatenate([blobs([300, 200], seed=5), -np.eye(8)[:1]]))]
+    df = spark.createDataFrame(rows, "g string, i long, v array<double>")
+    got = {(r.g, r.i): r.cluster for r in C.cluster_bounded(df, ["g"], "i", 8, most=100).collect()}
+    assert len(got) == len(rows)
+    assert [got["whole", i] for i in range(82)] == [0] * 40 + [1] * 25 + [2] * 15 + [None, None]
+    assert {got["noise", i] for i in range(5)} == {None}
+    a, b = ({got["large", 100 + i] for i in part} for part in (range(300), range(300, 500)))
+    assert {len(a), len(b)} == {1} and a != b and got["large", 600] is None
+    # a member that is far from the mean of its cluster is noise
+    tail = np.array([[np.cos(t), np.sin(t)] for t in np.linspace(0, 2.6, 40)])
+    labels = np.array(C.density_clusters(tail, 5))
+    near = np.array(C.near_members(tail, 5, 0.5))
+    for k in range(labels.max() + 1):
+        mean = tail[labels == k].mean(axis=0)
+        cosine = tail @ mean / np.linalg.norm(mean)
+        assert (near[labels == k] == np.where(cosine[labels == k] < 0.5, -1, k)).all()
+    assert (near[labels < 0] == -1).all()
+
+
+def test_assign_keeps_points_without_centroids(spark):
+    points = spark.createDataFrame([("a", 1, [1.0, 0.0]), ("a", 2, [-1.0, 0.0]), ("b", 3, [1.0, 0.0])], "g string, i long, v array<double>")
+    means = spark.createDataFrame([("a", 7, [1.0, 0.1]), ("a", 8, [0.0, 1.0])], "g string, cluster long, centroid array<double>")
+    assert {r.i: r.cluster for r in C.assign(points, means, ["g"], "i", 0.3).collect()} == {1: 7, 2: None, 3: None}
+
+
+def test_registry_is_bounded(spark, monkeypatch):
+    refs = spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.0, 1.0]), (3, [1.0, 0.0])], "ref long, q array<double>")
+    rows = spark.createDataFrame([(10, [2.0, 0.1]), (11, [-1.0, -1.0])], "i long, v array<double>")
+    assert {r.i: r.m for r in V.nearest_of(rows, refs, "i", "ref", 0.3, "m").collect()} == {10: 1, 11: None}
+    assert {r.m for r in V.nearest_of(rows, refs.filter("false"), "i", "ref", 0.3, "m").collect()} == {None}
+    monkeypatch.setattr(V, "MOST_REFERENCES", 2)
+    with pytest.raises(Exception, match="too large"):
+        V.nearest_of(rows, refs, "i", "ref", 0.3, "m").collect()
+
+
+def test_jaro_bound(spark):
+    rng = random.Random(6)
+    words = ["".join(rng.choices("abcde", k=rng.randrange(8))) for _ in range(60)] + ["", "é", "abc"]
+    df = spark.createDataFrame([(a, b) for a in words for b in words], "a string, b string")
+    for r in df.select("a", "b", X.jaro_bound("a", "b").alias("bound")).collect():
+        assert r.bound >= X.jaro_similarity(r.a, r.b) - 1e-12, (r.a, r.b)
+
+
+def test_summaries_and_phonetics(spark, tmp_path):
+    assert summary_of('{"a": 1, "b": [1, 2], "c": {"y": 1, "x": 2}}') == '{"a": 1, "b_count": 2, "c_keys": ["x", "y"]}'
+    assert summary_of(None) is None and summary_of("{oops") is None and summary_of("[1, 2]") == '{"count": 2}' and summary_of("3") == '{"value": 3}'
+    score = lambda a, b: value(spark, F.round(X.phonetic_score(F.lit(a), F.lit(b)), 6))
+    assert score("knight", "knight") == 1.0 and score("a", "abc") == 0.0
+    assert score("smith", "smyth") == round(0.4 * (X.metaphone_of("smith") == X.metaphone_of("smyth")) + 0.4 * X.jaro_winkler_of("smith", "smyth") + 0.2, 6)
+    for name, n in (("small", 10), ("large", 1000)):
+        spark.range(n).coalesce(1).write.parquet(f"{tmp_path}/{name}.parquet")
+    got = [(r.name, r.bytes) for r in files.table_sizes(spark, str(tmp_path)).collect()]
+    sizes = {name: sum(f.stat().st_size for f in (tmp_path / f"{name}.parquet").glob("*.parquet")) for name in ("small", "large")}
+    assert got == [("large", sizes["large"]), ("small", sizes["small"])]
 
 
 def topic_texts():
@@ -200,19 +318,22 @@ def topic_texts():
         for part in range(6):
             words = [f"{chr(97 + k)}word{part // 2}" for k in range(26)] + [f"only{doc}x{part}x{k}" for k in range(5)]
             for k in range(rng.randrange(5, 60)):
-                text.append(" ".join(rng.choices(words, k=rng.randrange(1, 12))) if rng.random() < 0.9 else f"once{part}y{k} twice{part}y{k}")
-        out[doc] = ". ".join(text)
+                text.append(({2: "Moving on ", 4: "okay, so "}.get(part, "") if k == 0 else "") + " ".join(rng.choices(words, k=rng.randrange(1, 12))) if rng.random() < 0.9 else f"once{part}y{k} twice{part}y{k}")
+        out[doc] = "".join(x + rng.choice([". ", ". ", ". ", ".\n"]) for x in text)
     return out
 
 
 def brute_blocks(text):
     sentences = re.split(r"\.\s", text)
+    starts = ["", *re.findall(r"\.(\s)", text)]
     words = [[w for w in re.sub("[^a-z0-9]+", " ", x.lower()).split(" ") if len(w) >= 3] for x in sentences]
     score = []
-    for k, w in enumerate(words):
-        recent = {x for v in words[max(0, k - 20) : k] for x in v}
-        score.append(len(set(w) - recent) / max(1, len(w)) + (k > 0 and len(sentences[k - 1]) > 2 * len(sentences[k])))
-    peaks = [(k, x) for k, x in enumerate(score) if x >= 1 and x == max(score[max(0, k - 10) : k + 11])]
+    names = [{x for x in w if len(x) >= plans.NAME} for w in words]
+    for k, w in enumerate(names):
+        recent = {x for v in names[max(0, k - 20) : k] for x in v}
+        moved = any(re.search(p, sentences[k], re.IGNORECASE) for p in plans.TRANSITIONS)
+        score.append(len(w - recent) + 2 * moved + 1.5 * (starts[k] == "\n"))
+    peaks = [(k, x) for k, x in enumerate(score) if x >= 2 and x == max(score[max(0, k - 10) : k + 11])]
     cuts = [0, *Q.thin_boundaries(peaks, 8, len(score)), len(score)]
     bounds = list(zip(cuts, [x - 1 for x in cuts[1:]], strict=False))
     named = lambda a, b: Counter(x for w in words[a : b + 1] for x in set(w))

@@ -14,7 +14,7 @@ from tallyfield.plans import catalog
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
-MAY_BE_EMPTY = {"agg_having", "join_fuzzy", "clu_sampled"}
+MAY_BE_EMPTY = {"agg_having", "join_fuzzy"}
 
 
 @pytest.fixture(scope="module")
