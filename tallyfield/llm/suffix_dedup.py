@@ -7,7 +7,9 @@ windows. Each pass names a digit and goes on with groups of two or more:
    about 2 of length - GRAM + 2 positions are dealt instead of all; those whose gram is nowhere else drop out.
 2. The windows around a gram fall into blocks of BLOCK neighbouring starts. The digit is the core that all windows of a
    block share, by a 128-bit hash.
-3. In a group of equal cores the rest, fewer than BLOCK bytes at both ends, is compared as it is.
+3. In a group of equal cores the rest of a window, fewer than BLOCK bytes at both ends, is ordered by digits of 8 bytes, one pass after another.
+
+A core of over 350 bytes is a digit by its hash, as the bytes of all blocks would be many times the input; only what stands beside it is moved.
 
 Equal texts are one suffix set: a text with copies is removed whole if it holds a window at all, and takes part once. Groups of the third
 pass are streamed in order. A gram that stands more than GROUP times may lead to a group of more rows: what comes from it is dealt by single
@@ -154,71 +156,95 @@ def blocks(length: int):
 
 
 STARTS = f"{BLOCKS}, first int, last int"
+EDGE = BLOCK - 1
+
+
+def padded(column: pa.Array, right: bool) -> np.ndarray:
+    """Binary values of up to EDGE bytes as rows of a matrix, zeros before or after them."""
+    at = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1].astype(np.int64)
+    data = np.frombuffer(column.buffers()[2] or b"\0", np.uint8)
+    place = (at[1:, None] - EDGE if right else at[:-1, None]) + np.arange(EDGE)
+    inside = (place >= at[:-1, None]) & (place < at[1:, None])
+    return np.where(inside, data[np.where(inside, place, 0)], 0).astype(np.uint8)
 
 
-def repeated_starts(rows: list[tuple]) -> list[tuple[int, int, int]]:
-    """Of the rows (rid, at, low, high, left, right) of equal cores: (rid, first, last) for runs of starts whose windows are elsewhere too."""
-    if len(rows) < 2:
-        return []
-    if len({r[2:] for r in rows}) == 1:
-        return [(rid, at - high, at - low) for rid, at, low, high, _, _ in rows]
-    # one offset after another, so that a large group holds its windows once
-    again = np.zeros((len(rows), BLOCK), bool)
+def repeated(group: np.ndarray, low: np.ndarray, high: np.ndarray, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """For each row and offset whether the window is elsewhere too in its group: digit passes of 8 bytes over what stands beside the core, groups of one leave after each."""
+    again = np.zeros((len(group), BLOCK), bool)
     for j in range(BLOCK):
-        first: dict[bytes, int] = {}
-        for k, (_, _, low, high, left, right) in enumerate(rows):
-            if low <= j <= high:
-                other = first.setdefault(left[len(left) - j :] + right[: BLOCK - 1 - j], k)
-                if other != k:
-                    again[k, j] = again[other, j] = True
-    out = []
-    for (rid, at, low, high, _, _), hits in zip(rows, again.tolist(), strict=True):
-        run = None
-        for j in range(high, low - 1, -1):
-            if hits[j]:
-                run = (rid, run[1] if run else at - j, at - j)
-            elif run:
-                out.append(run)
-                run = None
-        if run:
-            out.append(run)
-    return out
+        at = np.flatnonzero((low <= j) & (j <= high))
+        if len(at) < 2:
+            continue
+        edge = np.zeros((len(at), BLOCK), np.uint8)
+        edge[:, :j] = left[at, EDGE - j :]
+        edge[:, j:EDGE] = right[at, : EDGE - j]
+        digits, of = edge.view(np.uint64), group[at]
+        for d in range(digits.shape[1]):
+            order = np.lexsort((digits[:, d], of))
+            at, of, digits = at[order], of[order], digits[order]
+            new = np.concatenate([[True], (of[1:] != of[:-1]) | (digits[1:, d] != digits[:-1, d]), [True]])
+            more = ~(new[:-1] & new[1:])
+            at, of, digits = at[more], np.cumsum(new[:-1])[more], digits[more]
+            if not len(at):
+                break
+        again[at, j] = True
+    return again
+
+
+def repeated_starts(rows: pa.RecordBatch) -> tuple[np.ndarray, ...]:
+    """Of whole groups of equal cores, in order: (rid, first, last) for runs of starts whose windows are elsewhere too."""
+    k1, k2, rid, at, low, high = (rows.column(c).to_numpy() for c in range(6))
+    new = np.concatenate([[True], (k1[1:] != k1[:-1]) | (k2[1:] != k2[:-1]), [True]])
+    more = np.flatnonzero(~(new[:-1] & new[1:]))
+    rows, group = rows.take(pa.array(more)), np.cumsum(new[:-1])[more]
+    rid, at, low, high = rid[more], at[more], low[more], high[more]
+    again = repeated(group, low, high, padded(rows.column(6), True), padded(rows.column(7), False))
+    # a greater offset is an earlier start
+    edge = np.diff(np.pad(again[:, ::-1].astype(np.int8), ((0, 0), (1, 1))), axis=1)
+    (row, begin), (_, end) = np.nonzero(edge == 1), np.nonzero(edge == -1)
+    return rid[row], at[row] - (EDGE - begin), at[row] - (BLOCK - end)
 
 
 def equal_groups(batches):
     """Arrow batches of DEALT, ordered by k1 and k2, to repeated starts; frequent rows and those of a group of over GROUP rows come back as they are."""
     names = [c.split()[0] for c in STARTS.split(", ")]
     types = [pa.int64()] * 3 + [pa.int32()] * 3 + [pa.binary()] * 2 + [pa.int32()] * 2
-    key, group, given_up, out = None, [], False, []
+    held, given_up = None, None
+
+    def as_they_are(b):
+        return pa.RecordBatch.from_arrays([*b.columns[:8], pa.nulls(b.num_rows, pa.int32()), pa.nulls(b.num_rows, pa.int32())], names=names)
 
-    def batch(rows):
-        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=names)
+    def found(b):
+        rid, first, last = repeated_starts(b)
+        none = [pa.nulls(len(rid), t) for t in types]
+        return pa.RecordBatch.from_arrays([*none[:2], pa.array(rid, pa.int64()), *none[3:8], pa.array(first, pa.int32()), pa.array(last, pa.int32())], names=names)
 
     for b in batches:
         if (frequent := b.filter(b.column("often"))).num_rows:
-            none = pa.nulls(frequent.num_rows, pa.int32())
-            yield pa.RecordBatch.from_arrays([*frequent.columns[:8], none, none], names=names)
+            yield as_they_are(frequent)
             b = b.filter(pc.invert(b.column("often")))
-        if not b.num_rows:
+        rows = pa.concat_batches([held, b]) if held is not None else b
+        if not rows.num_rows:
             continue
-        k1, k2 = b.column(0).to_numpy(), b.column(1).to_numpy()
-        new = np.flatnonzero(np.concatenate([[True], (k1[1:] != k1[:-1]) | (k2[1:] != k2[:-1])]))
-        columns = list(zip(*(b.column(c).to_pylist() for c in range(2, 8)), strict=True))
-        for a, z in zip(new.tolist(), [*new[1:].tolist(), len(k1)], strict=True):
-            now = (int(k1[a]), int(k2[a]))
-            if now != key:
-                out += [(None, None, rid, None, None, None, None, None, s, e) for rid, s, e in repeated_starts(group)]
-                key, group, given_up = now, [], False
-            group += columns[a:z]
-            if given_up or len(group) > GROUP:
-                out += [(*key, *r, None, None) for r in group]
-                group, given_up = [], True
-        if len(out) > 20_000:
-            yield batch(out)
-            out = []
-    out += [(None, None, rid, None, None, None, None, None, s, e) for rid, s, e in repeated_starts(group)]
-    if out:
-        yield batch(out)
+        k1, k2 = rows.column(0).to_numpy(), rows.column(1).to_numpy()
+        if given_up is not None:  # more of a group that was given up
+            n = int(np.argmin(np.append((k1 == given_up[0]) & (k2 == given_up[1]), False)))
+            if n:
+                yield as_they_are(rows.slice(0, n))
+            rows, k1, k2 = rows.slice(n), k1[n:], k2[n:]
+            if not rows.num_rows:
+                held = None
+                continue
+            given_up = None
+        cut = int(np.flatnonzero(np.concatenate([[True], (k1[1:] != k1[:-1]) | (k2[1:] != k2[:-1])]))[-1])
+        if cut:
+            yield found(rows.slice(0, cut))
+        held = rows.slice(cut)
+        if held.num_rows > GROUP:
+            yield as_they_are(held)
+            given_up, held = (k1[cut], k2[cut]), None
+    if held is not None and held.num_rows:
+        yield found(held)
 
 
 def single_windows(rows: DataFrame) -> DataFrame:

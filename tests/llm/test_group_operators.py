@@ -10,6 +10,7 @@ import zlib
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -322,10 +323,52 @@ def test_large_groups_of_windows(spark):
     names = "k1 long, k2 long, rid long, at int, low int, high int, left binary, right binary"
     df = spark.createDataFrame([(a, b, r, 10 * r + 5, lo, hi, x, y) for a, b, r, _, lo, hi, x, y in rows], names)
     wide = {(r.rid, s) for r in suffix_dedup.single_windows(df).collect() for s in range(r.first, r.last + 1)}
-    near = {(rid, s) for rid, a, b in suffix_dedup.repeated_starts([(r, 10 * r + 5, lo, hi, x, y) for _, _, r, _, lo, hi, x, y in rows]) for s in range(a, b + 1)}
+    near = {(rid, s) for rid, a, b in zip(*suffix_dedup.repeated_starts(window_rows([(a, b, r, 10 * r + 5, lo, hi, x, y, False) for a, b, r, _, lo, hi, x, y in rows])), strict=True) for s in range(a, b + 1)}
     assert wide == near and wide
 
 
+def window_rows(rows):
+    types = [pa.int64()] * 3 + [pa.int32()] * 3 + [pa.binary()] * 2 + [pa.bool_()]
+    names = [c.split()[0] for c in suffix_dedup.DEALT.split(", ")]
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=names)
+
+
+@pytest.mark.parametrize("most", [suffix_dedup.GROUP, 6])
+def test_digit_passes_in_streams(monkeypatch, most):
+    """Runs of equal windows in groups that are cut by batches, against a dictionary of all windows; groups of over GROUP rows come back as they are."""
+    monkeypatch.setattr(suffix_dedup, "GROUP", most)
+    rng = random.Random(3)
+    edge = suffix_dedup.EDGE
+    rows = []
+    for g in range(40):
+        texts = [bytes(rng.choices(b"ab", weights=(20, 1), k=2 * edge)) for _ in range(3)]
+        for _ in range(rng.choice([1, 2, 3, 5, 9, 20])):
+            t, low = rng.choice(texts), rng.randrange(edge)
+            high = rng.randrange(low, edge + 1)
+            rows.append((g // 2, g, len(rows), 1000 * len(rows) + 500, low, high, t[edge - high : edge], t[edge : 2 * edge - low], rng.random() < 0.1))
+    want = collections.defaultdict(set)
+    for a, b, rid, at, low, high, left, right, often in rows:
+        for j in range(low, high + 1) if not often else ():
+            want[a, b, j, left[len(left) - j :] + right[: edge - j]].add((rid, at - j))
+    sizes = collections.Counter(r[:2] for r in rows if not r[8])
+    batches, k = [], 0
+    while k < len(rows):
+        n = rng.randrange(1, 12)
+        batches.append(window_rows(rows[k : k + n]))
+        k += n
+    found, back = collections.Counter(), []
+    for b in suffix_dedup.equal_groups(iter(batches)):
+        for r in b.to_pylist():
+            if r["first"] is None:
+                back.append(r["rid"])
+            else:
+                found.update((r["rid"], s) for s in range(r["first"], r["last"] + 1))
+    given = {r[2] for r in rows if r[8] or sizes[r[:2]] > most}
+    assert len(back) == len(set(back)) and {r[2] for r in rows if r[8]} <= set(back) <= given
+    whole = {key: {x for x in v if x[0] not in set(back)} for key, v in want.items()}
+    assert found == collections.Counter(x for v in whole.values() if len(v) > 1 for x in v)
+
+
 def test_pieces_of_long_texts(monkeypatch):
     data = word_text(random.Random(8), 3000, 10**6).encode()
     whole = suffix_dedup.Grams(400)
