@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyfield.llm import decontaminate, language_id, packing, secrets, simhash, token_counts
-from tallyfield.llm.common import stored, table
+from tallyfield.llm.common import drop_stored, scratch, table
 
 #: The tokenizer whose tokens are packed.
 TOKENIZER = "piece_bpe_32k.model"
@@ -62,7 +62,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The packed rows. What a stage stores on its way is deleted when its rows are written, and these when the next ones are."""
     docs = table(spark, sf_dir, "documents")
-    for name, stage in STAGES[:-1]:
-        docs = stored(stage(spark, docs, sf_dir), name)
+    for k, (name, stage) in enumerate(STAGES[:-1]):
+        with scratch(spark) as kept:
+            now = kept(stage(spark, docs, sf_dir), name)
+        if k:
+            drop_stored(docs)
+        docs = now
     return STAGES[-1][1](spark, docs, sf_dir)

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from contextlib import contextmanager
+from contextvars import ContextVar
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -19,13 +22,52 @@ def small_batches(spark: SparkSession) -> None:
         spark.conf.set(name, f"{BATCH_BYTES}b")
 
 
+#: Folders made since the innermost scratch() began, if there is one.
+_MADE: ContextVar[list[str] | None] = ContextVar("made", default=None)
+
+
+def temporary(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder, which goes with the scratch() around it."""
+    path = fresh_path(spark, name)
+    if (made := _MADE.get()) is not None:
+        made.append(path)
+    return path
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """The rows of df, written as Parquet in the shared folder and read again: lineage ends here and lost executors lose nothing."""
-    path = fresh_path(df.sparkSession, name)
+    path = temporary(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def delete(spark: SparkSession, path: str) -> None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+@contextmanager
+def scratch(spark: SparkSession):
+    """Delete at its end what operators stored inside. Give kept(df, name), which is yielded, the rows that must outlast it."""
+    token = _MADE.set([])
+    lasting: list[str] = []
+
+    def kept(df: DataFrame, name: str) -> DataFrame:
+        out = stored(df, name)
+        lasting.append(_MADE.get().pop())
+        return out
+
+    try:
+        yield kept
+    finally:
+        made = _MADE.get()
+        _MADE.reset(token)
+        for path in made:
+            delete(spark, path)
+        if (outer := _MADE.get()) is not None:
+            outer += lasting
+
+
 def drop_stored(df: DataFrame) -> None:
     """Delete a table made by stored(), once nothing reads it any more."""
     spark = df.sparkSession
@@ -33,8 +75,7 @@ def drop_stored(df: DataFrame) -> None:
     for f in df.inputFiles():
         folder = f.rsplit("/", 1)[0]
         if "/" + root.split("://")[-1].strip("/").split("/")[-1] + "/" in folder:
-            path = spark._jvm.org.apache.hadoop.fs.Path(folder)
-            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+            delete(spark, folder)
             return
 
 

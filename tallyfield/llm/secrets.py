@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fresh_path, small_batches, stored, text_bytes
+from .common import small_batches, stored, temporary, text_bytes
 
 KINDS = ("assign", "access", "hex")
 #: (kind, pattern, group whose length counts, least length)
@@ -85,7 +85,7 @@ def _ledger(spark, path: str) -> DataFrame | None:
 
 def ledger_of(spark, ledger: str | None) -> str:
     """The ledger given, else that of the session's setting, else a new one in the shared folder."""
-    return ledger or spark.conf.get(SETTING, None) or fresh_path(spark, "blob-ledger")
+    return ledger or spark.conf.get(SETTING, None) or temporary(spark, "blob-ledger")
 
 
 def secret_spans(df: DataFrame, ledger: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import random
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
+from tallyfield.llm import common
 from tests.llm.odd import LONG, TEXTS, odd, word_text
 
 
@@ -38,6 +40,23 @@ def test_stages(spark, tmp_path):
     assert sorted({r.doc_id for r in got}) == kept and all(r.bin_id is not None for r in got)
 
 
+def test_scratch_is_deleted(spark, tmp_path):
+    df = spark.range(10)
+    shared = Path(common.shared_dir(spark))
+    before = set(shared.iterdir())
+    with common.scratch(spark) as kept:
+        common.stored(df, "one")
+        with common.scratch(spark) as inner:
+            two = inner(df, "two")
+            common.stored(df, "three")
+        out = kept(two, "four")
+    assert out.count() == 10 and [p.name.split("-")[0] for p in set(shared.iterdir()) - before] == ["four"]
+    with pytest.raises(ValueError), common.scratch(spark):
+        common.stored(df, "five")
+        raise ValueError
+    assert len(set(shared.iterdir()) - before) == 1
+
+
 def odd_documents(spark, path, rows):
     df = odd(spark, rows).drop("bucket").withColumns({"source": F.lit("s"), "n_chars": F.length("text").cast("long"), "doc": F.lit("d"), "lang_pred": F.lit("l"), "rejected": F.lit(False), "component_id": F.lit(0)})
     df.write.parquet(f"{path}/documents.parquet")
