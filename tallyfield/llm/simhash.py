@@ -33,8 +33,8 @@ from pyspark.sql import functions as F
 from .common import components, small_batches, stored, tasks, text_bytes
 
 BUCKET = 8192
-#: Members of a common shingle that are compared at once.
-BLOCK = 256
+#: Members of a common shingle that are compared at once, and bits of a set for it.
+BLOCK, BITS = 256, 512
 SEGMENTS, PLACES, SMALL = 6, 5, 8
 #: Shingles hashed at once.
 PIECE = 1 << 16
@@ -272,37 +272,47 @@ def open_nodes(pairs: DataFrame, roots: DataFrame) -> DataFrame:
     return both.join(hubs, "hub", "left_semi").select("node", "root").unionAll(ends).distinct()
 
 
+def parities(s: np.ndarray) -> np.ndarray:
+    """BITS bits of a set, each the parity of its shingles there: as many differ between two sets at most as shingles are in one of them only."""
+    return np.packbits(np.bincount((s >> np.uint64(20)).astype(np.int64) % BITS, minlength=BITS) & 1 == 1)
+
+
 def prefix_candidates(similarity: float):
-    """Arrow batches of (token, i, j, block, node, root, size, pos), ordered by the first three, to candidates (a, b) of different roots.
+    """Arrow batches of (token, i, j, block, node, root, size, pos, bits), ordered by the first three, to candidates (a, b) of different roots.
 
-    A common token at places pos of two ordered sets, the first one they share, leaves size - pos common ones at most.
+    A common token at places pos of two ordered sets, the first one they share, leaves size - pos common ones at most; and half of
+    what the bits don't tell apart of both sizes are.
     """
 
-    def found(block, node, root, size, pos, i, j):
+    def found(block, node, root, size, pos, bits, i, j):
         x, y = (np.flatnonzero(block == k) for k in (i, j))
-        left = np.minimum((size - pos)[x][:, None], (size - pos)[y])
-        keep = (root[x][:, None] != root[y]) & ((1 + similarity) * left >= similarity * (size[x][:, None] + size[y]) - 1e-6)
+        least = similarity / (1 + similarity) * (size[x][:, None] + size[y]) - 1e-6
+        keep = (root[x][:, None] != root[y]) & (np.minimum((size - pos)[x][:, None], (size - pos)[y]) >= least)
         if i == j:
             keep = np.triu(keep, 1)
         p, q = np.nonzero(keep)
+        differ = np.bitwise_count(bits[x[p]] ^ bits[y[q]]).sum(axis=1, dtype=np.int64)
+        p, q = (z[size[x[p]] + size[y[q]] - differ >= 2 * least[p, q]] for z in (p, q))
         return node[x[p]], node[y[q]]
 
     def over(batches):
-        held = None
+        held = held_bits = None
         for b in batches:
-            now = np.stack([c.to_numpy() for c in b.columns], 1).astype(np.int64)
-            held = now if held is None else np.concatenate([held, now])
+            now = np.stack([c.to_numpy() for c in b.columns[:-1]], 1).astype(np.int64)
+            bits = np.frombuffer(b"".join(b.columns[-1].to_pylist()), np.uint64).reshape(len(now), -1)
+            held, held_bits = (now, bits) if held is None else (np.concatenate([held, now]), np.concatenate([held_bits, bits]))
             if not len(held):
+                held = None
                 continue
             at = np.flatnonzero(np.concatenate([[True], (held[1:, :3] != held[:-1, :3]).any(axis=1)]))
-            yield from groups(held[: at[-1]], at)
-            held = held[at[-1] :]
+            yield from groups(held[: at[-1]], held_bits, at)
+            held, held_bits = held[at[-1] :], held_bits[at[-1] :]
         if held is not None and len(held):
-            yield from groups(held, np.array([0, len(held)]))
+            yield from groups(held, held_bits, np.array([0, len(held)]))
 
-    def groups(rows, at):
+    def groups(rows, bits, at):
         for m, n in zip(at[:-1], at[1:], strict=True):
-            a, b = found(*rows[m:n, 3:].T, rows[m, 1], rows[m, 2])
+            a, b = found(*rows[m:n, 3:].T, bits[m:n], rows[m, 1], rows[m, 2])
             if len(a):
                 yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
@@ -317,22 +327,25 @@ def prefix_pairs(nodes: DataFrame, texts: DataFrame, width: int, similarity: flo
 
     def compute(batches):
         for b in batches:
-            for node, root, data in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                s = shingles(data, width).view(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(s), v), pa.int64()) for v in (node, root, len(s))] + [pa.array(s, pa.int64())], names=["node", "root", "size", "token"])
+            sets = [shingles(data, width) for data in b.column(2).to_pylist()]
+            ends = np.concatenate([[0], np.cumsum([len(s) for s in sets])])
+            tokens = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate([np.zeros(0, np.uint64), *sets]).view(np.int64)))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(np.diff(ends), pa.int64()), tokens, pa.array([parities(s).tobytes() for s in sets], pa.binary())], names=["node", "root", "size", "tokens", "bits"])
 
-    rows = stored(nodes.join(texts, "node").select("node", "root", "data").mapInArrow(compute, "node long, root long, size long, token long"), "shingles")
+    sets = stored(nodes.join(texts, "node").select("node", "root", "data").mapInArrow(compute, "node long, root long, size long, tokens array<long>, bits binary"), "shingles")
+    rows = sets.select("node", "root", "size", F.explode("tokens").alias("token"))
     counts = rows.groupBy("token").agg(F.count("*").alias("n"))
     ranked = rows.join(counts, "token").groupBy("node", "root", "size").agg(F.array_sort(F.collect_list(F.struct("n", "token"))).alias("all"))
     prefix = (F.col("size") - F.ceil(F.col("size") * similarity - 1e-6) + 1).cast("int")
     tokens = ranked.select("node", "root", "size", F.posexplode(F.slice("all", F.lit(1), prefix)).alias("pos", "at")).filter("at.n > 1")
-    tokens = stored(tokens.select(F.col("at.token").alias("token"), "node", "root", "size", F.col("pos").cast("long").alias("pos")), "prefixes")
+    tokens = tokens.select(F.col("at.token").alias("token"), "node", "root", "size", F.col("pos").cast("long").alias("pos"))
+    tokens = stored(tokens.join(sets.select("node", "bits"), "node"), "prefixes")
     buckets = tokens.groupBy("token").agg(F.count("*").alias("n"), F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo <> hi")
     blocks = F.ceil(F.col("n") / BLOCK)
     dealt = tokens.join(buckets.select("token", blocks.alias("blocks")), "token").withColumn("block", F.pmod(F.xxhash64("node"), "blocks"))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
     keys = ["token", "i", "j"]
-    dealt = dealt.select("token", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "node", "root", "size", "pos")
+    dealt = dealt.select("token", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "node", "root", "size", "pos", "bits")
     found = dealt.repartition(tasks(nodes), *keys).sortWithinPartitions(*keys).mapInArrow(prefix_candidates(similarity), "a long, b long")
     return found.groupBy(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).agg(F.count("*").alias("shared"))
 

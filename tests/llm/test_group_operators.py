@@ -163,6 +163,38 @@ def test_near_duplicates_of_large_buckets(spark, monkeypatch, block):
     assert 1 < len(set(want)) < len(texts)
 
 
+def test_parities_bound_the_difference():
+    rng = np.random.default_rng(4)
+    for n in (0, 1, 10, 150, 2000):
+        for _ in range(30):
+            every = np.unique(rng.integers(0, 2**63, 2 * n + 1, np.uint64))
+            a, b = (np.sort(rng.permutation(every)[: rng.integers(0, len(every) + 1)]) for _ in range(2))
+            differ = np.bitwise_count(simhash.parities(a) ^ simhash.parities(b)).sum()
+            assert differ <= len(np.setxor1d(a, b)) and len(simhash.parities(a)) * 8 == simhash.BITS
+
+
+@pytest.mark.parametrize("n", [10, 100, 1000, 3000])
+def test_near_duplicate_recall_by_group_size(spark, n):
+    """Of all pairs of a noisy family that are similar to 0.8 or more, how many are in one component: all of them, whatever the size."""
+    texts = family(n, (1, 2, 3, 4), seed=n)
+    sets = [shingle_set(t) for t in texts]
+    number: dict = {}
+    for s in sets:
+        for x in s:
+            number.setdefault(x, len(number))
+    often = collections.Counter(x for s in sets for x in s)
+    columns = {x: k for k, x in enumerate(x for x, m in often.items() if m > 1)}
+    held = np.zeros((n, len(columns)), np.float32)
+    for k, s in enumerate(sets):
+        held[k, [columns[x] for x in s if x in columns]] = 1
+    size = np.array([len(s) for s in sets])
+    both = held @ held.T
+    a, b = np.nonzero(np.triu(both >= 0.8 * (size[:, None] + size - both) - 1e-3, 1))
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    got = {r.doc_id: r.component_id for r in simhash.near_duplicates(df).collect()}
+    assert [got[k] for k in range(n)] == find_components(n, list(zip(a.tolist(), b.tolist(), strict=True)))
+
+
 def test_first_of_each_odd(spark):
     kept = simhash.first_of_each(odd(spark))
     assert kept.columns == odd(spark).columns
