@@ -36,7 +36,9 @@ def find_components(n, links):
 # --- components and SimHash -------------------------------------------------------------------------------------------
 
 
-def test_components(spark):
+@pytest.mark.parametrize("few", [common.FEW_EDGES, 0])
+def test_components(spark, monkeypatch, few):
+    monkeypatch.setattr(common, "FEW_EDGES", few)
     rng = random.Random(1)
     links = [(k, k + 1) for k in range(0, 60)] + [(rng.randrange(100, 200), rng.randrange(100, 200)) for _ in range(70)] + [(300, k) for k in range(301, 400)]
     edges = spark.createDataFrame(links + links[:5] + [(7, 7)], "a long, b long")
