@@ -6,68 +6,120 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def asof_backward(left: DataFrame, right: DataFrame, keys: list[str], left_ts: str, right_ts: str, payload: list[str], order: list[str] | None = None) -> DataFrame:
+def asof_backward(left: DataFrame, right: DataFrame, keys: list[str], left_ts: str, right_ts: str, payload: list[str], order: list[str] | None = None, piece: Column | None = None) -> DataFrame:
     """left with the payload of the last right row at or before it, per key; null without one.
 
     One union and one window: each key is sorted once, and right rows come before left rows of the same time. The names in order, of
-    right, decide among right rows of the same time.
+    right, decide among right rows of the same time. Where a key may have very many rows, `piece` cuts its time: an expression of the column
+    `__ts` that grows with it, such as a day. Then a task sorts one piece of one key, and what a piece hasn't comes from the last right row of
+    the pieces before it, one row a piece.
     """
     width = F.struct(*[F.col(c) for c in payload])
     tie = F.struct(*[F.col(c) for c in order]) if order else F.struct(F.lit(0).alias("z"))
+    cut = piece if piece is not None else F.lit(0)
     rows = right.select(*keys, F.col(right_ts).alias("__ts"), F.lit(0).alias("__side"), tie.alias("__tie"), width.alias("__hit"), F.lit(None).cast(left.select(F.struct("*")).schema[0].dataType).alias("__row"))
     own = left.select(*keys, F.col(left_ts).alias("__ts"), F.lit(1).alias("__side"), F.lit(None).cast(rows.schema["__tie"].dataType).alias("__tie"), F.lit(None).cast(rows.schema["__hit"].dataType).alias("__hit"), F.struct("*").alias("__row"))
-    w = Window.partitionBy(*keys).orderBy("__ts", "__side", "__tie").rowsBetween(Window.unboundedPreceding, 0)
-    found = rows.unionAll(own).withColumn("__last", F.last("__hit", ignorenulls=True).over(w)).filter("__side = 1")
+    both = rows.unionAll(own).withColumn("__piece", cut)
+    w = Window.partitionBy(*keys, "__piece").orderBy("__ts", "__side", "__tie").rowsBetween(Window.unboundedPreceding, 0)
+    found = both.withColumn("__last", F.last("__hit", ignorenulls=True).over(w)).filter("__side = 1")
+    if piece is not None:
+        newest = both.groupBy(*keys, "__piece").agg(F.max_by("__hit", F.when(F.col("__side") == 0, F.struct("__ts", "__tie"))).alias("__newest"))
+        before = Window.partitionBy(*keys).orderBy("__piece").rowsBetween(Window.unboundedPreceding, -1)
+        carried = newest.select(*[F.col(k).alias(f"__k{n}") for n, k in enumerate(keys)], F.col("__piece").alias("__of"), F.last("__newest", ignorenulls=True).over(before).alias("__before"))
+        on = F.col("__piece").eqNullSafe(F.col("__of"))
+        for n, k in enumerate(keys):
+            on = on & F.col(k).eqNullSafe(F.col(f"__k{n}"))
+        found = found.join(carried, on, "left").withColumn("__last", F.coalesce("__last", "__before"))
     return found.select("__row.*", *[F.col(f"__last.{c}").alias(c) for c in payload])
 
 
-def _cells(value: Column, width: float) -> Column:
-    return F.floor(value / F.lit(width)).cast("long")
+#: Cells of a level that an interval spans at most, one more at its ends; cells of the next level are so many times as wide.
+CELLS = 8
 
 
-def range_join(points: DataFrame, intervals: DataFrame, keys: list[str], at: str, start: str, end: str, width: float, closed: bool = True, how: str = "inner") -> DataFrame:
+def _level(start: str, end: str, width: float, longest: float | None) -> Column:
+    """The least level at which an interval spans up to CELLS cells."""
+    length = F.col(end) - F.col(start)
+    level = F.when(length <= CELLS * width, 0).otherwise(F.ceil(F.log(float(CELLS), length / width) - 1e-9) - 1).cast("int")
+    return level if longest is None else F.when(length > longest, F.raise_error(F.lit("an interval is longer than `longest`")).cast("int")).otherwise(level)
+
+
+def _levels(sides: list[tuple[DataFrame, str, str]], width: float, longest: float | None) -> tuple[DataFrame | None, Column]:
+    """The levels in use: from the intervals themselves, as one row to be joined, or without reading them if `longest` bounds them."""
+    if longest is not None:
+        most = 0
+        while longest > CELLS ** (most + 1) * width:
+            most += 1
+        return None, F.array(*[F.lit(k) for k in range(most + 1)])
+    rows = None
+    for k, (df, start, end) in enumerate(sides):
+        own = df.filter(F.col(start) <= F.col(end)).agg(F.collect_set(_level(start, end, width, None)).alias(f"__levels{k}"))
+        rows = own if rows is None else rows.crossJoin(own)
+    every = F.array_distinct(F.concat(*[F.col(f"__levels{k}") for k in range(len(sides))]))
+    return rows.select(every.alias("__levels")), F.col("__levels")
+
+
+def _cell(value: Column, level: str, width: float) -> Column:
+    return F.floor(value / (F.pow(F.lit(float(CELLS)), F.col(level)) * width)).cast("long")
+
+
+def _joined_keys(df: DataFrame, keys: list[str], drop: list[str], level: str, cell: str) -> DataFrame:
+    return df.select(*[F.col(k).alias(f"__{k}") for k in keys], *[c for c in df.columns if c not in keys and c not in drop], F.col("__level").alias(level), F.col("__cell").alias(cell))
+
+
+def range_join(points: DataFrame, intervals: DataFrame, keys: list[str], at: str, start: str, end: str, width: float, closed: bool = True, longest: float | None = None) -> DataFrame:
     """Points with every interval of the same keys that holds them: [start, end], or [start, end) unless closed.
 
-    Times are numbers. Intervals are spread over cells of `width`, so the join is on equality of keys and cell, whatever the number of
-    intervals of a key; a point has one cell, hence no pair comes twice.
+    Times are numbers. Intervals are spread over cells, of `width` or of a power of CELLS times it, so that each is in few, however long it is;
+    a point has one cell of each width in use. So the join is on equality of keys and cell, whatever the number of intervals of a key, and no
+    pair comes twice. `longest` bounds the intervals' lengths where it is known, which saves reading them for the widths; a longer one is an error.
     """
-    spread = intervals.filter(F.col(start) <= F.col(end)).withColumn("__cell", F.explode(F.sequence(_cells(F.col(start), width), _cells(F.col(end), width))))
-    own = points.withColumn("__cell", _cells(F.col(at), width))
+    rows, levels = _levels([(intervals, start, end)], width, longest)
+    spread = intervals.filter(F.col(start) <= F.col(end)).withColumn("__level", _level(start, end, width, longest))
+    spread = spread.withColumn("__cell", F.explode(F.sequence(_cell(F.col(start), "__level", width), _cell(F.col(end), "__level", width))))
+    own = (points if rows is None else points.crossJoin(rows)).withColumn("__plevel", F.explode(levels)).withColumn("__pcell", _cell(F.col(at), "__plevel", width))
     inside = (F.col(at) >= F.col(start)) & ((F.col(at) <= F.col(end)) if closed else (F.col(at) < F.col(end)))
-    renamed = spread.select(*[F.col(k).alias(f"__{k}") for k in keys], *[c for c in spread.columns if c not in keys and c != "__cell"], F.col("__cell").alias("__icell"))
-    on = inside & (F.col("__cell") == F.col("__icell"))
+    on = inside & (F.col("__pcell") == F.col("__icell")) & (F.col("__plevel") == F.col("__ilevel"))
     for k in keys:
         on = on & (F.col(k) == F.col(f"__{k}"))
-    return own.join(renamed, on, how).drop("__cell", "__icell", *[f"__{k}" for k in keys])
+    found = own.join(_joined_keys(spread, keys, ["__cell", "__level"], "__ilevel", "__icell"), on)
+    return found.drop("__levels", "__plevel", "__pcell", "__ilevel", "__icell", *[f"__{k}" for k in keys])
 
 
-def first_interval(points: DataFrame, intervals: DataFrame, keys: list[str], point_id: list[str], at: str, start: str, end: str, width: float, closed: bool = True, tie: list | None = None) -> DataFrame:
+def first_interval(points: DataFrame, intervals: DataFrame, keys: list[str], point_id: list[str], at: str, start: str, end: str, width: float, closed: bool = True, tie: list | None = None, longest: float | None = None) -> DataFrame:
     """Each point with the first interval that holds it, by start; points without one drop out."""
-    pairs = range_join(points, intervals, keys, at, start, end, width, closed)
+    pairs = range_join(points, intervals, keys, at, start, end, width, closed, longest)
     w = Window.partitionBy(*point_id).orderBy(start, *(tie or []))
     return pairs.withColumn("__rn", F.row_number().over(w)).filter("__rn = 1").drop("__rn")
 
 
-def overlap_join(a: DataFrame, b: DataFrame, keys: list[str], a_span: tuple[str, str], b_span: tuple[str, str], width: float, touching: bool = True) -> DataFrame:
+def overlap_join(a: DataFrame, b: DataFrame, keys: list[str], a_span: tuple[str, str], b_span: tuple[str, str], width: float, touching: bool = True, longest: float | None = None) -> DataFrame:
     """Pairs of intervals of the same keys that overlap; touching ends count if `touching`.
 
-    Both sides are spread over cells; a pair is kept only in the cell in which its overlap begins, so it comes once.
+    Both sides are spread over cells as in range_join, each at its own width and at all wider ones in use. A pair is kept only at the
+    wider one of its two, in the cell in which its overlap begins, so it comes once.
     """
     (s1, e1), (s2, e2) = a_span, b_span
-    left = a.withColumn("__cell", F.explode(F.sequence(_cells(F.col(s1), width), _cells(F.col(e1), width))))
-    right = b.withColumn("__icell", F.explode(F.sequence(_cells(F.col(s2), width), _cells(F.col(e2), width))))
-    right = right.select(*[F.col(k).alias(f"__{k}") for k in keys], *[c for c in right.columns if c not in keys])
+    rows, levels = _levels([(a, s1, e1), (b, s2, e2)], width, longest)
+
+    def spread(df, start, end, own):
+        df = df.filter(F.col(start) <= F.col(end)).withColumn(own, _level(start, end, width, longest))
+        df = (df if rows is None else df.crossJoin(rows)).withColumn("__level", F.explode(F.filter(levels, lambda x: x >= F.col(own))))
+        return df.withColumn("__cell", F.explode(F.sequence(_cell(F.col(start), "__level", width), _cell(F.col(end), "__level", width)))).drop("__levels")
+
+    left = spread(a, s1, e1, "__own")
+    right = _joined_keys(spread(b, s2, e2, "__other"), keys, ["__cell", "__level"], "__ilevel", "__icell")
     meet = (F.col(s1) <= F.col(e2)) & (F.col(e1) >= F.col(s2)) if touching else (F.col(s1) < F.col(e2)) & (F.col(e1) > F.col(s2))
-    on = meet & (F.col("__cell") == F.col("__icell")) & (F.col("__cell") == _cells(F.greatest(s1, s2), width))
+    on = meet & (F.col("__cell") == F.col("__icell")) & (F.col("__level") == F.col("__ilevel")) & (F.col("__level") == F.greatest("__own", "__other")) & (F.col("__cell") == _cell(F.greatest(s1, s2), "__level", width))
     for k in keys:
         on = on & (F.col(k) == F.col(f"__{k}"))
-    return left.join(right, on).drop("__cell", "__icell", *[f"__{k}" for k in keys])
+    return left.join(right, on).drop("__level", "__cell", "__ilevel", "__icell", "__own", "__other", *[f"__{k}" for k in keys])
 
 
-def max_overlap(a: DataFrame, b: DataFrame, keys: list[str], a_id: list[str], a_span: tuple[str, str], b_span: tuple[str, str], width: float) -> DataFrame:
+def max_overlap(a: DataFrame, b: DataFrame, keys: list[str], a_id: list[str], a_span: tuple[str, str], b_span: tuple[str, str], width: float, longest: float | None = None) -> DataFrame:
     """Each interval of a with the interval of b that overlaps it most, strictly; the earlier one on ties."""
     (s1, e1), (s2, e2) = a_span, b_span
-    pairs = overlap_join(a, b, keys, a_span, b_span, width, touching=False).withColumn("overlap", F.least(e1, e2) - F.greatest(s1, s2))
+    pairs = overlap_join(a, b, keys, a_span, b_span, width, touching=False, longest=longest).withColumn("overlap", F.least(e1, e2) - F.greatest(s1, s2))
     w = Window.partitionBy(*a_id).orderBy(F.desc("overlap"), s2)
     return pairs.filter("overlap > 0").withColumn("__rn", F.row_number().over(w)).filter("__rn = 1").drop("__rn")
 

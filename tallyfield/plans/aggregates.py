@@ -9,7 +9,7 @@ from tallyfield.functions import vectors as V
 from tallyfield.operators import aggregates as A
 from tallyfield.operators import joins as J
 
-from .joins import OTHERS, TEN, TURNS, other_spans, turns
+from .joins import LONGEST, OTHERS, TEN, TURNS, other_spans, turns
 from .registry import query
 
 TYPES = ["click", "error", "purchase", "signup", "view"]
@@ -94,7 +94,7 @@ def agg_cluster_profile(t, spark):
 def agg_cooccurrence(t, spark):
     at = other_spans(t).select(F.expr(TEN).alias("g"), F.col("word").alias("b"), F.col("s").alias("at"))
     held = turns(t).select(F.expr(TEN).alias("g"), "turn_id", F.col("label").alias("a"), "t0", "t1")
-    pairs = J.range_join(at, held, ["g"], "at", "t0", "t1", 1800).groupBy("a", "b").agg(F.count("*").alias("n"), F.count_if(F.expr("turn_id % 2 = 0")).alias("n_active")).filter("n >= 5")
+    pairs = J.range_join(at, held, ["g"], "at", "t0", "t1", 1800, longest=LONGEST).groupBy("a", "b").agg(F.count("*").alias("n"), F.count_if(F.expr("turn_id % 2 = 0")).alias("n_active")).filter("n >= 5")
     share = lambda c: F.col("n") / F.sum("n").over(Window.partitionBy(c))
     return pairs.withColumn("share_a", share("a")).withColumn("share_b", share("b")).withColumn("confidence", F.least("share_a", "share_b"))
 
@@ -105,8 +105,8 @@ def agg_cooccurrence(t, spark):
     SELECT a.l, b.w, count(*) AS n FROM a JOIN b ON a.g = b.g AND a.at = b.at GROUP BY 1, 2""")
 def agg_confusion(t, spark):
     grid = spark.range(2880).select((F.col("id") * 900.0).alias("at"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(9).cast("long"))).alias("g"))
-    a = J.first_interval(grid, turns(t).select(F.expr(TEN).alias("g"), "label", "t0", "t1"), ["g"], ["g", "at"], "at", "t0", "t1", 1800, closed=False)
-    b = J.first_interval(grid, other_spans(t).select(F.expr(TEN).alias("g"), "word", "s", "e"), ["g"], ["g", "at"], "at", "s", "e", 1800, closed=False)
+    a = J.first_interval(grid, turns(t).select(F.expr(TEN).alias("g"), "label", "t0", "t1"), ["g"], ["g", "at"], "at", "t0", "t1", 1800, closed=False, longest=LONGEST)
+    b = J.first_interval(grid, other_spans(t).select(F.expr(TEN).alias("g"), "word", "s", "e"), ["g"], ["g", "at"], "at", "s", "e", 1800, closed=False, longest=LONGEST)
     both = a.select("g", "at", F.col("label").alias("l")).join(b.select("g", "at", F.col("word").alias("w")), ["g", "at"])
     return both.groupBy("l", "w").agg(F.count("*").alias("n"))
 

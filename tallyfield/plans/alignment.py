@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tallyfield.operators import joins as J
 
-from .joins import OTHERS, TEN, TURNS, other_spans, turns
+from .joins import LONGEST, OTHERS, TEN, TURNS, other_spans, turns
 from .registry import query
 
 PAIRS = f"SELECT q.turn_id, q.label, q.t0, q.t1, o.event_id, o.word FROM ({TURNS}) q JOIN ({OTHERS}) o ON q.user_id % 10 = o.user_id % 10 AND o.s BETWEEN q.t0 AND q.t1"
@@ -18,7 +18,7 @@ def dominant_faces(t):
     """Each turn with the most frequent face of the detections inside it."""
     at = other_spans(t).select(F.expr(TEN).alias("g"), "word", F.col("s").alias("at"))
     held = turns(t).select(F.expr(TEN).alias("g"), "turn_id", "label", "t0", "t1")
-    counted = J.range_join(at, held, ["g"], "at", "t0", "t1", 1800).groupBy("turn_id", "label", "t0", "t1", "word").agg(F.count("*").alias("n"))
+    counted = J.range_join(at, held, ["g"], "at", "t0", "t1", 1800, longest=LONGEST).groupBy("turn_id", "label", "t0", "t1", "word").agg(F.count("*").alias("n"))
     return counted.groupBy("turn_id", "label", "t0", "t1").agg(F.max_by("word", F.col("n") * 1000 - F.ascii("word")).alias("face"), F.max("n").alias("votes"), F.sum("n").alias("seen"))
 
 
@@ -40,7 +40,7 @@ def cmp_timeline(t, spark):
 def identity_alignment(t, spark):
     at = other_spans(t).select(F.expr(TEN).alias("g"), "word", F.col("s").alias("at"))
     held = turns(t).select(F.expr(TEN).alias("g"), "turn_id", "label", "t0", "t1")
-    counted = J.range_join(at, held, ["g"], "at", "t0", "t1", 1800).groupBy("label", F.col("word").alias("face")).agg(F.count("*").alias("n"))
+    counted = J.range_join(at, held, ["g"], "at", "t0", "t1", 1800, longest=LONGEST).groupBy("label", F.col("word").alias("face")).agg(F.count("*").alias("n"))
     w = Window.partitionBy("label")
     ranked = counted.withColumn("share", F.col("n") / F.sum("n").over(w)).withColumn("rn", F.row_number().over(w.orderBy(F.desc("n"), "face")))
     return ranked.filter("rn = 1").drop("rn")

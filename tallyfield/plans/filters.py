@@ -283,7 +283,7 @@ def dedup_case(t, spark):
 @query("""SELECT m.kind, count(*) AS n FROM events e JOIN (VALUES ('view', 'seen'), ('click', 'acted'), ('purchase', 'acted')) m(event_type, kind) ON e.event_type = m.event_type GROUP BY 1""")
 def dedup_normalise(t, spark):
     synonyms = spark.createDataFrame([("view", "seen"), ("click", "acted"), ("purchase", "acted")], "event_type string, kind string")
-    return t("events").join(F.broadcast(synonyms), "event_type").groupBy("kind").agg(F.count("*").alias("n"))
+    return t("events").join(synonyms, "event_type").groupBy("kind").agg(F.count("*").alias("n"))
 
 
 @query("SELECT doc_id FROM documents d WHERE n_chars >= 4000 AND lang = 'en'")

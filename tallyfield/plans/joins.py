@@ -13,6 +13,8 @@ from tallyfield.operators.windows import latest_per_key
 
 from .registry import query
 
+#: Spans of events are cut here, in seconds; ends are rounded.
+LONGEST = 7200.001
 #: Seconds since 2024 and the span to the user's next event, the intervals of the test tables.
 SECONDS = "epoch_us(ts - TIMESTAMP '2024-01-01') / 1e6"
 SPANS = f"""SELECT event_id, user_id, event_type, {SECONDS} AS s, least(lead({SECONDS}) OVER (PARTITION BY user_id ORDER BY ts), {SECONDS} + 7200) AS e FROM events"""
@@ -108,14 +110,14 @@ def join_asof(t, spark):
 @query(f"""SELECT event_id, turn_id, label FROM (SELECT p.event_id, q.turn_id, q.label, row_number() OVER (PARTITION BY p.event_id ORDER BY t0, turn_id) rn
     FROM ({POINTS}) p JOIN ({TURNS}) q ON p.user_id = q.user_id AND p.at BETWEEN t0 AND t1) WHERE rn = 1""")
 def join_point_interval(t, spark):
-    return J.first_interval(points(t), turns(t), ["user_id"], ["event_id"], "at", "t0", "t1", 3600, tie=["turn_id"]).select("event_id", "turn_id", "label")
+    return J.first_interval(points(t), turns(t), ["user_id"], ["event_id"], "at", "t0", "t1", 3600, tie=["turn_id"], longest=LONGEST).select("event_id", "turn_id", "label")
 
 
 @query(f"""SELECT event_id, turn_id FROM (SELECT p.event_id, q.turn_id, row_number() OVER (PARTITION BY p.event_id ORDER BY t0, turn_id) rn
     FROM ({POINTS}) p JOIN ({TURNS}) q ON p.user_id % 10 = q.user_id % 10 AND p.at >= t0 AND p.at < t1) WHERE rn = 1""")
 def join_point_interval_half_open(t, spark):
     own, held = points(t).withColumn("g", F.expr(TEN)), turns(t).withColumn("g", F.expr(TEN)).drop("user_id")
-    return J.first_interval(own, held, ["g"], ["event_id"], "at", "t0", "t1", 1800, closed=False, tie=["turn_id"]).select("event_id", "turn_id")
+    return J.first_interval(own, held, ["g"], ["event_id"], "at", "t0", "t1", 1800, closed=False, tie=["turn_id"], longest=LONGEST).select("event_id", "turn_id")
 
 
 def other_spans(t):
@@ -131,7 +133,7 @@ TEN = "user_id % 10"
     LEFT JOIN ({OTHERS}) o ON q.user_id % 10 = o.user_id % 10 AND q.t0 <= o.e AND q.t1 >= o.s GROUP BY 1""")
 def join_interval_overlap(t, spark):
     a, b = turns(t).withColumn("g", F.expr(TEN)), other_spans(t).withColumn("g", F.expr(TEN)).drop("user_id")
-    pairs = J.overlap_join(a, b, ["g"], ("t0", "t1"), ("s", "e"), 1800)
+    pairs = J.overlap_join(a, b, ["g"], ("t0", "t1"), ("s", "e"), 1800, longest=LONGEST)
     words = pairs.groupBy("turn_id").agg(F.array_sort(F.collect_list(F.struct("s", "event_id", "word"))).alias("w"))
     joined = a.select("turn_id").join(words, "turn_id", "left")
     text = F.when(F.col("w").isNotNull(), F.array_join(F.transform("w", lambda x: x["word"]), " "))
@@ -142,26 +144,26 @@ def join_interval_overlap(t, spark):
     FROM ({OTHERS}) o JOIN ({TURNS}) q ON q.user_id % 10 = o.user_id % 10 AND t0 < o.e AND t1 > o.s WHERE round(least(o.e, t1) - greatest(o.s, t0), 6) > 0) WHERE rn = 1""")
 def join_max_overlap(t, spark):
     a, b = other_spans(t).withColumn("g", F.expr(TEN)), turns(t).withColumn("g", F.expr(TEN)).drop("user_id")
-    return J.max_overlap(a, b, ["g"], ["event_id"], ("s", "e"), ("t0", "t1"), 1800).select("event_id", "turn_id")
+    return J.max_overlap(a, b, ["g"], ["event_id"], ("s", "e"), ("t0", "t1"), 1800, longest=LONGEST).select("event_id", "turn_id")
 
 
 @query(f"""SELECT q.turn_id, count(DISTINCT o.word) > 1 AS conflated FROM ({TURNS}) q JOIN ({OTHERS}) o ON q.user_id % 10 = o.user_id % 10 AND round((o.s + o.e) / 2, 6) BETWEEN t0 AND t1 GROUP BY 1""")
 def join_midpoint(t, spark):
     mids = other_spans(t).select("event_id", F.expr(TEN).alias("g"), "word", F.round((F.col("s") + F.col("e")) / 2, 6).alias("mid"))
-    pairs = J.range_join(mids, turns(t).withColumn("g", F.expr(TEN)).drop("user_id"), ["g"], "mid", "t0", "t1", 1800)
+    pairs = J.range_join(mids, turns(t).withColumn("g", F.expr(TEN)).drop("user_id"), ["g"], "mid", "t0", "t1", 1800, longest=LONGEST)
     return pairs.groupBy("turn_id").agg((F.count_distinct("word") > 1).alias("conflated"))
 
 
 @query(f"SELECT DISTINCT q.turn_id FROM ({TURNS}) q JOIN ({OTHERS}) o ON q.user_id % 10 = o.user_id % 10 AND NOT (q.t0 >= o.e OR q.t1 <= o.s)")
 def join_overlap_open(t, spark):
     a, b = turns(t).withColumn("g", F.expr(TEN)), other_spans(t).withColumn("g", F.expr(TEN)).drop("user_id")
-    return J.overlap_join(a, b, ["g"], ("t0", "t1"), ("s", "e"), 1800, touching=False).select("turn_id").distinct()
+    return J.overlap_join(a, b, ["g"], ("t0", "t1"), ("s", "e"), 1800, touching=False, longest=LONGEST).select("turn_id").distinct()
 
 
 @query(f"""SELECT o.event_id, array_to_string(list(q.turn_id ORDER BY q.t0, q.turn_id), ',') AS turns FROM ({OTHERS}) o JOIN ({TURNS}) q ON q.user_id % 10 = o.user_id % 10 AND q.t0 <= o.e AND q.t1 >= o.s GROUP BY 1""")
 def join_overlap_array(t, spark):
     a, b = other_spans(t).withColumn("g", F.expr(TEN)), turns(t).withColumn("g", F.expr(TEN)).drop("user_id")
-    pairs = J.overlap_join(a, b, ["g"], ("s", "e"), ("t0", "t1"), 1800)
+    pairs = J.overlap_join(a, b, ["g"], ("s", "e"), ("t0", "t1"), 1800, longest=LONGEST)
     ids = F.transform(F.array_sort(F.collect_list(F.struct("t0", "turn_id"))), lambda x: x["turn_id"].cast("string"))
     return pairs.groupBy("event_id").agg(F.array_join(ids, ",").alias("turns"))
 
@@ -285,7 +287,7 @@ def join_collision_guard(t, spark):
 @query("""SELECT n.n_nationkey, n.n_name, v.label FROM nation n JOIN (VALUES ('NATION_1', 'one'), ('NATION_2', 'two'), ('NATION_99', 'none')) v(n_name, label) ON n.n_name = v.n_name""")
 def join_values(t, spark):
     v = spark.createDataFrame([("NATION_1", "one"), ("NATION_2", "two"), ("NATION_99", "none")], "n_name string, label string")
-    return t("nation").join(F.broadcast(v), "n_name").select("n_nationkey", "n_name", "label")
+    return t("nation").join(v, "n_name").select("n_nationkey", "n_name", "label")
 
 
 @query("""SELECT o.o_orderpriority, CAST(sum(CAST(l.l_extendedprice AS DECIMAL(18,2))) AS DOUBLE) AS revenue FROM orders o JOIN lineitem l ON o.o_orderkey = l.l_orderkey GROUP BY 1""")

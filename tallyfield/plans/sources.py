@@ -56,7 +56,7 @@ def scan_key_regex(t, spark):
 @query("""SELECT n_nationkey, v.value AS label FROM nation LEFT JOIN (VALUES ('NATION_0', 'Zero'), ('NATION_1', 'One'), ('NATION_7', 'Seven')) v(name, value) ON n_name = v.name""")
 def scan_yaml(t, spark):
     seeds = S.dictionary(spark, SEEDS)
-    return t("nation").join(F.broadcast(seeds), F.col("n_name") == F.col("name"), "left").select("n_nationkey", F.col("value").alias("label"))
+    return t("nation").join(seeds, F.col("n_name") == F.col("name"), "left").select("n_nationkey", F.col("value").alias("label"))
 
 
 @query("SELECT event_type AS job, arg_max(CASE WHEN value > 100 THEN 'FAIL' ELSE 'OK' END, (epoch_us(date_trunc('second', ts)) - 1704067200000000) * 100000 + event_id) AS status, count(*) AS lines FROM events GROUP BY 1")

@@ -113,6 +113,38 @@ def test_overlap_touching_and_single(spark):
     assert {r.b: r.a for r in joins.max_overlap(b, a, ["k"], ["b"], ("bs", "be"), ("s", "e"), 9.0).collect()} == {7: 2, 8: 1}
 
 
+@pytest.mark.parametrize("longest", [None, 4e6])
+def test_intervals_of_all_lengths(spark, longest):
+    """Lengths from nothing to millions of cells' widths; every pair once, and few cells each."""
+    rng = random.Random(8)
+    spans = lambda n: [(rng.choice("xy"), k, s, s + rng.choice([0, 1, 10 ** rng.uniform(0, 6.5)])) for k, s in ((k, rng.uniform(-1e5, 1e6)) for k in range(n))]
+    a, b, p = spans(60), spans(60), [(rng.choice("xy"), k, rng.uniform(-1e5, 2e6)) for k in range(200)]
+    p += [("x", 1000, a[0][2]), ("x", 1001, a[0][3])]
+    da, db, dp = spark.createDataFrame(a, "k string, a int, s double, e double"), spark.createDataFrame(b, "k string, b int, bs double, be double"), spark.createDataFrame(p, "k string, p int, at double")
+    assert sorted((r.p, r.a) for r in joins.range_join(dp, da, ["k"], "at", "s", "e", 9.0, longest=longest).collect()) == sorted((q, i) for k, q, t in p for m, i, x, y in a if k == m and x <= t <= y)
+    for touch in (True, False):
+        got = sorted((r.a, r.b) for r in joins.overlap_join(da, db, ["k"], ("s", "e"), ("bs", "be"), 9.0, touch, longest).collect())
+        assert got == sorted((i, j) for k, i, x, y in a for m, j, u, v in b if k == m and (x <= v and y >= u if touch else x < v and y > u))
+    none = joins.range_join(dp, da.filter("false"), ["k"], "at", "s", "e", 9.0, longest=longest)
+    assert none.count() == 0 and set(none.columns) == {"k", "p", "at", "a", "s", "e"}
+
+
+def test_longer_intervals_than_said(spark):
+    a, p = spark.createDataFrame([("x", 0.0, 100.0)], "k string, s double, e double"), spark.createDataFrame([("x", 5.0)], "k string, at double")
+    with pytest.raises(Exception, match="longer than"):
+        joins.range_join(p, a, ["k"], "at", "s", "e", 9.0, longest=50.0).collect()
+
+
+def test_asof_in_pieces(spark):
+    rng = random.Random(5)
+    left = [(k, rng.choice(["a", "b", None]), float(rng.randrange(100))) for k in range(200)]
+    right = [(rng.choice(["a", "b", "c", None]), float(rng.randrange(100)), k) for k in range(60)] + [("a", 50.0, 901), ("a", 50.0, 900)]
+    dl, dr = spark.createDataFrame(left, "id long, k string, t double"), spark.createDataFrame(right, "k string, t double, v int")
+    want = {i: max(((t, v) for m, t, v in right if m == k and t <= at), default=(0, None))[1] for i, k, at in left}
+    for piece in (None, F.floor(F.col("__ts") / 7), F.floor(F.col("__ts") / 1000)):
+        assert {r.id: r.v for r in joins.asof_backward(dl, dr, ["k"], "t", "t", ["v"], ["v"], piece).collect()} == want
+
+
 def test_windows(spark):
     rows = spark.createDataFrame([("a", 1, "x"), ("a", 2, "x"), ("a", 3, "y"), ("a", 4, "x"), ("a", 5, None), ("a", 6, None), ("b", 1, None)], "k string, t int, v string")
     assert sorted((r.k, r.t) for r in W.change_rows(rows, ["k"], ["t"], "v").collect()) == [("a", 1), ("a", 3), ("a", 4), ("a", 5), ("a", 6), ("b", 1)]
