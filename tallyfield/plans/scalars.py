@@ -288,7 +288,7 @@ def json_rename(t, spark):
     return t("supplier").select([F.col(a).alias(b) for a, b in RENAMES.items()])
 
 
-@query()
+@query("""SELECT doc_id, '{"deep_keys": ["a"], "doc_id": ' || doc_id || coalesce(', "lang": "' || lang || '"', '') || coalesce(', "words_count": ' || least(5, len(string_split(text, ' '))), '') || '}' AS summary FROM documents""")
 def json_summarise(t, spark):
     from tallyfield.functions.summaries import summarise
 

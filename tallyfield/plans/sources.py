@@ -10,10 +10,16 @@ from tallyfield.session import fresh_path
 from .registry import QUERIES, query
 
 SEEDS = """
-# nation: label | aliases
-NATION_0: Zero | nought | nil
-NATION_1: One | single
-NATION_7: Seven
+# labels of nations
+nations:
+  - name: NATION_0
+    value: Zero
+    aliases: [nought, nil]
+  - name: NATION_1
+    value: One
+    aliases: [single]
+  - name: NATION_7
+    value: Seven
 """
 
 
