@@ -22,13 +22,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches, text_bytes
+from .common import small_batches, stored, text_bytes
 
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 #: UTF-8 bytes to the lower-cased byte of a word, or to a space between words.
 BYTES = bytes(b + 32 if 65 <= b <= 90 else b if b >= 128 or 48 <= b <= 57 or 97 <= b <= 122 else 32 for b in range(256))
 #: Text bytes of one shard's documents, and text bytes of one pass's benchmark items.
 SHARD_BYTES, CHUNK_BYTES = 12_000_000, 8_000_000
+#: Parts of the benchmark, each a pass over the texts, before what was found is stored.
+PASSES = 8
 SAMPLE = 16
 
 
@@ -170,7 +172,9 @@ def benchmark_hits(df: DataFrame, benchmark: DataFrame, window: int = 10, text_c
     kept = [c for c in df.columns if (keep_text or c != text_col) and c.lower() not in ("n_words", "spans", "items")]
     item_type = benchmark.schema[item_col].dataType.simpleString()
     now = df.select(F.struct(*[F.col(f"`{c}`") for c in kept]).alias("row"), text_bytes(text_col).alias("data"), F.lit(0).cast("long").alias("n_words"), F.array().cast("array<struct<start:int,end:int>>").alias("spans"), F.array().cast(f"array<{item_type}>").alias("items"))
-    for items in chunks(benchmark, item_col, item_text):
+    for k, items in enumerate(chunks(benchmark, item_col, item_text)):
+        if k and k % PASSES == 0:  # so that no task holds more of a large benchmark at once
+            now = stored(now, "passes")
         phrases = df.sparkSession.sparkContext.broadcast(Phrases(items, window))
         now = now.mapInArrow(_pass(phrases), now.schema)
     return now.select("row.*", "n_words", "spans", "items")

@@ -11,7 +11,6 @@ length are counted whole. Repeated rows and null ids each give a row.
 
 from __future__ import annotations
 
-import functools
 import re
 
 import pyarrow as pa
@@ -29,11 +28,11 @@ REMEMBERED = 300_000
 class Counts(dict):
     """Tokens of a cut. Holds the proven whole tokens; asks the library for others and remembers them, up to a bound."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, proven: list[str] | None = None):
         import sentencepiece
 
         self.model = sentencepiece.SentencePieceProcessor(model_file=path)
-        super().__init__(whole_tokens(self.model))
+        super().__init__(dict.fromkeys(proven, 1) if proven is not None else whole_tokens(self.model))
         self.proven = len(self)
 
     def __missing__(self, cut: str) -> int:
@@ -67,21 +66,34 @@ def whole_tokens(model) -> dict[str, int]:
     return {p: 1 for p in pieces if CUTS.fullmatch(p) and merged(model, p) == 1}
 
 
-@functools.cache
-def counts(path: str) -> Counts:
-    return Counts(path)
+#: The counts that a worker has, by the model's path.
+_HELD: dict[str, Counts] = {}
+
+
+def counts(path: str, proven: list[str] | None = None) -> Counts:
+    if path not in _HELD:
+        _HELD[path] = Counts(path, proven)
+    return _HELD[path]
+
+
+def model_path(tokenizer: str) -> str:
+    import os
+
+    import public_tokenizers
+
+    return tokenizer if os.path.sep in tokenizer else str(public_tokenizers.path(tokenizer))
 
 
 def token_counts(df: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", limit: int = 4096) -> DataFrame:
     """(id, n_bytes, n_tokens, over_limit) for each row. tokenizer: a file's name in the public tokenizers folder, or a path."""
+    import sentencepiece
+
     small_batches(df.sparkSession)
+    # proven once, before any task; no more than the vocabulary is sent
+    proven = df.sparkSession.sparkContext.broadcast(list(whole_tokens(sentencepiece.SentencePieceProcessor(model_file=model_path(tokenizer)))))
 
     def count(batches):
-        import os
-
-        import public_tokenizers
-
-        known = counts(tokenizer if os.path.sep in tokenizer else str(public_tokenizers.path(tokenizer)))
+        known = counts(model_path(tokenizer), proven.value)
         for b in batches:
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([known.of(t) for t in b.column(2).to_pylist()], pa.int64())], names=["id", "n_bytes", "n_tokens"])
 
