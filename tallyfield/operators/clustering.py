@@ -191,17 +191,17 @@ class Online:
 
 
 def online_clusters(df: DataFrame, key: str, order: str, eps: float) -> DataFrame:
-    """(key, order, x, y, cluster) of points x, y: rows are streamed in order, and a task holds the means of one key only."""
+    """(key, order, x, y, cluster) of points x, y: rows are streamed in order, and a task holds the means of one key only. A point without a place has no cluster."""
 
     def over(batches):
         now, means = None, None
         for b in batches:
-            out = np.empty(b.num_rows, np.int64)
-            for i, (k, x, y) in enumerate(zip(*(b.column(c).to_pylist() for c in (key, "x", "y")), strict=True)):
+            out: list[int | None] = []
+            for k, x, y in zip(*(b.column(c).to_pylist() for c in (key, "x", "y")), strict=True):
                 if means is None or k != now:
                     now, means = k, Online(eps)
-                out[i] = means.place(np.array([x, y]))
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(out)], names=[*b.schema.names, "cluster"])
+                out.append(None if x is None or y is None else means.place(np.array([x, y])))
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(out, pa.int64())], names=[*b.schema.names, "cluster"])
 
     rows = df.select(key, order, "x", "y").repartition(key).sortWithinPartitions(key, order)
     return rows.mapInArrow(over, T.StructType([*rows.schema, T.StructField("cluster", T.LongType())]))

@@ -62,7 +62,17 @@ def points_2d(t):
     return t("events").select("user_id", "event_id", F.col("value").alias("x"), (F.get_json_object("props", "$.k").cast("double") * 4).alias("y"))
 
 
-@query()
+#: One event after another: the nearest mean within 120 moves, or a new one begins.
+ONLINE = """WITH RECURSIVE p AS (SELECT user_id, event_id, value AS x, CAST(json_extract_string(props, '$.k') AS DOUBLE) * 4 AS y, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS rn FROM events),
+    r AS (SELECT user_id, event_id, rn, CAST(0 AS BIGINT) AS cluster, [x] AS mx, [y] AS my, [1] AS n FROM p WHERE rn = 1
+    UNION ALL SELECT user_id, event_id, rn, CASE WHEN list_min(d) <= 120 THEN list_position(d, list_min(d)) - 1 ELSE len(mx) END,
+    CASE WHEN list_min(d) <= 120 THEN list_transform(mx, lambda m, i: CASE WHEN i = list_position(d, list_min(d)) THEN m + (x - m) / (n[i] + 1) ELSE m END) ELSE list_append(mx, x) END,
+    CASE WHEN list_min(d) <= 120 THEN list_transform(my, lambda m, i: CASE WHEN i = list_position(d, list_min(d)) THEN m + (y - m) / (n[i] + 1) ELSE m END) ELSE list_append(my, y) END,
+    CASE WHEN list_min(d) <= 120 THEN list_transform(n, lambda m, i: CASE WHEN i = list_position(d, list_min(d)) THEN m + 1 ELSE m END) ELSE list_append(n, 1) END
+    FROM (SELECT p.user_id, p.event_id, p.rn, x, y, mx, my, n, list_transform(mx, lambda m, i: sqrt((m - x) * (m - x) + (my[i] - y) * (my[i] - y))) AS d FROM r JOIN p ON p.user_id = r.user_id AND p.rn = r.rn + 1))"""
+
+
+@query(ONLINE + " SELECT user_id, event_id, cluster FROM r")
 def clu_greedy_online(t, spark):
     return C.online_clusters(points_2d(t), "user_id", "event_id", 120.0).select("user_id", "event_id", "cluster")
 
@@ -107,13 +117,27 @@ def pair_argmax(t, spark):
     return pairs.groupBy("event_type").agg(F.max_by("grp", F.struct("n", (-F.col("grp")).alias("o"))).alias("grp"))
 
 
-@query()
+@query("""WITH RECURSIVE e AS (SELECT user_id, event_id, event_type AS label, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS rn FROM events),
+    i AS (SELECT *, rn - row_number() OVER (PARTITION BY user_id, label ORDER BY rn) AS g FROM e),
+    u AS (SELECT user_id, label, count(*) AS n, row_number() OVER (PARTITION BY user_id ORDER BY min(rn)) AS k FROM i GROUP BY user_id, label, g),
+    r AS (SELECT user_id, 1 AS step, CAST(1 AS BIGINT) AS k, [label] AS l, [n] AS c FROM u WHERE k = 1
+    UNION ALL SELECT q.user_id, step + 1, CASE WHEN fold THEN q.k ELSE q.k + 1 END, CASE WHEN fold THEN l[:-3] ELSE list_append(l, u.label) END, CASE WHEN fold THEN list_append(c[:-4], c[-3] + c[-2] + c[-1]) ELSE list_append(c, u.n) END
+    FROM (SELECT *, len(l) >= 3 AND l[-3] = l[-1] AND c[-2] <= 1 AS fold FROM r) q LEFT JOIN u ON NOT fold AND u.user_id = q.user_id AND u.k = q.k + 1 WHERE fold OR u.k IS NOT NULL),
+    f AS (SELECT user_id, arg_max(l, step) AS l, arg_max(c, step) AS c FROM r GROUP BY 1), x AS (SELECT user_id, unnest(l) AS label, unnest(c) AS n, generate_subscripts(l, 1) AS i FROM f),
+    y AS (SELECT *, sum(n) OVER (PARTITION BY user_id ORDER BY i) AS hi FROM x)
+    SELECT e.user_id, e.event_id, y.label FROM e JOIN y ON e.user_id = y.user_id AND e.rn <= y.hi AND e.rn > y.hi - y.n""")
 def seg_smooth_runs(t, spark):
     rows = t("events").select("user_id", "ts", "event_id", F.col("event_type").alias("label"))
     return Q.smoothed(rows, "user_id", ["ts", "event_id"], "label", 1).select("user_id", "event_id", "label")
 
 
-@query()
+@query("""WITH RECURSIVE p AS (SELECT conv_id, role, text, sum(length(text)) OVER (PARTITION BY conv_id ORDER BY turn ROWS UNBOUNDED PRECEDING) / 10.0 AS e, length(text) / 10.0 AS d, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS rn FROM conversations),
+    q AS (SELECT conv_id, rn, role, e - d AS s, e, text FROM p),
+    r AS (SELECT conv_id, rn, [{'role': role, 's': s, 'e': e, 'text': text}] AS l FROM q WHERE rn = 1
+    UNION ALL SELECT q.conv_id, q.rn, CASE WHEN len(l) >= 2 AND l[-2].role = q.role AND l[-1].role <> q.role AND l[-1].e - l[-1].s < 15 AND l[-1].s - l[-2].e <= 1 AND q.s - l[-1].e <= 1
+    THEN list_append(l[:-3], {'role': q.role, 's': l[-2].s, 'e': q.e, 'text': array_to_string(list_filter([l[-2].text, l[-1].text, q.text], lambda x: x <> ''), ' ')}) ELSE list_append(l, {'role': q.role, 's': q.s, 'e': q.e, 'text': q.text}) END
+    FROM r JOIN q ON q.conv_id = r.conv_id AND q.rn = r.rn + 1),
+    f AS (SELECT conv_id, unnest(arg_max(l, rn)) AS x FROM r GROUP BY 1) SELECT conv_id, x.role AS role, x.s AS s, x.e AS e, x.text AS text FROM f""")
 def seg_smooth_text(t, spark):
     def smooth(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values("turn", kind="stable")
@@ -155,7 +179,22 @@ def split_blocks(rows: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame([(rows["doc_id"].iloc[0], a, b - 1) for a, b in zip(cuts, cuts[1:], strict=False)], columns=["doc_id", "first_pos", "last_pos"])
 
 
-@query()
+#: Sentences with their scores, peaks, and boundaries kept one after another.
+BOUNDARIES = f"""WITH RECURSIVE d AS (SELECT doc_id, string_split_regex(text, '\\.\\s') AS ss, list_prepend('', regexp_extract_all(text, '\\.(\\s)', 1)) AS sep FROM documents WHERE text IS NOT NULL),
+    a AS (SELECT doc_id, len(ss) AS n, generate_subscripts(ss, 1) - 1 AS pos, unnest(ss) AS s, unnest(sep) AS before FROM d),
+    b AS (SELECT doc_id, n, pos, s, before, list_distinct(list_filter(string_split(regexp_replace(lower(s), '[^a-z0-9]+', ' ', 'g'), ' '), lambda w: length(w) >= {NAME})) AS names FROM a),
+    c AS (SELECT *, coalesce(flatten(list(names) OVER (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN 20 PRECEDING AND 1 PRECEDING)), []) AS recent FROM b),
+    e AS (SELECT doc_id, n, pos, CASE WHEN regexp_matches(s, '(?i){"|".join(TRANSITIONS).replace("'", "''")}') THEN 2.0 ELSE 0.0 END + CASE WHEN before = chr(10) THEN 1.5 ELSE 0.0 END + len(list_filter(names, lambda x: NOT list_contains(recent, x))) AS score FROM c),
+    f AS (SELECT *, max(score) OVER (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN 10 PRECEDING AND 10 FOLLOWING) AS m FROM e),
+    g AS (SELECT doc_id, pos, score, row_number() OVER (PARTITION BY doc_id ORDER BY pos) AS rn FROM f WHERE score >= 2 AND score = m AND pos >= 8 AND n - pos >= 8),
+    r AS (SELECT doc_id, rn, [pos] AS kept, score AS last FROM g WHERE rn = 1
+    UNION ALL SELECT g.doc_id, g.rn, CASE WHEN g.pos - kept[-1] >= 8 THEN list_append(kept, g.pos) WHEN g.score > last THEN list_append(kept[:-2], g.pos) ELSE kept END, CASE WHEN g.pos - kept[-1] >= 8 OR g.score > last THEN g.score ELSE last END
+    FROM r JOIN g ON g.doc_id = r.doc_id AND g.rn = r.rn + 1),
+    k AS (SELECT doc_id, arg_max(kept, rn) AS kept FROM r GROUP BY 1),
+    z AS (SELECT d.doc_id, list_append(list_prepend(0, coalesce(kept, [])), len(ss)) AS cuts FROM d LEFT JOIN k ON d.doc_id = k.doc_id)"""
+
+
+@query(BOUNDARIES + " SELECT doc_id, unnest(cuts[:-2]) AS first_pos, unnest(cuts[2:]) - 1 AS last_pos FROM z")
 def seg_boundaries(t, spark):
     return Q.grouped(boundary_scores(t).select("doc_id", "pos", "score", "peak"), ["doc_id"], split_blocks, "doc_id long, first_pos long, last_pos long")
 
