@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-import numpy as np
+from collections import Counter
+
 import pandas as pd
 from pyspark.sql import Window
 from pyspark.sql import functions as F
@@ -172,13 +173,25 @@ def boundary_scores(t):
     return top.withColumn("peak", (F.col("score") == F.col("m")) & (F.col("score") >= 2.0))
 
 
-def split_blocks(rows: pd.DataFrame) -> pd.DataFrame:
-    rows = rows.sort_values("pos", kind="stable")
+def cuts_of(rows: pd.DataFrame) -> list[int]:
+    """First sentences of the blocks of a document, in order, and the number of its sentences."""
     peaks = [(int(p), float(s)) for p, s, k in zip(rows["pos"], rows["score"], rows["peak"], strict=True) if k]
-    cuts = [0, *Q.thin_boundaries(peaks, 8, len(rows)), len(rows)]
+    return [0, *Q.thin_boundaries(peaks, 8, len(rows)), len(rows)]
+
+
+def split_blocks(rows: pd.DataFrame) -> pd.DataFrame:
+    cuts = cuts_of(rows.sort_values("pos", kind="stable"))
     return pd.DataFrame([(rows["doc_id"].iloc[0], a, b - 1) for a, b in zip(cuts, cuts[1:], strict=False)], columns=["doc_id", "first_pos", "last_pos"])
 
 
+def classified_blocks(rows: pd.DataFrame) -> pd.DataFrame:
+    """A topic counts once a sentence."""
+    rows = rows.sort_values("pos", kind="stable")
+    cuts, words = cuts_of(rows), [set(w) if w is not None else set() for w in rows["w"]]
+    out = Q.topic_blocks([(a, b - 1, Counter(x for w in words[a:b] for x in w)) for a, b in zip(cuts, cuts[1:], strict=False)])
+    return pd.DataFrame([(rows["doc_id"].iloc[0], k, a, b, len(x)) for k, a, b, x in out], columns=["doc_id", "kind", "first_pos", "last_pos", "topics"])
+
+
 #: Sentences with their scores, peaks, and boundaries kept one after another.
 BOUNDARIES = f"""WITH RECURSIVE d AS (SELECT doc_id, string_split_regex(text, '\\.\\s') AS ss, list_prepend('', regexp_extract_all(text, '\\.(\\s)', 1)) AS sep FROM documents WHERE text IS NOT NULL),
     a AS (SELECT doc_id, len(ss) AS n, generate_subscripts(ss, 1) - 1 AS pos, unnest(ss) AS s, unnest(sep) AS before FROM d),
@@ -201,18 +214,8 @@ def seg_boundaries(t, spark):
 
 @query()
 def seg_blocks(t, spark):
-    def merge(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("first_pos", kind="stable")
-        out = Q.topic_blocks([(a, b, {r["w"]: r["n"] for r in x}) for a, b, x in zip(rows["first_pos"], rows["last_pos"], rows["topics"], strict=True)])
-        return pd.DataFrame([(rows["doc_id"].iloc[0], k, a, b, len(x)) for k, a, b, x in out], columns=["doc_id", "kind", "first_pos", "last_pos", "topics"])
-
-    blocks = seg_boundaries(t, spark)
-    lines = boundary_scores(t).select(F.col("doc_id").alias("d"), "pos", F.explode_outer(F.array_distinct("w")).alias("w"))
-    # a key per document, then positions inside the block; a topic counts once a sentence
-    held = blocks.join(lines, (F.col("doc_id") == F.col("d")) & F.col("pos").between(F.col("first_pos"), F.col("last_pos")))
-    counts = held.groupBy("doc_id", "first_pos", "last_pos", "w").agg(F.count("*").alias("n"))
-    per = counts.groupBy("doc_id", "first_pos", "last_pos").agg(F.collect_list(F.when(F.col("w").isNotNull(), F.struct("w", "n"))).alias("topics"))
-    return Q.grouped(per, ["doc_id"], merge, "doc_id long, kind string, first_pos long, last_pos long, topics long")
+    # the windows and the groups are of one document each, so its sentences are dealt once
+    return Q.grouped(boundary_scores(t).select("doc_id", "pos", "score", "peak", "w"), ["doc_id"], classified_blocks, "doc_id long, kind string, first_pos long, last_pos long, topics long")
 
 
 @query("""SELECT e.event_id, v.event_id AS frame_id, CASE WHEN v.value >= 4.5 THEN v.event_type END AS speaker FROM (SELECT * FROM events WHERE event_id % 4 = 0) e ASOF LEFT JOIN (SELECT * FROM events WHERE event_id % 4 <> 0) v ON e.user_id = v.user_id AND e.ts >= v.ts""")
