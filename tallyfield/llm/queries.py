@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import decontaminate, language_id, lm_scoring, packing, secrets, sharding, simhash, suffix_dedup, token_counts, vector_graph
+from . import byte_bpe, decontaminate, divergence, language_id, lm_scoring, packing, resampling, secrets, sharding, simhash, suffix_dedup, token_counts, vector_graph
 from .common import table
 
 
@@ -62,7 +62,25 @@ def op10_feistel_shards(spark, sf_dir):
     return sharding.feistel_shards(table(spark, sf_dir, "documents"), 16).drop("row_number")
 
 
-QUERIES = {f.__name__: f for f in (op1_simhash_near_dedup, op2_token_counts, op3_secret_scans, op4_best_fit_packing, op5_benchmark_decontamination, op6_language_id, op7_suffix_dedup, op8_lm_scoring, op9_nearest_neighbours, op10_feistel_shards)}
+def op11_byte_bpe(spark, sf_dir):
+    encoded = byte_bpe.bpe_encode(table(spark, sf_dir, "documents").select("doc_id", "text"), BYTE_BPE, keep_text=False)
+    found = byte_bpe.bpe_decode(encoded, BYTE_BPE)
+    digest = lambda c: F.sha2(c.cast("binary"), 256)
+    return found.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), digest(byte_bpe.ids_text(F.col("ids"))).alias("ids_sha256"), digest(F.col("decoded")).alias("decoded_sha256"))
+
+
+def op12_importance_resampling(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = resampling.resample(docs, table(spark, sf_dir, "benchmark"), percent=25, least_words=20, seed=7)
+    return found.select("doc_id", "n_features", "weight", "score", "rank")
+
+
+def op13_source_divergence(spark, sf_dir):
+    return divergence.divergence(table(spark, sf_dir, "documents"))
+
+
+BYTE_BPE = "byte_bpe_50k.json"
+QUERIES = {f.__name__: f for f in (op1_simhash_near_dedup, op2_token_counts, op3_secret_scans, op4_best_fit_packing, op5_benchmark_decontamination, op6_language_id, op7_suffix_dedup, op8_lm_scoring, op9_nearest_neighbours, op10_feistel_shards, op11_byte_bpe, op12_importance_resampling, op13_source_divergence)}
 #: Words of a text, as lists, in DuckDB.
 WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 
@@ -91,6 +109,39 @@ ORACLE_SQL: dict[str, str] = {
     i AS (SELECT r, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS s FROM (SELECT DISTINCT r, item_id::VARCHAR AS item FROM o) GROUP BY 1)
     SELECT doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(s, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
     FROM d LEFT JOIN h USING (r) LEFT JOIN i USING (r)""",
+    # a checksum goes on byte by byte; of a bigram's, from that of its first word
+    "op12_importance_resampling": f"""
+    WITH RECURSIVE z AS (SELECT 0 AS k, range(256)::BIGINT[] AS c UNION ALL SELECT k + 1, list_transform(c, lambda v: xor(v >> 1, CASE WHEN v & 1 = 1 THEN 3988292384 ELSE 0 END)) FROM z WHERE k < 8),
+    d AS (SELECT row_number() OVER () AS r, doc_id, {WORDS} AS w FROM documents),
+    b AS (SELECT {WORDS} AS w FROM benchmark),
+    f AS (SELECT r, unnest(list_concat(w, list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]))) AS s FROM d),
+    g AS (SELECT unnest(list_concat(w, list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]))) AS s FROM b),
+    u AS (SELECT s, hex(encode(s)) AS h, (SELECT c FROM z WHERE k = 8) AS c FROM (SELECT s FROM f UNION SELECT s FROM g)),
+    k AS (SELECT s, xor(4294967295, list_reduce(list_prepend(4294967295::BIGINT, list_transform(range(1, len(h), 2), lambda i: ('0x' || h[i : i + 1])::BIGINT)), lambda a, v: xor(a >> 8, c[(xor(a, v) & 255) + 1]))) % 10000 AS bucket FROM u),
+    fs AS (SELECT bucket, count(*) AS s FROM f JOIN k USING (s) GROUP BY 1),
+    gt AS (SELECT bucket, count(*) AS t FROM g JOIN k USING (s) GROUP BY 1),
+    n AS (SELECT bucket, floor(1000 * ln((coalesce(t, 0) + 1) * ((SELECT count(*) FROM f) + 10000) / ((s + 1) * ((SELECT count(*) FROM g) + 10000))))::BIGINT AS gain FROM fs LEFT JOIN gt USING (bucket)),
+    e AS (SELECT r, count(*) AS n_features, floor(sum(gain)::DOUBLE / count(*))::BIGINT AS weight FROM f JOIN k USING (s) JOIN n USING (bucket) GROUP BY r),
+    o AS (SELECT r, doc_id, len(w) AS words, coalesce(n_features, 0)::BIGINT AS n_features, coalesce(weight, 0)::BIGINT AS weight,
+      coalesce(weight, 0)::BIGINT + floor(-1000 * ln(-ln((('0x' || sha256('7:' || coalesce(doc_id::VARCHAR, ''))[1:8])::BIGINT + 0.5::DOUBLE) / 4294967296)))::BIGINT AS score FROM d LEFT JOIN e USING (r)),
+    p AS (SELECT *, CASE WHEN words >= 20 THEN row_number() OVER (PARTITION BY words >= 20 ORDER BY score DESC, doc_id) END AS place, count(*) FILTER (WHERE words >= 20) OVER () AS fit FROM o)
+    SELECT doc_id, n_features, weight, score, CASE WHEN place <= 25 * fit // 100 THEN place END AS rank FROM p""",
+    "op13_source_divergence": """
+    WITH d AS (SELECT row_number() OVER () AS r, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+      regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM documents),
+    g AS (SELECT DISTINCT lang, source FROM d),
+    f AS (SELECT r, lang, source, unnest(w) AS term FROM d),
+    k AS (SELECT lang, term FROM f GROUP BY 1, 2 HAVING count(DISTINCT r) >= 30),
+    v AS (SELECT lang, count(*)::HUGEINT AS v FROM k GROUP BY 1),
+    c AS (SELECT lang, source, term, count(*)::HUGEINT AS c FROM f SEMI JOIN k USING (lang, term) GROUP BY 1, 2, 3),
+    n AS (SELECT lang, source, sum(c)::HUGEINT AS n FROM c GROUP BY 1, 2),
+    l AS (SELECT lang, sum(n)::HUGEINT AS n FROM n GROUP BY 1),
+    q AS (SELECT lang, term, 1 + 1000000000 * (sum(c)::HUGEINT + 5) // (any_value(l.n) + 5 * any_value(v)) AS q FROM c JOIN l USING (lang) JOIN v USING (lang) GROUP BY 1, 2),
+    p AS (SELECT g.lang, g.source, k.term, coalesce(c, 0) AS c, 1 + 1000000000 * (coalesce(c, 0) + 5) // (coalesce(n, 0) + 5 * v) AS p FROM g JOIN k USING (lang) JOIN v USING (lang) LEFT JOIN n ON n.lang = g.lang AND n.source = g.source LEFT JOIN c ON c.lang = g.lang AND c.source = g.source AND c.term = k.term),
+    m AS (SELECT a.lang, a.source, b.source AS item, sum(abs(a.p - b.p)) AS value FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY 1, 2, 3),
+    a AS (SELECT x.lang, x.source, 'pair' AS part, y.source AS item, coalesce(value, 0)::BIGINT AS value FROM g x JOIN g y ON x.lang = y.lang AND x.source <> y.source LEFT JOIN m ON m.lang = x.lang AND m.source = x.source AND m.item = y.source
+      UNION ALL SELECT lang, source, 'term', term, (p - q)::BIGINT FROM p JOIN q USING (lang, term) WHERE c > 0 AND p > q)
+    SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item)::INTEGER AS rank FROM a) WHERE part = 'pair' OR rank <= 50""",
     # windows by their digest; the bytes between removed runs are put together in hexadecimal
     "op7_suffix_dedup": """
     WITH d AS (SELECT row_number() OVER () AS r, doc_id, encode(coalesce(text, '')) AS b, octet_length(encode(coalesce(text, ''))) AS n FROM documents),
