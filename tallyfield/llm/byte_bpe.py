@@ -19,6 +19,7 @@ from __future__ import annotations
 import json
 import os
 import re
+from functools import cache
 from heapq import heapify, heappop, heappush
 from itertools import chain
 
@@ -31,11 +32,12 @@ from .common import small_batches
 
 #: Bytes of a pre-token that is merged by scanning; longer ones need a heap.
 SHORT = 96
-#: Pre-tokens that a worker remembers; then it forgets them all.
+#: Pre-tokens that a worker remembers, those met last; it holds up to twice as many.
 REMEMBERED = 300_000
 NEVER = 1 << 30
 #: Ends of English contractions, fixed values of the cutting rule.
 CONTRACTIONS = ("s", "t", "re", "ve", "m", "ll", "d")
+ABOVE = re.compile("[\U00010000-\U0010ffff]")
 
 
 def tokenizer_path(tokenizer: str) -> str:
@@ -52,6 +54,7 @@ def byte_letters() -> dict[str, int]:
     return {chr(b): b for b in printable} | {chr(256 + k): b for k, b in enumerate(others)}
 
 
+@cache
 def classes(path: str) -> dict[str, list[tuple[int, int]]]:
     """The ranges of code points that the library's cutting takes as letters (L), numbers (N) and white space (S).
 
@@ -73,19 +76,20 @@ def classes(path: str) -> dict[str, list[tuple[int, int]]]:
     return found
 
 
-def pattern(ranges: dict[str, list[tuple[int, int]]]) -> re.Pattern:
-    """The rule that cuts texts into pre-tokens, with explicit ranges."""
-    of = {k: "".join(f"\\U{a:08x}-\\U{b:08x}" for a, b in v) for k, v in ranges.items()}
+def pattern(ranges: dict[str, list[tuple[int, int]]], end: int = 0x110000) -> re.Pattern:
+    """The rule that cuts texts of code points below `end` into pre-tokens, with explicit ranges."""
+    of = {k: "".join(f"\\U{a:08x}-\\U{min(b, end - 1):08x}" for a, b in v if a < end) for k, v in ranges.items()}
     letters, numbers, space = (of[k] for k in "LNS")
     short = "|".join(CONTRACTIONS)
     return re.compile(f"'(?:{short})| ?[{letters}]+| ?[{numbers}]+| ?[^{space}{letters}{numbers}]+|[{space}]+(?![^{space}])|[{space}]+")
 
 
 class Encoder(dict):
-    """Ids of a pre-token, merged when asked for the first time."""
+    """Ids of a pre-token, merged when asked for the first time. Holds the pre-tokens met of late; `older` those met before them."""
 
     def __init__(self, path: str, ranges: dict[str, list[tuple[int, int]]]):
         super().__init__()
+        self.older: dict[str, tuple[int, ...]] = {}
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         if spec["model"]["type"] != "BPE" or spec.get("normalizer") or spec["pre_tokenizer"] != {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": True}:
@@ -99,13 +103,15 @@ class Encoder(dict):
             a, b = pair if isinstance(pair, list) else pair.split(" ")
             self.ranks[vocabulary[a] << 32 | vocabulary[b]] = rank
             self.merged.append(vocabulary[a + b])
+        self.byte_ranks = [self.ranks.get(a << 32 | b, NEVER) for a in self.first for b in self.first]
         special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         if any(t["single_word"] or t["lstrip"] or t["rstrip"] for t in spec["added_tokens"]):
             raise ValueError("special tokens that take white space or whole words only")
         self.special = special
         # where two begin at one place, the longer one counts
         self.cut_special = re.compile("(" + "|".join(re.escape(s) for s in sorted(special, key=len, reverse=True)) + ")") if special else None
-        self.words = pattern(ranges).findall
+        # up to U+FFFF a class is one table; ranges above it are searched one by one, so only texts that need them are
+        self.any, self.basic = pattern(ranges).findall, pattern(ranges, 0x10000).findall
         self.pieces = np.empty(max([*vocabulary.values(), *special.values()]) + 1, object)
         self.pieces[:] = b""
         for token, i in vocabulary.items():
@@ -114,20 +120,22 @@ class Encoder(dict):
             self.pieces[i] = token.encode()
 
     def __missing__(self, word: str) -> list[int]:
-        data = word.encode("utf-8")
-        parts = [self.first[b] for b in data]
-        if len(parts) > SHORT:
-            return self.merge_long(parts)
-        ids = self.merge_short(parts)
+        if (ids := self.older.pop(word, None)) is None:
+            data = word.encode("utf-8")
+            if len(data) > SHORT:
+                return self.merge_long([self.first[b] for b in data])
+            ids = self.merge_short(data)
         if len(self) >= REMEMBERED:
+            self.older = dict(self)
             self.clear()
         self[word] = ids
         return ids
 
-    def merge_short(self, parts: list[int]) -> list[int]:
+    def merge_short(self, data: bytes) -> tuple[int, ...]:
         """Contiguous arrays: scan for the least rank, delete that boundary, refresh both neighbours."""
-        rank_of, merged = self.ranks.get, self.merged
-        ranks = [rank_of(a << 32 | b, NEVER) for a, b in zip(parts, parts[1:])]
+        rank_of, merged, table = self.ranks.get, self.merged, self.byte_ranks
+        parts = [self.first[b] for b in data]
+        ranks = [table[a << 8 | b] for a, b in zip(data, data[1:])]
         while ranks and (least := min(ranks)) != NEVER:
             k = ranks.index(least)
             parts[k] = merged[least]
@@ -136,7 +144,7 @@ class Encoder(dict):
                 ranks[k - 1] = rank_of(parts[k - 1] << 32 | parts[k], NEVER)
             if k < len(ranks):
                 ranks[k] = rank_of(parts[k] << 32 | parts[k + 1], NEVER)
-        return parts
+        return tuple(parts)
 
     def merge_long(self, parts: list[int]) -> list[int]:
         """The same merges for any length: pairs wait in a heap by rank, then place; parts are linked to their neighbours."""
@@ -163,11 +171,11 @@ class Encoder(dict):
     def encode(self, text: str | None) -> np.ndarray:
         if not text:
             return np.empty(0, np.int32)
-        ids = self.__getitem__
+        ids, words = self.__getitem__, self.any if ABOVE.search(text) else self.basic
         if self.cut_special is None or not self.cut_special.search(text):
-            return np.fromiter(chain.from_iterable(map(ids, self.words(text))), np.int32)
+            return np.fromiter(chain.from_iterable(map(ids, words(text))), np.int32)
         parts = self.cut_special.split(text)
-        of = (chain.from_iterable(map(ids, self.words(p))) if k % 2 == 0 else (self.special[p],) for k, p in enumerate(parts))
+        of = (chain.from_iterable(map(ids, words(p))) if k % 2 == 0 else (self.special[p],) for k, p in enumerate(parts))
         return np.fromiter(chain.from_iterable(of), np.int32)
 
     def decode(self, ids: np.ndarray) -> str:

@@ -33,6 +33,25 @@ WORDS = bytes(b + 32 if 65 <= b <= 90 else b if b >= 128 or 48 <= b <= 57 or 97
 RESULTS = ("n_features", "weight", "score", "rank")
 
 
+#: Bytes by which checksums are moved on by tables; for longer words zlib does it.
+LONGEST_STEP = 128
+
+
+def steps() -> np.ndarray:
+    """(length, place, byte): what a byte at a place of a CRC-32 becomes when so many zero bytes follow. A checksum is the sum of its four bytes' values, modulo 2."""
+    one = np.arange(256, dtype=np.uint32)
+    for _ in range(8):
+        one = np.where(one & 1, one >> 1 ^ np.uint32(0xEDB88320), one >> 1)
+    table = np.empty((LONGEST_STEP + 1, 4, 256), np.uint32)
+    table[0] = np.arange(256, dtype=np.uint32) << np.arange(0, 32, 8, dtype=np.uint32)[:, None]
+    for k in range(LONGEST_STEP):
+        table[k + 1] = table[k] >> 8 ^ one[table[k] & 255]
+    return table
+
+
+STEPS = steps()
+
+
 class Ids(dict):
     """A number for each word, in order of appearance."""
 
@@ -80,14 +99,25 @@ def feature_buckets(texts: list[bytes | None], longest: int, buckets: int) -> tu
     word, sizes, words = laid_out(texts)
     suffixes, columns, starts = shared_prefixes(word, longest)
     found = np.full((longest, len(word)), -1, np.int32)
-    crc, last = np.zeros(0, np.int64), None
+    if not len(words):
+        return found, sizes
+    crc, last = np.zeros(0, np.uint32), None
+    own = np.fromiter(map(crc32, words), np.uint32, len(words))
+    parted = np.fromiter((crc32(b" " + w) for w in words), np.uint32, len(words))
+    length = np.fromiter(map(len, words), np.int64, len(words)) + 1
     for k, (ends, new) in enumerate(zip(columns, starts, strict=True)):
-        tail, run = ends[new].tolist(), np.cumsum(new) - 1  # the last word of each run's feature; -1: the text ended before
+        tail, run = ends[new], np.cumsum(new) - 1  # the last word of each run's feature; -1: the text ended before
+        whole = tail >= 0
         if k == 0:
-            now = np.fromiter((crc32(words[w]) for w in tail), np.int64, len(tail))
+            now = own[tail]
         else:  # a run's checksum goes on from that of the run of k words around it
-            now = np.fromiter((crc32(b" " + words[w], c) if w >= 0 else -1 for w, c in zip(tail, crc[last[new]].tolist(), strict=True)), np.int64, len(tail))
-        found[k, suffixes] = np.where(now >= 0, now % buckets, -1)[run]
+            now, around, size = np.zeros(len(tail), np.uint32), crc[last[new]], length[tail]
+            short = whole & (size <= LONGEST_STEP)
+            c, n = around[short], size[short]
+            now[short] = parted[tail[short]] ^ STEPS[n, 0, c & 255] ^ STEPS[n, 1, c >> 8 & 255] ^ STEPS[n, 2, c >> 16 & 255] ^ STEPS[n, 3, c >> 24]
+            for j in np.flatnonzero(whole & ~short).tolist():
+                now[j] = crc32(b" " + words[tail[j]], int(around[j]))
+        found[k, suffixes] = np.where(whole, (now % np.uint32(buckets)).astype(np.int32), -1)[run]
         crc, last = now, run
     return found, sizes
 
