@@ -2,12 +2,12 @@
 
 Hashed byte trigrams of the lower-cased letters of a whole text are the features. One-versus-one linear support vector machines choose
 the language family first and then the language within it. They are fitted on the driver to a bounded sample: `rows`
-labelled rows at most in expectation, shared evenly by the languages and chosen by a hash of the id; the prediction reads
+different labelled texts at most, or one of each language if there are more languages, shared evenly by the languages: those with the least hashes of each. The prediction reads
 the text only. Everything else runs in tasks over Arrow batches.
 
-A text that is null or has no letters is `und` with score 0, as is every text if there is no labelled row to learn from. Such
-texts without letters are rejected, and texts with LETTERS letters or more that are unlike the language predicted for them: the cosine to the
-mean of its training rows is below the model's floor, FLOOR times the least such cosine of the training rows of LETTERS letters. Shorter
+A letter is a code point of the Unicode category L, in training and prediction alike. A text that is null or has no letters is `und` with score 0, as is every text if there is no labelled row to learn from. Such
+texts without letters are rejected, and texts with `letters` letters or more that are unlike the language predicted for them: the cosine to the
+mean of its training rows is below the model's floor, FLOOR times the least such cosine of the training rows of so many letters. Shorter
 texts have too few trigrams to tell and are kept, as is every text with letters if there is no labelled row. Null ids
 are never held out. Repeated rows each give a row; other columns pass through, but for
 those named like the results, which these replace.
@@ -16,14 +16,14 @@ those named like the results, which these replace.
 from __future__ import annotations
 
 import itertools
-import re
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+import xxhash
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import small_batches
+from .common import small_batches, stored
 
 #: Languages by family, fixed values; any other language is a family of its own.
 FAMILIES = {
@@ -40,17 +40,22 @@ FAMILIES = {
 }
 FAMILY = {lang: family for family, langs in FAMILIES.items() for lang in langs}
 UNDETERMINED = "und"
-LETTER = re.compile(r"[^\W\d_]")
 SPACED = bytes(b if b >= 128 or 97 <= b <= 122 else 32 for b in range(256))
 BITS = 13
 #: Bytes of a text that are counted at once.
 PIECE = 1 << 20
+#: Letters from which on a text can be rejected as unlike its language, and the share of the least training cosine that it must reach.
 LETTERS, FLOOR = 200, 0.6
 
 
-def is_long(text: str) -> bool:
-    """Whether a text has LETTERS letters or more."""
-    return next(itertools.islice(LETTER.finditer(text), LETTERS - 1, None), None) is not None
+def has_letters(text: str, least: int = 1) -> bool:
+    """Whether a text has so many letters or more; no more of it is read than that takes."""
+    found = 0
+    for k in range(0, len(text), 256):
+        found += sum(map(str.isalpha, text[k : k + 256]))
+        if found >= least:
+            return True
+    return False
 
 
 def features(text: str) -> np.ndarray:
@@ -79,7 +84,8 @@ def svm(x: np.ndarray, y: np.ndarray, cost: float = 20.0, steps: int = 120) -> n
 class Hierarchy:
     """Family against family, then language against language within each family."""
 
-    def __init__(self, x: np.ndarray, langs: list[str], long: list[bool] | None = None):
+    def __init__(self, x: np.ndarray, langs: list[str], long: list[bool] | None = None, letters: int = LETTERS):
+        self.letters = letters
         self.langs = sorted(set(langs))
         lang = np.array(langs)
         means = {a: x[lang == a].mean(axis=0) for a in self.langs}
@@ -109,7 +115,7 @@ class Hierarchy:
 
     def predict(self, text: str | None) -> tuple[str, float, bool]:
         """Language, score, and whether the text is rejected."""
-        if not text or not LETTER.search(text):
+        if not text or not has_letters(text):
             return UNDETERMINED, 0.0, True
         if not self.langs:
             return UNDETERMINED, 0.0, False
@@ -118,37 +124,62 @@ class Hierarchy:
         duel = lambda top, names: {(a, b): float(m[k]) for k, (is_top, a, b) in enumerate(self.pairs) if is_top == top and a in names and b in names}
         family, sure = self.vote(duel(True, self.families), list(self.families))
         lang, surer = self.vote(duel(False, self.families[family]), self.families[family])
-        return lang, sure * surer, float(x @ self.means[lang]) < self.floor and is_long(text)
+        return lang, sure * surer, float(x @ self.means[lang]) < self.floor and has_letters(text, self.letters)
 
 
 def held_out(id_col: Column) -> Column:
     return F.coalesce(F.crc32(id_col.cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
 
-def train(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", rows: int = 1200) -> Hierarchy:
-    """Fit on labelled rows that are not held out; about `rows` of them, evenly by language, go to the driver as features."""
+def text_hash(text: str) -> int:
+    return int(np.uint64(xxhash.xxh64_intdigest(text.encode("utf-8", "replace"))).view(np.int64))
+
+
+def chosen_texts(learn: DataFrame, rows: int) -> DataFrame:
+    """(lang, text) of `rows` different texts of learn (lang, text) with letters, evenly by language: those of the least hashes."""
+
+    def hashed(batches):
+        for b in batches:
+            found = {(lang, text_hash(t)) for lang, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True) if has_letters(t)}
+            langs, hashes = zip(*found, strict=True) if found else ((), ())
+            yield pa.RecordBatch.from_arrays([pa.array(langs, pa.string()), pa.array(hashes, pa.int64())], names=["lang", "hash"])
+
+    # equal texts are one, however many there are
+    texts = stored(learn.mapInArrow(hashed, "lang string, hash long").distinct(), "labelled")
+    langs = texts.select("lang").distinct().count()
+    place = F.row_number().over(Window.partitionBy("lang").orderBy("hash"))
+    least = texts.withColumn("place", place).filter(F.col("place") <= max(1, rows // max(langs, 1))).select("lang", "hash")
+    # no more than `rows`, so each task can have them
+    wanted = {(r["lang"], r["hash"]) for r in least.collect()}
+
+    def picked(batches):
+        for b in batches:
+            keep = [(lang, text_hash(t)) in wanted for lang, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True)]
+            yield b.filter(pa.array(keep, pa.bool_()))
+
+    return learn.mapInArrow(picked, "lang string, text string").distinct()
+
+
+def train(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", rows: int = 1200, letters: int = LETTERS) -> Hierarchy:
+    """Fit on labelled rows that are not held out; `rows` of their texts at most, evenly by language, go to the driver as features."""
     small_batches(df.sparkSession)
-    learn = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).filter(~held_out(F.col("id")) & F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
-    sizes = {r["lang"]: r["count"] for r in learn.groupBy("lang").count().collect()}
-    if not sizes:
-        return Hierarchy(np.zeros((0, 1 << BITS), np.float32), [])
-    share = F.create_map(*[F.lit(v) for lang, n in sizes.items() for v in (lang, min(1.0, rows / len(sizes) / n))])
-    chosen = learn.filter(F.pmod(F.xxhash64("id", F.crc32(F.col("text").cast("binary"))), F.lit(1_000_000)) < share[F.col("lang")] * 1_000_000)
+    learn = df.filter(~held_out(F.col(f"`{id_col}`"))).select(F.col(f"`{lang_col}`").alias("lang"), F.col(f"`{text_col}`").alias("text")).filter("lang is not null and text is not null")
+    chosen = chosen_texts(learn, rows)
 
     def extract(batches):
         for b in batches:
             if b.num_rows:
                 texts = b.column(1).to_pylist()
-                yield pa.RecordBatch.from_arrays([b.column(0), pa.array([features(t).tobytes() for t in texts], pa.binary()), pa.array([is_long(t) for t in texts], pa.bool_())], names=["lang", "x", "long"])
+                yield pa.RecordBatch.from_arrays([b.column(0), pa.array([features(t).tobytes() for t in texts], pa.binary()), pa.array([has_letters(t, letters) for t in texts], pa.bool_())], names=["lang", "x", "long"])
 
-    got = chosen.select("lang", "text").mapInArrow(extract, "lang string, x binary, long boolean").toArrow()
+    got = chosen.mapInArrow(extract, "lang string, x binary, long boolean").toArrow()
     # in the order of their values, so the fit doesn't depend on the order in which tasks end
     langs, vectors, long = got.column("lang").to_pylist(), got.column("x"), got.column("long").to_pylist()
     order = sorted(range(len(langs)), key=lambda k: (langs[k], vectors[k].as_py()))
     x = np.empty((len(langs), 1 << BITS), np.float32)
     for row, k in zip(x, order, strict=True):
         row[:] = np.frombuffer(vectors[k].as_py(), np.float32)
-    return Hierarchy(x, [langs[k] for k in order], [long[k] for k in order])
+    return Hierarchy(x, [langs[k] for k in order], [long[k] for k in order], letters)
 
 
 def identify(df: DataFrame, model: Hierarchy, text_col: str = "text", keep_text: bool = True) -> DataFrame:
