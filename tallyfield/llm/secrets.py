@@ -3,7 +3,7 @@
 Every version of every path is addressed by its content: the SHA-256 of its bytes is the blob. The ledger is a table of
 (blob, rule_version, spans). A run anti-joins the blobs at hand with the ledger, reads the text of one path for each unseen
 blob only, scans it, appends to the ledger, and joins the spans back to all paths. Only ids and digests are grouped; a
-blob with any number of paths is one row of that grouping and is scanned once. The anti-join takes part from a ledger's second run
+blob with any number of paths or repeated rows is one row of that grouping, is scanned once and has one row in the ledger. The anti-join takes part from a ledger's second run
 on: runs share one that is given, or named by the setting SETTING; else each has its own and every blob is unseen.
 
 Null texts are the empty blob. Null ids and repeated rows each give a row. Texts are scanned whole. Extra columns stay out.
@@ -48,10 +48,28 @@ def joined(spans) -> str:
     return ",".join(f"{kind}:{a}:{b}" for kind, a, b in spans)
 
 
+#: Blobs that a task remembers as seen.
+SEEN = 100_000
+
+
+def first_rows(batches):
+    """Arrow batches less rows whose first two values the task has just had: repeated rows end here, before anything is shuffled or scanned."""
+    seen: set[tuple] = set()
+    for b in batches:
+        keep = []
+        for key in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+            keep.append(key not in seen)
+            seen.add(key)
+        if len(seen) > SEEN:
+            seen.clear()
+        yield b.filter(pa.array(keep, pa.bool_()))
+
+
 def scan_blobs(batches):
-    """Arrow batches of (blob, text) to batches of (blob, spans)."""
+    """Arrow batches of (path, blob, text) to batches of (blob, spans), one for each blob."""
     kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32())]))
-    for b in batches:
+    for b in first_rows(batches):
+        b = b.select(["blob", "text"])
         spans = [[dict(zip(("kind", "start", "end"), s, strict=True)) for s in find_secrets(t or "")] for t in b.column(1).to_pylist()]
         yield pa.RecordBatch.from_arrays([b.column(0), pa.array(spans, kind)], names=["blob", "spans"])
 
@@ -61,15 +79,15 @@ def update_ledger(versions: DataFrame, ledger: str, id_col: str = "doc_id", text
     spark = versions.sparkSession
     small_batches(spark)
     addressed = versions.select(F.col(id_col).alias("path"), F.unhex(F.sha2(text_bytes(text_col), 256)).alias("blob"), F.col(text_col).alias("text"))
-    unseen = addressed.groupBy("blob").agg(F.min("path").alias("first"), F.max(F.col("path").isNull()).alias("nulls"))
+    unseen = addressed.groupBy("blob").agg(F.min("path").alias("first"))
     if seen := _ledger(spark, ledger):
         unseen = unseen.join(seen.select("blob"), "blob", "left_anti")
     # one path for each blob; only a blob without any path is fetched by all its rows
-    first = unseen.select(F.col("first").alias("path"), F.col("blob").alias("unseen")).filter("path is not null")
-    named = addressed.join(first.hint("shuffle_hash"), "path").filter("blob = unseen").select("blob", "text")
-    nameless = unseen.filter("first is null").select(F.col("blob").alias("unseen"))
-    unnamed = addressed.filter("path is null").join(nameless, F.col("blob") == F.col("unseen")).groupBy("blob").agg(F.first("text").alias("text"))
-    scanned = named.unionAll(unnamed).mapInArrow(scan_blobs, f"blob binary, spans {SPANS}").withColumn("rule_version", F.lit(RULE_VERSION))
+    first = unseen.select(F.col("first").alias("path"), "blob")
+    rows = addressed.select("path", "blob", "text").mapInArrow(first_rows, addressed.select("path", "blob", "text").schema)
+    fetched = rows.join(first.select(F.col("path").alias("first"), F.col("blob").alias("unseen")).hint("shuffle_hash"), F.col("path").eqNullSafe(F.col("first")) & (F.col("blob") == F.col("unseen")))
+    # equal rows are dealt alike and meet in the task that scans them; where skew or a small table kept them apart, one of their findings is taken
+    scanned = fetched.select("path", "blob", "text").mapInArrow(scan_blobs, f"blob binary, spans {SPANS}").dropDuplicates(["blob"]).withColumn("rule_version", F.lit(RULE_VERSION))
     scanned.write.mode("append").partitionBy("rule_version").parquet(ledger)
     return _ledger(spark, ledger)
 
@@ -78,7 +96,7 @@ def _ledger(spark, path: str) -> DataFrame | None:
     at = spark._jvm.org.apache.hadoop.fs.Path(path)
     if not at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at):
         return None
-    # a repeated row of the same path is scanned twice at most; one entry counts
+    # two runs at once may both have scanned a blob; one entry counts
     rows = spark.read.schema(LEDGER).parquet(path).filter(F.col("rule_version") == RULE_VERSION)
     return rows.groupBy("blob").agg(F.first("spans").alias("spans"))
 
