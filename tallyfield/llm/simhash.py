@@ -221,15 +221,20 @@ def variant_keys(s: np.ndarray) -> list[int]:
 
 
 def signatures(df: DataFrame, id_col: str, text_col: str, width: int) -> DataFrame:
-    """(id, node, keys): node is the hash of the shingle set, keys the variants of its signature."""
+    """(id, digest, node, keys): digest tells texts of one id apart, node is the hash of the shingle set, keys the variants of its signature."""
     small_batches(df.sparkSession)
 
     def compute(batches):
         for b in batches:
-            sets = [shingles(t, width) for t in b.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([node_of(s) for s in sets], pa.int64()), pa.array([variant_keys(s) for s in sets], pa.list_(pa.int64()))], names=["id", "node", "keys"])
+            sets = [shingles(t, width) for t in b.column(2).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([node_of(s) for s in sets], pa.int64()), pa.array([variant_keys(s) for s in sets], pa.list_(pa.int64()))], names=["id", "digest", "node", "keys"])
 
-    return df.select(F.col(id_col).alias("id"), text_bytes(text_col).alias("data")).mapInArrow(compute, f"id {df.schema[id_col].dataType.simpleString()}, node long, keys array<long>")
+    rows = df.select(F.col(f"`{id_col}`").alias("id"), digest(text_col).alias("digest"), text_bytes(text_col).alias("data"))
+    return rows.mapInArrow(compute, f"id {df.schema[id_col].dataType.simpleString()}, digest binary, node long, keys array<long>")
+
+
+def digest(text_col: str):
+    return F.unhex(F.md5(text_bytes(text_col)))
 
 
 def bucket_candidates(batches):
@@ -381,28 +386,24 @@ def joined_by(pairs: DataFrame, texts: DataFrame, width: int, similarity: float,
     return links, components(links)
 
 
-def near_duplicates(df: DataFrame, width: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, component_id) of each row: components of texts whose sets of word shingles have a Jaccard similarity of `similarity` or more."""
+def duplicate_rows(df: DataFrame, width: int, similarity: float, id_col: str, text_col: str) -> DataFrame:
+    """(id, digest, first) of each row: first is the (id, digest) that stands for the component, that of the least id; null ids come last."""
     rows = stored(signatures(df, id_col, text_col, width), "signatures")
-    nodes = stored(rows.groupBy("node").agg(F.min("id").alias("least"), F.first("keys").alias("keys")), "nodes")
+    least = lambda c: F.min(F.struct(F.col(c).isNull().alias("nameless"), F.col(c).alias("id"), "digest"))
+    nodes = stored(rows.groupBy("node").agg(least("id").alias("least"), F.first("keys").alias("keys")), "nodes")
     keyed = nodes.select(F.posexplode("keys").alias("place", "key"), "node")
     turn = F.xxhash64("node", (F.col("place") / PLACES).cast("int"))
     ordered = keyed.select("key", turn.alias("turn"), "node").repartition(tasks(df), "key").sortWithinPartitions("key", "turn", "node")
     pairs = ordered.mapInArrow(bucket_candidates, "a long, b long, shared long, hot boolean")
     pairs = stored(pairs.groupBy(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).agg(F.sum("shared").alias("shared"), F.bool_or("hot").alias("hot")), "candidates")
-    # the texts of nodes in any pair, fetched once by the least id of each
+    # the texts of nodes in any pair, fetched once by the least id of each and its digest: an id, or none, may stand for many texts
     used = pairs.select(F.col("a").alias("node")).unionAll(pairs.select(F.col("b").alias("node"))).distinct()
-    wanted = used.join(nodes.select("node", "least"), "node").select(F.col("least").alias("wanted_id"), F.col("node").alias("wanted"))
-    fetched = df.select(F.col(id_col).alias("id"), text_bytes(text_col).alias("data")).join(wanted.hint("shuffle_hash"), F.col("id").eqNullSafe(F.col("wanted_id")))
-
-    def right_ones(batches):
-        for b in batches:  # an id may stand for several texts
-            keep = [node_of(shingles(t, width)) == n for t, n in zip(b.column(1).to_pylist(), b.column(0).to_pylist(), strict=True)]
-            yield b.filter(pa.array(keep, pa.bool_()))
-
-    texts = stored(fetched.select(F.col("wanted").alias("node"), "data").mapInArrow(right_ones, "node long, data binary"), "texts")
-    if rows.groupBy("id").count().filter("count > 1").limit(1).count():
-        texts = texts.groupBy("node").agg(F.first("data").alias("data"))
+    wanted = used.join(nodes.select("node", "least"), "node").select(F.col("least.id").alias("wanted_id"), F.col("least.digest").alias("wanted_digest"), "node")
+    own = df.select(F.col(f"`{id_col}`").alias("id"), digest(text_col).alias("digest"), text_bytes(text_col).alias("data"))
+    fetched = own.join(wanted.hint("shuffle_hash"), F.col("id").eqNullSafe(F.col("wanted_id")) & (F.col("digest") == F.col("wanted_digest")))
+    texts = stored(fetched.select("node", "data"), "texts")
+    if not texts.groupBy("node").count().filter("count > 1").isEmpty():  # rows repeated in id and text
+        texts = stored(texts.groupBy("node").agg(F.first("data").alias("data")), "texts")
     links, joined = joined_by(pairs, texts, width, similarity)
     # members of larger buckets that their leaders leave apart
     apart = stored(open_nodes(pairs, joined), "open")
@@ -410,16 +411,24 @@ def near_duplicates(df: DataFrame, width: int = 5, similarity: float = 0.8, id_c
         more = stored(prefix_pairs(apart, texts, width, similarity).join(pairs, ["a", "b"], "left_anti"), "candidates")
         links, joined = joined_by(more, texts, width, similarity, links)
     named = nodes.select("node", "least").join(joined, "node", "left").withColumn("root", F.coalesce("component", "node"))
-    named = named.join(named.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("node", "component_id")
-    return rows.select("id", "node").join(named, "node").select(F.col("id").alias(id_col), "component_id")
+    named = named.join(named.groupBy("root").agg(F.min("least").alias("first")), "root").select("node", "first")
+    return rows.select("id", "digest", "node").join(named, "node").select("id", "digest", "first")
+
+
+def near_duplicates(df: DataFrame, width: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, component_id) of each row: components of texts whose sets of word shingles have a Jaccard similarity of `similarity` or more."""
+    found = duplicate_rows(df, width, similarity, id_col, text_col)
+    return found.select(F.col("id").alias(id_col), F.col("first.id").alias("component_id"))
 
 
 def first_of_each(df: DataFrame, width: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """df with one row, that of the least id, for each group of near-duplicates."""
-    found = stored(near_duplicates(df, width, similarity, id_col, text_col), "near-duplicates")
-    # rows without an id are a group's only ones if its least id is null
-    kept = found.select("component_id").distinct().withColumnRenamed("component_id", "__kept")
-    out = df.join(kept.hint("shuffle_hash"), F.col(id_col).eqNullSafe(F.col("__kept")), "left_semi")
-    if found.groupBy(id_col).count().filter("count > 1").limit(1).count():
-        return out.dropDuplicates([id_col, text_col])
-    return out
+    """df with one row, that of the least id, for each group of near-duplicates. Of several texts under that id one stays for the group, others only for groups of their own."""
+    found = stored(duplicate_rows(df, width, similarity, id_col, text_col), "near-duplicates")
+    firsts = found.filter(F.col("first.id").eqNullSafe(F.col("id")) & (F.col("first.digest") == F.col("digest")))
+    firsts = stored(firsts.groupBy(F.col("id").alias("__id"), F.col("digest").alias("__digest")).agg((F.count("*") > 1).alias("__repeated")), "firsts")
+    kept = df.withColumn("__own", digest(text_col)).join(firsts.hint("shuffle_hash"), F.col(f"`{id_col}`").eqNullSafe(F.col("__id")) & (F.col("__own") == F.col("__digest")))
+    out = [F.col(f"`{c}`") for c in df.columns]
+    if firsts.filter("__repeated").isEmpty():
+        return kept.select(*out)
+    # only rows that are repeated in id and text are dealt again
+    return kept.filter("not __repeated").select(*out).unionAll(kept.filter("__repeated").dropDuplicates(["__id", "__digest"]).select(*out))
