@@ -2,150 +2,142 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import reduce
+from heapq import heappop, heappush
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tallyfield.functions import vectors as V
+from tallyfield.operators import density
+from tallyfield.session import fresh_path, stored
 
 
 def merge_close(means: np.ndarray, sizes: np.ndarray, eps: float, least: int) -> list[int]:
-    """For each cluster the merged cluster it ends in, or -1 below `least` points: the closest pair within eps merges until none is."""
-    groups = [[k] for k in range(len(means))]
-    means, sizes = [m.astype(float) for m in means], list(sizes)
-    while len(groups) > 1:
-        m = np.array(means)
-        d = np.sqrt(((m[:, None] - m[None]) ** 2).sum(-1))
-        d[np.tril_indices(len(m))] = np.inf
-        a, b = np.unravel_index(d.argmin(), d.shape)
-        if d[a, b] > eps:
+    """For each cluster the merged cluster it ends in, or -1 below `least` points: the closest pair within eps merges until none is.
+
+    Each cluster waits in a heap with the nearest one after it. A merge measures anew from the moved mean, and for those whose nearest one has moved or gone; memory is that of
+    one row of distances, and 5,000 clusters take seconds. Of equal distances the first pair in order merges.
+    """
+    n = len(means)
+    if not n:
+        return []
+    means, sizes = np.array(means, float), list(sizes)
+    alive, into = np.ones(n, bool), list(range(n))
+    near, to, turn = np.full(n, np.inf), np.full(n, -1), [0] * n
+    waiting: list[tuple[float, int, int]] = []
+
+    def measure(a: int) -> None:
+        """The nearest living cluster after a."""
+        turn[a] += 1
+        later = np.flatnonzero(alive[a + 1 :]) + a + 1
+        near[a] = np.inf
+        if len(later):
+            d = np.sqrt(((means[a] - means[later]) ** 2).sum(-1))
+            k = int(d.argmin())
+            near[a], to[a] = d[k], later[k]
+            heappush(waiting, (float(d[k]), a, turn[a]))
+
+    for a in range(n):
+        measure(a)
+    while waiting:
+        d, a, t = heappop(waiting)
+        if not alive[a] or t != turn[a]:
+            continue
+        if d > eps:
             break
-        n = sizes[a] + sizes[b]
-        means[a] = (means[a] * sizes[a] + means[b] * sizes[b]) / n
-        sizes[a] = n
-        groups[a] += groups[b]
-        for x in (means, sizes, groups):
-            del x[b]
-    out = [-1] * sum(map(len, groups))
-    for g, (members, n) in enumerate(zip(groups, sizes, strict=True)):
-        for k in members:
-            out[k] = g if n >= least else -1
+        b = int(to[a])
+        total = sizes[a] + sizes[b]
+        means[a] = (means[a] * sizes[a] + means[b] * sizes[b]) / total
+        sizes[a], alive[b], into[b] = total, False, a
+        measure(a)
+        for k in np.flatnonzero(alive[:b] & ((to[:b] == a) | (to[:b] == b))).tolist():
+            if k != a:
+                measure(k)
+        before = np.flatnonzero(alive[:a])
+        if len(before):
+            d = np.sqrt(((means[before] - means[a]) ** 2).sum(-1))
+            for k in np.flatnonzero((d < near[before]) | (d == near[before]) & (a < to[before])).tolist():
+                at = int(before[k])
+                near[at], to[at] = d[k], a
+                turn[at] += 1
+                heappush(waiting, (float(d[k]), at, turn[at]))
+    number = {int(k): g for g, k in enumerate(np.flatnonzero(alive))}
+    out = []
+    for k in range(n):
+        while into[k] != k:
+            k = into[k]
+        out.append(number[k] if sizes[k] >= least else -1)
     return out
 
 
-def density_clusters(x: np.ndarray, least: int) -> list[int]:
-    """HDBSCAN of unit vectors by Euclidean distance: clusters by excess of mass, 0 the largest one; -1 is noise.
+def source(keys: list[str]) -> Column:
+    """One number for the keys of a source; null keys are ordinary values."""
+    return F.xxhash64(*[x for k in keys for x in (F.col(k), F.col(k).isNull())])
 
-    Mutual reachability with the least-th neighbour, a minimum spanning tree, and the tree condensed to clusters of `least` points or more.
-    Needs the distances of all pairs, so callers bound the number of points.
-    """
-    n = len(x)
-    if n < 2 * least:
-        return [-1] * n
-    d = np.sqrt(np.maximum(0, (x * x).sum(1)[:, None] + (x * x).sum(1)[None] - 2 * x @ x.T))
-    core = np.partition(d, min(least, n - 1), axis=1)[:, min(least, n - 1)]
-    reach = np.maximum(d, np.maximum(core[:, None], core[None]))
-    best, from_, left = reach[0].copy(), np.zeros(n, int), np.ones(n, bool)
-    left[0] = False
-    edges = []
-    for _ in range(n - 1):
-        k = int(np.where(left, best, np.inf).argmin())
-        edges.append((float(best[k]), int(from_[k]), k))
-        left[k] = False
-        nearer = left & (reach[k] < best)
-        best[nearer], from_[nearer] = reach[k][nearer], k
-    # single linkage: node ids from n on
-    parent, size, kids, height = list(range(2 * n - 1)), [1] * n + [0] * (n - 1), {}, {}
-
-    def root(a: int) -> int:
-        while parent[a] != a:
-            parent[a] = parent[parent[a]]
-            a = parent[a]
-        return a
-
-    for k, (w, a, b) in enumerate(sorted(edges)):
-        a, b, new = root(a), root(b), n + k
-        parent[a] = parent[b] = new
-        size[new], kids[new], height[new] = size[a] + size[b], (a, b), w
-
-    def leaves(a: int) -> list[int]:
-        stack, out = [a], []
-        while stack:
-            a = stack.pop()
-            if a < n:
-                out.append(a)
-            else:
-                stack += kids[a]
-        return out
-
-    # condensed tree: clusters with their birth, mass and children
-    birth, mass, children, members = {0: 0.0}, {0: 0.0}, {0: []}, {0: list(range(n))}
-    stack = [(2 * n - 2, 0)]
-    while stack:
-        node, c = stack.pop()
-        if node < n:
-            continue
-        lam = 1 / max(height[node], 1e-12)
-        big = [k for k in kids[node] if size[k] >= least]
-        if len(big) == 2:
-            mass[c] += (lam - birth[c]) * size[node]
-            for k in big:
-                new = len(birth)
-                birth[new], mass[new], children[new], members[new] = lam, 0.0, [], leaves(k)
-                children[c].append(new)
-                stack.append((k, new))
-        else:
-            mass[c] += (lam - birth[c]) * sum(size[k] for k in kids[node] if k not in big)
-            stack += [(k, c) for k in big]
-    chosen: set[int] = set()
-    score = dict(mass)
-    for c in sorted(birth, reverse=True):
-        below = sum(score[k] for k in children[c])
-        if c and (not children[c] or mass[c] >= below):
-            drop = list(children[c])
-            while drop:
-                k = drop.pop()
-                chosen.discard(k)
-                drop += children[k]
-            chosen.add(c)
-        else:
-            score[c] = below
-    out = [-1] * n
-    for rank, c in enumerate(sorted(chosen, key=lambda c: (-len(members[c]), min(members[c])))):
-        for k in members[c]:
-            out[k] = rank
-    return out
+
+def in_sources(rows: DataFrame, keys: list[str], point_id: str, fit) -> tuple[DataFrame, Callable[[DataFrame], DataFrame]]:
+    """rows with `__g` and the size `__n` of their source; and a function that gives (__g, id, cluster) of chosen rows, a source in one task, stored."""
+    numbered = rows.select(*keys, point_id, "v", source(keys).alias("__g"))
+    sized = numbered.join(numbered.groupBy("__g").agg(F.count("*").alias("__n")), "__g")
+    kind = numbered.schema[point_id].dataType
+
+    def cluster(group: pd.DataFrame) -> pd.DataFrame:
+        group = group.sort_values(point_id, kind="stable")
+        x = np.stack(group["v"].to_numpy())
+        labels = fit(x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12))
+        return group[["__g", point_id]].assign(cluster=pd.array([None if k < 0 else k for k in labels], "Int64"))
+
+    schema = T.StructType([T.StructField("__g", T.LongType()), T.StructField(point_id, kind), T.StructField("cluster", T.LongType())])
+    return sized, lambda chosen: stored(chosen.select("__g", point_id, "v").groupBy("__g").applyInPandas(cluster, schema), "fitted")
 
 
 def cluster_bounded(rows: DataFrame, keys: list[str], point_id: str, least: int, most: int = 5000, noise: float = 0.25, floor: float = 0.35) -> DataFrame:
-    """(keys, id, cluster): density clusters of each key's vectors v, null for noise; no task holds more than about `most` points of a key.
+    """(keys, id, cluster): density clusters of a sample of each key's vectors v, null for noise; no task holds more than about `most` points of a key.
 
     Keys with up to `most` points are clustered whole. Of larger ones a sample by hash is, about `most` points, and the others go to the
-    nearest centroid in a join, if its cosine is `floor` or more. A member whose cosine to its cluster's mean is below `noise` is noise.
+    nearest centroid in a join, if its cosine is `floor` or more. A member whose cosine to its cluster's mean is below `noise` is noise. Rows with null keys are a source like any other. See density() for large keys without a sample.
     """
-    sizes = rows.groupBy(*keys).agg(F.count("*").alias("__n"))
+    sized, fit = in_sources(rows, keys, point_id, lambda x: near_members(x, least, noise))
     share = F.pmod(F.xxhash64(point_id), F.lit(1_000_000)) * F.col("__n") < F.lit(most * 1_000_000)
-    sized = rows.select(*keys, point_id, "v").join(sizes, keys).withColumn("__in", (F.col("__n") <= most) | share)
-    schema = T.StructType([*sized.select(*keys, point_id).schema, T.StructField("cluster", T.LongType())])
+    sized = sized.withColumn("__in", (F.col("__n") <= most) | share)
+    fitted = fit(sized.filter("__in"))
+    members = sized.filter(F.col("__n") > most).join(fitted.filter("cluster IS NOT NULL"), ["__g", point_id])
+    means = V.centroids(members, ["__g", "cluster"], "v")
+    others = assign(sized.filter("NOT __in"), means, ["__g"], point_id, floor).select("__g", point_id, "cluster")
+    return with_keys(rows, fitted.unionByName(others), keys, point_id)
 
-    def cluster(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values(point_id, kind="stable")
-        x = np.stack(group["v"].to_numpy())
-        labels = near_members(x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12), least, noise)
-        return group[[*keys, point_id]].assign(cluster=pd.array([None if k < 0 else k for k in labels], "Int64"))
 
-    fitted = sized.filter("__in").select(*keys, point_id, "v").groupBy(*keys).applyInPandas(cluster, schema)
-    large = sized.filter("NOT __in")
-    means = V.centroids(fitted.filter("cluster IS NOT NULL").join(sized.filter(F.col("__n") > most), [*keys, point_id]), [*keys, "cluster"], "v")
-    return fitted.unionByName(assign(large, means, keys, point_id, floor).select(*keys, point_id, "cluster"))
+def with_keys(rows: DataFrame, found: DataFrame, keys: list[str], point_id: str) -> DataFrame:
+    return rows.select(*keys, point_id, source(keys).alias("__g")).join(found, ["__g", point_id]).select(*keys, point_id, "cluster")
+
+
+def density_clusters_of(rows: DataFrame, keys: list[str], point_id: str, least: int, most: int = 5000, noise: float = 0.25) -> DataFrame:
+    """(keys, id, cluster): density clusters of all of each key's vectors v, null for noise; ids are whole numbers, each once in a key.
+
+    Keys of up to `most` points are clustered in a task each, others by rounds over blocks of points: the same clusters. A member whose cosine to its cluster's mean is below `noise` is noise. Null keys are a source like any other.
+    """
+    sized, fit = in_sources(rows, keys, point_id, lambda x: near_members(x, least, noise))
+    small = fit(sized.filter(F.col("__n") <= most))
+    large = sized.filter(F.col("__n") > most)
+    if large.isEmpty():
+        return with_keys(rows, small, keys, point_id)
+    units = stored(large.select(F.col("__g").alias("g"), F.col(point_id).cast("long").alias("id"), V.l2_normalise("v").alias("v")), "points")
+    found = stored(density.large_clusters(units, least), "clusters").join(units, ["g", "id"]).filter("cluster >= 0")
+    means = V.centroids(found, ["g", "cluster"], "v")
+    near = found.join(means, ["g", "cluster"]).filter(V.cosine("v", "centroid") >= noise).select("g", "id", "cluster")
+    labelled = units.select("g", "id").join(near, ["g", "id"], "left").select(F.col("g").alias("__g"), F.col("id").cast(rows.schema[point_id].dataType).alias(point_id), "cluster")
+    return with_keys(rows, small.unionByName(labelled), keys, point_id)
 
 
 def near_members(x: np.ndarray, least: int, noise: float) -> list[int]:
     """Density clusters of unit vectors; a member whose cosine to the mean of its cluster is below `noise` is noise, -1."""
-    labels = np.array(density_clusters(x, least), int)
+    labels = np.array(density.density_clusters(x, least), int)
     out = labels.copy()
     for k in range(labels.max(initial=-1) + 1):
         mean = x[labels == k].mean(axis=0)
@@ -153,15 +145,29 @@ def near_members(x: np.ndarray, least: int, noise: float) -> list[int]:
     return out.tolist()
 
 
-def pair_greedy(pairs: list[tuple]) -> list[tuple]:
-    """Of (a, b, confidence), one to one, the surest first; ties by names."""
-    used_a, used_b, out = set(), set(), []
-    for a, b, c in sorted(pairs, key=lambda p: (-p[2], p[0], p[1])):
-        if a not in used_a and b not in used_b:
-            used_a.add(a)
-            used_b.add(b)
-            out.append((a, b, c))
-    return out
+def pair_greedy(pairs: DataFrame, keys: list[str], a: str, b: str, weight: str, rounds: int = 200) -> DataFrame:
+    """Of the pairs (keys, a, b, weight), each once, those that greed takes within each key: one to one, the heaviest first; ties by a, then b.
+
+    A pair that is the first one for both its ends is taken whatever happens elsewhere, so each round takes all of these and drops the pairs that share an end
+    with them. That is the result of taking one after another, and no key's pairs need to be in one task. Left pairs are stored after each round. Pairs without a weight come last; ends that are null are ordinary values.
+    """
+    spark = pairs.sparkSession
+    order = F.struct(F.col(weight).isNull().alias("none"), (-F.col(weight)).alias("w"), F.col(a).alias("a"), F.col(b).alias("b"))
+    names = [*keys, a, b, weight]
+    left, taken = pairs.select(*names), []
+    for _ in range(rounds):
+        first = lambda end: F.min(order).over(Window.partitionBy(*keys, end))
+        marked = left.withColumn("__taken", first(a).eqNullSafe(order) & first(b).eqNullSafe(order))
+        # whether either end of a pair is taken now
+        gone = lambda end: F.max("__taken").over(Window.partitionBy(*keys, end))
+        path = fresh_path(spark, "pairs")
+        marked.withColumn("__gone", gone(a) | gone(b)).filter("__taken or not __gone").drop("__gone").write.partitionBy("__taken").parquet(path)
+        seen = spark.read.schema(marked.schema).parquet(path)
+        taken.append(seen.filter("__taken").select(*names))
+        left = seen.filter("not __taken").select(*names)
+        if left.isEmpty():
+            return reduce(DataFrame.unionByName, taken)
+    raise RuntimeError(f"pairs are left after {rounds} rounds")
 
 
 def assign(points: DataFrame, centroids: DataFrame, keys: list[str], point_id: str, floor: float) -> DataFrame:

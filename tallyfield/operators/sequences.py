@@ -138,54 +138,11 @@ def thin_boundaries(scored: list[tuple[int, float]], least_block: int, n: int) -
     return [p for p, _ in kept]
 
 
-def merge_blocks(blocks: list[tuple], shared: int = 1) -> list[tuple]:
-    """Adjacent (kind, first, last, topics) of one kind that share topics, or any one without topics, become one; repeated until nothing changes."""
-    out = list(blocks)
-    k = 0
-    while k < len(out) - 1:
-        a, b = out[k], out[k + 1]
-        if a[0] == b[0] and (len(a[3] & b[3]) >= shared or not a[3] or not b[3]):
-            out[k : k + 2] = [(a[0], a[1], b[2], a[3] | b[3])]
-            k = max(0, k - 1)
-        else:
-            k += 1
-    return out
-
-
 def dominant(counts: dict, least: int) -> list:
     """Topics mentioned in `least` sentences or more, the most frequent first."""
     return [x for x, n in sorted(counts.items(), key=lambda p: (-p[1], p[0])) if n >= least]
 
 
-def topic_blocks(blocks: list[tuple]) -> list[tuple]:
-    """Of (first, last, {topic: sentences}) in order: (kind, first, last, dominant topics), kind being focused with a dominant topic, named in 2 sentences or more, else general.
-
-    A block merges into the one before it if one of both has under 80 sentences and they share two topics, or one if either is focused; in
-    blocks under 50 sentences every topic counts. Merged blocks are classified anew, and passes repeat until nothing changes.
-    """
-
-    def topics(block):
-        return dominant(block[2], 1 if block[1] - block[0] + 1 < 50 else 2)
-
-    def merges(a, b):
-        if min(a[1] - a[0], b[1] - b[0]) + 1 >= 80:
-            return False
-        shared = len(set(topics(a)) & set(topics(b)))
-        return shared >= 2 or shared == 1 and bool(dominant(a[2], 2) or dominant(b[2], 2))
-
-    out, before = list(blocks), len(blocks) + 1
-    while len(out) < before:
-        before, left, out = len(out), out, []
-        for b in left:
-            if out and merges(out[-1], b):
-                a = out[-1]
-                out[-1] = (a[0], b[1], {x: a[2].get(x, 0) + b[2].get(x, 0) for x in a[2].keys() | b[2].keys()})
-            else:
-                out.append(b)
-    kept = [(a, b, dominant(c, 2)) for a, b, c in out]
-    return [("focused" if x else "general", a, b, x) for a, b, x in kept]
-
-
 def keep_longer(df: DataFrame, keys: list[str], group: str, text: str) -> DataFrame:
     """df's rows with the longest text of their keys, those of the first group that has one; also_in lists the other groups of the keys."""
     size = F.length(text)

@@ -9,7 +9,7 @@ from tallyfield.functions import vectors as V
 from tallyfield.operators import aggregates as A
 from tallyfield.operators import joins as J
 
-from .joins import LONGEST, OTHERS, TEN, TURNS, other_spans, turns
+from .joins import LONGEST, OTHERS, SECONDS, TEN, TURNS, other_spans, seconds, turns
 from .registry import query
 
 TYPES = ["click", "error", "purchase", "signup", "view"]
@@ -99,27 +99,29 @@ def agg_cooccurrence(t, spark):
     return pairs.withColumn("share_a", share("a")).withColumn("share_b", share("b")).withColumn("confidence", F.least("share_a", "share_b"))
 
 
-@query(f"""WITH g AS (SELECT x * 900.0 AS at, u AS g FROM range(0, 2880) r(x), range(0, 10) s(u)),
+@query(f"""WITH h AS (SELECT CAST(floor(min({SECONDS}) / 900) AS BIGINT) AS lo, CAST(ceil((max({SECONDS}) + 7200) / 900) AS BIGINT) AS hi FROM events), g AS (SELECT x * 900.0 AS at, u AS g FROM (SELECT unnest(range(lo, hi + 1)) AS x FROM h), range(0, 10) s(u)),
     a AS (SELECT g.g, g.at, min_by(label, t0) AS l FROM g JOIN ({TURNS}) q ON q.user_id % 10 = g.g AND g.at >= t0 AND g.at < t1 GROUP BY 1, 2),
     b AS (SELECT g.g, g.at, min_by(word, s) AS w FROM g JOIN ({OTHERS}) o ON o.user_id % 10 = g.g AND g.at >= s AND g.at < e GROUP BY 1, 2)
     SELECT a.l, b.w, count(*) AS n FROM a JOIN b ON a.g = b.g AND a.at = b.at GROUP BY 1, 2""")
 def agg_confusion(t, spark):
-    grid = spark.range(2880).select((F.col("id") * 900.0).alias("at"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(9).cast("long"))).alias("g"))
+    # from the first event to the end of the last span
+    ends = t("events").agg(F.floor(F.min(seconds()) / 900).cast("long").alias("lo"), F.ceil((F.max(seconds()) + 7200) / 900).cast("long").alias("hi"))
+    grid = ends.select(F.explode(F.sequence("lo", "hi")).alias("x")).select((F.col("x") * 900.0).alias("at"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(9).cast("long"))).alias("g"))
     a = J.first_interval(grid, turns(t).select(F.expr(TEN).alias("g"), "label", "t0", "t1"), ["g"], ["g", "at"], "at", "t0", "t1", 1800, closed=False, longest=LONGEST)
     b = J.first_interval(grid, other_spans(t).select(F.expr(TEN).alias("g"), "word", "s", "e"), ["g"], ["g", "at"], "at", "s", "e", 1800, closed=False, longest=LONGEST)
     both = a.select("g", "at", F.col("label").alias("l")).join(b.select("g", "at", F.col("word").alias("w")), ["g", "at"])
     return both.groupBy("l", "w").agg(F.count("*").alias("n"))
 
 
-@query("""WITH s AS (SELECT a.label AS cluster, a.vec_id, b.vec_id AS ref, list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) c FROM embeddings a, embeddings b WHERE a.vec_id >= 50 AND b.vec_id < 10),
+@query("""WITH s AS (SELECT a.label AS cluster, a.vec_id, b.vec_id AS ref, list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) c FROM embeddings a, embeddings b WHERE a.vec_id >= 10 AND b.vec_id < 10),
     w AS (SELECT cluster, vec_id, arg_max(ref, c) AS ref, max(c) AS c FROM s GROUP BY 1, 2),
     v AS (SELECT cluster, ref, count(*) n, max(c) m FROM w WHERE c >= 0.3 GROUP BY 1, 2),
     k AS (SELECT cluster, arg_max(ref, n * 10 + m) AS ref, max(n) AS votes FROM v GROUP BY 1)
-    SELECT t.cluster, votes, votes / total AS agreement, CASE WHEN votes / total >= 0.1 THEN ref END AS winner FROM (SELECT label AS cluster, count(*) total FROM embeddings WHERE vec_id >= 50 GROUP BY 1) t JOIN k ON t.cluster = k.cluster""")
+    SELECT t.cluster, votes, votes / total AS agreement, CASE WHEN votes / total >= 0.1 THEN ref END AS winner FROM (SELECT label AS cluster, count(*) total FROM embeddings WHERE vec_id >= 10 GROUP BY 1) t JOIN k ON t.cluster = k.cluster""")
 def agg_vote(t, spark):
     rows = t("embeddings").select("vec_id", F.col("label").alias("cluster"), V.doubles("embedding").alias("v"))
     refs = rows.filter("vec_id < 10").select(F.col("vec_id").alias("ref"), F.col("v").alias("q"))
-    return vote(rows.filter("vec_id >= 50"), refs, 0.3, 0.1)
+    return vote(rows.filter("vec_id >= 10"), refs, 0.3, 0.1)
 
 
 def vote(windows, refs, least: float, agree: float):

@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from tallyfield.functions import json_fns as J
 from tallyfield.operators import aggregates as A
 from tallyfield.operators import mutations as M
+from tallyfield.operators import queues as Q
+from tallyfield.operators.keyed_tables import KeyedTable
 from tallyfield.operators.windows import latest_per_key
 from tallyfield.session import fresh_path
 from tallyfield.streaming import jobs as S
@@ -20,14 +22,18 @@ from .registry import query
 def upsert_update(t, spark):
     new = t("orders").filter("o_orderkey % 5 = 0").groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.max("o_totalprice").alias("c_acctbal"))
     unseen = new.filter("c_custkey < 10").select((F.col("c_custkey") + 1000000).alias("c_custkey"), "c_acctbal")
-    return M.upsert(t("customer").select("c_custkey", "c_acctbal"), new.unionByName(unseen), ["c_custkey"])
+    held = KeyedTable.create(t("customer").select("c_custkey", "c_acctbal"), ["c_custkey"])
+    held.change(new.unionByName(unseen), lambda old, rows: M.upsert(old, rows, ["c_custkey"]))
+    return held.rows()
 
 
 @query("""SELECT s_suppkey, CASE WHEN s_suppkey % 3 = 0 THEN s_name WHEN s_suppkey % 2 = 0 THEN 'new' ELSE s_name END AS s_name, CASE WHEN s_suppkey % 2 = 0 AND s_suppkey % 3 <> 0 THEN s_acctbal ELSE s_acctbal END AS s_acctbal FROM supplier""")
 def upsert_coalesce(t, spark):
     old = t("supplier").select("s_suppkey", "s_name", "s_acctbal")
     new = old.filter("s_suppkey % 2 = 0").select("s_suppkey", F.when(F.col("s_suppkey") % 3 != 0, F.lit("new")).alias("s_name"), F.lit(None).cast("double").alias("s_acctbal"))
-    return M.upsert_coalesce(old, new, ["s_suppkey"])
+    held = KeyedTable.create(old, ["s_suppkey"])
+    held.change(new, lambda known, rows: M.upsert_coalesce(known, rows, ["s_suppkey"]))
+    return held.rows()
 
 
 @query("SELECT n_nationkey, n_name FROM nation UNION ALL SELECT 100 + n_nationkey, 'extra' FROM nation WHERE n_nationkey < 3")
@@ -78,11 +84,11 @@ def update_bucketed(t, spark):
     return t("embeddings").select("vec_id", F.col("label").alias("old_label")).join(moves, "vec_id", "left").select("vec_id", "old_label", F.coalesce("to", "old_label").alias("new_label"))
 
 
-@query("SELECT count(*) AS n, count(DISTINCT o_orderkey) AS ids, true AS in_order FROM orders WHERE o_orderstatus = 'O'")
+@query("""SELECT worker, place, o_orderkey, o_orderdate FROM (SELECT *, row_number() OVER (PARTITION BY worker ORDER BY o_orderdate, o_orderkey) AS place FROM
+    (SELECT o_orderkey, o_orderdate, ('0x' || md5(o_orderkey::VARCHAR)[1:8])::BIGINT % 16 AS worker FROM orders WHERE o_orderstatus = 'O')) WHERE place <= 25""")
 def queue_lock(t, spark):
-    # no row locks: a worker owns the rows whose key hashes to its number
-    owned = t("orders").filter("o_orderstatus = 'O'").withColumn("worker", F.pmod(F.xxhash64("o_orderkey"), F.lit(4)))
-    return owned.agg(F.count("*").alias("n"), F.count_distinct("o_orderkey").alias("ids"), (F.max("worker") < 4).alias("in_order"))
+    waiting = t("orders").filter("o_orderstatus = 'O'")
+    return Q.claims(waiting, "o_orderkey", ["o_orderdate"], workers=16, limit=25).select("worker", "place", "o_orderkey", "o_orderdate")
 
 
 @query("SELECT event_id, try_cast(json_extract_string(props, '$.k') AS INTEGER) AS k, CASE WHEN event_type = 'error' THEN 'failed' ELSE 'ok' END AS kind FROM events WHERE json_extract_string(props, '$.k') IS NOT NULL")
@@ -170,15 +176,20 @@ def inc_watermark_url(t, spark):
     return t("pages").withColumn("at", when).filter(F.col("at").isNull() | (F.col("at") >= F.lit("2023-06-01").cast("timestamp"))).join(known, "url", "left_anti").select("page_id")
 
 
-@query("SELECT count(DISTINCT sha256(text)) AS kept FROM documents")
+@query("SELECT sha256(text) AS h, count(*) > 0 AS kept FROM documents WHERE text IS NOT NULL GROUP BY 1")
 def inc_dedup_key(t, spark):
-    return S.run(S.first_of_key(S.stream(t("documents").select("doc_id", F.sha2("text", 256).alias("h")), spark), "h"), fresh_path(spark, "stream")).agg(F.count("*").alias("kept"))
+    # a document's number stands for its time; its text is remembered until the watermark is a day past it
+    rows = t("documents").filter("text IS NOT NULL").select(F.timestamp_seconds("doc_id").alias("at"), F.sha2("text", 256).alias("h"))
+    kept = S.run(S.first_of_key_within(S.stream(rows, spark), "h", "at", "1 day"), fresh_path(spark, "stream"))
+    return kept.select("h", F.lit(True).alias("kept"))
 
 
-@query("SELECT user_id, count(*) AS n FROM (SELECT *, lag(event_type) OVER (PARTITION BY user_id ORDER BY ts) AS prev FROM events) WHERE prev IS NULL OR prev <> event_type GROUP BY 1")
+@query("""SELECT user_id, ts, event_type FROM (SELECT *, lag(event_type) OVER w AS prev, lag(ts) OVER w AS was FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts))
+    WHERE prev IS NULL OR event_type IS NULL OR prev <> event_type OR ts - was > INTERVAL 3 DAY""")
 def inc_change_only(t, spark):
     rows = S.stream(t("events").select("user_id", "ts", "event_type"), spark)
-    return S.run(S.changes(rows, "user_id", "ts", "event_type"), fresh_path(spark, "stream")).groupBy("user_id").agg(F.count("*").alias("n"))
+    kept = S.run(S.changes(rows, "user_id", "ts", "event_type", delay="1 day", idle="3 days"), fresh_path(spark, "stream"))
+    return kept.select("user_id", F.col("ts").cast("timestamp_ntz").alias("ts"), "event_type")
 
 
 @query("""SELECT make_timestamp(1704067200000000 + h * 21600000000) AS start, count(*) AS n FROM (SELECT unnest([k, k - 1]) AS h FROM (SELECT CAST(floor((epoch_us(ts) - 1704067200000000) / 21600000000) AS BIGINT) AS k FROM events)) GROUP BY 1""")

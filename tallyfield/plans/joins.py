@@ -7,9 +7,12 @@ from pyspark.sql import functions as F
 
 from tallyfield.functions import text as X
 from tallyfield.functions import vectors as V
+from tallyfield.operators import fuzzy
 from tallyfield.operators import joins as J
 from tallyfield.operators.aggregates import exact_sum
+from tallyfield.operators.vector_index import CellIndex
 from tallyfield.operators.windows import latest_per_key
+from tallyfield.session import fresh_path
 
 from .registry import query
 
@@ -221,6 +224,14 @@ def join_vector_topk(t, spark):
     return scored.orderBy(F.desc("cos"), "vec_id").limit(10).select("vec_id", F.round("cos", 6).alias("score"))
 
 
+@query(f"SELECT a.vec_id, round({COSINE}, 6) AS score FROM embeddings a, (SELECT embedding FROM embeddings WHERE vec_id = 11) b WHERE a.vec_id <> 11 ORDER BY {COSINE} DESC, a.vec_id LIMIT 10")
+def join_vector_cells(t, spark):
+    # the same answer from an inverted file: few cells first, then those that their tenth can't rule out
+    index = CellIndex.build(t("embeddings").select("vec_id", "embedding"), "vec_id", "embedding", 64, fresh_path(spark, "cells"))
+    probe = t("embeddings").filter("vec_id = 11").select(V.doubles("embedding")).first()[0]
+    return index.search(probe, "vec_id", 10, where="vec_id <> 11", exact=True).select("vec_id", F.round("cos", 6).alias("score"))
+
+
 @query(f"""SELECT a.vec_id, CASE WHEN max({COSINE}) >= 0.3 THEN arg_max(b.vec_id, {COSINE}) END AS match FROM embeddings a, (SELECT arg_min(embedding, vec_id) AS embedding, min(vec_id) AS vec_id FROM embeddings GROUP BY label) b GROUP BY 1""")
 def join_vector_nn(t, spark):
     rows = t("embeddings").filter(V.is_finite("embedding")).select("vec_id", "label", V.doubles("embedding").alias("v"))
@@ -229,16 +240,22 @@ def join_vector_nn(t, spark):
     return V.nearest_of(rows, refs, "vec_id", "ref", 0.3, "match")
 
 
-@query("""WITH n AS (SELECT DISTINCT p_name FROM part), d(name) AS (VALUES ('small ring'), ('cold widget'), ('larg bolt'), ('hot gear'), ('blue nut'))
-    SELECT p_name, arg_max(name, s * 1000 - ascii(name) / 1000.0) AS best, round(max(s), 6) AS score FROM (SELECT p_name, name, jaro_winkler_similarity(p_name, name) s FROM n, d) GROUP BY 1 HAVING max(s) >= 0.7""")
+#: Words of a text or name, and names whole and by their last word.
+WORDS = "list_filter(string_split(regexp_replace(lower({}), '[^a-z0-9]+', ' ', 'g'), ' '), lambda w: length(w) >= 1)"
+
+
+@query(f"""WITH n AS (SELECT DISTINCT name, {WORDS.format('name')} AS p FROM (SELECT p_name AS name FROM part UNION SELECT string_split(p_name, ' ')[-1] FROM part)),
+    d AS (SELECT doc_id, {WORDS.format('text')} AS w FROM documents),
+    x AS (SELECT doc_id, generate_subscripts(w, 1) - 1 AS pos, unnest(w) AS a, unnest(list_append(w[2:], NULL)) AS b FROM d),
+    m AS (SELECT word, known, levenshtein(word, known) AS e, jaro_winkler_similarity(word, known) AS s FROM (SELECT DISTINCT a AS word FROM x), (SELECT DISTINCT unnest(p) AS known FROM n)
+      WHERE abs(length(word) - length(known)) <= 1 AND levenshtein(word, known) <= CASE WHEN least(length(word), length(known)) < 4 THEN 0 ELSE 1 END),
+    f AS (SELECT doc_id, pos, a AS found, name, e AS edits, round(s, 6) AS score, 1 AS words FROM x JOIN m ON word = a JOIN n ON len(p) = 1 AND p[1] = known
+      UNION ALL SELECT doc_id, pos, a || ' ' || b, name, m.e + o.e, round((m.s + o.s) / 2, 6), 2 FROM x JOIN m ON m.word = a JOIN m o ON o.word = b JOIN n ON len(p) = 2 AND p[1] = m.known AND p[2] = o.known WHERE m.e + o.e <= 1)
+    SELECT doc_id, pos, found, name, edits, score FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, pos ORDER BY words DESC, edits, score DESC, name) AS rn FROM f) WHERE rn = 1""")
 def join_fuzzy(t, spark):
-    names = t("part").select("p_name").distinct()
-    words = spark.createDataFrame([("small ring",), ("cold widget",), ("larg bolt",), ("hot gear",), ("blue nut",)], "name string")
-    # the words stand in the code, so each name meets few; pairs that can't reach 0.7 go before Python sees them
-    near = names.crossJoin(words).filter(X.jaro_bound("p_name", "name") >= 0.7)
-    scored = near.withColumn("s", X.jaro_winkler("p_name", "name"))
-    best = scored.groupBy("p_name").agg(F.max_by("name", F.col("s") * 1000 - F.ascii("name") / 1000.0).alias("best"), F.round(F.max("s"), 6).alias("score"))
-    return best.filter("score >= 0.7")
+    part = t("part").select(F.col("p_name").alias("name"))
+    names = part.unionAll(part.select(F.element_at(F.split("name", " "), -1)))
+    return fuzzy.mentions(t("documents"), names, edits=1, least=4)
 
 
 @query("SELECT o_custkey, (SELECT min(l_shipdate) FROM lineitem l WHERE l.l_orderkey = o.o_orderkey) AS first_ship FROM orders o")

@@ -57,10 +57,14 @@ def str_word_norm(t, spark):
 TOKENS = "list_filter(string_split(regexp_replace(lower({}), '[^a-z0-9]+', ' ', 'g'), ' '), lambda w: length(w) >= 3)"
 
 
-@query(f"""SELECT doc_id, CASE WHEN len(w) = 0 THEN 0 ELSE len(list_filter(w, lambda x: list_contains(k, x))) / len(w) END AS coverage FROM (SELECT doc_id, {TOKENS.format('text')} AS w FROM documents), (SELECT {TOKENS.format('text')} AS k FROM benchmark WHERE item_id = 0)""")
+@query(f"""WITH k AS (SELECT DISTINCT unnest({TOKENS.format('text')}) AS w FROM benchmark), d AS (SELECT doc_id, unnest(CASE WHEN len(w) = 0 THEN [NULL] ELSE w END) AS w FROM (SELECT doc_id, coalesce({TOKENS.format('text')}, []) AS w FROM documents))
+    SELECT doc_id, CASE WHEN count(d.w) = 0 THEN 0 ELSE count(k.w) / count(d.w) END AS coverage FROM d LEFT JOIN k USING (w) GROUP BY 1""")
 def str_tokens(t, spark):
-    known = t("benchmark").filter("item_id = 0").select(X.tokens("text").alias("k"))
-    return t("documents").crossJoin(F.broadcast(known)).select("doc_id", X.coverage(X.tokens("text"), F.col("k")).alias("coverage"))
+    # the vocabulary of all items, as a table; a document's words are summed before they are dealt out
+    known = t("benchmark").select(F.explode(X.tokens("text")).alias("w")).distinct().withColumn("known", F.lit(1))
+    words = t("documents").select("doc_id", F.explode_outer(X.tokens("text")).alias("w")).join(known, "w", "left")
+    counted = words.groupBy("doc_id").agg(F.count("known").alias("hits"), F.count("w").alias("n"))
+    return counted.select("doc_id", F.when(F.col("n") == 0, 0.0).otherwise(F.col("hits") / F.col("n")).alias("coverage"))
 
 
 @query("SELECT doc_id, replace(replace(text, 'the their', 'X'), ' tion', '_shun') AS text, len(string_split(text, ' tion')) - 1 AS hits FROM documents")

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections import Counter
-
 import pandas as pd
 from pyspark.sql import Window
 from pyspark.sql import functions as F
@@ -11,6 +9,7 @@ from pyspark.sql import functions as F
 from tallyfield.functions import text as X
 from tallyfield.functions import vectors as V
 from tallyfield.operators import clustering as C
+from tallyfield.operators import segments as S
 from tallyfield.operators import sequences as Q
 from tallyfield.operators.joins import asof_backward
 
@@ -40,7 +39,7 @@ def sources(t):
 
 @query()
 def clu_density(t, spark):
-    return C.cluster_bounded(sources(t), ["grp"], "vec_id", 8)
+    return C.density_clusters_of(sources(t), ["grp"], "vec_id", 8)
 
 
 @query()
@@ -83,9 +82,18 @@ def merged_2d(rows: pd.DataFrame) -> pd.DataFrame:
     return rows.assign(merged=C.merge_close(rows[["x", "y"]].to_numpy(float), rows["n"].to_numpy(), 100.0, 5))[["user_id", "cluster", "merged"]]
 
 
-@query()
+#: The closest pair of a user's clusters merges until none is within 100; members remember where they were.
+MERGING = """,
+    c AS (SELECT user_id, cluster, avg(x) AS x, avg(y) AS y, count(*) AS n FROM (SELECT r.user_id, r.cluster, p.x, p.y FROM r JOIN p ON p.user_id = r.user_id AND p.rn = r.rn) GROUP BY 1, 2),
+    s AS (SELECT user_id, 0 AS step, list({'x': x, 'y': y, 'n': n, 'of': [cluster]} ORDER BY cluster) AS g FROM c GROUP BY 1
+    UNION ALL SELECT user_id, step + 1, list_filter(list_transform(g, lambda o, k: CASE WHEN k = b.i THEN {'x': (o.x * o.n + g[b.j].x * g[b.j].n) / (o.n + g[b.j].n), 'y': (o.y * o.n + g[b.j].y * g[b.j].n) / (o.n + g[b.j].n), 'n': o.n + g[b.j].n, 'of': list_concat(o.of, g[b.j].of)} ELSE o END), lambda o, k: k <> b.j)
+      FROM (SELECT *, list_sort(flatten(list_transform(g, lambda o, k: list_transform(range(k + 1, len(g) + 1), lambda j: {'d': sqrt((o.x - g[j].x) * (o.x - g[j].x) + (o.y - g[j].y) * (o.y - g[j].y)), 'i': k, 'j': j}))))[1] AS b FROM s) WHERE b.d <= 100),
+    t AS (SELECT user_id, arg_max(g, step) AS g FROM s GROUP BY 1)"""
+
+
+@query(ONLINE + MERGING + """ SELECT user_id, unnest(o.of) AS cluster, CASE WHEN o.n >= 5 THEN k - 1 ELSE -1 END AS merged FROM (SELECT user_id, unnest(g) AS o, generate_subscripts(g, 1) AS k FROM t)""")
 def clu_merge(t, spark):
-    found = C.online_clusters(points_2d(t), "user_id", "event_id", 120.0)
+    found = C.online_clusters(points_2d(t), "user_id", "event_id", 120.0).filter("cluster IS NOT NULL")
     means = found.groupBy("user_id", "cluster").agg(F.avg("x").alias("x"), F.avg("y").alias("y"), F.count("*").alias("n"))
     return Q.grouped(means, ["user_id"], merged_2d, "user_id long, cluster long, merged long")
 
@@ -104,12 +112,7 @@ def type_pairs(t):
     FROM r JOIN p ON p.user_id = r.user_id AND p.rn = r.rn + 1)
     SELECT user_id, event_type, grp, n FROM r WHERE taken""")
 def pair_greedy(t, spark):
-    # within a user: as many pairs as there are types times hours
-    def match(rows: pd.DataFrame) -> pd.DataFrame:
-        found = C.pair_greedy(list(zip(rows["event_type"], rows["grp"], rows["n"], strict=True)))
-        return pd.DataFrame([(rows["user_id"].iloc[0], *x) for x in found], columns=["user_id", "event_type", "grp", "n"])
-
-    return Q.grouped(type_pairs(t), ["user_id"], match, "user_id long, event_type string, grp long, n long")
+    return C.pair_greedy(type_pairs(t), ["user_id"], "event_type", "grp", "n")
 
 
 @query("SELECT event_type, arg_max(grp, n * 1000 - grp) AS grp FROM (SELECT event_type, user_id % 7 AS grp, count(*) AS n FROM events GROUP BY 1, 2) GROUP BY 1")
@@ -151,71 +154,58 @@ def seg_smooth_text(t, spark):
     return Q.grouped(rows, ["conv_id"], smooth, "conv_id long, role string, s double, e double, text string")
 
 
-#: Phrases that begin another topic, fixed values.
-TRANSITIONS = (
-    r"\bnext\s+(?:game|up|match|one)\b", r"\bmoving\s+on\b", r"\blet'?s\s+(?:look\s+at|move|go\s+to|talk\s+about|get\s+into)\b", r"\bnow\s+(?:onto|to|for|looking)\b", r"\bonto\s+the\b",
-    r"\ball\s+right\s*,?\s*so\b", r"\bokay\s*,?\s*so\b", r"\banyway\s*,?\s*(?:so|let)\b", r"\bnext\s+(?:team|position|group|segment)\b", r"\bmoving\s+(?:to|into)\b",
-)
-#: Letters of a word that stands for a name here; documents have no list of names.
-NAME = 9
-
-
-def boundary_scores(t):
-    """A row a sentence. A phrase of transition scores 2, a gap (here a new line) 1.5, and each name not among the last 20 sentences 1; a peak scores 2 or more and the most within 10."""
-    s = t("documents").select("doc_id", F.posexplode(F.split("text", r"(?<=\.)(?=\s)")).alias("pos", "s")).withColumn("w", X.tokens("s"))
-    w = Window.partitionBy("doc_id").orderBy("pos")
-    names = F.array_distinct(X.tokens("s", NAME))
-    s = s.withColumn("names", names)
-    fresh = F.size(F.array_except("names", F.flatten(F.collect_list("names").over(w.rowsBetween(-20, -1)))))
-    moved = F.when(F.col("s").rlike("(?i)" + "|".join(TRANSITIONS)), 2.0).otherwise(0.0)
-    scored = s.withColumn("score", moved + F.when(F.col("s").startswith("\n"), 1.5).otherwise(0.0) + fresh)
-    top = scored.withColumn("m", F.max("score").over(w.rowsBetween(-10, 10)))
-    return top.withColumn("peak", (F.col("score") == F.col("m")) & (F.col("score") >= 2.0))
+#: Phrases that begin another topic.
+MOVES = ("next up", "moving on", "turning to", "on another note", "to begin with", "let us look at")
+#: The dictionaries: nouns of parts' names are topics, their adjectives scopes.
+NOUNS, ADJECTIVES = ("(SELECT list(DISTINCT string_split(p_name, ' ')[{}] ORDER BY string_split(p_name, ' ')[{}]) FROM part WHERE p_name IS NOT NULL)".format(k, k) for k in (2, 1))
 
 
-def cuts_of(rows: pd.DataFrame) -> list[int]:
-    """First sentences of the blocks of a document, in order, and the number of its sentences."""
-    peaks = [(int(p), float(s)) for p, s, k in zip(rows["pos"], rows["score"], rows["peak"], strict=True) if k]
-    return [0, *Q.thin_boundaries(peaks, 8, len(rows)), len(rows)]
-
-
-def split_blocks(rows: pd.DataFrame) -> pd.DataFrame:
-    cuts = cuts_of(rows.sort_values("pos", kind="stable"))
-    return pd.DataFrame([(rows["doc_id"].iloc[0], a, b - 1) for a, b in zip(cuts, cuts[1:], strict=False)], columns=["doc_id", "first_pos", "last_pos"])
-
-
-def classified_blocks(rows: pd.DataFrame) -> pd.DataFrame:
-    """A topic counts once a sentence."""
-    rows = rows.sort_values("pos", kind="stable")
-    cuts, words = cuts_of(rows), [set(w) if w is not None else set() for w in rows["w"]]
-    out = Q.topic_blocks([(a, b - 1, Counter(x for w in words[a:b] for x in w)) for a, b in zip(cuts, cuts[1:], strict=False)])
-    return pd.DataFrame([(rows["doc_id"].iloc[0], k, a, b, len(x)) for k, a, b, x in out], columns=["doc_id", "kind", "first_pos", "last_pos", "topics"])
+def blocks(t, merge: bool):
+    part = lambda k: S.names_of(t("part").select(F.split("p_name", " ")[k].alias("name")), "name")
+    return S.topic_blocks(t("documents"), part(1), part(0), list(MOVES), merge=merge)
 
 
 #: Sentences with their scores, peaks, and boundaries kept one after another.
-BOUNDARIES = f"""WITH RECURSIVE d AS (SELECT doc_id, string_split_regex(text, '\\.\\s') AS ss, list_prepend('', regexp_extract_all(text, '\\.(\\s)', 1)) AS sep FROM documents WHERE text IS NOT NULL),
-    a AS (SELECT doc_id, len(ss) AS n, generate_subscripts(ss, 1) - 1 AS pos, unnest(ss) AS s, unnest(sep) AS before FROM d),
-    b AS (SELECT doc_id, n, pos, s, before, list_distinct(list_filter(string_split(regexp_replace(lower(s), '[^a-z0-9]+', ' ', 'g'), ' '), lambda w: length(w) >= {NAME})) AS names FROM a),
+BOUNDARIES = f"""WITH RECURSIVE v AS (SELECT {NOUNS} AS nouns, {ADJECTIVES} AS adjectives),
+    d AS (SELECT doc_id, string_split_regex(text, '\\.[ \t\n\f\r]') AS ss, list_prepend('', regexp_extract_all(text, '\\.([ \t\n\f\r])', 1)) AS sep FROM documents WHERE text IS NOT NULL),
+    a AS (SELECT doc_id, len(ss) AS n, generate_subscripts(ss, 1) - 1 AS pos, lower(unnest(ss)) AS s, unnest(sep) AS before FROM d),
+    b AS (SELECT doc_id, n, pos, s, before, list_filter(nouns, lambda w: contains(s, w)) AS names, list_filter(adjectives, lambda w: contains(s, w)) AS scopes FROM a, v),
     c AS (SELECT *, coalesce(flatten(list(names) OVER (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN 20 PRECEDING AND 1 PRECEDING)), []) AS recent FROM b),
-    e AS (SELECT doc_id, n, pos, CASE WHEN regexp_matches(s, '(?i){"|".join(TRANSITIONS).replace("'", "''")}') THEN 2.0 ELSE 0.0 END + CASE WHEN before = chr(10) THEN 1.5 ELSE 0.0 END + len(list_filter(names, lambda x: NOT list_contains(recent, x))) AS score FROM c),
+    e AS (SELECT doc_id, n, pos, CASE WHEN regexp_matches(s, '\\b({"|".join(MOVES)})\\b') THEN 2.0 ELSE 0.0 END + CASE WHEN before = chr(10) THEN 1.5 ELSE 0.0 END + len(list_filter(names, lambda x: NOT list_contains(recent, x))) AS score FROM c),
     f AS (SELECT *, max(score) OVER (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN 10 PRECEDING AND 10 FOLLOWING) AS m FROM e),
     g AS (SELECT doc_id, pos, score, row_number() OVER (PARTITION BY doc_id ORDER BY pos) AS rn FROM f WHERE score >= 2 AND score = m AND pos >= 8 AND n - pos >= 8),
     r AS (SELECT doc_id, rn, [pos] AS kept, score AS last FROM g WHERE rn = 1
     UNION ALL SELECT g.doc_id, g.rn, CASE WHEN g.pos - kept[-1] >= 8 THEN list_append(kept, g.pos) WHEN g.score > last THEN list_append(kept[:-2], g.pos) ELSE kept END, CASE WHEN g.pos - kept[-1] >= 8 OR g.score > last THEN g.score ELSE last END
     FROM r JOIN g ON g.doc_id = r.doc_id AND g.rn = r.rn + 1),
     k AS (SELECT doc_id, arg_max(kept, rn) AS kept FROM r GROUP BY 1),
-    z AS (SELECT d.doc_id, list_append(list_prepend(0, coalesce(kept, [])), len(ss)) AS cuts FROM d LEFT JOIN k ON d.doc_id = k.doc_id)"""
-
-
-@query(BOUNDARIES + " SELECT doc_id, unnest(cuts[:-2]) AS first_pos, unnest(cuts[2:]) - 1 AS last_pos FROM z")
+    z AS (SELECT d.doc_id, list_append(list_prepend(0, coalesce(kept, [])), len(ss)) AS cuts FROM d LEFT JOIN k ON d.doc_id = k.doc_id),
+    y AS (SELECT doc_id, unnest(cuts[:-2]) AS a, unnest(cuts[2:]) - 1 AS z FROM z)"""
+
+#: Blocks with the sentences of each topic and scope; a pass takes the next block in each step, and another one follows while blocks are joined.
+MERGED = """,
+    w AS (SELECT y.doc_id, a, z, list_transform(any_value(nouns), lambda x: (len(list_filter(flatten(list(names)), lambda w: w = x)))::BIGINT) AS t, list_transform(any_value(adjectives), lambda x: (len(list_filter(flatten(list(scopes)), lambda w: w = x)))::BIGINT) AS s
+      FROM y JOIN b ON b.doc_id = y.doc_id AND b.pos BETWEEN a AND z, v GROUP BY y.doc_id, a, z),
+    l AS (SELECT doc_id, list({'a': a, 'z': z, 't': t, 's': s} ORDER BY a) AS rest FROM w GROUP BY 1),
+    q AS (SELECT doc_id, 0 AS step, rest[:0] AS done, rest, len(rest) + 1 AS before FROM l
+    UNION ALL SELECT doc_id, step + 1, CASE WHEN len(rest) = 0 THEN rest WHEN joins THEN list_append(done[:-2], {'a': p.a, 'z': n.z, 't': list_transform(p.t, lambda x, i: x + n.t[i]), 's': list_transform(p.s, lambda x, i: x + n.s[i])}) ELSE list_append(done, n) END,
+      CASE WHEN len(rest) = 0 THEN done ELSE rest[2:] END, CASE WHEN len(rest) = 0 THEN len(done) ELSE before END
+      FROM (SELECT *, p IS NOT NULL AND least(p.z - p.a, n.z - n.a) + 1 < 80 AND len(list_filter(p.t, lambda x, i: x >= CASE WHEN p.z - p.a + 1 < 50 THEN 1 ELSE 2 END AND n.t[i] >= CASE WHEN n.z - n.a + 1 < 50 THEN 1 ELSE 2 END))
+        >= CASE WHEN len(list_filter([p, n], lambda o: len(list_filter(o.t, lambda x: x >= 2)) >= 2 OR len(list_filter(o.t, lambda x: x >= 2)) = 1 AND len(list_filter(o.s, lambda x: x >= 3)) = 0)) > 0 THEN 1 ELSE 2 END AS joins
+        FROM (SELECT *, done[-1] AS p, rest[1] AS n FROM q) WHERE len(rest) > 0 OR len(done) < before)),
+    u AS (SELECT doc_id, unnest(arg_max(done, step)) AS o FROM q WHERE len(rest) = 0 GROUP BY 1),
+    h AS (SELECT doc_id, o.a AS a, o.z AS z, list_transform(list_reverse_sort(list_filter(list_transform(o.t, lambda x, i: {'n': x, 'o': -i}), lambda x: x.n >= 2)), lambda x: nouns[-x.o]) AS top, list_filter(adjectives, lambda x, i: o.s[i] >= 3) AS wide FROM u, v)"""
+
+
+@query(BOUNDARIES + " SELECT doc_id, a AS first_pos, z AS last_pos FROM y")
 def seg_boundaries(t, spark):
-    return Q.grouped(boundary_scores(t).select("doc_id", "pos", "score", "peak"), ["doc_id"], split_blocks, "doc_id long, first_pos long, last_pos long")
+    return blocks(t, merge=False).select("doc_id", "first_pos", "last_pos")
 
 
-@query()
+@query(BOUNDARIES + MERGED + """ SELECT doc_id, CASE WHEN len(top) >= 2 THEN 'versus' WHEN len(wide) >= 4 THEN 'general' WHEN len(wide) > 0 THEN 'scope' WHEN len(top) = 1 THEN 'single' ELSE 'general' END AS kind,
+    CASE WHEN len(top) >= 2 THEN top[1] || ' vs ' || top[2] || CASE WHEN len(top) > 2 THEN ' (+' || (len(top) - 2) || ' more)' ELSE '' END WHEN len(wide) >= 4 THEN 'general' WHEN len(wide) > 0 THEN array_to_string(wide, '/') WHEN len(top) = 1 THEN top[1] ELSE 'general' END AS label,
+    a AS first_pos, z AS last_pos FROM h""")
 def seg_blocks(t, spark):
-    # the windows and the groups are of one document each, so its sentences are dealt once
-    return Q.grouped(boundary_scores(t).select("doc_id", "pos", "score", "peak", "w"), ["doc_id"], classified_blocks, "doc_id long, kind string, first_pos long, last_pos long, topics long")
+    return blocks(t, merge=True)
 
 
 @query("""SELECT e.event_id, v.event_id AS frame_id, CASE WHEN v.value >= 4.5 THEN v.event_type END AS speaker FROM (SELECT * FROM events WHERE event_id % 4 = 0) e ASOF LEFT JOIN (SELECT * FROM events WHERE event_id % 4 <> 0) v ON e.user_id = v.user_id AND e.ts >= v.ts""")

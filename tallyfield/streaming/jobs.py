@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
+import datetime
 from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from tallyfield.session import fresh_path
 
+#: Keeps state on the executors' disks, outside the heap, with a change log in the checkpoint.
+STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
 
 def stream(df: DataFrame, spark: SparkSession) -> DataFrame:
     """df's rows as a file stream: written once to shared storage, then read as a stream."""
@@ -22,6 +26,7 @@ def stream(df: DataFrame, spark: SparkSession) -> DataFrame:
 def run(rows: DataFrame, path: str, mode: str = "append") -> DataFrame:
     """All that is there now, processed with a checkpoint beside the output, which is then read; a rerun goes on where it stopped."""
     spark = rows.sparkSession
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", STATE_STORE)
     if mode == "append":
         query = rows.writeStream.format("parquet").option("path", f"{path}/out").option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start()
     else:
@@ -53,23 +58,56 @@ def sessions(rows: DataFrame, ts: str, gap: str, keys: list[str], delay: str) ->
     return grouped.agg(F.count("*").alias("n")).select(F.col("w.start").alias("start"), F.col("w.end").alias("end"), *keys, "n")
 
 
-def changes(rows: DataFrame, key: str, ts: str, value: str) -> DataFrame:
-    """Rows whose value differs from the last one of their key. State: the last value and its time; a row older than that is late and is dropped."""
-    schema = rows.schema
-    key_type, ts_type, value_type = (schema[c].dataType.simpleString() for c in (key, ts, value))
+class LastValue(StatefulProcessor):
+    """Rows whose value is not the last one of their key; the state is that value and its time, and goes once its key has been idle."""
+
+    def __init__(self, key: str, ts: str, value: str, value_type: str, idle_ms: int):
+        self.names, self.kind, self.idle = (key, ts, value), value_type, idle_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.last = handle.getValueState("last", f"value {self.kind}, at long")
 
-    def emit(k: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        last, at = state.get if state.exists else (None, None)
-        batch = pd.concat(list(frames)).sort_values(ts, kind="stable")
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        _, ts, value = self.names
+        got = pd.concat(list(rows), ignore_index=True).sort_values(ts, kind="stable")
+        at, values = got[ts].astype("datetime64[us]").astype("int64").to_numpy(), got[value].tolist()
+        known = self.last.get() if self.last.exists() else None
+        before, before_at = known if known else (None, None)
         kept = []
-        for when, now in zip(batch[ts], batch[value], strict=True):
-            if at is not None and when.value < at:
-                continue
-            if last is None or now != last:
-                kept.append((k[0], when, now))
-            last, at = now, when.value
-        state.update((last, at))
-        yield pd.DataFrame(kept, columns=[key, ts, value])
-
-    grouped = rows.groupBy(key)
-    return grouped.applyInPandasWithState(emit, f"{key} {key_type}, {ts} {ts_type}, {value} {value_type}", f"last {value_type}, at long", "append", GroupStateTimeout.NoTimeout)
+        for k, (when, now) in enumerate(zip(at.tolist(), values, strict=True)):
+            now = None if pd.isna(now) else now
+            if before_at is not None and when < before_at:
+                continue  # older than what is known
+            if before_at is None or before is None or now != before or when - before_at > self.idle * 1000:
+                kept.append(k)
+            before, before_at = now, when
+        self.last.update((before, before_at))
+        for timer in self.handle.listTimers():
+            self.handle.deleteTimer(timer)
+        self.handle.registerTimer(before_at // 1000 + self.idle + 1)
+        yield got.iloc[kept][list(self.names)]
+
+    def handleExpiredTimer(self, key: tuple, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        self.last.clear()
+        yield pd.DataFrame(columns=list(self.names))
+
+    def close(self) -> None:
+        pass
+
+
+def milliseconds(span: str) -> int:
+    return int(pd.Timedelta(span) / datetime.timedelta(milliseconds=1))
+
+
+def changes(rows: DataFrame, key: str, ts: str, value: str, delay: str = "1 day", idle: str = "365 days") -> DataFrame:
+    """Rows whose value differs from the last one of their key, or that come over `idle` after it; a null is a value that nothing equals.
+
+    State: one value and its time for each key that has had a row within `idle` and `delay` of the newest row: a timer clears it once the watermark is past that, and no row
+    that may still come would have been held back by it. Rows older than the watermark, or than the last row of their key in an earlier trigger, are late and are dropped.
+    Rows without a time are left out; those without a key are one key of their own. A key's rows of one trigger are in one task; bound a trigger by its source's maxFilesPerTrigger.
+    """
+    timed = rows.filter(F.col(ts).isNotNull()).select(key, F.col(ts).cast("timestamp").alias(ts), value).withWatermark(ts, delay)
+    processor = LastValue(key, ts, value, rows.schema[value].dataType.simpleString(), milliseconds(idle))
+    schema = timed.schema
+    return timed.groupBy(key).transformWithStateInPandas(processor, outputStructType=schema, outputMode="Append", timeMode="EventTime")

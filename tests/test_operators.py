@@ -3,8 +3,6 @@
 from __future__ import annotations
 
 import random
-import re
-from collections import Counter
 
 import numpy as np
 import pytest
@@ -18,10 +16,9 @@ from tallyfield.functions import vectors as V
 from tallyfield.functions.summaries import summary_of
 from tallyfield.operators import aggregates as A
 from tallyfield.operators import clustering as C
-from tallyfield.operators import joins, mutations, paging
+from tallyfield.operators import density, joins, mutations, paging
 from tallyfield.operators import sequences as Q
 from tallyfield.operators import windows as W
-from tallyfield.plans import sequences as plans
 from tallyfield.sources import files
 from tallyfield.streaming import jobs
 
@@ -45,12 +42,19 @@ def test_flip_name(spark, raw, want):
     assert value(spark, X.flip_name(F.lit(raw).cast("string"))) == want
 
 
-@pytest.mark.parametrize("url,want", [("https://www.youtube.com/watch?v=abcdefghijk&t=1", "abcdefghijk"), ("https://youtu.be/abcdefghijk", "abcdefghijk"), ("https://youtube.com/shorts/abcdefghijk", "abcdefghijk"), ("https://www.youtube.com/watch?v=too-short", None), ("https://example.com/watch?v=abcdefghijk", None), ("https://m.youtube.com/attribution?a=1&v=abcdefghijk", "abcdefghijk"), ("/x?v=abcdefghijk", "abcdefghijk"), ("https://youtu.be/ABCDEFGHI01?t=10", "ABCDEFGHI01"), ("abcdefghijk", None), ("https://example.com", None), (None, None)])
+OWN = "Zq7-kT_w3Lp"  # an invented id of eleven characters
+CHANNEL = "UC" + "x9_Q-tallyfield00testA"
+
+
+@pytest.mark.parametrize("url,want", [
+    (f"https://www.youtube.com/watch?v={OWN}&list=two", OWN), (f"https://youtu.be/{OWN}", OWN), (f"https://youtu.be/{OWN}?si=x", OWN), (f"https://youtube.com/shorts/{OWN}", OWN), (f"https://m.youtube.com/go?from=1&v={OWN}", OWN), (f"/open?v={OWN}", OWN),
+    ("https://www.youtube.com/watch?v=brief", None), (f"https://video.test/watch?v={OWN}", None), (OWN, None), ("https://video.test", None), (None, None),
+])
 def test_video_id(spark, url, want):
     assert value(spark, U.video_id(F.lit(url).cast("string"))) == want
 
 
-@pytest.mark.parametrize("url,want", [("https://www.youtube.com/channel/UCabcdefghijklmnopqrstuv", "UCabcdefghijklmnopqrstuv"), ("https://www.youtube.com/@nrlpod.test", "@nrlpod.test"), ("https://www.youtube.com/c/LegacyName", None), ("https://example.com/@name", None), (None, None)])
+@pytest.mark.parametrize("url,want", [(f"https://www.youtube.com/channel/{CHANNEL}", CHANNEL), ("https://www.youtube.com/@tally.field", "@tally.field"), ("https://www.youtube.com/c/OldStyle", None), ("https://video.test/@tally", None), (None, None)])
 def test_channel_id(spark, url, want):
     assert value(spark, U.channel_id(F.lit(url).cast("string"))) == want
 
@@ -205,10 +209,10 @@ def blobs(sizes, seed=0):
 
 def test_density_clusters():
     x = blobs([40, 25, 15])
-    got = C.density_clusters(np.concatenate([x, -np.eye(8)[:2]]), 8)
+    got = density.density_clusters(np.concatenate([x, -np.eye(8)[:2]]), 8)
     assert set(got[:40]) == {0} and set(got[40:65]) == {1} and set(got[65:80]) == {2} and got[80:] == [-1, -1]
-    assert C.density_clusters(np.concatenate([x, -np.eye(8)[:2]]), 8) == got
-    assert C.density_clusters(x[:10], 8) == [-1] * 10 and C.density_clusters(x[:0], 8) == []
+    assert density.density_clusters(np.concatenate([x, -np.eye(8)[:2]]), 8) == got
+    assert density.density_clusters(x[:10], 8) == [-1] * 10 and density.density_clusters(x[:0], 8) == []
 
 
 def test_online_and_merge():
@@ -216,7 +220,6 @@ def test_online_and_merge():
     clusters = C.Online(120)
     assert [clusters.place(p) for p in points] == [0, 0, 1, 0, 1]
     assert C.merge_close(np.array([[0, 0], [50, 0], [500, 0]], float), np.array([5, 3, 2]), 100, 5) == [0, 0, -1]
-    assert C.pair_greedy([("a", 1, 0.9), ("a", 2, 0.8), ("b", 1, 0.85), ("b", 2, 0.1)]) == [("a", 1, 0.9), ("b", 2, 0.1)]
 
 
 def test_smoothing():
@@ -225,7 +228,6 @@ def test_smoothing():
     spans = [("A", 0, 10, "x"), ("B", 10, 11, "y"), ("A", 11, 20, "z"), ("C", 20, 21, None)]
     assert Q.smooth_spans(spans, 2, 1) == [("A", 0, 20, "x y z"), ("C", 20, 21, None)]
     assert Q.thin_boundaries([(3, 9.0), (10, 1.0), (14, 2.0), (30, 1.0), (38, 5.0)], 8, 40) == [14, 30]
-    assert Q.merge_blocks([("a", 0, 1, {1}), ("a", 2, 3, {1, 2}), ("a", 4, 5, {3}), ("b", 6, 7, set())]) == [("a", 0, 3, {1, 2}), ("a", 4, 5, {3}), ("b", 6, 7, set())]
 
 
 def plain_smoothing(labels, most):
@@ -295,7 +297,7 @@ def test_cluster_bounded(spark):
     assert {len(a), len(b)} == {1} and a != b and got["large", 600] is None
     # a member that is far from the mean of its cluster is noise
     tail = np.array([[np.cos(t), np.sin(t)] for t in np.linspace(0, 2.6, 40)])
-    labels = np.array(C.density_clusters(tail, 5))
+    labels = np.array(density.density_clusters(tail, 5))
     near = np.array(C.near_members(tail, 5, 0.5))
     for k in range(labels.max() + 1):
         mean = tail[labels == k].mean(axis=0)
@@ -341,71 +343,6 @@ def test_summaries_and_phonetics(spark, tmp_path):
     assert got == [("large", sizes["large"]), ("small", sizes["small"])]
 
 
-def topic_texts():
-    """Long texts of sections, each with words of its own or those of a section before."""
-    rng = random.Random(3)
-    out = {}
-    for doc in (5, 200, 100_000):
-        text = []
-        for part in range(6):
-            words = [f"{chr(97 + k)}word{part // 2}" for k in range(26)] + [f"only{doc}x{part}x{k}" for k in range(5)]
-            for k in range(rng.randrange(5, 60)):
-                text.append(({2: "Moving on ", 4: "okay, so "}.get(part, "") if k == 0 else "") + " ".join(rng.choices(words, k=rng.randrange(1, 12))) if rng.random() < 0.9 else f"once{part}y{k} twice{part}y{k}")
-        out[doc] = "".join(x + rng.choice([". ", ". ", ". ", ".\n"]) for x in text)
-    return out
-
-
-def brute_blocks(text):
-    sentences = re.split(r"\.\s", text)
-    starts = ["", *re.findall(r"\.(\s)", text)]
-    words = [[w for w in re.sub("[^a-z0-9]+", " ", x.lower()).split(" ") if len(w) >= 3] for x in sentences]
-    score = []
-    names = [{x for x in w if len(x) >= plans.NAME} for w in words]
-    for k, w in enumerate(names):
-        recent = {x for v in names[max(0, k - 20) : k] for x in v}
-        moved = any(re.search(p, sentences[k], re.IGNORECASE) for p in plans.TRANSITIONS)
-        score.append(len(w - recent) + 2 * moved + 1.5 * (starts[k] == "\n"))
-    peaks = [(k, x) for k, x in enumerate(score) if x >= 2 and x == max(score[max(0, k - 10) : k + 11])]
-    cuts = [0, *Q.thin_boundaries(peaks, 8, len(score)), len(score)]
-    bounds = list(zip(cuts, [x - 1 for x in cuts[1:]], strict=False))
-    named = lambda a, b: Counter(x for w in words[a : b + 1] for x in set(w))
-    often = lambda a, b, least: {x for x, n in named(a, b).items() if n >= least}
-    blocks, before = list(bounds), None
-    while blocks != before:
-        before, kept = blocks, []
-        for a, b in blocks:
-            if kept:
-                p, q = kept[-1]
-                n, m = q - p + 1, b - a + 1
-                shared = len(often(p, q, 1 if n < 50 else 2) & often(a, b, 1 if m < 50 else 2))
-                if min(n, m) < 80 and (shared > 1 or shared == 1 and (often(p, q, 2) or often(a, b, 2))):
-                    kept[-1] = (p, b)
-                    continue
-            kept.append((a, b))
-        blocks = kept
-    return bounds, [("focused" if often(a, b, 2) else "general", a, b, len(often(a, b, 2))) for a, b in blocks]
-
-
-def test_segments_of_all_documents(spark):
-    texts = topic_texts()
-    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
-    bounds, blocks = (sorted(map(tuple, f(lambda name: df, spark).collect())) for f in (plans.seg_boundaries, plans.seg_blocks))
-    want = {doc: brute_blocks(text) for doc, text in texts.items()}
-    assert bounds == sorted((doc, a, b) for doc, (x, _) in want.items() for a, b in x)
-    assert len(bounds) > 2 * len(texts)
-    assert blocks == sorted((doc, *x) for doc, (_, y) in want.items() for x in y)
-    assert len(texts) < len(blocks) < len(bounds)
-
-
-def test_topic_blocks():
-    many = {f"a{k:02}": 1 for k in range(30)}  # shared words may come late in the alphabet
-    assert Q.topic_blocks([(0, 9, many | {"x": 2}), (10, 19, {"b": 2, "x": 1}), (20, 29, {"c": 1}), (30, 39, {"c": 1, "d": 1})]) == [("focused", 0, 19, ["x", "b"]), ("general", 20, 29, []), ("general", 30, 39, [])]
-    # two long blocks stay apart, whatever they share; in those of 50 sentences a topic needs two
-    assert len(Q.topic_blocks([(0, 79, {"x": 9, "y": 9}), (80, 159, {"x": 9, "y": 9})])) == 2
-    assert len(Q.topic_blocks([(0, 49, {"x": 1, "y": 1}), (50, 99, {"x": 9, "y": 9})])) == 2
-    assert Q.topic_blocks([]) == []
-
-
 def test_sliding_spans(spark):
     rows = spark.createDataFrame([(1, 1.0), (2, 2.0), (3, 3.2)], "id long, d double")
     got = sorted((r.id, r.start_s, r.end_s) for r in Q.sliding_spans(rows, "d", 2.0, 0.5).collect())
