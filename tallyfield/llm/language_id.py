@@ -168,18 +168,18 @@ def train(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
 
     def extract(batches):
         for b in batches:
-            if b.num_rows:
-                texts = b.column(1).to_pylist()
-                yield pa.RecordBatch.from_arrays([b.column(0), pa.array([features(t).tobytes() for t in texts], pa.binary()), pa.array([has_letters(t, letters) for t in texts], pa.bool_())], names=["lang", "x", "long"])
-
-    got = chosen.mapInArrow(extract, "lang string, x binary, long boolean").toArrow()
-    # in the order of their values, so the fit doesn't depend on the order in which tasks end
-    langs, vectors, long = got.column("lang").to_pylist(), got.column("x"), got.column("long").to_pylist()
-    order = sorted(range(len(langs)), key=lambda k: (langs[k], vectors[k].as_py()))
-    x = np.empty((len(langs), 1 << BITS), np.float32)
-    for row, k in zip(x, order, strict=True):
-        row[:] = np.frombuffer(vectors[k].as_py(), np.float32)
-    return Hierarchy(x, [langs[k] for k in order], [long[k] for k in order], letters)
+            found = [(features(t), has_letters(t, letters), text_hash(t)) for t in b.column(1).to_pylist()]
+            at = [np.flatnonzero(x).astype(np.uint16) for x, _, _ in found]
+            values = [x[k].tobytes() for (x, _, _), k in zip(found, at, strict=True)]
+            columns = [b.column(0), pa.array([k.tobytes() for k in at], pa.binary()), pa.array(values, pa.binary()), pa.array([f[1] for f in found], pa.bool_()), pa.array([f[2] for f in found], pa.int64())]
+            yield pa.RecordBatch.from_arrays(columns, names=["lang", "at", "x", "long", "hash"])
+
+    # what isn't 0 of each text, in the order of their hashes, so the fit doesn't depend on the order in which tasks end
+    got = chosen.mapInArrow(extract, "lang string, at binary, x binary, long boolean, hash long").toArrow().sort_by([("lang", "ascending"), ("hash", "ascending")])
+    x = np.zeros((got.num_rows, 1 << BITS), np.float32)
+    for row, at, values in zip(x, got.column("at"), got.column("x"), strict=True):
+        row[np.frombuffer(at.as_py(), np.uint16)] = np.frombuffer(values.as_py(), np.float32)
+    return Hierarchy(x, got.column("lang").to_pylist(), got.column("long").to_pylist(), letters)
 
 
 def identify(df: DataFrame, model: Hierarchy, text_col: str = "text", keep_text: bool = True) -> DataFrame:
