@@ -125,3 +125,25 @@ def test_rows_of_a_task_are_scanned_once(monkeypatch):
     monkeypatch.setattr(secrets, "find_secrets", lambda t: scanned.append(t) or [])
     b = pa.RecordBatch.from_pydict({"path": [1] * 50 + [2], "blob": [b"x"] * 50 + [b"y"], "text": ["x"] * 50 + ["y"]})
     assert sum(x.num_rows for x in secrets.scan_blobs([b, b])) == 2 and scanned == ["x", "y"]
+
+
+def test_no_history_rules_a_class_out(spark):
+    """Words that always follow each other: no class costs more than GUARD of its share without a history."""
+    import numpy as np
+    import xxhash
+
+    from tallyfield.llm import lm_scoring
+
+    docs = ["aa bb cc dd ee ff gg hh " * 60] * 20
+    words = [w for t in docs for w in t.encode().split()]
+    c = {w: words.count(w) for w in set(words)}
+    hashes = [(int(np.uint64(xxhash.xxh64_intdigest(w)).view(np.int64)), n) for w, n in c.items()] + [(int(lm_scoring.END.view(np.int64)), len(docs))]
+    learn = spark.createDataFrame([(t.encode(),) for t in docs], "data binary")
+    m, total, _ = lm_scoring.train(learn, spark.createDataFrame(hashes, "hash long, c long"))
+    share = np.exp(m.classes)
+    assert np.allclose(share.sum(axis=1), 1, atol=1e-4)
+    assert total == len(words) + len(docs)
+    # classes of words that have counts; a share of a class is at least GUARD of its own among all tokens, less one for smoothing
+    used = np.setdiff1d(np.unique(m.v.class_of), [lm_scoring.RARE])
+    plain = (m.v.mass[used] - 1) / (total + lm_scoring.CLASSES)
+    assert (share[:, used] >= 0.9 * lm_scoring.GUARD * plain).all()
