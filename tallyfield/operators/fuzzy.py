@@ -67,9 +67,13 @@ def mentions(texts: DataFrame, names: DataFrame, edits: int = 1, least: int = 4,
     # a name whose words the texts don't all have stands nowhere
     rare = parts.join(often, "known").groupBy("name", "parts").agg(F.min_by(F.struct("at", "known"), F.struct("times", "at")).alias("rare"), F.count("*").alias("had")).filter(F.col("had") == F.size("parts"))
     anchors = stored(near.join(rare.select("name", "parts", F.col("rare.at").alias("at"), F.col("rare.known").alias("known")), "known").select("word", "name", "parts", "at"), "anchors")
-    placed = joined(tokens.select("id", "tokens", F.posexplode("tokens").alias("p", "word")), anchors, "word")
+    # each word with those around it that a name may need, not with its whole text
+    n = entries.agg(F.max(F.size("parts"))).first()[0] or 1
+    near_by = lambda w, p: F.struct(w.alias("word"), p.alias("p"), F.slice("tokens", F.greatest(p - (n - 1), F.lit(0)) + 1, 2 * n - 1).alias("around"))
+    placed = joined(tokens.select("id", F.explode(F.transform("tokens", near_by)).alias("z")).select("id", "z.*"), anchors, "word")
     start = F.col("p") - F.col("at")
-    found = placed.filter((start >= 0) & (start + F.size("parts") <= F.size("tokens"))).select("id", start.alias("pos"), "name", "parts", F.slice("tokens", F.greatest(start, F.lit(0)) + 1, F.size("parts")).alias("own"))
+    own = F.slice("around", F.greatest(start - F.greatest(F.col("p") - (n - 1), F.lit(0)), F.lit(0)) + 1, F.size("parts"))
+    found = placed.filter(start >= 0).select("id", start.alias("pos"), "name", "parts", own.alias("own")).filter(F.size("own") == F.size("parts"))
     costs = F.zip_with("own", "parts", lambda a, b: F.when(F.levenshtein(a, b) <= allowed(a, b, edits, least), F.levenshtein(a, b)).otherwise(edits + 1))
     found = stored(found.withColumn("edits", F.aggregate(costs, F.lit(0), lambda x, y: x + y)).filter(F.col("edits") <= edits), "mentions")
     # the similarity is computed once for each pair of what was found and a name

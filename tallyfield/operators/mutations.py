@@ -67,6 +67,12 @@ def scd2(current: DataFrame, incoming: DataFrame, key: str, tracked: list[str],
     return both.select(key, F.explode(out).alias("r")).select(key, "r.*")
 
 
+def scd2_history(history: DataFrame, incoming: DataFrame, key: str, tracked: list[str], day: Column) -> DataFrame:
+    """A history of (key, tracked, effective_from, effective_to, is_current, change) after one day's rows: closed rows stay as they are, open ones go on by scd2."""
+    current = history.filter("is_current").select(key, *tracked, "effective_from")
+    return history.filter("not is_current").unionByName(scd2(current, incoming, key, tracked, day))
+
+
 def snapshot_intervals(rows: DataFrame, snapshots: DataFrame, key: str, day: str) -> DataFrame:
     """Open and closed states from dated snapshots: (key, reported, resolved) for each run of consecutive snapshots that list the key.
 

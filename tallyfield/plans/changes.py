@@ -50,17 +50,34 @@ def upsert_partial(t, spark):
     return rows.filter("o_orderstatus <> 'O'").unionByName(open_rows.select(*rows.columns))
 
 
-@query("""WITH c AS (SELECT c_custkey AS k, c_mktsegment AS seg, c_nationkey AS nat FROM customer WHERE c_custkey % 4 <> 0),
+SCD2 = """WITH c AS (SELECT c_custkey AS k, c_mktsegment AS seg, c_nationkey AS nat FROM customer WHERE c_custkey % 4 <> 0),
     i AS (SELECT c_custkey AS k, CASE WHEN c_custkey % 5 = 0 THEN 'MOVED' ELSE c_mktsegment END AS seg, CASE WHEN c_custkey % 7 = 0 THEN 99 ELSE c_nationkey END AS nat FROM customer WHERE c_custkey % 6 <> 5),
     b AS (SELECT coalesce(c.k, i.k) AS k, c.k IS NOT NULL AS known, i.k IS NOT NULL AS came, c.seg AS os, c.nat AS ona, i.seg AS ns, i.nat AS nn, CASE WHEN c.seg <> i.seg AND c.nat <> i.nat THEN 'seg_change,nat_change' WHEN c.seg <> i.seg THEN 'seg_change' WHEN c.nat <> i.nat THEN 'nat_change' ELSE '' END AS ch FROM c FULL JOIN i ON c.k = i.k)
     SELECT k, os AS seg, ona AS nat, DATE '2024-01-01' AS effective_from, NULL::DATE AS effective_to, true AS is_current, 'unchanged' AS change FROM b WHERE known AND (NOT came OR ch = '')
     UNION ALL SELECT k, os, ona, DATE '2024-01-01', DATE '2024-02-01', false, ch FROM b WHERE known AND came AND ch <> ''
-    UNION ALL SELECT k, ns, nn, DATE '2024-02-01', NULL, true, CASE WHEN known THEN ch ELSE 'new' END FROM b WHERE came AND (NOT known OR ch <> '')""")
-def scd2(t, spark):
+    UNION ALL SELECT k, ns, nn, DATE '2024-02-01', NULL, true, CASE WHEN known THEN ch ELSE 'new' END FROM b WHERE came AND (NOT known OR ch <> '')"""
+
+
+def customer_days(t):
     c = t("customer")
     current = c.filter("c_custkey % 4 <> 0").select(F.col("c_custkey").alias("k"), F.col("c_mktsegment").alias("seg"), F.col("c_nationkey").alias("nat"), F.lit("2024-01-01").cast("date").alias("effective_from"))
     incoming = c.filter("c_custkey % 6 <> 5").select(F.col("c_custkey").alias("k"), F.when(F.col("c_custkey") % 5 == 0, "MOVED").otherwise(F.col("c_mktsegment")).alias("seg"), F.when(F.col("c_custkey") % 7 == 0, 99).otherwise(F.col("c_nationkey")).alias("nat"))
-    return M.scd2(current, incoming, "k", ["seg", "nat"], F.lit("2024-02-01"))
+    return current, incoming
+
+
+@query(SCD2)
+def scd2(t, spark):
+    return M.scd2(*customer_days(t), "k", ["seg", "nat"], F.lit("2024-02-01"))
+
+
+@query(SCD2)
+def scd2_keyed(t, spark):
+    # the same in a stored history: only the slices of keys that came are read and replaced
+    current, incoming = customer_days(t)
+    opened = current.withColumns({"effective_to": F.lit(None).cast("date"), "is_current": F.lit(True), "change": F.lit("unchanged")})
+    held = KeyedTable.create(opened, ["k"])
+    held.change(incoming, lambda history, rows: M.scd2_history(history, rows, "k", ["seg", "nat"], F.lit("2024-02-01")))
+    return held.rows()
 
 
 @query("""WITH p AS (SELECT DISTINCT user_id, day(ts) AS d FROM events), r AS (SELECT user_id, d, d - row_number() OVER (PARTITION BY user_id ORDER BY d) AS g FROM p)

@@ -143,6 +143,21 @@ def join_interval_overlap(t, spark):
     return joined.select("turn_id", text.alias("text"), F.coalesce(F.size("w"), F.lit(0)).cast("long").alias("n"))
 
 
+#: Spans from each event to the user's next one, however long.
+UNCUT = f"SELECT event_id, user_id % 10 AS g, round(s, 6) AS s, round(lead(s) OVER (PARTITION BY user_id ORDER BY ts), 6) AS e FROM (SELECT *, {SECONDS} AS s FROM events)"
+
+
+@query(f"""SELECT a.event_id, count(*) AS n, round(sum(least(a.e, b.e) - greatest(a.s, b.s)), 3) AS seconds FROM ({UNCUT}) a JOIN ({UNCUT}) b ON a.g = b.g AND a.s <= b.e AND a.e >= b.s
+    WHERE a.event_id % 3 = 0 AND b.event_id % 3 = 1 GROUP BY 1""")
+def join_overlap_any_length(t, spark):
+    s = seconds()
+    end = F.round(F.lead(s).over(Window.partitionBy("user_id").orderBy("ts")), 6)
+    own = t("events").select("event_id", F.expr(TEN).alias("g"), F.round(s, 6).alias("s"), end.alias("e"))
+    other = own.filter("event_id % 3 = 1").select("g", F.col("s").alias("s2"), F.col("e").alias("e2"))
+    pairs = J.overlap_join(own.filter("event_id % 3 = 0"), other, ["g"], ("s", "e"), ("s2", "e2"), 1800)
+    return pairs.groupBy("event_id").agg(F.count("*").alias("n"), F.round(F.sum(F.least("e", "e2") - F.greatest("s", "s2")), 3).alias("seconds"))
+
+
 @query(f"""SELECT event_id, turn_id FROM (SELECT o.event_id, q.turn_id, row_number() OVER (PARTITION BY o.event_id ORDER BY round(least(o.e, t1) - greatest(o.s, t0), 6) DESC, t0) rn
     FROM ({OTHERS}) o JOIN ({TURNS}) q ON q.user_id % 10 = o.user_id % 10 AND t0 < o.e AND t1 > o.s WHERE round(least(o.e, t1) - greatest(o.s, t0), 6) > 0) WHERE rn = 1""")
 def join_max_overlap(t, spark):

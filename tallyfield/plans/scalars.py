@@ -79,9 +79,26 @@ def str_replace_once(t, spark):
     return t("documents").select("doc_id", X.replace_once("text", "The", "That").alias("text"))
 
 
-@query()
+def sounds(word: str) -> str:
+    """SQL for the Metaphone code of an expression: each letter by its neighbours, c with p and pp before it and n and m after it."""
+    letters = f"upper(regexp_replace(strip_accents({word}), '[^A-Za-z]', '', 'g'))"
+    begun = f"(CASE WHEN {letters}[1:2] IN ('AE', 'GN', 'KN', 'PN', 'WR') THEN {letters}[2:] WHEN {letters}[1] = 'X' THEN 'S' || {letters}[2:] WHEN {letters}[1:2] = 'WH' THEN 'W' || {letters}[3:] ELSE {letters} END)"
+    vowel, soft = "('A', 'E', 'I', 'O', 'U')", "('E', 'I', 'Y')"
+    code = f"""CASE WHEN x.c = x.p AND x.c <> 'C' THEN '' WHEN x.c IN {vowel} THEN CASE WHEN x.i = 1 THEN x.c ELSE '' END WHEN x.c = 'B' THEN CASE WHEN x.n = '' AND x.p = 'M' THEN '' ELSE 'B' END
+      WHEN x.c = 'C' THEN CASE WHEN x.n = 'H' THEN CASE WHEN x.p = 'S' THEN 'K' ELSE 'X' END WHEN x.n = 'I' AND x.m = 'A' THEN 'X' WHEN x.n IN {soft} THEN CASE WHEN x.p = 'S' THEN '' ELSE 'S' END ELSE 'K' END
+      WHEN x.c = 'D' THEN CASE WHEN x.n = 'G' AND x.m IN {soft} THEN 'J' ELSE 'T' END
+      WHEN x.c = 'G' THEN CASE WHEN x.p = 'D' AND x.pp <> 'D' AND x.n IN {soft} THEN '' WHEN x.n = 'H' AND x.m <> '' AND x.m NOT IN {vowel} OR x.n = 'N' AND (x.m = '' OR x.rest = 'ED') THEN '' WHEN x.n IN {soft} AND x.p <> 'G' THEN 'J' ELSE 'K' END
+      WHEN x.c = 'H' THEN CASE WHEN x.n IN {vowel} AND x.p NOT IN ('C', 'S', 'P', 'T', 'G') THEN 'H' ELSE '' END WHEN x.c = 'K' THEN CASE WHEN x.p = 'C' THEN '' ELSE 'K' END WHEN x.c = 'P' THEN CASE WHEN x.n = 'H' THEN 'F' ELSE 'P' END
+      WHEN x.c = 'Q' THEN 'K' WHEN x.c = 'S' THEN CASE WHEN x.n = 'H' OR x.n = 'I' AND x.m IN ('O', 'A') THEN 'X' ELSE 'S' END
+      WHEN x.c = 'T' THEN CASE WHEN x.n = 'I' AND x.m IN ('O', 'A') THEN 'X' WHEN x.n = 'H' THEN '0' WHEN x.n = 'C' AND x.m = 'H' THEN '' ELSE 'T' END
+      WHEN x.c = 'V' THEN 'F' WHEN x.c IN ('W', 'Y') THEN CASE WHEN x.n IN {vowel} THEN x.c ELSE '' END WHEN x.c = 'X' THEN 'KS' WHEN x.c = 'Z' THEN 'S' ELSE x.c END"""
+    around = f"{{'i': i, 'c': substr({begun}, i, 1), 'p': CASE WHEN i < 2 THEN '' ELSE substr({begun}, i - 1, 1) END, 'pp': CASE WHEN i < 3 THEN '' ELSE substr({begun}, i - 2, 1) END, 'n': substr({begun}, i + 1, 1), 'm': substr({begun}, i + 2, 1), 'rest': substr({begun}, i + 2)}}"
+    return f"array_to_string(list_transform(list_transform(range(1, length({begun}) + 1), lambda i: {around}), lambda x: {code}), '')"
+
+
+@query(f"SELECT DISTINCT p_name, {sounds('p_name')} AS code, {sounds("string_split(p_name, ' ')[1]")} AS first_code FROM part")
 def str_metaphone(t, spark):
-    return t("part").select("p_name").distinct().select("p_name", X.metaphone(F.split("p_name", " ")[0]).alias("code"))
+    return t("part").select("p_name").distinct().select("p_name", X.metaphone("p_name").alias("code"), X.metaphone(F.split("p_name", " ")[0]).alias("first_code"))
 
 
 def neighbour_names(t):
@@ -95,7 +112,8 @@ def str_jaro_winkler(t, spark):
     return neighbour_names(t).select("a", "b", F.round(X.jaro_winkler("a", "b"), 6).alias("score"))
 
 
-@query()
+@query(f"""SELECT a, b, CASE WHEN ratio < 0.5 THEN 0.0 ELSE round(0.4 * same + 0.4 * jaro_winkler_similarity(lower(a), lower(b)) + 0.2 * ratio, 6) END AS score FROM
+    (SELECT a, b, CASE WHEN {sounds('a')} = {sounds('b')} THEN 1.0 ELSE 0.0 END AS same, least(length(a), length(b)) / greatest(length(a), length(b)) AS ratio FROM (SELECT DISTINCT a.p_name AS a, b.p_name AS b FROM part a JOIN part b ON b.p_partkey = a.p_partkey + 1))""")
 def str_phonetic_score(t, spark):
     return neighbour_names(t).select("a", "b", F.round(X.phonetic_score("a", "b"), 6).alias("score"))
 

@@ -32,29 +32,13 @@ def from_key(df: DataFrame, file: str, patterns: dict[str, tuple[str, str]]) ->
 
 
 def yaml_entries(text: str) -> list[dict]:
-    """The entries of a YAML document: a list of mappings, or a mapping that holds one. Without a YAML library, of its block form with plain values and [inline, lists]."""
-    try:
-        import yaml
-    except ImportError:
-        return plain_entries(text)
+    """The entries of a YAML document: a list of mappings, or a mapping that holds one. Needs the YAML library, without which it is an ImportError."""
+    import yaml
+
     found = yaml.safe_load(text) or []
     return next((v for v in found.values() if isinstance(v, list)), []) if isinstance(found, dict) else found
 
 
-def plain_entries(text: str) -> list[dict]:
-    out: list[dict] = []
-    for line in text.splitlines():
-        line = line.split(" #", 1)[0].strip()
-        begins, line = line.startswith("- "), line.removeprefix("- ")
-        name, colon, value = line.partition(":")
-        if begins:
-            out.append({})
-        if out and colon and not line.startswith("#"):
-            value = value.strip()
-            out[-1][name.strip()] = [p.strip() for p in value[1:-1].split(",") if p.strip()] if value[:1] == "[" else value
-    return out
-
-
 def dictionary(spark: SparkSession, text: str) -> DataFrame:
     """(name, value, aliases) from a seed dictionary in YAML, entries with these keys. Seeds are small, fixed files."""
     rows = [(str(e["name"]), str(e["value"]), [str(a) for a in e.get("aliases") or []]) for e in yaml_entries(text)]

@@ -366,6 +366,20 @@ def test_the_old_side_is_not_shuffled(spark, tmp_path):
     table.drop()
 
 
+def test_history_of_days_in_a_keyed_table(spark, tmp_path):
+    rows = [(k, f"s{k % 3}", None if k == 4 else k) for k in range(40)]
+    opened = spark.createDataFrame(rows, "k long, seg string, nat long").withColumns({"effective_from": F.lit("2024-01-01").cast("date"), "effective_to": F.lit(None).cast("date"), "is_current": F.lit(True), "change": F.lit("new")})
+    table = KeyedTable.create(opened, ["k"], slices=8, path=str(tmp_path / "t"))
+    for day, incoming in (("2024-01-02", [(3, "moved", 3), (4, "s1", None), (99, "s9", 9)]), ("2024-01-03", [(3, "moved", 30), (99, "s9", 9)])):
+        new = spark.createDataFrame(incoming, "k long, seg string, nat long")
+        table.change(new, lambda history, came, day=day: mutations.scd2_history(history, came, "k", ["seg", "nat"], F.lit(day)))
+    of = lambda k: sorted((str(r.effective_from), str(r.effective_to), r.seg, r.nat, r.is_current) for r in table.rows().filter(F.col("k") == k).collect())
+    assert of(3) == [("2024-01-01", "2024-01-02", "s0", 3, False), ("2024-01-02", "2024-01-03", "moved", 3, False), ("2024-01-03", "None", "moved", 30, True)]
+    assert of(4) == [("2024-01-01", "None", "s1", None, True)] and of(99) == [("2024-01-02", "None", "s9", 9, True)]
+    assert table.rows().count() == 43 and table.rows().filter("is_current").count() == 41
+    table.drop()
+
+
 # ---- pages ----
 
 
