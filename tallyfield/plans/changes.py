@@ -195,8 +195,8 @@ def inc_watermark_url(t, spark):
 
 @query("SELECT sha256(text) AS h, count(*) > 0 AS kept FROM documents WHERE text IS NOT NULL GROUP BY 1")
 def inc_dedup_key(t, spark):
-    # a document's number stands for its time; its text is remembered until the watermark is a day past it
-    rows = t("documents").filter("text IS NOT NULL").select(F.timestamp_seconds("doc_id").alias("at"), F.sha2("text", 256).alias("h"))
+    # a document's number stands for its time, in seconds of 2024; its text is remembered until the watermark is a day past it
+    rows = t("documents").filter("text IS NOT NULL").select(F.timestamp_seconds(1_704_067_200 + F.coalesce("doc_id", F.lit(0))).alias("at"), F.sha2("text", 256).alias("h"))
     kept = S.run(S.first_of_key_within(S.stream(rows, spark), "h", "at", "1 day"), fresh_path(spark, "stream"))
     return kept.select("h", F.lit(True).alias("kept"))
 
