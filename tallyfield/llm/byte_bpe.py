@@ -193,13 +193,13 @@ def encoder(path: str, ranges: dict[str, list[tuple[int, int]]]) -> Encoder:
     return _HELD[path]
 
 
-def _mapped(df: DataFrame, column: str, name: str, kind: str, work) -> DataFrame:
-    """df with a column made from another one by work(batches of (row, column)), which gives batches of (row, name)."""
+def _mapped(df: DataFrame, column: str, name: str, kind: str, work, keep: bool = True) -> DataFrame:
+    """df, without the column unless keep, with another one made from it by work(batches of (row, column)), which gives batches of (row, name)."""
     small_batches(df.sparkSession)
-    kept = [F.col(f"`{c}`") for c in df.columns if c.lower() != name]
-    rows = df.select(F.struct(*kept or [F.lit(0).alias("none")]).alias("row"), F.col(f"`{column}`").alias("value"))
+    kept = [c for c in df.columns if c.lower() != name and (keep or c != column)]
+    rows = df.select(F.struct(*[F.col(f"`{c}`") for c in kept] or [F.lit(0).alias("none")]).alias("row"), F.col(f"`{column}`").alias("value"))
     schema = rows.select("row", F.lit(None).cast(kind).alias(name)).schema
-    return rows.mapInArrow(work, schema).select(*[F.col(f"row.`{c}`") for c in df.columns if c.lower() != name], name)
+    return rows.mapInArrow(work, schema).select(*[F.col(f"row.`{c}`") for c in kept], name)
 
 
 def bpe_encode(df: DataFrame, tokenizer: str, text_col: str = "text", keep_text: bool = True) -> DataFrame:
@@ -214,9 +214,7 @@ def bpe_encode(df: DataFrame, tokenizer: str, text_col: str = "text", keep_text:
             flat = np.concatenate([np.empty(0, np.int32), *ids])
             yield pa.RecordBatch.from_arrays([b.column(0), pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(flat))], names=["row", "ids"])
 
-    rows = df if keep_text else df.select(F.col(f"`{text_col}`").alias("__text"), *[F.col(f"`{c}`") for c in df.columns if c != text_col])
-    found = _mapped(rows, text_col if keep_text else "__text", "ids", "array<int>", encode)
-    return found if keep_text else found.drop("__text")
+    return _mapped(df, text_col, "ids", "array<int>", encode, keep_text)
 
 
 def bpe_decode(df: DataFrame, tokenizer: str, ids_col: str = "ids") -> DataFrame:
