@@ -12,6 +12,8 @@ Extra columns stay out. An empty table gives no rows. The result is one row for
 
 from __future__ import annotations
 
+from collections import Counter
+
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -31,11 +33,11 @@ def term_counts(df: DataFrame, text_col: str, lang_col: str, source_col: str) ->
     small_batches(df.sparkSession)
 
     def count(batches):
-        held: dict[tuple[str, str], dict[bytes, list[int]]] = {}
+        held: dict[tuple[str, str], tuple[Counter, Counter]] = {}  # occurrences and documents of each group's terms
         size = 0
 
         def sent():
-            rows = [(lang, source, term, *n) for (lang, source), terms in held.items() for term, n in terms.items()]
+            rows = [(lang, source, term, k, docs[term]) for (lang, source), (n, docs) in held.items() for term, k in n.items()]
             rows += [(lang, source, None, 0, 0) for lang, source in held]
             kinds = (pa.string(), pa.string(), pa.binary(), pa.int64(), pa.int64())
             for k in range(0, len(rows), 1 << 16):
@@ -44,17 +46,11 @@ def term_counts(df: DataFrame, text_col: str, lang_col: str, source_col: str) ->
 
         for b in batches:
             for lang, source, text in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                terms = held.setdefault((lang, source), {})
-                before, own = len(terms), {}
-                for w in text.translate(TERMS).split():
-                    own[w] = own.get(w, 0) + 1
-                for w, n in own.items():
-                    if (found := terms.get(w)) is None:
-                        terms[w] = [n, 1]
-                    else:
-                        found[0] += n
-                        found[1] += 1
-                size += len(terms) - before
+                n, docs = held.setdefault((lang, source), (Counter(), Counter()))
+                before, words = len(n), text.translate(TERMS).split()
+                n.update(words)
+                docs.update(set(words))
+                size += len(n) - before
                 if size > HELD:
                     yield from sent()
                     held.clear()
@@ -96,12 +92,15 @@ def divergence(df: DataFrame, least_docs: int = 30, top: int = 50, text_col: str
     n = F.transform("sources", lambda s: F.coalesce(F.element_at("counts", s), F.lit(0).cast("long")))
     wide = joined.withColumn("n", n).withColumn("p", F.transform(F.arrays_zip("n", "totals"), lambda v: share(v["n"], v["totals"], F.col("kept"))))
 
+    # differences of the places (0, 1), (0, 2) and so on in one array; a pair is known by its place there
     last = F.size("p") - 1
-    beside = lambda a, i: F.transform(F.slice("p", i + 2, last - i), lambda b, j: F.struct(i.alias("i"), (i + 1 + j).alias("j"), F.abs(a - b).alias("f")))
-    emitted = wide.filter(last > 0).select("lang", F.explode(F.flatten(F.transform("p", beside))).alias("c"))
-    sums = emitted.groupBy("lang", F.col("c.i").alias("i"), F.col("c.j").alias("j")).agg(F.sum("c.f").alias("value"))
-    places = langs.select("lang", "sources", F.posexplode("sources").alias("i", "source")).select("lang", "source", "i", F.posexplode("sources").alias("j", "item")).filter("i != j")
-    pairs = places.join(sums.withColumnsRenamed({"i": "a", "j": "b", "lang": "of"}), (F.col("lang") == F.col("of")) & (F.least("i", "j") == F.col("a")) & (F.greatest("i", "j") == F.col("b")), "left")
+    beside = lambda a, i: F.transform(F.slice("p", i + 2, last - i), lambda b: F.abs(a - b))
+    emitted = wide.filter(last > 0).select("lang", F.posexplode(F.flatten(F.transform("p", beside))).alias("pair", "f"))
+    sums = emitted.groupBy("lang", "pair").agg(F.sum("f").alias("value"))
+    places = langs.select("lang", "sources", F.posexplode("sources").alias("i", "source")).select("*", F.posexplode("sources").alias("j", "item")).filter("i != j")
+    i, j = F.least("i", "j"), F.greatest("i", "j")
+    places = places.withColumn("pair", (i * (2 * F.size("sources") - i - 1) / 2 + j - i - 1).cast("int"))
+    pairs = places.join(sums, ["lang", "pair"], "left")
     pairs = pairs.select("lang", "source", F.lit("pair").alias("part"), "item", F.coalesce("value", F.lit(0).cast("long")).alias("value"))
 
     total = lambda c: F.aggregate(c, F.lit(0).cast("long"), lambda x, y: x + y)
