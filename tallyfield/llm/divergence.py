@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import small_batches, stored
+from .common import small_batches, stored, tasks
 
 #: ASCII letters in lower case and all bytes above ASCII belong to terms; others part them.
 TERMS = bytes(b + 32 if 65 <= b <= 90 else b if b >= 128 or 97 <= b <= 122 else 32 for b in range(256))
@@ -29,7 +29,7 @@ FEW_GROUPS = 4096
 
 
 def term_counts(df: DataFrame, text_col: str, lang_col: str, source_col: str) -> DataFrame:
-    """(lang, source, term, n, docs): occurrences and documents of each term; each group (lang, source) has a row without a term too."""
+    """(lang, source, term, n, docs): occurrences and documents of each term, summed in a task; each group (lang, source) has a row without a term too."""
     small_batches(df.sparkSession)
 
     def count(batches):
@@ -60,8 +60,7 @@ def term_counts(df: DataFrame, text_col: str, lang_col: str, source_col: str) ->
 
     none = F.lit("")
     rows = df.select(F.coalesce(F.col(f"`{lang_col}`"), none).alias("lang"), F.coalesce(F.col(f"`{source_col}`"), none).alias("source"), F.coalesce(F.col(f"`{text_col}`"), none).cast("binary").alias("text"))
-    counted = rows.mapInArrow(count, "lang string, source string, term binary, n long, docs long")
-    return counted.groupBy("lang", "source", F.col("term").cast("string").alias("term")).agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
+    return rows.mapInArrow(count, "lang string, source string, term binary, n long, docs long").withColumn("term", F.col("term").cast("string"))
 
 
 def share(n, total, kept):
@@ -72,9 +71,11 @@ def share(n, total, kept):
 
 def wide_vectors(counts: DataFrame, least_docs: int) -> tuple[DataFrame, DataFrame]:
     """The vectors (lang, term, counts) of kept terms, counts by source, and the languages (lang, sources, totals, kept), totals in the order of sources."""
-    kept = counts.filter("term is not null").groupBy("lang", "term").agg(F.sum("docs").alias("docs"), F.map_from_entries(F.collect_list(F.struct("source", "n"))).alias("counts"))
-    kept = stored(kept.filter(F.col("docs") >= least_docs).drop("docs"), "vectors")
-    groups = counts.filter("term is null").select("lang", "source")
+    # dealt once, by what both groupings share; tasks have summed before
+    dealt = counts.repartition(tasks(counts), "lang", "term").groupBy("lang", "source", "term").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
+    every = dealt.groupBy("lang", "term").agg(F.sum("docs").alias("docs"), F.map_from_entries(F.collect_list(F.struct("source", "n"))).alias("counts"))
+    every = stored(every.filter(F.col("term").isNull() | (F.col("docs") >= least_docs)).drop("docs"), "vectors")
+    kept, groups = every.filter("term is not null"), every.filter("term is null").select("lang", F.explode(F.map_keys("counts")).alias("source"))
     totals = kept.select("lang", F.explode("counts").alias("source", "n")).groupBy("lang", "source").agg(F.sum("n").alias("total"))
     sizes = kept.groupBy("lang").agg(F.count("*").alias("kept"))
     known = groups.join(totals, ["lang", "source"], "left").groupBy("lang").agg(F.array_sort(F.collect_list(F.struct("source", F.coalesce("total", F.lit(0)).alias("total")))).alias("of"))
@@ -84,8 +85,7 @@ def wide_vectors(counts: DataFrame, least_docs: int) -> tuple[DataFrame, DataFra
 
 def divergence(df: DataFrame, least_docs: int = 30, top: int = 50, text_col: str = "text", lang_col: str = "lang", source_col: str = "source") -> DataFrame:
     """(lang, source, part, item, value, rank): the distance to each other source of the language, and the `top` terms that set a source off from its language."""
-    counts = stored(term_counts(df, text_col, lang_col, source_col), "terms")
-    vectors, langs = wide_vectors(counts, least_docs)
+    vectors, langs = wide_vectors(term_counts(df, text_col, lang_col, source_col), least_docs)
     few = langs.agg(F.coalesce(F.sum(F.size("sources")), F.lit(0))).first()[0] <= FEW_GROUPS
     joined = vectors.join(F.broadcast(langs) if few else langs, "lang")
     # the pivot: a place for each source, 0 where it lacks the term
