@@ -86,11 +86,40 @@ def range_join(points: DataFrame, intervals: DataFrame, keys: list[str], at: str
     return found.drop("__levels", "__plevel", "__pcell", "__ilevel", "__icell", *[f"__{k}" for k in keys])
 
 
-def first_interval(points: DataFrame, intervals: DataFrame, keys: list[str], point_id: list[str], at: str, start: str, end: str, width: float, closed: bool = True, tie: list | None = None, longest: float | None = None) -> DataFrame:
-    """Each point with the first interval that holds it, by start; points without one drop out."""
-    pairs = range_join(points, intervals, keys, at, start, end, width, closed, longest)
+def _dealt(df: DataFrame, *by: str) -> DataFrame:
+    """df in as many tasks as the session shuffles to, few bytes or not: what a task makes of its rows can be far more than it reads."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *by)
+
+
+def _present(df: DataFrame, *names: str) -> DataFrame:
+    for name in names:
+        df = df.filter(F.col(name).isNotNull())
+    return df
+
+
+def first_interval(points: DataFrame, intervals: DataFrame, keys: list[str], point_id: list[str], at: str, start: str, end: str, width: float, closed: bool = True, tie: list[str] | None = None, longest: float | None = None) -> DataFrame:
+    """Each point with the first interval that holds it, by start and the names in tie; points without one drop out.
+
+    Both sides meet in cells as in range_join, but no pairs are made. Of the intervals of a cell, in order, only those that end after all
+    before them can be first; their ends rise, so a point's first one is that with the least end after it, if it has begun by then. Two
+    windows over one shuffle find it, each in time of its rows, and a point has one candidate for each width in use.
+    """
+    rows, levels = _levels([(intervals, start, end)], width, longest)
+    hit = F.struct(*[c for c in intervals.columns if c not in keys])
+    held = _present(intervals, *keys).filter(F.col(start) <= F.col(end)).withColumn("__level", _level(start, end, width, longest))
+    held = held.select(*keys, "__level", F.explode(F.sequence(_cell(F.col(start), "__level", width), _cell(F.col(end), "__level", width))).alias("__cell"), F.col(end).alias("__time"), hit.alias("__hit"), F.lit(None).cast(points.schema).alias("__row"))
+    own = _present(points, *keys, at).select(*keys, F.col(at).alias("__time"), F.struct("*").alias("__row"))
+    own = (own if rows is None else own.crossJoin(rows)).withColumn("__level", F.explode(levels))
+    own = own.select(*keys, "__level", _cell(F.col("__time"), "__level", width).alias("__cell"), "__time", F.lit(None).cast(held.schema["__hit"].dataType).alias("__hit"), "__row")
+    both, cell = _dealt(held.unionAll(own), *keys, "__level", "__cell"), Window.partitionBy(*keys, "__level", "__cell")
+    before = cell.orderBy(*[F.col(f"__hit.{c}") for c in [start, *(tie or [])]]).rowsBetween(Window.unboundedPreceding, -1)
+    ended = F.max(F.when(F.col("__row").isNull(), F.col("__time"))).over(before)
+    both = both.withColumn("__ended", ended).filter("__row IS NOT NULL OR __ended IS NULL OR __ended < __time")
+    side = F.when(F.col("__row").isNull(), 0 if closed else 1).otherwise(1 if closed else 0)
+    down = cell.orderBy(F.desc("__time"), side).rowsBetween(Window.unboundedPreceding, 0)
+    found = both.withColumn("__hit", F.last("__hit", ignorenulls=True).over(down)).filter(F.col("__row").isNotNull() & (F.col(f"__hit.{start}") <= F.col("__time")))
     w = Window.partitionBy(*point_id).orderBy(start, *(tie or []))
-    return pairs.withColumn("__rn", F.row_number().over(w)).filter("__rn = 1").drop("__rn")
+    return found.select("__row.*", "__hit.*").withColumn("__rn", F.row_number().over(w)).filter("__rn = 1").drop("__rn")
 
 
 def overlap_join(a: DataFrame, b: DataFrame, keys: list[str], a_span: tuple[str, str], b_span: tuple[str, str], width: float, touching: bool = True, longest: float | None = None) -> DataFrame:

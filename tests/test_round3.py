@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+import random
+
 import duckdb
+import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
+from tallyfield.operators import joins
 from tallyfield.plans import catalog
 
 
@@ -35,3 +40,29 @@ def test_known_pages_whose_url_others_share(spark, held):
     rows = [(k, f"http://x/{k % 7}") for k in range(80)] + [(None, "http://x/1"), (None, None), (81, None), (84, None), (84, None), (86, "http://x/1"), (86, "http://x/1"), (-1, "u"), (-4, "u")]
     got, want = held("inc_watermark_url", pages=spark.createDataFrame(rows, "page_id long, url string"))
     assert got == want and len(got) > 40
+
+
+def spans_of(rng, n, longest):
+    starts = [rng.randrange(-50, 400) for _ in range(n)]
+    return [(rng.choice(["x", "y", None]), k, s, s + rng.choice([0, 1, 3, rng.randrange(longest + 1)])) for k, s in enumerate(starts)]
+
+
+@pytest.mark.parametrize("longest", [None, 40.0])
+def test_first_interval_of_many(spark, longest):
+    rng = random.Random(3)
+    i, p = spans_of(rng, 80, 40), [(rng.choice(["x", "y", None]), k, rng.randrange(-60, 450)) for k in range(150)]
+    di, dp = spark.createDataFrame(i, "k string, i long, s long, e long"), spark.createDataFrame(p, "k string, p long, at long")
+    for closed in (True, False):
+        want = {}
+        for k, q, t in p:
+            own = sorted((s, j) for m, j, s, e in i if k is not None and m == k and s <= t and (t <= e if closed else t < e))
+            if own:
+                want[q] = own[0][1]
+        assert {r.p: r.i for r in joins.first_interval(dp, di, ["k"], ["p"], "at", "s", "e", 3.0, closed, ["i"], longest).collect()} == want
+
+
+def test_pairs_are_not_shuffled(spark):
+    """The plans of queries on overlaps join no intervals with intervals."""
+    for name in ("join_point_interval_half_open",):
+        plan = catalog.queries()[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+        assert not [line for line in plan.splitlines() if "Join" in line and "__icell" in line], name
