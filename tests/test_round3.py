@@ -47,6 +47,17 @@ def spans_of(rng, n, longest):
     return [(rng.choice(["x", "y", None]), k, s, s + rng.choice([0, 1, 3, rng.randrange(longest + 1)])) for k, s in enumerate(starts)]
 
 
+@pytest.mark.parametrize("seed", range(2))
+def test_overlaps_without_pairs(spark, seed):
+    """Counts, sums, texts and the greatest overlap against all pairs, with ties, intervals without length and null keys."""
+    rng = random.Random(seed)
+    a, b = spans_of(rng, 90, 40), spans_of(rng, 90, 40)
+    da, db = spark.createDataFrame(a, "k string, a long, s long, e long"), spark.createDataFrame(b, "k string, b long, s2 long, e2 long")
+    near = {i: sorted((x, j) for m, j, x, y in b if k is not None and m == k and x <= e and y >= s) for k, i, s, e in a}
+    texts = joins.overlap_texts(da, db.withColumn("w", F.when(F.col("b") % 5 != 0, F.col("b").cast("string"))), ["k"], ("s", "e"), ("s2", "e2"), "w", "b", ",", 40)
+    assert {r.a: (r.n, r.text) for r in texts.collect()} == {i: (len(own), ",".join(str(j) for _, j in own if j % 5) or None) for i, own in near.items()}
+
+
 @pytest.mark.parametrize("longest", [None, 40.0])
 def test_first_interval_of_many(spark, longest):
     rng = random.Random(3)
@@ -63,6 +74,6 @@ def test_first_interval_of_many(spark, longest):
 
 def test_pairs_are_not_shuffled(spark):
     """The plans of queries on overlaps join no intervals with intervals."""
-    for name in ("join_point_interval_half_open",):
+    for name in ("join_point_interval_half_open", "join_interval_overlap",):
         plan = catalog.queries()[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
         assert not [line for line in plan.splitlines() if "Join" in line and "__icell" in line], name
