@@ -74,6 +74,6 @@ def test_first_interval_of_many(spark, longest):
 
 def test_pairs_are_not_shuffled(spark):
     """The plans of queries on overlaps join no intervals with intervals."""
-    for name in ("join_point_interval_half_open", "join_interval_overlap",):
+    for name in ("join_point_interval_half_open", "join_interval_overlap", "join_overlap_array",):
         plan = catalog.queries()[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
         assert not [line for line in plan.splitlines() if "Join" in line and "__icell" in line], name
