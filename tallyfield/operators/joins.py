@@ -231,12 +231,71 @@ def _streamed(of_group):
     return over
 
 
-def max_overlap(a: DataFrame, b: DataFrame, keys: list[str], a_id: list[str], a_span: tuple[str, str], b_span: tuple[str, str], width: float, longest: float | None = None) -> DataFrame:
-    """Each interval of a with the interval of b that overlaps it most, strictly; the earlier one on ties."""
+def most_overlapping(s: np.ndarray, e: np.ndarray, t0: np.ndarray, t1: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each interval [s, e] the number of that of [t0, t1], in order of t0, that overlaps it most, the first on ties, and by how much.
+
+    The first one that ends at e or later is found in the running maximum of ends. If it starts by s, it holds [s, e] whole. If not, it
+    overlaps more than any after it, and those before it end before e: of these, one that starts before s overlaps by how far it reaches,
+    again a running maximum, and the others by their lengths, whose maximum over a range comes from a table of ranges of powers of two.
+    """
+    n = len(t0)
+    reach, length = np.maximum.accumulate(t1), t1 - t0
+    whole = np.searchsorted(reach, e)  # n, if none reaches e
+    lo = np.searchsorted(t0, s)
+    at = lambda values, k: values[np.clip(k, 0, n - 1)]
+    table = [np.arange(n)]
+    while 2 ** len(table) <= n:
+        left, half = table[-1], 2 ** (len(table) - 1)
+        a, b = left[:-half], left[half:]
+        table.append(np.where(length[b] > length[a], b, a))
+    best, most = np.full(len(s), -1), np.zeros(len(s), length.dtype)
+
+    def take(k, overlap, where):  # in rising order of k, so that earlier ones stay on ties
+        better = where & (overlap > most)
+        best[better], most[better] = k[better], overlap[better]
+
+    holds = (whole < n) & (at(t0, whole) <= s)
+    take(whole, e - s, holds)
+    take(np.searchsorted(reach, at(reach, lo - 1)), at(reach, lo - 1) - s, ~holds & (lo > 0))
+    many = whole - lo
+    for k, own in enumerate(table):
+        on = np.flatnonzero(~holds & (many >= 1 << k) & (many < 2 << k))
+        if len(on):
+            a, b = own[lo[on]], own[whole[on] - (1 << k)]
+            k_best = np.where(length[b] > length[a], b, a)
+            better = length[k_best] > most[on]
+            best[on[better]], most[on[better]] = k_best[better], length[k_best[better]]
+    take(whole, e - at(t0, whole), ~holds & (whole < n))
+    return best, most
+
+
+def max_overlap(a: DataFrame, b: DataFrame, keys: list[str], a_id: list[str], a_span: tuple[str, str], b_span: tuple[str, str], width: float, longest: float | None = None, tie: str | None = None) -> DataFrame:
+    """Each interval of a with the interval of b that overlaps it most, strictly; the earlier one on ties, then that of the least `tie`.
+
+    Where `longest` bounds the lengths no pairs are made: see most_overlapping. Without it all pairs are, of which the greatest stay. Whole
+    numbers, such as microseconds, are compared exactly.
+    """
     (s1, e1), (s2, e2) = a_span, b_span
-    pairs = overlap_join(a, b, keys, a_span, b_span, width, touching=False, longest=longest).withColumn("overlap", F.least(e1, e2) - F.greatest(s1, s2))
-    w = Window.partitionBy(*a_id).orderBy(F.desc("overlap"), s2)
-    return pairs.filter("overlap > 0").withColumn("__rn", F.row_number().over(w)).filter("__rn = 1").drop("__rn")
+    w = Window.partitionBy(*a_id).orderBy(F.desc("overlap"), s2, *([tie] if tie else []))
+    if longest is None:
+        pairs = overlap_join(a, b, keys, a_span, b_span, width, touching=False).withColumn("overlap", F.least(e1, e2) - F.greatest(s1, s2))
+        return pairs.filter("overlap > 0").withColumn("__rn", F.row_number().over(w)).filter("__rn = 1").drop("__rn")
+    kept = [c for c in b.columns if c not in keys]
+    fields = [*a.schema.fields, *[b.schema[c] for c in kept], T.StructField("overlap", a.select(F.col(e1) - F.col(s1)).schema[0].dataType)]
+    names = [f.name for f in fields]
+
+    def found(batches):
+        a, b = _sides(batches)
+        if not (len(a) and len(b)):
+            return
+        best, most = most_overlapping(*[_numbers(x, c) for x in (a, b) for c in ("__s", "__e")])
+        on = np.flatnonzero(best >= 0)
+        own = a.column("__a").combine_chunks().take(pa.array(on)).flatten()
+        hit = b.column("__b").combine_chunks().take(pa.array(best[on]))
+        yield pa.RecordBatch.from_arrays([*own, *[pc.struct_field(hit, c) for c in kept], pa.array(most[on])], names=names)
+
+    rows = _beside(a, b, keys, a_span, b_span, longest, tie).applyInArrow(_streamed(found), T.StructType(fields))
+    return rows.withColumn("__rn", F.row_number().over(w)).filter("__rn = 1").drop("__rn")
 
 
 def lookup(df: DataFrame, dim: DataFrame, on: list[str], values: list[str], default=None) -> DataFrame:

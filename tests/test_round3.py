@@ -56,6 +56,23 @@ def test_overlaps_without_pairs(spark, seed):
     near = {i: sorted((x, j) for m, j, x, y in b if k is not None and m == k and x <= e and y >= s) for k, i, s, e in a}
     texts = joins.overlap_texts(da, db.withColumn("w", F.when(F.col("b") % 5 != 0, F.col("b").cast("string"))), ["k"], ("s", "e"), ("s2", "e2"), "w", "b", ",", 40)
     assert {r.a: (r.n, r.text) for r in texts.collect()} == {i: (len(own), ",".join(str(j) for _, j in own if j % 5) or None) for i, own in near.items()}
+    most = {}
+    for k, i, s, e in a:
+        own = sorted((-(min(e, y) - max(s, x)), x, j) for m, j, x, y in b if k is not None and m == k and min(e, y) > max(s, x))
+        if own:
+            most[i] = (own[0][2], -own[0][0])
+    assert {r.a: (r.b, r.overlap) for r in joins.max_overlap(da, db, ["k"], ["a"], ("s", "e"), ("s2", "e2"), 9, 40, "b").collect()} == most
+
+
+def test_most_overlapping_of_many():
+    rng = np.random.default_rng(5)
+    for n in (1, 2, 3, 50):
+        for _ in range(200):
+            s, t0 = rng.integers(0, 60, 30), np.sort(rng.integers(0, 60, n))
+            e, t1 = s + rng.integers(0, 30, 30), t0 + rng.integers(0, 30, n)
+            best, most = joins.most_overlapping(s, e, t0, t1)
+            every = np.maximum(np.minimum(e[:, None], t1) - np.maximum(s[:, None], t0), 0)
+            assert (most == every.max(axis=1)).all() and (best == np.where(every.max(axis=1) > 0, every.argmax(axis=1), -1)).all()
 
 
 @pytest.mark.parametrize("longest", [None, 40.0])
@@ -74,6 +91,6 @@ def test_first_interval_of_many(spark, longest):
 
 def test_pairs_are_not_shuffled(spark):
     """The plans of queries on overlaps join no intervals with intervals."""
-    for name in ("join_point_interval_half_open", "join_interval_overlap", "join_overlap_array",):
+    for name in ("join_point_interval_half_open", "join_interval_overlap", "join_overlap_array", "join_max_overlap",):
         plan = catalog.queries()[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
         assert not [line for line in plan.splitlines() if "Join" in line and "__icell" in line], name
