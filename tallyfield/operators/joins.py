@@ -298,6 +298,48 @@ def max_overlap(a: DataFrame, b: DataFrame, keys: list[str], a_id: list[str], a_
     return rows.withColumn("__rn", F.row_number().over(w)).filter("__rn = 1").drop("__rn")
 
 
+def overlap_sums(a: DataFrame, b: DataFrame, keys: list[str], a_id: list[str], a_span: tuple[str, str], b_span: tuple[str, str], width: int, touching: bool = True) -> DataFrame:
+    """(a_id, n, total): how many intervals of b overlap those of a, and by how much in all; touching ends count if `touching`. Ids without any drop out.
+
+    Times are whole numbers and intervals of any length. No pairs are made: those that overlap are those that start by the end less those
+    that end before the start, and what they cover up to a time comes from running counts and sums. Time is cut into pieces of `width`,
+    so that a task sums up pieces of a key; what is before a piece comes from sums of pieces, one row each.
+    """
+    (s1, e1), (s2, e2) = a_span, b_span
+    a = _present(a, *keys).filter(F.col(s1) <= F.col(e1))
+    b = _present(b, *keys).filter(F.col(s2) <= F.col(e2))
+    ids = F.struct(*a_id)
+    same_a, same_b = F.col(s1) == F.col(e1), F.col(s2) == F.col(e2)
+    # the order at one time: starts of a before ends of b and starts of b before ends of a if touching, else the other way round; of
+    # intervals without a length, a start of a comes between ends of long and of such intervals of b
+    if touching:
+        a_from, a_to, b_to, b_from = F.lit(0), F.lit(3), F.lit(1), F.lit(2)
+    else:
+        a_from, a_to, b_to, b_from = F.when(same_a, 1).otherwise(3), F.lit(4), F.when(same_b, 2).otherwise(0), F.lit(5)
+    move = lambda t, order, sign, id_: F.struct(t.cast("long").alias("__t"), order.cast("int").alias("__order"), F.lit(sign).alias("__sign"), id_.alias("__id"))
+    none = F.lit(None).cast(a.select(ids).schema[0].dataType)
+    own = a.select(*keys, F.inline(F.array(move(F.col(s1), a_from, -1, ids), move(F.col(e1), a_to, 1, ids))))
+    other = b.select(*keys, F.inline(F.array(move(F.col(s2), b_from, 1, none), move(F.col(e2), b_to, -1, none))))
+    both = own.unionAll(other).withColumn("__piece", F.expr(f"__t div {int(width)}"))
+    mine = F.col("__id").isNull()
+    parts = {"__from": F.when(mine & (F.col("__sign") > 0), 1).otherwise(0).cast("long"), "__to": F.when(mine & (F.col("__sign") < 0), 1).otherwise(0).cast("long"), "__at": F.when(mine, F.col("__sign") * F.col("__t")).otherwise(0).cast("decimal(20,0)")}
+    dealt = _dealt(both.select("*", *[v.alias(k) for k, v in parts.items()]), *keys, "__piece")
+    w = Window.partitionBy(*keys, "__piece").orderBy("__t", "__order").rowsBetween(Window.unboundedPreceding, 0)
+    run = dealt.select(*keys, "__piece", "__t", "__sign", "__id", *[F.sum(k).over(w).alias(k) for k in parts]).filter("__id IS NOT NULL")
+    before = Window.partitionBy(*[f"__k{n}" for n in range(len(keys))]).orderBy("__of").rowsBetween(Window.unboundedPreceding, -1)
+    sums = both.groupBy(*[F.col(k).alias(f"__k{n}") for n, k in enumerate(keys)], F.col("__piece").alias("__of")).agg(*[F.sum(v).alias(f"{k}_sum") for k, v in parts.items()])
+    sums = sums.select(*[f"__k{n}" for n in range(len(keys))], "__of", *[F.sum(f"{k}_sum").over(before).alias(f"{k}_before") for k in parts])
+    on = F.col("__piece") == F.col("__of")
+    for n, k in enumerate(keys):
+        on = on & (F.col(k) == F.col(f"__k{n}"))
+    run = run.join(sums, on, "left")
+    started, ended, moved = [(F.col(k) + F.coalesce(F.col(f"{k}_before"), F.lit(0))).cast("decimal(38,0)") for k in parts]
+    covered = F.col("__t").cast("decimal(19,0)") * (started - ended).cast("decimal(18,0)") - moved
+    many = F.when(F.col("__sign") > 0, started).otherwise(-ended)
+    out = run.groupBy("__id").agg(F.sum(many).cast("long").alias("n"), F.sum(F.col("__sign") * covered.cast("decimal(38,0)")).cast("decimal(38,0)").alias("total"))
+    return out.filter("n > 0").select("__id.*", "n", "total")
+
+
 def lookup(df: DataFrame, dim: DataFrame, on: list[str], values: list[str], default=None) -> DataFrame:
     """df with values of a dimension; a miss gives null, or default. Spark broadcasts dim if it is small enough."""
     out = df.join(dim.select(*on, *values), on, "left")

@@ -53,6 +53,14 @@ def test_overlaps_without_pairs(spark, seed):
     rng = random.Random(seed)
     a, b = spans_of(rng, 90, 40), spans_of(rng, 90, 40)
     da, db = spark.createDataFrame(a, "k string, a long, s long, e long"), spark.createDataFrame(b, "k string, b long, s2 long, e2 long")
+    for touch in (True, False):
+        want = {}
+        for k, i, s, e in a:
+            own = [min(e, y) - max(s, x) for m, _, x, y in b if k is not None and m == k and (x <= e and y >= s if touch else x < e and y > s)]
+            if own:
+                want[i] = (len(own), sum(own))
+        for width in (7, 1000):
+            assert {r.a: (r.n, int(r.total)) for r in joins.overlap_sums(da, db, ["k"], ["a"], ("s", "e"), ("s2", "e2"), width, touch).collect()} == want
     near = {i: sorted((x, j) for m, j, x, y in b if k is not None and m == k and x <= e and y >= s) for k, i, s, e in a}
     texts = joins.overlap_texts(da, db.withColumn("w", F.when(F.col("b") % 5 != 0, F.col("b").cast("string"))), ["k"], ("s", "e"), ("s2", "e2"), "w", "b", ",", 40)
     assert {r.a: (r.n, r.text) for r in texts.collect()} == {i: (len(own), ",".join(str(j) for _, j in own if j % 5) or None) for i, own in near.items()}
@@ -91,6 +99,6 @@ def test_first_interval_of_many(spark, longest):
 
 def test_pairs_are_not_shuffled(spark):
     """The plans of queries on overlaps join no intervals with intervals."""
-    for name in ("join_point_interval_half_open", "join_interval_overlap", "join_overlap_array", "join_max_overlap",):
+    for name in ("join_interval_overlap", "join_max_overlap", "join_overlap_array", "join_point_interval_half_open", "join_overlap_open"):
         plan = catalog.queries()[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
         assert not [line for line in plan.splitlines() if "Join" in line and "__icell" in line], name
