@@ -340,6 +340,21 @@ def overlap_sums(a: DataFrame, b: DataFrame, keys: list[str], a_id: list[str], a
     return out.filter("n > 0").select("__id.*", "n", "total")
 
 
+#: Parts into which salted_left deals the rows of a key.
+SALTS = 32
+
+
+def salted_left(left: DataFrame, right: DataFrame, keys: list[str], by: str) -> DataFrame:
+    """left with all rows of right that have its keys, or nulls, where keys may be few and frequent: rows of left that share them go to SALTS tasks.
+
+    The column `by` decides to which; right goes to all of them. So no task makes more than its share of the rows, which can be as many
+    as the product of both sides.
+    """
+    own = left.withColumn("__salt", F.pmod(F.xxhash64(by), F.lit(SALTS)).cast("int"))
+    other = right.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return _dealt(own, *keys, "__salt").join(_dealt(other, *keys, "__salt").hint("merge"), [*keys, "__salt"], "left").drop("__salt").select(*keys, *[c for c in [*left.columns, *right.columns] if c not in keys])
+
+
 def lookup(df: DataFrame, dim: DataFrame, on: list[str], values: list[str], default=None) -> DataFrame:
     """df with values of a dimension; a miss gives null, or default. Spark broadcasts dim if it is small enough."""
     out = df.join(dim.select(*on, *values), on, "left")

@@ -102,3 +102,17 @@ def test_pairs_are_not_shuffled(spark):
     for name in ("join_interval_overlap", "join_max_overlap", "join_overlap_array", "join_point_interval_half_open", "join_overlap_open"):
         plan = catalog.queries()[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
         assert not [line for line in plan.splitlines() if "Join" in line and "__icell" in line], name
+
+
+def test_few_names_of_many_parts(spark, held):
+    """Rows of one name come from several tasks."""
+    rows = [(k, [f"n{k % 2}", None, "alone"][k % 101 % 3 if k % 50 < 2 else 0], k % 50 + 1) for k in range(3000)]
+    parts = spark.createDataFrame(rows, "p_partkey long, p_name string, p_size int")
+    got, want = held("join_left_name", part=parts)
+    assert got == want and len(got) > 5000
+
+
+def test_rows_of_one_name_are_dealt(spark):
+    left, right = spark.createDataFrame([(k, "x") for k in range(400)], "id long, k string"), spark.createDataFrame([(k, "x") for k in range(50)], "other long, k string")
+    made = joins.salted_left(left, right, ["k"], "id").groupBy(F.spark_partition_id()).agg(F.count("*").alias("n")).collect()
+    assert sum(r.n for r in made) == 20000 and len(made) > 1
