@@ -21,12 +21,16 @@ def has(x, key: str) -> Column:
     return F.coalesce(F.array_contains(F.json_object_keys(_c(x)), key), F.lit(False))
 
 
+def _bound(x: Column, f) -> Column:
+    """f of x, which is worked out once, however often f names it."""
+    return F.element_at(F.transform(F.array(x), f), 1)
+
+
 def raw_map(x) -> Column:
     """Top-level keys to the JSON text of their values, whatever their kind: strings stay quoted."""
     keys = F.coalesce(F.json_object_keys(_c(x)), F.array().cast("array<string>"))
-    value = lambda k: F.to_json(F.try_variant_get(F.try_parse_json(_c(x)), F.lit("$"), "variant"))  # noqa: E731, F841
-    parts = F.from_json(_c(x), "map<string,variant>")
-    return F.transform_values(F.map_filter(parts, lambda k, v: F.array_contains(keys, k)), lambda k, v: F.to_json(v))
+    own = lambda known: F.map_filter(F.from_json(_c(x), "map<string,variant>"), lambda k, v: F.array_contains(known, k))
+    return F.transform_values(_bound(keys, own), lambda k, v: F.to_json(v))
 
 
 def from_raw(m: Column) -> Column:
@@ -35,10 +39,14 @@ def from_raw(m: Column) -> Column:
     return F.concat(F.lit("{"), F.array_join(F.transform(entries, lambda e: F.concat(F.lit('"'), e["key"], F.lit('":'), e["value"])), ","), F.lit("}"))
 
 
-def merged(a, b) -> Column:
-    """Keys of both, those of b winning; nested values stay as they are."""
-    left, right = raw_map(a), raw_map(b)
-    return from_raw(F.map_concat(F.map_filter(left, lambda k, v: ~F.map_contains_key(right, k)), right))
+def merged(a, b, drop: tuple[str, ...] = ()) -> Column:
+    """Keys of both, those of b winning, less those in drop; nested values stay as they are. Each text is parsed once."""
+
+    def both(p):
+        m = F.map_concat(F.map_filter(p["a"], lambda k, v: ~F.map_contains_key(p["b"], k)), p["b"])
+        return from_raw(F.map_filter(m, lambda k, v: ~k.isin(list(drop))) if drop else m)
+
+    return _bound(F.struct(raw_map(a).alias("a"), raw_map(b).alias("b")), both)
 
 
 def without(x, *keys: str) -> Column:

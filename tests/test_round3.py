@@ -116,3 +116,14 @@ def test_rows_of_one_name_are_dealt(spark):
     left, right = spark.createDataFrame([(k, "x") for k in range(400)], "id long, k string"), spark.createDataFrame([(k, "x") for k in range(50)], "other long, k string")
     made = joins.salted_left(left, right, ["k"], "id").groupBy(F.spark_partition_id()).agg(F.count("*").alias("n")).collect()
     assert sum(r.n for r in made) == 20000 and len(made) > 1
+
+
+def test_json_of_events_without_a_type(spark, held):
+    rows = [(1, "error", '{"k": 5}'), (2, None, '{"k": 6}'), (3, "view", '{"k": 7}'), (4, "view", None)]
+    got, want = held("update_json_nested", events=spark.createDataFrame(rows, "event_id long, event_type string, props string"))
+    assert got == want
+
+
+def test_json_is_parsed_once(spark):
+    plan = catalog.queries()["update_json_nested"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().analyzed().toString()
+    assert plan.count("from_json") <= 4
