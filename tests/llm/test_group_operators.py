@@ -541,6 +541,19 @@ def test_lm_partitions_and_gain(spark, monkeypatch):
     assert sum(r.score - r.base_score for r in rows) * math.log(10) > 0.3 * sum(r.n_tokens for r in rows)
 
 
+@pytest.mark.parametrize("pairs", [0, 30, 200])
+def test_lm_pairs_beyond_those_sent(spark, monkeypatch, pairs):
+    """All pairs count, whatever number of them is sent to the tasks; null texts and shards without an asked pair too."""
+    docs, df = lm_fixture(spark)
+    df = df.unionAll(spark.createDataFrame([(901, None), (902, "w1"), (902, "w1 w2 w1 w2")], df.schema))
+    whole = sorted((r.doc_id, r.n_known, r.base_score, r.score) for r in lm_scoring.lm_scores(df, held()).collect())
+    monkeypatch.setattr(lm_scoring, "PAIRS", pairs)
+    got = sorted((r.doc_id, r.n_known, r.base_score, r.score) for r in lm_scoring.lm_scores(df, held()).collect())
+    assert [r[:2] for r in got] == [r[:2] for r in whole] and len(got) == len(docs) + 3
+    for x, y in zip(got, whole, strict=True):
+        assert math.isclose(x[2], y[2], abs_tol=1e-9) and math.isclose(x[3], y[3], abs_tol=1e-6)
+
+
 def test_lm_frequent_bounds(spark):
     df = spark.range(1, 2001).select(F.expr("id % 700 + 1").alias("n"))
     for most in (0, 1, 50, 300, 1999, 2000, 5000):
