@@ -127,3 +127,15 @@ def test_json_of_events_without_a_type(spark, held):
 def test_json_is_parsed_once(spark):
     plan = catalog.queries()["update_json_nested"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().analyzed().toString()
     assert plan.count("from_json") <= 4
+
+
+def test_rows_shuffled_for_overlaps(spark):
+    """Intervals of b go to two cells at most, however long they are, and both sides of a query read spans that were shuffled by user once."""
+    a = spark.createDataFrame([("x", k, 7 * k, 7 * k + 40) for k in range(100)], "k string, a long, s long, e long")
+    b = spark.createDataFrame([("x", k, 5 * k, 5 * k + 40) for k in range(200)], "k string, b long, s2 long, e2 long")
+    rows = joins._beside(a, b, ["k"], ("s", "e"), ("s2", "e2"), 40, "b").count().agg(F.sum("count")).first()[0]
+    assert 300 < rows <= 500
+    got = catalog.queries()["join_interval_overlap"](spark, "/root/testdata/sf0.001")
+    got.collect()
+    plan = got._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    assert plan.count("ReusedExchange") == 1
